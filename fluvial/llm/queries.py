@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, personal_data, sentence_pieces, token_counts
+from pyspark.sql import functions as F
+
+from . import fingerprints, language_id, near_duplicates, neighbours, packing, personal_data, sentence_pieces, token_counts, warc
 from .common import documents
 
 
@@ -18,6 +20,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
@@ -26,14 +33,51 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.with_word_counts(documents(spark, sf_dir, "doc_id", "text")))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = near_duplicates.Plan(words=3, percent=85)
+    return near_duplicates.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), plan)
+
+
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_pieces(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_language_id, op4_token_counts, op8_personal_data, op10_sentence_pieces)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_fingerprints,
+        op2_hilbert_neighbours,
+        op3_language_id,
+        op4_token_counts,
+        op5_warc,
+        op6_best_fit_packing,
+        op8_personal_data,
+        op9_near_duplicates,
+        op10_sentence_pieces,
+    )
+}
+
+ORACLE_SQL = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS head FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), '') AS payload_digest,
+            CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> head THEN head END AS refers_to
+        FROM m
+    """,
+}
