@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, near_duplicates, neighbours, packing, personal_data, sentence_pieces, token_counts, warc
+from . import fingerprints, language_id, lm_scores, near_duplicates, neighbours, packing, personal_data, sentence_pieces, token_counts, warc
 from .common import documents
 
 
@@ -41,6 +41,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.with_word_counts(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op7_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score_documents(documents(spark, sf_dir, "doc_id", "text"), language_id.held_out(parts=5, part=1))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -63,6 +67,7 @@ QUERIES = {
         op4_token_counts,
         op5_warc,
         op6_best_fit_packing,
+        op7_log_bilinear,
         op8_personal_data,
         op9_near_duplicates,
         op10_sentence_pieces,
