@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
+from ..plans.lineage import cut
 
 #: First guesses of top width, velocity and depth, and what a fit that fails gives.
 STARTS = {"tw": (12.0, 0.3), "vel": (1.0, 0.3), "depth": (0.2, 0.5)}
@@ -88,7 +89,7 @@ def log_line(points: DataFrame, key: str) -> DataFrame:
     return s.select(key, F.exp((F.col("sy") - F.col("b") * F.col("sx")) / F.col("n")).alias("a"), "b")
 
 
-def pooled_curves(results: DataFrame, key: str = "COMID", rounds: int = 12) -> DataFrame:
+def pooled_curves(results: DataFrame, key: str = "COMID", rounds: int = 6) -> DataFrame:
     """One fit a reach over all increments of all its cells: Gauss-Newton on sums, so a long reach is never in one task.
 
     Starts from the least-squares line of the logarithms; each round sums the normal equations of all reaches.
@@ -96,7 +97,7 @@ def pooled_curves(results: DataFrame, key: str = "COMID", rounds: int = 12) -> D
     points = results.select(key, F.explode("inc").alias("i"), "base_elev").select(
         key, F.col("i.q").alias("q"), F.col("i.t").alias("tw"), F.col("i.v").alias("vel"), (F.col("i.wse") - F.col("base_elev")).alias("depth")
     )
-    points = points.where("q > 0")
+    points = cut(points.where("q > 0"))
     out = None
     for name in ("depth", "tw", "vel"):
         mine = points.select(key, F.col("q"), F.col(name).alias("y")).where("y > 0")
@@ -108,7 +109,7 @@ def pooled_curves(results: DataFrame, key: str = "COMID", rounds: int = 12) -> D
                 F.first("a").alias("a"), F.first("b").alias("b"), F.sum(p * p).alias("aa"), F.sum(p * j).alias("ab"), F.sum(j * j).alias("bb"), F.sum(p * r).alias("ga"), F.sum(j * r).alias("gb")
             )
             det = F.expr("aa * bb - ab * ab")
-            fit = sums.select(key, (F.col("a") + F.coalesce(F.try_divide(F.expr("bb * ga - ab * gb"), det), F.lit(0.0))).alias("a"), (F.col("b") + F.coalesce(F.try_divide(F.expr("aa * gb - ab * ga"), det), F.lit(0.0))).alias("b"))
+            fit = cut(sums.select(key, (F.col("a") + F.coalesce(F.try_divide(F.expr("bb * ga - ab * gb"), det), F.lit(0.0))).alias("a"), (F.col("b") + F.coalesce(F.try_divide(F.expr("aa * gb - ab * ga"), det), F.lit(0.0))).alias("b")))
         fit = fit.select(key, rounded("a").alias(f"{name}_a"), rounded("b").alias(f"{name}_b"))
         out = fit if out is None else out.join(fit, key)
     return out

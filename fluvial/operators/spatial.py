@@ -7,6 +7,8 @@ from math import asinh, atan, atan2, atanh, cos, cosh, degrees, hypot, pi, radia
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 # GRS80 (WGS84's flattening differs after the eighth digit).
 AXIS, FLATTENING = 6378137.0, 1 / 298.257222101
 
@@ -49,7 +51,7 @@ def nearest(seeds: DataFrame, points: DataFrame, key: str, start: float = 64.0,
         last = size >= most
         met = (met if last else met.where(F.col("dist") <= size)).withColumn("k", rank).where(F.col("k") <= k)
         full = met if last else met.join(met.groupBy(key).count().where(F.col("count") >= k).select(key), key, "left_semi")
-        full = full.select(key, *by, *rest, "x", "y", "dist").checkpoint() if _can(full) else full.select(key, *by, *rest, "x", "y", "dist").persist()
+        full = cut(full.select(key, *by, *rest, "x", "y", "dist"))
         out = full if out is None else out.unionByName(full)
         if last:
             return out
@@ -65,10 +67,6 @@ def _by(key: str):
     return Window.partitionBy(key).orderBy("dist")
 
 
-def _can(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def thin(points: DataFrame, distance: float, percent: float, order: str, level: str) -> DataFrame:
     """Greedy thinning in order: a point that stays drops every later one within the distance whose level differs by at
     most ``percent``.
@@ -77,23 +75,18 @@ def thin(points: DataFrame, distance: float, percent: float, order: str, level:
     neighbour left stays, its neighbours go. Rounds grow with the longest chain, not with the points.
     """
     diff = F.abs(F.col(f"a_{level}") - F.col(f"b_{level}")) / ((F.col(f"a_{level}") + F.col(f"b_{level}")) / 2) * 100
-    edges = _cut(pairs_within(points, distance, order, (level,)).where(diff <= percent).select("a", "b"))
+    edges = cut(pairs_within(points, distance, order, (level,)).where(diff <= percent).select("a", "b"))
     gone = points.select(F.col(order).alias("id")).limit(0)
     alive = edges
     while not alive.isEmpty():
         waiting = alive.select(F.col("b").alias("id")).distinct()
         stay = alive.select(F.col("a").alias("id")).distinct().join(waiting, "id", "left_anti")
-        drop = _cut(alive.join(stay.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        drop = cut(alive.join(stay.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct())
         gone = gone.unionByName(drop)
-        alive = _cut(alive.join(drop.select(F.col("id").alias("a")), "a", "left_anti").join(drop.select(F.col("id").alias("b")), "b", "left_anti").join(stay.select(F.col("id").alias("a")), "a", "left_anti"))
+        alive = cut(alive.join(drop.select(F.col("id").alias("a")), "a", "left_anti").join(drop.select(F.col("id").alias("b")), "b", "left_anti").join(stay.select(F.col("id").alias("a")), "a", "left_anti"))
     return points.join(gone.select(F.col("id").alias(order)), order, "left_anti")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends in the checkpoint folder where the cluster names one; else in memory and on disk, recomputable."""
-    return df.checkpoint() if _can(df) else df.persist()
-
-
 def circular_mean(angle: Column) -> Column:
     """Mean direction (radians), as an aggregate."""
     return F.atan2(F.avg(F.sin(angle)), F.avg(F.cos(angle)))
