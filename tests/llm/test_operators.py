@@ -1,0 +1,385 @@
+"""Each operator against a brute-force version, with nulls, empty and long texts, ties, repeats and extra columns."""
+
+import base64
+import collections
+import hashlib
+import io
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fluvial.llm import fingerprints, language_id, lm_scores, near_duplicates, neighbours, packing, personal_data, sentence_pieces, token_counts, warc
+from fluvial.llm.common import maybe_in, words_of
+
+P = pytest.importorskip("public_tokenizers")
+ODD = ["", " ", "  a  b ", "it's we'll 'x ''s\n\n  tab\there\r\n", "<|endoftext|> a<|endoftext|>", "ÄÖ ü é ß ﬁ", "中文 \U0001f600 x", "▁a ▁▁b\n", "a" * 3000, " " * 300, "\n\nq", "1234 5.6'7", None]
+
+
+def texts(n, seed=3):
+    r = random.Random(seed)
+    words = "the of and to in report river flow water stone bridge über était señor naïve".split()
+    return [" ".join(r.choice(words) for _ in range(r.randrange(1, 60))) + r.choice(["", ".", "\n", "!"]) for _ in range(n)]
+
+
+def frame(spark, rows, schema="doc_id long, text string, source string"):
+    return spark.createDataFrame(rows, schema)
+
+
+def corpus(spark, more=()):
+    values = ODD + texts(40) + list(more)
+    return frame(spark, [(i, t, "x") for i, t in enumerate(values)] + [(None, "null key", "x"), (3, "repeated key", "x"), (3, "repeated key", "x")])
+
+
+def test_token_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    docs = corpus(spark)
+    got = sorted(map(tuple, token_counts.count_tokens(docs, path, 20).collect()), key=str)
+    library = Tokenizer.from_file(path)
+    want = []
+    for r in docs.collect():
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids)
+        want.append((r.doc_id, len((r.text or "").encode()), n, n > 20))
+    assert got == sorted(want, key=str)
+    assert token_counts.count_tokens(docs.limit(0), path).count() == 0
+
+
+def test_prefix_scan_equals_a_walk():
+    rng = np.random.default_rng(1)
+    classes = rng.integers(0, token_counts.N_CLASSES, 5000).astype(np.uint8)
+    step, _, _ = token_counts.outer_machine()
+    state, want = token_counts.START, []
+    for c in classes:
+        want.append(state)
+        state = step[state, c]
+    assert (token_counts.states_before(classes) == np.array(want)).all()
+
+
+def test_sentence_pieces_equal_the_library(spark):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = corpus(spark)
+    got = sorted(map(str, sentence_pieces.encode_pieces(docs, path, full=True).collect()))
+    want = []
+    for r in docs.collect():
+        ids = library.encode(r.text or "")
+        plain = library.decode(ids)
+        want.append(str((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest(), ids, plain)))
+    assert [re.sub(r"\w+=", "", g.replace("Row", "", 1)) for g in got] != [] and len(got) == len(want)
+    rows = sentence_pieces.encode_pieces(docs, path, full=True).collect()
+    assert sorted(str(tuple(r)) for r in rows) == sorted(want)
+
+
+def test_fingerprints(spark):
+    docs = corpus(spark, ["Straße  ", "strasse", "ﬁne", "fine"])
+    rows = {(r.doc_id, r.text): r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
+    by = collections.defaultdict(set)
+    for (_, t), f in rows.items():
+        by[f].add(fingerprints.canonical(t))
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len({fingerprints.canonical(t) for _, t in rows})
+    assert fingerprints.canonical("Straße  ") == fingerprints.canonical("STRASSE") and fingerprints.canonical("ﬁne") == "fine"
+    assert {c for c in fingerprints.fingerprints(docs).columns} == {"doc_id", "text", "source", "fingerprint"}
+
+
+def test_collided_buckets_are_told_apart(spark):
+    docs = frame(spark, [(i, f"text {i % 150}", "x") for i in range(300)])
+    marked = fingerprints.fingerprints(docs, bits=8).collect()
+    by = collections.defaultdict(set)
+    for r in marked:
+        by[r.fingerprint].add(r.text)
+    assert all(len(v) == 1 for v in by.values()) and len(by) == 150
+    groups = fingerprints.exact_groups(docs, bits=8).collect()
+    assert all(r.group_id == r.doc_id % 150 and r.group_size == 2 for r in groups)
+
+
+@pytest.mark.parametrize("n", [1, 2, 500])
+def test_edited_text_takes_from_the_next_document(spark, n):
+    values = (ODD * 40 + texts(20))[:n] if n > 13 else texts(n)
+    docs = frame(spark, [(i * 3, t, "x") for i, t in enumerate(values)]).repartition(5)
+    old = fingerprints.with_successor
+    try:
+        fingerprints.with_successor = lambda d, k, t, b: old(d, k, t, b, rows_a_range=40)
+        got = {r.doc_id: r for r in fingerprints.compare_edited(docs).collect()}
+    finally:
+        fingerprints.with_successor = old
+    assert len(got) == n
+    for i, t in enumerate(values):
+        t, nxt = t or "", values[i - 1] or ""
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        r = got[i * 3]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.digest(t), fingerprints.digest(edited))
+        assert r.near_edited == float(r.fingerprint == r.edited_fingerprint) and r.near_next == float(r.fingerprint == fingerprints.digest(nxt))
+
+
+def test_bitmap_filter_loses_no_member(spark):
+    rows = spark.range(2000)
+    kept = maybe_in(rows, F.col("id"), spark.range(0, 2000, 7).select(F.col("id").alias("m")), F.col("m"), 16).collect()
+    ids = {r.id for r in kept}
+    assert ids >= set(range(0, 2000, 7)) and len(ids) < 600
+    assert maybe_in(rows, F.col("id"), spark.range(0).select(F.col("id").alias("m")), F.col("m"), 16).count() == 0
+
+
+def languages(spark, n=240):
+    r = random.Random(5)
+    words = {"en": "the of and that with was for on are this", "de": "der die und das mit war für auf sind nicht", "fr": "le la et que avec était pour sur sont cette"}
+    return frame(spark, [(i, " ".join(r.choice(words[c].split()) for _ in range(r.randrange(3, 40))), c) for i, c in ((i, ("en", "de", "fr")[i % 3]) for i in range(n))], "doc_id long, text string, lang string")
+
+
+def test_language_id(spark):
+    odd = frame(spark, [(1000, None, "en"), (1001, "12 !", "de"), (1002, "the and of", None), (None, "der und die", "de"), (5, "le la que", "fr")], "doc_id long, text string, lang string")
+    docs = languages(spark).unionByName(odd)
+    got = language_id.identify(docs).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id != 5}
+    assert by[1000].lang_pred == by[1001].lang_pred == "und" and by[1002].lang_pred == "en"
+    out = [r for r in got if r.held_out]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in out)
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in out]) > 0.95
+    model = language_id.fit([(r.text, r.lang) for r in languages(spark).collect()])
+    for t in ["the und le", "x", "a" * 5000]:  # the same by a plain sum
+        c = collections.Counter()
+        for s, k in zip(*language_id.ngram_counts(t)):
+            c[int(s)] += int(k)
+        value = {s: (1 + math.log(k)) * model.idf[s] for s, k in c.items()}
+        norm = math.sqrt(sum(v * v for v in value.values()))
+        z = sum(v / norm * model.weights[s] for s, v in value.items()) + model.bias
+        p = np.exp(z / model.temperature - (z / model.temperature).max())
+        assert np.allclose(p / p.sum(), model.probabilities(t))
+    assert {r.lang_pred for r in language_id.identify(languages(spark).limit(0).unionByName(odd.where("lang IS NULL"))).collect()} == {"und"}
+
+
+def brute_spans(t):
+    luhn = personal_data.luhn
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d)]
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(2)
+    for _ in range(20_000):
+        t = "".join(r.choice("a@@..-1220+0() 4x%5é") for _ in range(r.randrange(60)))
+        assert sorted(personal_data.base_spans(t)) == brute_spans(t)
+    long = "a" * 200_000 + "@x.y " + "1" * 200_000 + " " + "." * 1000
+    assert personal_data.base_spans(long)[0] == ("email", 0, 200_004)
+
+
+def test_personal_data(spark):
+    values = ["mail a.b@c.de or +1 (222) 555-0101", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', "call (743) 555-3824 today", None, "", "commit abc version 1.2.3"]
+    docs = frame(spark, [(i, t, "x") for i, t in enumerate(values)])
+    got = {r.doc_id: r for r in personal_data.find_personal(docs).collect()}
+    assert (got[0].n_email, got[0].n_phone) == (1, 1) and got[0].spans == "email:5:13,phone:17:34"
+    assert got[1].spans.startswith("secret:9:49") and got[2].spans == "phone:5:19"
+    assert got[3].spans == got[4].spans == got[5].spans == ""
+    base = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(brute_spans(values[0]), key=lambda s: (personal_data.KINDS.index(s[0]), s[1])))
+    assert got[0].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    clean = {r.doc_id: r.t for r in docs.select("doc_id", personal_data.redacted("text").alias("t")).collect()}
+    assert clean[0] == "mail <EMAIL> or <PHONE>" and clean[3] is None and clean[5] == values[5]
+
+
+def test_boosted_trees_learn():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    p = personal_data.Boosted(trees=40).fit(x[:400], y[:400]).probability(x[400:])
+    assert ((p > 0.5) == y[400:]).mean() > 0.9
+
+
+def near_corpus():
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for g in range(12):
+        base = [r.choice(words) for _ in range(r.randrange(5, 150))]
+        for _ in range(r.randrange(1, 14)):
+            copy = list(base)
+            for _ in range(r.randrange(0, max(2, len(base) // 8))):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            docs.append(" ".join(copy))
+    docs += ["", None, "one", "one", "One", "two words", "two  words\n", "x " * 3000]
+    return docs
+
+
+@pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
+def test_near_duplicates_equal_all_pairs(spark, words, percent):
+    docs = near_corpus()
+    rows = [(i * 5 % 997, t, "x") for i, t in enumerate(docs)] + [(10_000, docs[0], "x"), (10_000, docs[0], "x")]
+    sets = []
+    for _, t, _ in rows:
+        w = words_of(t)
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = comp[i], comp[j]
+                comp = [b if c == a else c for c in comp]
+    least = {}
+    for (k, _, _), c in zip(rows, comp):
+        least[c] = min(least.get(c, k), k)
+    want = sorted((k, len(s), least[c], k == least[c]) for (k, _, _), s, c in zip(rows, sets, comp))
+    plan = near_duplicates.Plan(words=words, percent=percent)
+    got = sorted(map(tuple, near_duplicates.near_duplicates(frame(spark, rows), plan).collect()))
+    assert got == want
+
+
+def test_near_duplicates_in_chains_and_empty(spark):
+    # A chain: only neighbours are alike, so a star around one document would lose it.
+    words = [f"v{i}" for i in range(400)]
+    docs = [(i, " ".join(words[i * 8 : i * 8 + 100]), "x") for i in range(30)]
+    got = near_duplicates.near_duplicates(frame(spark, docs), near_duplicates.Plan(3, 85)).collect()
+    assert {r.component_id for r in got} == {0}
+    assert near_duplicates.near_duplicates(frame(spark, []), near_duplicates.Plan(3, 85)).count() == 0
+    kept = near_duplicates.one_of_each(frame(spark, docs + [(None, "lone text here now", "x")]), near_duplicates.Plan(3, 85))
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 0), (True, None)] and kept.columns == ["doc_id", "text", "source"]
+
+
+def test_index_meets_all_pairs_within_the_distance():
+    plan = near_duplicates.Plan(3, 85)
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a = rng.integers(0, 1 << near_duplicates.BITS, plan.hashes).astype(np.uint16)
+        b = a.copy()
+        at = rng.choice(plan.hashes, plan.distance, replace=False)
+        b[at] ^= 1
+        ka, kb = near_duplicates.chunk_keys(np.stack([a, b]), plan)
+        assert set(ka) & set(kb)
+
+
+def test_neighbours_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(300, 16)).astype(np.float32)
+    m[200:230] = m[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(900, None), (950, [0.0] * 16), (1000, [float("nan")] * 16), (1050, [None] * 16), (1100, []), (None, m[1].tolist()), (1150, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in sorted(neighbours.nearest(df, F.col("vec_id") % 50 == 0, curves=6).collect()):
+        got[r.query_id].append((r.vec_id, r["rank"], r.score))
+    d = m.astype(float)
+    unit = d / np.linalg.norm(d, axis=1, keepdims=True)
+    for q in range(0, 300, 50):
+        s = unit @ unit[q]
+        order = sorted((i for i in range(300) if i != q), key=lambda i: (-round(s[i], 12), i))[:5]
+        assert [v for v, _, _ in got[q]] == order and [k for _, k, _ in got[q]] == [1, 2, 3, 4, 5]
+        assert np.allclose([x for _, _, x in got[q]], s[order])
+    assert set(got) == set(range(0, 300, 50))  # unusable vectors take no part
+    assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_hilbert_curve_is_continuous():
+    side = 8
+    cells = np.array([[i, j, k] for i in range(side) for j in range(side) for k in range(side)])
+    place = neighbours.hilbert(cells, 3)
+    assert sorted(place) == list(range(side**3))
+    path = cells[np.argsort(place)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_warc_round_trip(spark):
+    html = ["<p>a</p>", "<p>a</p>", "", None, "é" * 100_000, "x\r\n\r\ny", "<p>a</p>"]
+    pages = spark.createDataFrame([(i, f"http://h/{i} é\n", t, "extra") for i, t in enumerate(html)] + [(None, None, "lone", "e")], "page_id long, url string, html string, source string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert len(got) == 8
+    for i, t in enumerate(html):
+        body = (t or "").encode()
+        head = max(j for j, u in enumerate(html) if (u or "") == (t or ""))
+        r = got[i]
+        assert (r.payload_bytes, r.payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+        assert (r.record_type, r.refers_to) == (("response", None) if head == i else ("revisit", head))
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_reader_finds_damage():
+    records = [warc.make_record(str(i), "http://x", b"payload %d" % i * 5000, None if i % 2 else "7") for i in range(6)]
+    whole = list(warc.read_records(io.BytesIO(b"".join(records)), keep_payload=True))
+    assert [r["payload"] for r in whole if r["fields"]["warc-type"] == "response"] == [b"payload %d" % i * 5000 for i in (1, 3, 5)]
+    plain = zlib.decompress(records[1], 31).replace(b"payload 1", b"paylOad 1", 1)
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    with pytest.raises(ValueError, match="digest"):
+        list(warc.read_records(io.BytesIO(packer.compress(plain) + packer.flush())))
+    with pytest.raises(ValueError):
+        list(warc.read_records(io.BytesIO(records[1][:-30])))
+
+
+def test_packing_equals_brute_force(spark):
+    r = random.Random(4)
+    items = [(i, r.choice([None, 0, 1, 5, 100, 511, 512, 513, 700, 2000, 9000, 20_000])) for i in range(150)] + [(3, 40), (3, 40)]
+    df = spark.createDataFrame(items, "doc_id long, n_tokens long")
+    got = packing.pack(df).collect()
+    pieces = sorted(((n, i, a) for i, (_, t) in enumerate(items) for a, n in packing.cut(t or 0, 8192)), key=lambda x: -x[0])
+    assert sorted((x.n_tokens) for x in got) == sorted(n for n, _, _ in pieces)
+    fill, size = collections.Counter(), {}
+    for x in got:
+        fill[x.bin_id] += x.n_tokens
+        assert size.setdefault(x.bin_id, x.capacity) == x.capacity
+    for b, n in fill.items():
+        assert size[b] == min(c for c in packing.CAPACITIES if c >= n)
+    lengths = [n for n, _, _ in pieces]
+    bins, capacity = packing.pack_lengths(lengths)
+    open_ = []  # best fit by a plain search
+    for i, x in enumerate(lengths):
+        fits = [(left, b) for b, left in enumerate(open_) if left >= x]
+        if fits:
+            b = min(fits)[1]
+        else:
+            costs = []
+            for c in packing.CAPACITIES:
+                if c >= x:
+                    rest = sum(y for y in lengths[i + 1 :] if y <= c - x)
+                    costs.append((packing.cost(c) / max(1, min(c, x + rest)), c))
+            open_.append(min(costs)[1])
+            b = len(open_) - 1
+        open_[b] -= x
+        assert bins[i] == b
+    by_doc = collections.Counter()
+    for x in got:
+        by_doc[x.doc_id] += x.n_tokens
+    assert all(by_doc[k] == sum((t or 0) for j, t in items if j == k) for k, _ in items)
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_language_model_scores(spark):
+    values = texts(120, 8) + [None, "", "Novel unseenword The", "zzz " * 50]
+    docs = frame(spark, [(i, t, "x") for i, t in enumerate(values)] + [(None, "null key", "x")])
+    for head in (150_000, 5):  # with five, nearly all words go through the join
+        rows = lm_scores.score_documents(docs, language_id.held_out(parts=5, part=1), head_words=head).collect()
+        counts, n_docs = collections.Counter(), 0
+        for r in docs.collect():
+            if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 != 1:
+                counts.update(words_of(r.text))
+                n_docs += 1
+        total, kinds = sum(counts.values()) + n_docs, len(counts) + 1
+        by = {r.doc_id: r for r in rows}
+        for i, t in enumerate(values):
+            w = words_of(t)
+            base = sum(math.log10((c + 0.5) / (total + 0.5 * (kinds + 1))) for c in [*(counts[x] for x in w), n_docs])
+            r = by[i]
+            assert abs(r.base_score - base) < 1e-8 and r.n_tokens == len(w) + 1 and r.n_known == sum(counts[x] > 0 for x in w) + 1 and r.train_tokens == total
+            assert r.score < 0 and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
+
+
+def test_language_model_is_normalised():
+    rng = np.random.default_rng(2)
+    sequences = [rng.integers(0, 8, 60) for _ in range(60)]
+    for s in sequences:  # every second output follows the one before
+        s[1::2] = (s[::2] + 1)[: len(s[1::2])]
+    counts = np.zeros(lm_scores.OUTPUTS)
+    for s in sequences:
+        counts += np.bincount(s, minlength=lm_scores.OUTPUTS)
+    model = lm_scores.fit(sequences, counts)
+    context = np.tile([[1, 2, 3]], (lm_scores.OUTPUTS, 1))
+    assert abs((10 ** model.log_probability(context, np.arange(lm_scores.OUTPUTS))).sum() - 1) < 1e-5
+    flat = lm_scores.Model(np.log((counts + 0.5) / (counts + 0.5).sum()).astype(np.float32), np.zeros((lm_scores.OUTPUTS, lm_scores.DIMS), np.float32))
+    c, t = lm_scores.contexts(sequences[0]), sequences[0]
+    assert model.log_probability(c, t).mean() > flat.log_probability(c, t).mean()
