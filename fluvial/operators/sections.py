@@ -29,7 +29,8 @@ def ordinates(spark: SparkSession, length: int, dx: float, dy: float) -> DataFra
     cos, sin = F.cos(theta), F.sin(theta)
     steep = (theta >= pi / 4) & (theta <= 3 * pi / 4)
     snapped = F.when(steep, F.abs(cos) < 1e-12).otherwise(F.abs(sin) < 1e-12)
-    u = F.when(steep, F.col("i") * dy * cos / dx).otherwise(F.col("i") * dx * sin / dy)
+    # To nine decimals: whole offsets (at 30 and 60 degrees) must not hang on the last bit of a cosine.
+    u = F.rint(F.when(steep, F.col("i") * dy * cos / dx).otherwise(F.col("i") * dx * sin / dy) * 1e9) / 1e9
     main = F.when(snapped, F.lit(0)).otherwise(F.floor(u)).cast("int")
     second = F.when(snapped, F.lit(0)).otherwise(F.rint(u + F.when(steep & (u < 0), -0.5).otherwise(0.5))).cast("int")
     ws = F.when(snapped, 0.0).otherwise(F.abs(u - second))

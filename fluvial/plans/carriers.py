@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 REACH_SQL = """reach AS (SELECT s_suppkey AS comid, 0.0005::DOUBLE + 0.0001::DOUBLE * (s_suppkey % 20) AS slope,
     5.0::DOUBLE + abs(s_acctbal) / 500.0::DOUBLE AS q_max, 0.5::DOUBLE AS q_base, 0.02::DOUBLE + 0.005::DOUBLE * (s_nationkey % 5) AS n FROM supplier)"""
 CELL_SQL = """cell AS (SELECT l_suppkey AS comid, (l_orderkey % 997)::BIGINT AS r, l_linenumber AS c, min(l_quantity) AS qty,
-    1.0::DOUBLE + min(l_quantity) / 25.0::DOUBLE AS side FROM lineitem GROUP BY ALL)"""
+    1.0::DOUBLE + min(l_quantity) / 25.37::DOUBLE AS side FROM lineitem GROUP BY ALL)"""
 GRID_SQL = """grid AS (SELECT (l_orderkey % 200)::BIGINT AS "row", (l_partkey % 200)::BIGINT AS col, round_even(avg(l_extendedprice) / 1000.0::DOUBLE * 1000, 0) / 1000 AS z,
     min(l_suppkey) AS comid FROM lineitem GROUP BY ALL)"""
 SIZE = 200
@@ -33,7 +33,7 @@ def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("comid"), (F.col("l_orderkey") % 997).alias("r"), F.col("l_linenumber").alias("c"))
-    return by.agg(F.min("l_quantity").alias("qty")).withColumn("side", 1.0 + F.col("qty") / 25.0)
+    return by.agg(F.min("l_quantity").alias("qty")).withColumn("side", 1.0 + F.col("qty") / 25.37)  # no exact halves to round
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -329,7 +329,7 @@ def reach_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORD = 12
 ORDINATES_SQL = f"""t AS (SELECT angle_idx, i, angle_idx * {pi / 30} AS theta FROM (SELECT unnest(range(31)) AS angle_idx), (SELECT unnest(range({ORD})) AS i)),
     u AS (SELECT *, theta >= {pi / 4} AND theta <= {3 * pi / 4} AS steep, CASE WHEN theta >= {pi / 4} AND theta <= {3 * pi / 4} THEN abs(cos(theta)) < 1e-12 ELSE abs(sin(theta)) < 1e-12 END AS snap,
-        CASE WHEN theta >= {pi / 4} AND theta <= {3 * pi / 4} THEN i * cos(theta) ELSE i * sin(theta) END AS u FROM t),
+        round_even(CASE WHEN theta >= {pi / 4} AND theta <= {3 * pi / 4} THEN i * cos(theta) ELSE i * sin(theta) END * 1e9, 0) / 1e9 AS u FROM t),
     o AS (SELECT *, CASE WHEN snap THEN 0 ELSE floor(u) END AS m, CASE WHEN snap THEN 0 ELSE round_even(u + CASE WHEN steep AND u < 0 THEN -0.5 ELSE 0.5 END, 0) END AS s FROM u),
     ords AS (SELECT angle_idx, i, CASE WHEN steep THEN i ELSE m END AS rm, CASE WHEN steep THEN m WHEN theta >= {pi / 2} THEN -i ELSE i END AS cm,
         CASE WHEN steep THEN i ELSE s END AS rs, CASE WHEN steep THEN s WHEN theta >= {pi / 2} THEN -i ELSE i END AS cs, CASE WHEN snap THEN 0 ELSE abs(u - s) END AS ws FROM o)"""
@@ -352,9 +352,9 @@ def _sampled(spark: SparkSession, sf_dir: str, turn: int = 0) -> DataFrame:
     return sections.sample(cells, _dense(spark, sf_dir), sections.ordinates(spark, ORD, 1.0, 1.0), SIZE, SIZE)
 
 
-@query(f"WITH {GRID_SQL}, {DENSE_SQL}, {ORDINATES_SQL}, {SECTION_SQL} SELECT cell_seq, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = -1) AS n2, {r('coalesce(sum(z) FILTER (side = 1), 0)', 2)} AS z1, {r('coalesce(sum(z) FILTER (side = -1), 0)', 2)} AS z2 FROM drawn GROUP BY cell_seq")
+@query(f"WITH {GRID_SQL}, {DENSE_SQL}, {ORDINATES_SQL}, {SECTION_SQL} SELECT cell_seq, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = -1) AS n2, {r('coalesce(sum(z) FILTER (side = 1), 0)')} AS z1, {r('coalesce(sum(z) FILTER (side = -1), 0)')} AS z2 FROM drawn GROUP BY cell_seq")
 def section_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = lambda p: rounded(F.aggregate(p, F.lit(0.0), lambda s, z: s + z), 2)
+    total = lambda p: rounded(F.aggregate(p, F.lit(0.0), lambda s, z: s + z))
     return _sampled(spark, sf_dir).select("cell_seq", F.size("p1").cast("long").alias("n1"), F.size("p2").cast("long").alias("n2"), total("p1").alias("z1"), total("p2").alias("z2"))
 
 
