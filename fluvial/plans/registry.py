@@ -352,9 +352,9 @@ def _sampled(spark: SparkSession, sf_dir: str, turn: int = 0) -> DataFrame:
     return sections.sample(cells, _dense(spark, sf_dir), sections.ordinates(spark, ORD, 1.0, 1.0), SIZE, SIZE)
 
 
-@query(f"WITH {GRID_SQL}, {DENSE_SQL}, {ORDINATES_SQL}, {SECTION_SQL} SELECT cell_seq, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = -1) AS n2, {r('coalesce(sum(z) FILTER (side = 1), 0)')} AS z1, {r('coalesce(sum(z) FILTER (side = -1), 0)')} AS z2 FROM drawn GROUP BY cell_seq")
+@query(f"WITH {GRID_SQL}, {DENSE_SQL}, {ORDINATES_SQL}, {SECTION_SQL} SELECT cell_seq, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = -1) AS n2, {r('coalesce(sum(z) FILTER (side = 1), 0)', 5)} AS z1, {r('coalesce(sum(z) FILTER (side = -1), 0)', 5)} AS z2 FROM drawn GROUP BY cell_seq")
 def section_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = lambda p: rounded(F.aggregate(p, F.lit(0.0), lambda s, z: s + z))
+    total = lambda p: rounded(F.aggregate(p, F.lit(0.0), lambda s, z: s + z), 5)  # noqa: E731  half weights end in 5 at the fourth place
     return _sampled(spark, sf_dir).select("cell_seq", F.size("p1").cast("long").alias("n1"), F.size("p2").cast("long").alias("n2"), total("p1").alias("z1"), total("p2").alias("z2"))
 
 
