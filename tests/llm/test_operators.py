@@ -237,7 +237,7 @@ def test_near_duplicates_equal_all_pairs(spark, words, percent):
 def test_near_duplicates_in_chains_and_empty(spark):
     # A chain: only neighbours are alike, so a star around one document would lose it.
     words = [f"v{i}" for i in range(400)]
-    docs = [(i, " ".join(words[i * 8 : i * 8 + 100]), "x") for i in range(30)]
+    docs = [(i, " ".join(words[i * 7 : i * 7 + 100]), "x") for i in range(30)]
     got = near_duplicates.near_duplicates(frame(spark, docs), near_duplicates.Plan(3, 85)).collect()
     assert {r.component_id for r in got} == {0}
     assert near_duplicates.near_duplicates(frame(spark, []), near_duplicates.Plan(3, 85)).count() == 0
