@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 from . import common
 
 BITS = 12
-#: Rows of a side of a block of comparisons.
-TILE = 512
+#: Rows of a side of a block of comparisons; buckets up to the second size are compared many at once.
+TILE, SMALL = 512, 64
+#: Pairs that are confirmed together.
+PAIRS = 200
 
 
 @dataclass(frozen=True)
@@ -121,37 +123,100 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def _comparer(plan: Plan, first: bool):
-    """Compares a block of stragglers with a block of their bucket: the pairs of different components within the
-    distance; if ``first``, only the nearest pair of a straggler and another component."""
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
 
-    def compare(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+
+def _comparer(plan: Plan):
+    """Compares a block of stragglers with a block of their bucket: for each straggler the nearest member of each other
+    component within the distance."""
+
+    def compare(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, plan.hashes) for s in (left["sig"], right["sig2"]))
-            ky = chunk_keys(y, plan)
             n2, comp2, node2 = right["n2"].to_numpy(), right["comp2"].to_numpy(), right["node2"].to_numpy()
-            which = int(group[0]) >> BITS * (plan.shape[1] - 1)
             for i, (node, n, comp) in enumerate(zip(left["node"], left["n"], left["comp"])):
-                near = (comp2 != comp) & (100 * np.minimum(n, n2) >= plan.percent * np.maximum(n, n2))
-                at = np.flatnonzero(near)
+                at = np.flatnonzero((comp2 != comp) & (100 * np.minimum(n, n2) >= plan.percent * np.maximum(n, n2)))
                 d = (x[i] != y[at]).sum(axis=1)
                 at, d = at[d <= plan.distance], d[d <= plan.distance]
-                if not first and len(at):  # a pair that meets under several keys is taken at the first
-                    own = chunk_keys(x[i : i + 1], plan)[0]
-                    at = at[(own[None, :] == ky[at]).argmax(axis=1) == which]
-                    d = np.zeros(len(at))
-                elif first and len(at):  # the nearest of each other component
-                    order = np.lexsort((node2[at], d, comp2[at]))
-                    at, d = at[order], d[order]
-                    once = np.r_[True, comp2[at][1:] != comp2[at][:-1]]
-                    at, d = at[once], d[once]
-                out += zip([int(node)] * len(at), node2[at], [int(comp)] * len(at), comp2[at], d)
+                order = np.lexsort((node2[at], d, comp2[at]))
+                at, d = at[order], d[order]
+                once = np.r_[True, comp2[at][1:] != comp2[at][:-1]][: len(at)]
+                out += zip([int(node)] * int(once.sum()), node2[at[once]], [int(comp)] * int(once.sum()), comp2[at[once]], d[once])
         return pd.DataFrame(out, columns=["a", "b", "ca", "cb", "d"], dtype="int64")
 
     return compare
 
 
+def _searcher(plan: Plan):
+    """Looks for a link between each straggler and a component that it comes near, among all members sent; one is enough."""
+
+    def search(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        members = {c: g for c, g in right.groupby("cb2")}
+        for comp, stragglers in left.groupby("cb"):
+            if comp not in members:
+                continue
+            g = members[comp]
+            y = np.frombuffer(b"".join(g["sig2"]), np.uint16).reshape(-1, plan.hashes)
+            items = [np.frombuffer(v, np.uint64) for v in g["items2"]]
+            node2, n2 = g["node2"].to_numpy(), g["n2"].to_numpy()
+            for node, n, sig, own in zip(stragglers["a"], stragglers["n"], stragglers["sig"], stragglers["items"]):
+                d = (np.frombuffer(sig, np.uint16) != y).sum(axis=1)
+                at = np.flatnonzero((d <= plan.distance) & (100 * np.minimum(n, n2) >= plan.percent * np.maximum(n, n2)))
+                own = np.frombuffer(own, np.uint64)
+                for j in at[np.argsort(d[at], kind="stable")]:
+                    if similar(own, items[j], plan.percent):
+                        out.append((int(node), int(node2[j])))
+                        break
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return search
+
+
+def _small_comparer(plan: Plan):
+    """Compares small buckets, whose rows come sorted by key: all buckets of one size in one numpy step. Emits each pair
+    of different components within the distance at the first key under which it meets, the straggler first."""
+    names = ["a", "b", "ca", "cb", "d"]
+
+    def segments(key: np.ndarray, comp: np.ndarray, major: np.ndarray, node: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = np.flatnonzero(np.diff(key)) + 1
+        start = np.concatenate(([0], cut))
+        size = np.diff(np.concatenate((start, [len(key)])))
+        for s in np.unique(size[size > 1]):
+            i, j = np.triu_indices(s, 1)
+            first = start[size == s]
+            for part in np.array_split(first, max(1, len(first) * len(i) // 200_000)):
+                x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+                near = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= plan.percent * np.maximum(n[x], n[y]))
+                x, y = x[near], y[near]
+                d = (sig[x] != sig[y]).sum(axis=1)
+                x, y, d = x[d <= plan.distance], y[d <= plan.distance], d[d <= plan.distance]
+                if len(x):
+                    met = chunk_keys(sig[x], plan) == chunk_keys(sig[y], plan)
+                    once = met.argmax(axis=1) == key[x] >> BITS * (plan.shape[1] - 1)
+                    x, y, d = x[once], y[once], d[once]
+                turn = comp[x] == major[x]
+                x, y = np.where(turn, y, x), np.where(turn, x, y)
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (node[x], node[y], comp[x], comp[y], d)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(-1, plan.hashes)
+            now = [batch.column(c).to_numpy() for c in range(5)] + [sig]
+            now = now if held is None else [np.concatenate(v) for v in zip(held, now)]
+            last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # its bucket may go on
+            held = [v[last:] for v in now]
+            if last:
+                yield from segments(*[v[:last] for v in now])
+        if held is not None and len(held[0]):
+            yield from segments(*held)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of near-duplicate links: key, n_shingles, component_id, kept; one row a document.
 
@@ -189,8 +254,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *rest], ["key", *[c for c in part.schema.names if c != "sig"]])
 
     keyed = classes.select("node", "sig").mapInArrow(index, "key long, node long")
-    # The first tie of a bucket: a member that a hash of (node, key) picks, so different buckets pick different ones.
-    pick = F.xxhash64("node", "key")
+    # The first ties of a bucket: its first and last member in one of three orders, so a node meets several hubs, but
+    # not as many as it has keys.
+    pick = F.xxhash64("node", F.shiftright("key", BITS * (plan.shape[1] - 1)) % 3)
     hubs = keyed.groupBy("key").agg(F.min_by("node", pick).alias("hub"), F.max_by("node", pick).alias("hub2"), F.count("*").alias("size")).where("size > 1")
     ties = common.settle(keyed.join(hubs.select("key", "hub", "hub2"), "key").groupBy("node", "hub", "hub2").agg(F.count("*").alias("times")), "ties")
     active = ties.select("node").distinct()
@@ -209,8 +275,15 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
     sets = common.settle(sets, "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (tile, a, b) that are linked. A tile's nodes are sent to it once each."""
+        """Those of the pairs (hub, a, b) that are linked. Pairs are dealt to tiles by a hub; a hub with many is dealt to
+        several. A tile's nodes are sent to it once each."""
         pairs = common.settle(pairs, "pairs")
+        tiles = max(1, pairs.count() // PAIRS)
+        large = pairs.groupBy("hub").agg(F.count("*").alias("m")).where(F.col("m") > PAIRS)
+        blocks = large.select("hub", F.ceil(F.sqrt(F.col("m") / PAIRS)).cast("int").alias("w"))
+        block = lambda c: F.pmod(F.xxhash64(c), F.col("w"))
+        tile = F.when(F.col("w").isNull(), F.pmod(F.xxhash64("hub"), F.lit(tiles))).otherwise(F.xxhash64("hub", block("a"), block("b")))
+        pairs = pairs.join(blocks, "hub", "left").select(tile.alias("tile"), "a", "b")
         needed = pairs.select("tile", F.col("a").alias("node")).unionByName(pairs.select("tile", F.col("b").alias("node"))).distinct()
         needed = needed.join(sets, "node").select(F.col("tile").alias("of_tile"), "node", "items")
 
@@ -241,38 +314,53 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
     )
     # The three nearest ties of a node first; what they leave apart is compared in full below.
     nearest = measured.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("d", "hub"))).where("i <= 3")
-    tile = lambda *c: F.xxhash64(*c)
-    links = confirm(nearest.select(tile(F.col("hub"), F.col("node") % 16).alias("tile"), F.col("node").alias("a"), F.col("hub").alias("b")))
-
-    for first in (True, False):
-        comps = common.settle(components(sigs, links), "comps")
-        labelled = sigs.select("node", "n", "sig").join(comps, "node")
-        members = labelled.mapInArrow(index, "key long, node long, n long, comp long")
-        counts = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("size"), F.max("c").alias("most")).where("size > most")
-        mixed = common.settle(mixed.select("key", "major", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / TILE).cast("int").alias("rests")), "mixed")
-        if mixed.isEmpty():
-            break
-        inside = common.settle(members.select("key", "node").join(mixed, "key"), "inside")
-        inside = inside.join(labelled, "node")
-        spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
-        rest = inside.where("comp <> major").select(
-            "key", "node", "n", "comp", "sig", (spot % F.col("rests")).alias("rb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("bb")
-        )
-        every = inside.select(
-            F.col("key").alias("k2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"),
-            (spot % F.col("blocks")).alias("bb2"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rb2"),
-        )
-
-        met = rest.groupBy("key", "bb", "rb").cogroup(every.groupBy("k2", "bb2", "rb2")).applyInPandas(_comparer(plan, first), "a long, b long, ca long, cb long, d long")
-        if first:
-            met = met.withColumn("i", F.row_number().over(Window.partitionBy("a", "cb").orderBy("d", "b"))).where("i = 1")
-        met = common.settle(met.select("a", "b", "ca", "cb"), "met")
-        if met.isEmpty():
-            break
-        blocks = met.groupBy("cb").agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("a") / TILE)).cast("int").alias("na"), F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("b") / TILE)).cast("int").alias("nb"))
-        dealt = met.join(blocks, "cb").select(tile(F.col("cb"), F.pmod(F.xxhash64("a"), F.col("na")), F.pmod(F.xxhash64("b"), F.col("nb"))).alias("tile"), "a", "b")
-        links = links.unionByName(confirm(dealt))
+    nearest = common.settle(nearest.select("hub", F.col("node").alias("a"), F.col("hub").alias("b")), "nearest")
+    links = confirm(nearest)
+    tried = _unordered(nearest)
+
+    comps = common.settle(components(sigs, links), "comps")
+    labelled = sigs.select("node", "n", "sig").join(comps, "node")
+    members = labelled.mapInArrow(index, "key long, node long, n long, comp long")
+    counts = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("size"), F.max("c").alias("most")).where("size > most")
+    mixed = common.settle(mixed.select("key", "major", "size", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / TILE).cast("int").alias("rests")), "mixed")
+    inside = members.join(mixed.withColumn("small", F.col("size") <= SMALL), "key")
+    inside = common.settle(inside.select("key", "node", "major", "blocks", "rests", "small"), "inside").join(labelled, "node")
+    spread = max(8, mixed.count() // 50_000)
+    rows = inside.where("small").select("key", "comp", "major", "node", "n", "sig").repartition(spread, "key").sortWithinPartitions("key")
+    met = rows.mapInArrow(_small_comparer(plan), "a long, b long, ca long, cb long, d long")
+    wide = inside.where("NOT small")
+    spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
+    rest = wide.where("comp <> major").select(
+        "key", "node", "n", "comp", "sig", (spot % F.col("rests")).alias("rb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("bb")
+    )
+    every = wide.select(
+        F.col("key").alias("k2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"),
+        (spot % F.col("blocks")).alias("bb2"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rb2"),
+    )
+    met = met.unionByName(rest.groupBy("key", "bb", "rb").cogroup(every.groupBy("k2", "bb2", "rb2")).applyInPandas(_comparer(plan), "a long, b long, ca long, cb long, d long"))
+    # Each straggler with each component that it comes near, and the nearest member there.
+    met = met.withColumn("i", F.row_number().over(Window.partitionBy("a", "cb").orderBy("d", "b"))).where("i = 1")
+    met = common.settle(met.select("a", "b", "cb"), "met")
+    fresh = met.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(tried, ["lo", "hi"], "left_anti")
+    links = links.unionByName(confirm(fresh.select(F.col("cb").alias("hub"), "a", "b")))
+    # Where the nearest member did not link them, the straggler is held against all members, in tiles that emit links only.
+    later = common.settle(components(sigs, links), "later")
+    apart_yet = met.join(later.select(F.col("node").alias("a"), F.col("comp").alias("na")), "a").join(later.select(F.col("node").alias("cb"), F.col("comp").alias("nb")), "cb").where("na <> nb")
+    sizes = comps.groupBy(F.col("comp").alias("cb")).agg(F.count("*").alias("m")).where("m > 1")
+    asked = common.settle(apart_yet.select("a", "cb").join(sizes, "cb"), "asked")
+    if not asked.isEmpty():
+        blocks = asked.groupBy("cb").agg(F.ceil(F.count("*") / TILE).cast("int").alias("xs"), F.ceil(F.first("m") / TILE).cast("int").alias("ys"))
+        tiles = max(1, blocks.count() // 50)
+        side = lambda c, w: F.pmod(F.xxhash64(c), F.col(w))
+        tile = lambda x, y: F.when((F.col("xs") == 1) & (F.col("ys") == 1), F.pmod(F.xxhash64("cb"), F.lit(tiles))).otherwise(F.xxhash64("cb", x, y))
+        full = sigs.select("node", "n", "sig").join(sets, "node")
+        left = asked.select("a", "cb").join(blocks, "cb").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
+        left = left.select(tile(side("a", "xs").cast("int"), F.col("y")).alias("tile"), "cb", "a").join(full.withColumnRenamed("node", "a"), "a")
+        right = comps.withColumnRenamed("comp", "cb").join(blocks, "cb").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
+        right = right.select(tile(F.col("x"), side("node", "ys").cast("int")).alias("tile2"), F.col("cb").alias("cb2"), "node").join(full, "node")
+        right = right.select("tile2", "cb2", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("items").alias("items2"))
+        links = links.unionByName(common.settle(left.groupBy("tile").cogroup(right.groupBy("tile2")).applyInPandas(_searcher(plan), "a long, b long"), "found"))
 
     comps = components(classes, links)
     named = common.settle(classes.select("node", "mark", "head").join(comps, "node"), "named")
