@@ -17,8 +17,22 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Curves, projected dimensions, bits a dimension (their product under 63), rows a block.
+#: Curves, projected dimensions, bits a dimension (their product under 63), least rows a block.
 CURVES, DIMS, BITS, BLOCK = 24, 6, 10, 768
+#: A window on each side of a row of an order holds at least this part of the rows; blocks above the most rows a block are
+#: not made, more of them are compared instead. Pairs of rows scored at once in a task.
+PART, MOST_BLOCK, TILE = 64, 16_384, 4_000_000
+
+
+def window(n: int, least: int = BLOCK) -> tuple[int, int]:
+    """Rows a block, and blocks compared on each side of a row's own, for n distinct vectors.
+
+    A window of constant size loses neighbours as the table grows: vectors that fill their dimensions evenly stand, along
+    a curve, at distances from their neighbours that are a share of the table. So the window is a share of it too.
+    """
+    wanted = max(least, -(-n // PART))
+    block = min(wanted, max(least, MOST_BLOCK))
+    return block, -(-wanted // block)
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -123,6 +137,7 @@ def nearest(vectors: DataFrame, is_query: "F.Column | str", k: int = 5, key: str
                     )
 
     kinds = "c long, v binary, ids array<long>, q boolean"
+    block, reach = window(n, block)
     parts = max(1, min(20_000, n * curves // 50_000))
     ordered = classes.select("c", "v", "ids", "q").mapInArrow(place, f"dim int, curve int, place long, {kinds}").repartitionByRange(parts, "dim", "curve", "place", "c").sortWithinPartitions("dim", "curve", "place", "c")
 
@@ -145,7 +160,7 @@ def nearest(vectors: DataFrame, is_query: "F.Column | str", k: int = 5, key: str
         return numbered.select(F.col("c").alias("query_id"), F.lit(1).alias("rank"), F.col("c").alias("vec_id"), F.lit(0.0).alias("score"))
     starts = packed.sparkSession.createDataFrame(offsets, "part int, first long")
     blocks = numbered.join(F.broadcast(starts), "part").withColumn("block", F.floor((F.col("first") + F.col("at")) / block)).drop("part", "at", "first")
-    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
+    near = F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach))
     queries = blocks.where("q").select(near.alias("near"), F.col("c").alias("qc"), F.col("v").alias("qv"), F.col("dim").alias("qdim"))
 
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -159,12 +174,14 @@ def nearest(vectors: DataFrame, is_query: "F.Column | str", k: int = 5, key: str
             x, y = np.stack([np.frombuffer(v) for v in a["v"]]), np.stack([np.frombuffer(v) for v in b["v"]])
             xu, yu = (m / np.abs(m).max(axis=1, keepdims=True) for m in (x, y))
             xu, yu = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (xu, yu))
-            score = xu @ yu.T
-            score[ac[:, None] == bc[None, :]] = -9.0
-            depth = min(k, len(bc))
+            depth, tile = min(k, len(bc)), max(1, TILE // len(bc))
             for i in range(len(ac)):
-                least = np.partition(score[i], len(bc) - depth)[len(bc) - depth]
-                at = np.flatnonzero((score[i] >= least - 1e-9) & (score[i] > -5))
+                if i % tile == 0:
+                    score = xu[i : i + tile] @ yu.T
+                    score[ac[i : i + tile, None] == bc[None, :]] = -9.0
+                own = score[i % tile]
+                least = np.partition(own, len(bc) - depth)[len(bc) - depth]
+                at = np.flatnonzero((own >= least - 1e-9) & (own > -5))
                 exact = _cosine(np.broadcast_to(x[i], (len(at), x.shape[1])), y[at])
                 best = np.lexsort((bc[at], -exact))[:k]
                 out += zip([ac[i]] * len(best), bc[at[best]], exact[best], b["ids"].iloc[at[best]])

@@ -277,6 +277,39 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def recall_of_neighbours(spark, path, n, step, size=64, **options):
+    """Share of the true five neighbours found, for every step-th of n vectors in weak clusters."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(11)
+    m = (rng.standard_normal((n, size)) + rng.standard_normal((8, size))[rng.integers(0, 8, n)] / 3).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), size).cast(pa.list_(pa.float32()))}), path)
+    found = collections.defaultdict(set)
+    for r in neighbours.nearest(spark.read.parquet(str(path)), F.col("vec_id") % step == 0, **options).collect():
+        found[r.query_id].add(r.vec_id)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, step):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(found[q] & set(np.argpartition(-s, 5)[:5].tolist()))
+    return hits / 5 / len(range(0, n, step))
+
+
+def test_neighbours_keep_their_recall_on_a_large_table(spark, tmp_path):
+    assert recall_of_neighbours(spark, tmp_path / "v.parquet", 200_000, 1000) >= 0.9
+
+
+def test_neighbour_windows_follow_the_size(spark, tmp_path, monkeypatch):
+    for n in (1, 768, 51_282, 600_000, 10**7, 10**9):
+        block, reach = neighbours.window(n)
+        assert block <= neighbours.MOST_BLOCK and block * reach >= n / neighbours.PART
+    monkeypatch.setattr(neighbours, "MOST_BLOCK", 16)  # several blocks on each side
+    assert neighbours.window(4000, 8) == (16, 4)
+    assert recall_of_neighbours(spark, tmp_path / "v.parquet", 4000, 1, size=8, block=8) >= 0.9
+
+
 def test_hilbert_curve_is_continuous():
     side = 8
     cells = np.array([[i, j, k] for i in range(side) for j in range(side) for k in range(side)])
