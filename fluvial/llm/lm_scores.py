@@ -1,8 +1,9 @@
 """Language-model scores of whole documents, beside an add-half unigram base.
 
 The model is log-bilinear: the sum of a linear map of each context word's vector predicts the vector of the next word.
-It is trained in numpy with noise-contrastive estimation and normalised exactly, by batched matrix products, when it
-scores. Its outputs are the most frequent words, the end, and classes of rarer words by how they end; a word of a class
+It is trained in numpy with noise-contrastive estimation, first on a bounded sample, then from there by every task on all
+training rows it reads, and the tasks' parameters are averaged. It is normalised exactly, by batched matrix products, when
+it scores. Its outputs are the most frequent words, the end, and classes of rarer words by how they end; a word of a class
 has its add-half share of the class, so a text's probability is a product over its own tokens.
 
 Counts cover all training documents. Words up to a fixed number (the most frequent) are sent to all tasks; the rest is
@@ -12,7 +13,7 @@ joined by Spark, so the vocabulary has no bound.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +27,7 @@ from . import common
 HEAD_WORDS = 150_000
 #: Outputs: the end, single words, and classes of the rest. Context words, vector size, shared noise words a batch.
 OUTPUTS, SINGLES, CONTEXT, DIMS, NOISE = 256, 191, 3, 16, 64
-#: Bound of the training documents' sample (rows, characters) that the vectors are fitted on.
+#: Bound of the training documents' sample (rows, characters) that the pass over all training rows starts from.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 5_000_000
 END = 0
 CLASSES = OUTPUTS - 1 - SINGLES
@@ -72,60 +73,134 @@ def contexts(outputs: np.ndarray) -> np.ndarray:
     return np.stack([padded[CONTEXT - 1 - i : len(padded) - 1 - i] for i in range(CONTEXT)], axis=1)
 
 
-def fit(sequences: list[np.ndarray], counts: np.ndarray, passes: int = 3, rate: float = 0.08, batch: int = 512, seed: int = 5) -> Model:
+class Trainer:
+    """Noise-contrastive estimation by steps over batches; starts from the unigram distribution ``share``."""
+
+    def __init__(self, share: np.ndarray, seed: int, rate: float = 0.08) -> None:
+        self.share, self.rate = share, rate
+        self.rng = np.random.default_rng(seed)
+        words = self.rng.normal(0, 0.1, (OUTPUTS + 1, DIMS))
+        maps = np.stack([np.eye(DIMS) / (1 + i) for i in range(CONTEXT)])
+        self.params = [words, maps, self.rng.normal(0, 0.01, (OUTPUTS, DIMS)), np.log(share)]
+        self.grown = [np.full_like(p, 1e-6) for p in self.params]
+
+    def step(self, c: np.ndarray, t: np.ndarray) -> None:
+        words, maps, out, bias = self.params
+        noise_log, lanes = np.log(NOISE * self.share), np.arange(DIMS)
+        noise = self.rng.choice(OUTPUTS, NOISE, p=self.share)
+        mapped = [(words @ m.T).astype(np.float32) for m in maps]
+        predicted = sum(m[c[:, i]] for i, m in enumerate(mapped))
+        out_t, out_n = out[t].astype(np.float32), out[noise].astype(np.float32)
+        true = (predicted * out_t).sum(axis=1) + (bias - noise_log).astype(np.float32)[t]
+        false = predicted @ out_n.T + (bias - noise_log).astype(np.float32)[noise]
+        g_true = -1 / (1 + np.exp(np.clip(true, -30, 30))) / np.float32(len(t))
+        g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / np.float32(len(t))
+        g_pred = g_true[:, None] * out_t + g_false @ out_n
+
+        def gathered(at: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
+            return np.bincount((at[:, None] * DIMS + lanes).ravel(), g.ravel(), size * DIMS).reshape(size, DIMS)
+
+        g_out = gathered(t, g_true[:, None] * predicted, OUTPUTS) + gathered(noise, g_false.T @ predicted, OUTPUTS)
+        g_bias = np.bincount(t, g_true, OUTPUTS) + np.bincount(noise, g_false.sum(axis=0), OUTPUTS)
+        by_place = [gathered(c[:, i], g_pred, OUTPUTS + 1) for i in range(CONTEXT)]
+        g_maps = np.stack([g.T @ words for g in by_place])
+        g_words = sum(g @ m for g, m in zip(by_place, maps))
+        for p, g, h in zip(self.params, (g_words, g_maps, g_out, g_bias), self.grown):
+            h += g * g
+            p -= self.rate * g / np.sqrt(h)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.params])
+
+    def load(self, flat: np.ndarray) -> None:
+        a = 0
+        for p in self.params:
+            p[...] = flat[a : a + p.size].reshape(p.shape)
+            a += p.size
+
+    def model(self) -> Model:
+        words, maps, out, bias = self.params
+        return Model(bias.astype(np.float32), out.astype(np.float32), np.stack([words @ m.T for m in maps]).astype(np.float32))
+
+
+def fit(sequences: list[np.ndarray], counts: np.ndarray, passes: int = 3, rate: float = 0.08, batch: int = 512, seed: int = 5, more: Callable[[Trainer], None] | None = None) -> Model:
     """Noise-contrastive estimation from output sequences. ``counts``: of each output in all training tokens.
 
     Starts from the unigram distribution, and keeps it where the vectors do not help on a tenth of the sequences.
+    ``more`` trains on after the passes over the other nine tenths; its result too is kept only where it helps.
     """
     share = (counts + 0.5) / (counts + 0.5).sum()
     base = Model(np.log(share).astype(np.float32), np.zeros((OUTPUTS, DIMS), np.float32))
     held, learn = sequences[::10], [s for i, s in enumerate(sequences) if i % 10]
     if not learn or not held:
         return base
-    rng = np.random.default_rng(seed)
     context, target = np.concatenate([contexts(s) for s in learn]), np.concatenate(learn)
     check = np.concatenate([contexts(s) for s in held]), np.concatenate(held)
-    words = rng.normal(0, 0.1, (OUTPUTS + 1, DIMS))
-    maps = np.stack([np.eye(DIMS) / (1 + i) for i in range(CONTEXT)])
-    out, bias = rng.normal(0, 0.01, (OUTPUTS, DIMS)), np.log(share)
-    grown = [np.full_like(p, 1e-6) for p in (words, maps, out, bias)]
-    noise_log = np.log(NOISE * share)
-
-    def step(p: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
-        h += g * g
-        p -= rate * g / np.sqrt(h)
-
+    trainer = Trainer(share, seed, rate)
     best, best_score = base, base.log_probability(*check).mean()
-    for _ in range(passes):
-        order = rng.permutation(len(target))
-        for a in range(0, len(order), batch):
-            rows = order[a : a + batch]
-            c, t = context[rows], target[rows]
-            noise = rng.choice(OUTPUTS, NOISE, p=share)
-            predicted = sum(words[c[:, i]] @ maps[i].T for i in range(CONTEXT))
-            true = (predicted * out[t]).sum(axis=1) + bias[t] - noise_log[t]
-            false = predicted @ out[noise].T + bias[noise] - noise_log[noise]
-            g_true = -1 / (1 + np.exp(np.clip(true, -30, 30))) / len(rows)
-            g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / len(rows)
-            g_pred = g_true[:, None] * out[t] + g_false @ out[noise]
-            g_out, g_bias = np.zeros_like(out), np.zeros_like(bias)
-            np.add.at(g_out, t, g_true[:, None] * predicted)
-            np.add.at(g_out, noise, g_false.T @ predicted)
-            np.add.at(g_bias, t, g_true)
-            np.add.at(g_bias, noise, g_false.sum(axis=0))
-            g_words, g_maps = np.zeros_like(words), np.zeros_like(maps)
-            for i in range(CONTEXT):
-                g_maps[i] = g_pred.T @ words[c[:, i]]
-                np.add.at(g_words, c[:, i], g_pred @ maps[i])
-            for p, g, h in zip((words, maps, out, bias), (g_words, g_maps, g_out, g_bias), grown):
-                step(p, g, h)
-        made = Model(bias.astype(np.float32), out.astype(np.float32), np.stack([words @ m.T for m in maps]).astype(np.float32))
+    for last in [False] * passes + [True] * (more is not None):
+        if last:
+            more(trainer)
+        else:
+            order = trainer.rng.permutation(len(target))
+            for a in range(0, len(order), batch):
+                trainer.step(context[order[a : a + batch]], target[order[a : a + batch]])
+        made = trainer.model()
         score = made.log_probability(*check).mean()
         if score > best_score:
             best, best_score = made, score
     return best
 
 
+def outputs_of(text: str | None, output: dict[bytes, int]) -> np.ndarray:
+    """The outputs of a text's words, then the end. ``output``: of the words that need not be classed by their end."""
+    words = common.words_of(text)
+    return np.array([*[rare_class(w) if o is None else o for o, w in zip(map(output.get, words), words)], END])
+
+
+def learn_everywhere(texts: DataFrame, trainer: Trainer, output: dict[bytes, int], batch: int = 2048) -> None:
+    """Each task trains on from ``trainer`` over all rows it reads; the means, weighted by tokens, become the trainer's.
+
+    A task sends a row a parameter, summed by Spark before the shuffle, so the driver gets some 9,000 numbers from any
+    number of tasks. Rows are shuffled within what a task holds at once.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((trainer, output))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import copy
+
+        from pyspark import TaskContext
+
+        own, output = copy.deepcopy(sent.value[0]), sent.value[1]
+        own.rng = np.random.default_rng((7, TaskContext.get().partitionId()))
+        tokens, waiting = 0, []
+
+        def learn() -> None:
+            context, target = np.concatenate([contexts(s) for s in waiting]), np.concatenate(waiting)
+            order = own.rng.permutation(len(target))
+            for a in range(0, len(order), batch):
+                own.step(context[order[a : a + batch]], target[order[a : a + batch]])
+
+        held = 0
+        for rows in batches:
+            for t in rows.column(0).to_pylist():
+                waiting.append(outputs_of(t, output))
+                held += len(waiting[-1])
+                if held >= 200_000:
+                    learn()
+                    tokens, held, waiting = tokens + held, 0, []
+        if waiting:
+            learn()
+        tokens += held
+        if tokens:
+            flat = own.flat()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * tokens), pa.array(np.full(len(flat), float(tokens)))], ["at", "total", "weight"])
+
+    means = texts.mapInArrow(run, "at long, total double, weight double").groupBy("at").agg((F.sum("total") / F.sum("weight")).alias("p")).orderBy("at").collect()
+    if means:
+        trainer.load(np.round([r["p"] for r in means], 7))  # sums in another order give the same model
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word (binary), c: counts of all words of all rows. A task counts what it reads before it sends."""
 
@@ -203,12 +278,9 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     total[END] = n_docs
     place_of = {w: i for i, (w, _) in enumerate(head)}
 
-    def outputs(words: list[bytes]) -> np.ndarray:
-        at = [place_of.get(w, -1) for w in words]
-        return np.array([*[int(places[i]) if i >= 0 else rare_class(w) for i, w in zip(at, words)], END])
-
     taken = bounded_sample(training.where(F.length("text") > 0).select("id", "text", F.lit("all").alias("label")), SAMPLE_ROWS, SAMPLE_CHARS, "text", "label", "id")
-    model = fit([outputs(common.words_of(t)) for t, _ in taken], total.astype(np.float64))
+    output = {w: int(o) for (w, _), o in zip(head, places)}
+    model = fit([outputs_of(t, output) for t, _ in taken], total.astype(np.float64), more=lambda trainer: learn_everywhere(training.select("text"), trainer, output))
 
     numerator = np.log10(np.array([c for _, c in head], np.float64) + 0.5)
     inside = np.zeros(OUTPUTS)  # log10 of a class's denominator

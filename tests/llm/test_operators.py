@@ -402,6 +402,15 @@ def test_language_model_scores(spark):
             assert r.score < 0 and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
 
 
+def test_language_model_learns_from_rows_outside_its_sample(spark, monkeypatch):
+    monkeypatch.setattr(lm_scores, "SAMPLE_ROWS", 20)
+    r = random.Random(8)
+    starts = [r.randrange(100) for _ in range(6000)]
+    docs = frame(spark, [(i, " ".join(f"w{(a + 7 * j) % 100}" for j in range(12)), "x") for i, a in enumerate(starts)])  # a word tells the next
+    gain = [x.score - x.base_score for x in lm_scores.score_documents(docs, language_id.held_out(parts=5, part=1)).collect() if x.held_out]
+    assert sum(gain) / len(gain) > 7  # 2.5 with what 20 rows teach
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(2)
     sequences = [rng.integers(0, 8, 60) for _ in range(60)]
