@@ -162,7 +162,7 @@ def bounded_sample(labelled: DataFrame, rows: int, chars: int, text: str, label:
     Rows are taken by a threshold on a hash of key and text, set from counts over the whole table, so the sample does
     not depend on partitioning and its size does not grow with the table.
     """
-    stats = labelled.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).orderBy(F.desc("n"), label).limit(400).collect()
+    stats = labelled.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).orderBy(F.desc("n"), label).collect()
     if not stats:
         return []
     share_rows, share_chars = rows / len(stats), chars / len(stats)

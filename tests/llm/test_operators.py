@@ -157,6 +157,12 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(languages(spark).limit(0).unionByName(odd.where("lang IS NULL"))).collect()} == {"und"}
 
 
+def test_no_language_is_left_out_of_the_sample(spark):
+    rows = [(i, f"text {i}", f"l{i % 450}") for i in range(1800)]
+    taken = language_id.bounded_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4000, 10**6, "text", "lang", "doc_id")
+    assert {c for _, c in taken} == {f"l{i}" for i in range(450)}
+
+
 def brute_spans(t):
     luhn = personal_data.luhn
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
