@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 from fluvial.llm import common, language_id, near_duplicates, packing, personal_data
 from fluvial.plans.shipping import ship
 
-#: A document goes when no language is found, or the calibrated probability is no better than a guess between two.
+#: A document goes when no language is found, or the calibrated probability is less than this.
 LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; lang becomes the predicted one. Learned from the rows that have one."""
+    """Documents with a language; lang becomes the predicted one. Learned from the rows that have one.
+
+    Where no row teaches anything, documents that have a letter are kept as they are.
+    """
     ship(spark)
     model = language_id.train(docs.where(F.col("lang").isNotNull()))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     marked = language_id.predict_languages(docs, model)
     return marked.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).drop("lang_pred", "score")
 

@@ -32,3 +32,10 @@ def test_stages_take_effect(spark, folder):
     assert row.text.startswith("write to <EMAIL> about") and row.n_chars == len(row.text)
     packed = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in packed} == {*range(30), 202}
+
+
+def test_nothing_learned_keeps_documents_with_a_letter(spark):
+    rows = [(1, "a river", None, "s", 7), (2, "12 !", None, "s", 4), (3, None, None, "s", None), (4, "中文", None, "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 4}
