@@ -3,26 +3,25 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import lineage
+
 #: Bytes that separate words, and A-Z to a-z, for the word operators (fixed by their contracts).
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-    return context.getCheckpointDir().rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or one that the session has set.
+
+    Only a session in one process (local mode) gets a folder of its own where neither is there.
+    """
+    return lineage.shared_dir(spark)
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -58,16 +57,21 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
-#: log2 of the bits of a membership bitmap: 2 MB, whatever the data's size.
-BITMAP_BITS = 24
+#: log2 of the least and the most bits of a membership bitmap (the most: 64 MB), and bits a member.
+LEAST_BITS, MOST_BITS, BITS_EACH = 16, 29, 16
 
 
-def maybe_in(rows: DataFrame, key: Column, members: DataFrame, member: Column, bits: int = BITMAP_BITS) -> DataFrame:
+def maybe_in(rows: DataFrame, key: Column, members: DataFrame, member: Column, bits: int | None = None) -> DataFrame:
     """The rows whose key may be among ``members``; never loses one that is.
 
-    The members are folded to a bitmap of a fixed 2^bits bits (4 KB a row), which is all that is broadcast. More
-    members only mean more false positives, which the caller's exact join removes.
+    The members are folded to a bitmap of 16 bits each (or of 2^``bits`` in all), which is all that is broadcast. Where
+    that would be more than 2^29 bits, the digests of the members are joined instead, so nothing large is broadcast and
+    few rows pass in vain.
     """
+    bits = bits or max(LEAST_BITS, math.ceil(math.log2(BITS_EACH * max(1, members.count()))))
+    if bits > MOST_BITS:
+        known = members.select(F.xxhash64(member).alias("__known")).distinct()
+        return rows.withColumn("__known", F.xxhash64(key)).join(known, "__known", "left_semi").drop("__known")
     place = F.pmod(F.xxhash64(member), F.lit(1 << bits))
     folded = members.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bits")

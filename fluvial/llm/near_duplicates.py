@@ -16,15 +16,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
 BITS = 12
-#: Rows of a side of a block of comparisons; buckets up to the second size are compared many at once.
-TILE, SMALL = 512, 64
+#: Rows and shingles of a side of a block of comparisons; buckets up to the last size are compared many at once.
+TILE, ITEMS, SMALL = 4096, 4_000_000, 64
+#: Rounds of ties after the first, while one in ten of those that are tied is linked.
+MOST_ROUNDS = 6
 #: Pairs that are confirmed together.
 PAIRS = 200
 
@@ -106,113 +108,185 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, comp: the least node that edges (a, b) reach. Labels move along edges and then jump to their label's label,
-    so rounds grow with the logarithm of the longest path; each round is written, none is gathered."""
+def _reached(edges: DataFrame) -> DataFrame:
+    """node, comp for the nodes of edges (a, b): the least node that they reach. Labels move along edges and then jump to
+    their label's label, so rounds grow with the logarithm of the longest path; each round is written, none is gathered."""
     both = common.settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = common.settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("comp")), "labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("comp"))
+    labels = common.settle(labels, "labels")
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         moved = labels.join(seen, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        moved = common.settle(moved, "labels")
         up = moved.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         after = common.settle(moved.join(up, "comp").select("node", "old", F.col("up").alias("comp")), "labels")
         labels = after.select("node", "comp")
         if after.where("old <> comp").isEmpty():
-            break
-    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+            return labels
+
+
+def components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp: the least node of a component) after the links (a, b) between nodes; the links are brought
+    down to links between components first, and those inside one fall away."""
+    of = lambda c, to: comps.select(F.col("node").alias(c), F.col("comp").alias(to))
+    between = links.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    up = _reached(between).select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    return comps.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+
+
+def _mixed(members: DataFrame, order: Column) -> DataFrame:
+    """``members`` (key, node, n, comp) of buckets with several components, with what a bucket has: its largest component
+    (major) and that one's first member in ``order`` (hub); whether it is wide, and then its blocks of all members and
+    of those outside the major. Blocks hold TILE rows and ITEMS shingles on average."""
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min_by("node", order).alias("h"))
+    most = F.struct("c", "comp")
+    of = parts.groupBy("key").agg(F.max_by("comp", most).alias("major"), F.max_by("h", most).alias("hub"), F.sum("c").alias("size"), F.sum("w").alias("items"), F.max("c").alias("c"), F.max_by("w", most).alias("w"))
+    count = lambda rows, items: F.ceil(F.greatest(rows / TILE, items / ITEMS, F.lit(1))).cast("int")
+    of = of.where("size > c").select(
+        "key", "major", "hub", ((F.col("size") > SMALL) | (F.col("items") > ITEMS)).alias("wide"),
+        count(F.col("size"), F.col("items")).alias("blocks"), count(F.col("size") - F.col("c"), F.col("items") - F.col("w")).alias("rests"),
+    )
+    return members.join(of, "key")
 
 
-def _unordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+def _by_unit(rows: DataFrame) -> DataFrame:
+    return rows.repartition("unit").sortWithinPartitions("unit")
 
 
-def _comparer(plan: Plan):
-    """Compares a block of stragglers with a block of their bucket: for each straggler the nearest member of each other
-    component within the distance."""
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole units of rows that come sorted by their first column; a unit may run over batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        unit = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(unit)) + 1
+        if held and held[-1].column(0)[0].as_py() != unit[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(cuts):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(cuts[0]))])
+            if cuts[-1] > cuts[0]:
+                yield pa.Table.from_batches([batch.slice(int(cuts[0]), int(cuts[-1] - cuts[0]))])
+            held = []
+        held.append(batch.slice(int(cuts[-1]) if len(cuts) else 0))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def compare(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, plan.hashes) for s in (left["sig"], right["sig2"]))
-            n2, comp2, node2 = right["n2"].to_numpy(), right["comp2"].to_numpy(), right["node2"].to_numpy()
-            for i, (node, n, comp) in enumerate(zip(left["node"], left["n"], left["comp"])):
-                at = np.flatnonzero((comp2 != comp) & (100 * np.minimum(n, n2) >= plan.percent * np.maximum(n, n2)))
-                d = (x[i] != y[at]).sum(axis=1)
-                at, d = at[d <= plan.distance], d[d <= plan.distance]
-                order = np.lexsort((node2[at], d, comp2[at]))
-                at, d = at[order], d[order]
-                once = np.r_[True, comp2[at][1:] != comp2[at][:-1]][: len(at)]
-                out += zip([int(node)] * int(once.sum()), node2[at[once]], [int(comp)] * int(once.sum()), comp2[at[once]], d[once])
-        return pd.DataFrame(out, columns=["a", "b", "ca", "cb", "d"], dtype="int64")
-
-    return compare
-
-
-def _searcher(plan: Plan):
-    """Looks for a link between each straggler and a component that it comes near, among all members sent; one is enough."""
-
-    def search(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        members = {c: g for c, g in right.groupby("cb2")}
-        for comp, stragglers in left.groupby("cb"):
-            if comp not in members:
-                continue
-            g = members[comp]
-            y = np.frombuffer(b"".join(g["sig2"]), np.uint16).reshape(-1, plan.hashes)
-            items = [np.frombuffer(v, np.uint64) for v in g["items2"]]
-            node2, n2 = g["node2"].to_numpy(), g["n2"].to_numpy()
-            for node, n, sig, own in zip(stragglers["a"], stragglers["n"], stragglers["sig"], stragglers["items"]):
-                d = (np.frombuffer(sig, np.uint16) != y).sum(axis=1)
-                at = np.flatnonzero((d <= plan.distance) & (100 * np.minimum(n, n2) >= plan.percent * np.maximum(n, n2)))
-                own = np.frombuffer(own, np.uint64)
-                for j in at[np.argsort(d[at], kind="stable")]:
-                    if similar(own, items[j], plan.percent):
-                        out.append((int(node), int(node2[j])))
-                        break
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return search
-
-
-def _small_comparer(plan: Plan):
-    """Compares small buckets, whose rows come sorted by key: all buckets of one size in one numpy step. Emits each pair
-    of different components within the distance at the first key under which it meets, the straggler first."""
-    names = ["a", "b", "ca", "cb", "d"]
-
-    def segments(key: np.ndarray, comp: np.ndarray, major: np.ndarray, node: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cut = np.flatnonzero(np.diff(key)) + 1
-        start = np.concatenate(([0], cut))
-        size = np.diff(np.concatenate((start, [len(key)])))
-        for s in np.unique(size[size > 1]):
+
+def _signatures(column: pa.ChunkedArray, plan: Plan) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, plan.hashes)
+
+
+def _meet(x: np.ndarray, y: np.ndarray, place: np.ndarray, plan: Plan) -> np.ndarray:
+    """Where rows of keys x and y are equal at ``place`` and at none before it: a pair counts in its first bucket only."""
+    return (x == y).argmax(axis=1) == place
+
+
+def _finder(plan: Plan):
+    """Marks which rows of a bucket have anything to be compared with: a row (unit, node, left) for a member that has a
+    member of another component within the distance, under the first key that the two share. Never a row a pair.
+
+    Columns: unit, place (of the key among a signature's keys), node, n, comp, left, sig. Left rows are held against
+    the others of their unit; in a block of a wide bucket, against right rows only.
+    """
+    names = ["unit", "node", "left"]
+
+    def emit(unit: np.ndarray, node: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(unit), pa.array(node), pa.array(left)], names)
+
+    def close(n1, n2, c1, c2):
+        return (c1 != c2) & (100 * np.minimum(n1, n2) >= plan.percent * np.maximum(n1, n2))
+
+    def many(unit, place, node, n, comp, left, sig, start, size) -> Iterator[pa.RecordBatch]:
+        """All small units of one size in one step."""
+        for s in np.unique(size):
             i, j = np.triu_indices(s, 1)
             first = start[size == s]
             for part in np.array_split(first, max(1, len(first) * len(i) // 200_000)):
                 x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                near = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= plan.percent * np.maximum(n[x], n[y]))
+                near = close(n[x], n[y], comp[x], comp[y])
+                x, y = x[near], y[near]
+                near = (sig[x] != sig[y]).sum(axis=1) <= plan.distance
                 x, y = x[near], y[near]
-                d = (sig[x] != sig[y]).sum(axis=1)
-                x, y, d = x[d <= plan.distance], y[d <= plan.distance], d[d <= plan.distance]
                 if len(x):
-                    met = chunk_keys(sig[x], plan) == chunk_keys(sig[y], plan)
-                    once = met.argmax(axis=1) == key[x] >> BITS * (plan.shape[1] - 1)
-                    x, y, d = x[once], y[once], d[once]
-                turn = comp[x] == major[x]
-                x, y = np.where(turn, y, x), np.where(turn, x, y)
-                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (node[x], node[y], comp[x], comp[y], d)], names)
+                    near = _meet(chunk_keys(sig[x], plan), chunk_keys(sig[y], plan), place[x], plan)
+                    at = np.unique(np.concatenate((x[near], y[near])))
+                    yield emit(unit[at], node[at], left[at])
+
+    def one(unit, place, node, n, comp, left, sig) -> Iterator[pa.RecordBatch]:
+        """A block of a wide bucket: its left rows against its right rows."""
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        keys, other = chunk_keys(sig[x], plan), chunk_keys(sig[y], plan)
+        met, taken = np.zeros(len(y), bool), np.zeros(len(x), bool)
+        for i, own in enumerate(x):
+            at = np.flatnonzero(close(n[own], n[y], comp[own], comp[y]))
+            at = at[(sig[own] != sig[y[at]]).sum(axis=1) <= plan.distance]
+            at = at[_meet(keys[i], other[at], place[own], plan)]
+            met[at] = True
+            taken[i] = len(at) > 0
+        at = np.concatenate((x[taken], y[met]))
+        if len(at):
+            yield emit(unit[at], node[at], left[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(-1, plan.hashes)
-            now = [batch.column(c).to_numpy() for c in range(5)] + [sig]
-            now = now if held is None else [np.concatenate(v) for v in zip(held, now)]
-            last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # its bucket may go on
-            held = [v[last:] for v in now]
-            if last:
-                yield from segments(*[v[:last] for v in now])
-        if held is not None and len(held[0]):
-            yield from segments(*held)
+        for table in _units(batches):
+            unit, place, node, n, comp, left, wide = (table.column(c).to_numpy() for c in ("unit", "place", "node", "n", "comp", "left", "wide"))
+            sig = _signatures(table.column("sig"), plan)
+            start = np.concatenate(([0], np.flatnonzero(np.diff(unit)) + 1))
+            size = np.diff(np.concatenate((start, [len(unit)])))
+            small = ~wide[start].astype(bool)
+            yield from many(unit, place, node, n, comp, left, sig, start[small & (size > 1)], size[small & (size > 1)])
+            for a, m in zip(start[~small], size[~small]):
+                yield from one(*(v[a : a + m] for v in (unit, place, node, n, comp, left.astype(bool), sig)))
+
+    return run
+
+
+def _linker(plan: Plan):
+    """Confirms on full sets what a unit's marked rows have in common, and joins their components as it goes: at most a
+    link less than it has rows leaves a unit, whatever the number of its pairs.
+
+    Columns: unit, node, comp, left, items. Shares of all others are counted at once, through a list of the rows that
+    hold an item.
+    """
+
+    def links(node: np.ndarray, comp: np.ndarray, left: np.ndarray, items: list[np.ndarray]) -> list[tuple[int, int]]:
+        sizes = np.array([len(v) for v in items])
+        flat, row = np.concatenate(items), np.repeat(np.arange(len(items)), sizes)
+        _, item = np.unique(flat, return_inverse=True)
+        order = np.argsort(item, kind="stable")
+        holders, first = row[order], np.concatenate(([0], np.cumsum(np.bincount(item))))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        _, own = np.unique(comp, return_inverse=True)
+        out = []
+        for i in np.flatnonzero(left):
+            if (own == own[i]).all():
+                break
+            mine = item[ends[i] : ends[i + 1]]
+            start, count = first[mine], first[mine + 1] - first[mine]
+            total = int(count.sum())
+            at = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total)
+            both = np.bincount(holders[at], minlength=len(items))
+            linked = np.flatnonzero((100 * both >= plan.percent * (sizes[i] + sizes - both)) & (own != own[i]))
+            for c in np.unique(own[linked]):  # one link a component is enough
+                j = linked[own[linked] == c][0]
+                out.append((int(node[i]), int(node[j])))
+                own[own == c] = own[i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _units(batches):
+            unit, node, comp, left = (table.column(c).to_numpy() for c in ("unit", "node", "comp", "left"))
+            found = []
+            start = np.concatenate(([0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]))
+            items = table.column("items")
+            for a, b in zip(start[:-1], start[1:]):
+                if b - a > 1:
+                    sets = [np.frombuffer(v, np.uint64) for v in items.slice(a, b - a).to_pylist()]
+                    found += links(node[a:b], comp[a:b], left[a:b].astype(bool), sets)
+            if found:
+                pairs = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
@@ -304,69 +378,64 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
         x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(a), plan.hashes) for s in (a, b))
         return pd.Series((x != y).sum(axis=1).astype(np.int32))
 
+    def nearest_hubs(both: DataFrame) -> DataFrame:
+        """Of the pairs (node, hub) the three nearest of a node within the distance, as (hub, a, b)."""
+        measured = (
+            both.join(sigs.select("node", "n", "sig"), "node")
+            .join(sigs.select(F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("sig").alias("hsig")), "hub")
+            .where(near_share)
+            .select("node", "hub", apart("sig", "hsig").alias("d"))
+            .where(F.col("d") <= plan.distance)
+        )
+        first = measured.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("d", "hub"))).where("i <= 3")
+        return common.settle(first.select("hub", F.col("node").alias("a"), F.col("hub").alias("b")), "nearest")
+
     both = ties.select("node", F.explode(F.array_distinct(F.array("hub", "hub2"))).alias("hub")).where("node <> hub").distinct()
-    measured = (
-        both.join(sigs.select("node", "n", "sig"), "node")
-        .join(sigs.select(F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("sig").alias("hsig")), "hub")
-        .where(near_share)
-        .select("node", "hub", apart("sig", "hsig").alias("d"))
-        .where(F.col("d") <= plan.distance)
-    )
-    # The three nearest ties of a node first; what they leave apart is compared in full below.
-    nearest = measured.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("d", "hub"))).where("i <= 3")
-    nearest = common.settle(nearest.select("hub", F.col("node").alias("a"), F.col("hub").alias("b")), "nearest")
+    nearest = nearest_hubs(both)
     links = confirm(nearest)
-    tried = _unordered(nearest)
-
-    comps = common.settle(components(sigs, links), "comps")
-    labelled = sigs.select("node", "n", "sig").join(comps, "node")
-    members = labelled.mapInArrow(index, "key long, node long, n long, comp long")
-    counts = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("size"), F.max("c").alias("most")).where("size > most")
-    mixed = common.settle(mixed.select("key", "major", "size", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / TILE).cast("int").alias("rests")), "mixed")
-    inside = members.join(mixed.withColumn("small", F.col("size") <= SMALL), "key")
-    inside = common.settle(inside.select("key", "node", "major", "blocks", "rests", "small"), "inside").join(labelled, "node")
-    spread = max(8, mixed.count() // 50_000)
-    rows = inside.where("small").select("key", "comp", "major", "node", "n", "sig").repartition(spread, "key").sortWithinPartitions("key")
-    met = rows.mapInArrow(_small_comparer(plan), "a long, b long, ca long, cb long, d long")
-    wide = inside.where("NOT small")
-    spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
-    rest = wide.where("comp <> major").select(
-        "key", "node", "n", "comp", "sig", (spot % F.col("rests")).alias("rb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("bb")
-    )
-    every = wide.select(
-        F.col("key").alias("k2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"),
-        (spot % F.col("blocks")).alias("bb2"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rb2"),
-    )
-    met = met.unionByName(rest.groupBy("key", "bb", "rb").cogroup(every.groupBy("k2", "bb2", "rb2")).applyInPandas(_comparer(plan), "a long, b long, ca long, cb long, d long"))
-    # Each straggler with each component that it comes near, and the nearest member there.
-    met = met.withColumn("i", F.row_number().over(Window.partitionBy("a", "cb").orderBy("d", "b"))).where("i = 1")
-    met = common.settle(met.select("a", "b", "cb"), "met")
-    fresh = met.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(tried, ["lo", "hi"], "left_anti")
-    links = links.unionByName(confirm(fresh.select(F.col("cb").alias("hub"), "a", "b")))
-    # Where the nearest member did not link them, the straggler is held against all members, in tiles that emit links only.
-    later = common.settle(components(sigs, links), "later")
-    apart_yet = met.join(later.select(F.col("node").alias("a"), F.col("comp").alias("na")), "a").join(later.select(F.col("node").alias("cb"), F.col("comp").alias("nb")), "cb").where("na <> nb")
-    sizes = comps.groupBy(F.col("comp").alias("cb")).agg(F.count("*").alias("m")).where("m > 1")
-    asked = common.settle(apart_yet.select("a", "cb").join(sizes, "cb"), "asked")
-    if not asked.isEmpty():
-        blocks = asked.groupBy("cb").agg(F.ceil(F.count("*") / TILE).cast("int").alias("xs"), F.ceil(F.first("m") / TILE).cast("int").alias("ys"))
-        tiles = max(1, blocks.count() // 50)
-        side = lambda c, w: F.pmod(F.xxhash64(c), F.col(w))
-        tile = lambda x, y: F.when((F.col("xs") == 1) & (F.col("ys") == 1), F.pmod(F.xxhash64("cb"), F.lit(tiles))).otherwise(F.xxhash64("cb", x, y))
-        full = sigs.select("node", "n", "sig").join(sets, "node")
-        left = asked.select("a", "cb").join(blocks, "cb").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
-        left = left.select(tile(side("a", "xs").cast("int"), F.col("y")).alias("tile"), "cb", "a").join(full.withColumnRenamed("node", "a"), "a")
-        right = comps.withColumnRenamed("comp", "cb").join(blocks, "cb").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
-        right = right.select(tile(F.col("x"), side("node", "ys").cast("int")).alias("tile2"), F.col("cb").alias("cb2"), "node").join(full, "node")
-        right = right.select("tile2", "cb2", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("items").alias("items2"))
-        links = links.unionByName(common.settle(left.groupBy("tile").cogroup(right.groupBy("tile2")).applyInPandas(_searcher(plan), "a long, b long"), "found"))
-
-    comps = components(classes, links)
-    named = common.settle(classes.select("node", "mark", "head").join(comps, "node"), "named")
+
+    # Buckets that hold several components are tied again, each time by another member of their largest one: what is
+    # linked with a good part of a group joins it within a few rounds, a tie a member and key.
+    alone = lambda rows: rows.select("node", F.col("node").alias("comp"))
+    comps = common.settle(components(alone(sigs), links), "comps")
+    inside = sigs.select("node", "sig").mapInArrow(index, "key long, node long")
+    spot = lambda salt: F.xxhash64("node", F.lit(salt))
+    for salt in range(MOST_ROUNDS + 1):
+        inside = _mixed(inside.select("key", "node").join(sigs.select("node", "n").join(comps, "node"), "node"), spot(salt))
+        inside = common.settle(inside, "inside")
+        if salt == MOST_ROUNDS:
+            break
+        near = nearest_hubs(inside.where("comp <> major").select("node", "hub").distinct())
+        more = confirm(near)
+        comps = common.settle(components(comps, more), "comps")
+        apart_yet, gained = near.select("a").distinct().count(), more.count()
+        if gained * 10 < apart_yet or gained == 0:
+            inside = common.settle(_mixed(inside.select("key", "node").join(sigs.select("node", "n").join(comps, "node"), "node"), spot(salt)), "inside")
+            break
+
+    # What is apart still is compared in full, in its buckets. First by signatures, to see which rows have to meet.
+    place = F.shiftright("key", BITS * (plan.shape[1] - 1)).cast("int").alias("place")
+    inside = inside.join(sigs.select("node", "sig"), "node")
+    rows = inside.where("NOT wide").select(F.xxhash64("key").alias("unit"), place, "node", "n", "comp", (F.col("comp") != F.col("major")).alias("left"), "wide", "sig")
+    at = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
+    blocks = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    wide = inside.where("wide")
+    first = wide.where("comp <> major").withColumns({"x": at % F.col("rests"), "left": F.lit(True)}).withColumn("y", blocks("blocks"))
+    second = wide.withColumns({"y": at % F.col("blocks"), "left": F.lit(False)}).withColumn("x", blocks("rests"))
+    for side in (first, second):
+        rows = rows.unionByName(side.select(F.xxhash64("key", "x", "y").alias("unit"), place, "node", "n", "comp", "left", "wide", "sig"))
+    marked = _by_unit(rows).mapInArrow(_finder(plan), "unit long, node long, left boolean")
+    marked = common.settle(marked, "marked")
+    full = _by_unit(marked.join(comps, "node").join(sets, "node").select("unit", "node", "comp", "left", "items"))
+    comps = components(comps, common.settle(full.mapInArrow(_linker(plan), "a long, b long"), "found"))
+
+    named = classes.select("node", "mark", "head").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = common.settle(named, "named")
     least = named.groupBy("comp").agg(F.min("head").alias("component_id"))
-    result = signed.select("id", "n", "mark").join(named.select("mark", "comp").join(least, "comp").select("mark", "component_id"), "mark", "left")
-    component = F.when(F.col("mark").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    # Texts without words have no class to look up; they take no part in the join.
+    found = signed.where("mark IS NOT NULL").select("id", "n", "mark").join(named.join(least, "comp").select("mark", "component_id"), "mark")
+    result = found.select("id", "n", "component_id").unionByName(signed.where("mark IS NULL").select("id", "n", F.col("id").alias("component_id")))
+    component = F.col("component_id")
     return result.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 

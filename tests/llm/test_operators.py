@@ -217,10 +217,8 @@ def near_corpus():
     return docs
 
 
-@pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
-def test_near_duplicates_equal_all_pairs(spark, words, percent):
-    docs = near_corpus()
-    rows = [(i * 5 % 997, t, "x") for i, t in enumerate(docs)] + [(10_000, docs[0], "x"), (10_000, docs[0], "x")]
+def components_of(rows, words, percent):
+    """key, set size, least key of the component, kept: over all pairs."""
     sets = []
     for _, t, _ in rows:
         w = words_of(t)
@@ -234,9 +232,35 @@ def test_near_duplicates_equal_all_pairs(spark, words, percent):
     least = {}
     for (k, _, _), c in zip(rows, comp):
         least[c] = min(least.get(c, k), k)
-    want = sorted((k, len(s), least[c], k == least[c]) for (k, _, _), s, c in zip(rows, sets, comp))
+    return sorted((k, len(s), least[c], k == least[c]) for (k, _, _), s, c in zip(rows, sets, comp))
+
+
+@pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
+def test_near_duplicates_equal_all_pairs(spark, words, percent):
+    docs = near_corpus()
+    rows = [(i * 5 % 997, t, "x") for i, t in enumerate(docs)] + [(10_000, docs[0], "x"), (10_000, docs[0], "x")]
     plan = near_duplicates.Plan(words=words, percent=percent)
     got = sorted(map(tuple, near_duplicates.near_duplicates(frame(spark, rows), plan).collect()))
+    assert got == components_of(rows, words, percent)
+
+
+@pytest.mark.parametrize("small,tile,rounds", [(64, 4096, 6), (8, 32, 6), (8, 32, 0)])
+def test_near_duplicates_in_one_large_group(spark, monkeypatch, small, tile, rounds):
+    # Most pairs meet in some bucket and are not linked, so buckets stay mixed: blocks of wide buckets come to use.
+    r = random.Random(2)
+    base = [f"b{i}" for i in range(90)]
+    docs = []
+    for _ in range(160):
+        copy = list(base)
+        for _ in range(r.randrange(1, 7)):
+            copy[r.randrange(len(copy))] = f"n{r.randrange(10**6)}"
+        docs.append(" ".join(copy))
+    rows = [(i, t, "x") for i, t in enumerate(docs)]
+    for name, value in (("SMALL", small), ("TILE", tile), ("MOST_ROUNDS", rounds)):
+        monkeypatch.setattr(near_duplicates, name, value)
+    got = sorted(map(tuple, near_duplicates.near_duplicates(frame(spark, rows), near_duplicates.Plan(3, 85)).collect()))
+    want = components_of(rows, 3, 85)
+    assert 5 < len({x[2] for x in want}) < 155
     assert got == want
 
 
