@@ -1,293 +1,398 @@
-"""Bathymetry: banks of a section, depth of a trapezoid that carries the baseflow, and the profile with it burnt in."""
+"""Bathymetry: banks of a section, depth of a trapezoid that carries the baseflow, and the profile with it burnt in.
+
+A batch of sections is two padded matrices (sections x ordinates), one a side. Banks, depths and the burnt bed are found
+for all sections of a batch at once: a stepped search for a depth is a bisection on step numbers, a search over stages
+is one lookup in the running maxima of the profiles, and the bed is one piecewise formula over the ordinates.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Roughness of the assumed channel; depth at which a method has failed; rise that ends flat water.
+#: Roughness of the assumed channel; depth at which a method has failed; rise that ends flat water (fixed values).
 CHANNEL_N, TOO_DEEP, FLAT_RISE = 0.03, 25.0, 0.1
-DEPTH_STEPS = (1.0, 0.5, 0.1, 0.01)
+#: Steps of the depth of a trapezoid, of a triangle, and of the stage of the width over depth (fixed values).
+DEPTH_STEPS, TRIANGLE_STEP, STAGE_STEP = (1.0, 0.5, 0.1, 0.01), 0.1, 0.01
+#: What sums in another order may differ by: a rise that is less by no more is not less.
+LAST_BITS = 1e-9
+#: Ordinates of a batch's two matrices together, and stages that are looked up at once.
+BATCH_VALUES, STAGES = 2_000_000, 64
+
+
+def _least_step(reaches: Callable[[np.ndarray], np.ndarray], rows: int, most: int) -> np.ndarray:
+    """The least number of steps from 1 on that reaches the target, row by row; ``most`` where none before it does.
+
+    ``reaches`` must not turn false again as steps grow.
+    """
+    low, high = np.zeros(rows, int), np.full(rows, most)
+    while (high - low > 1).any():
+        middle = (low + high) // 2
+        there = reaches(middle) & (middle > low)
+        low, high = np.where(there, low, middle), np.where(there, middle, high)
+    return high
+
+
+def _manning(area: np.ndarray, perimeter: np.ndarray, slope: np.ndarray, n: float) -> np.ndarray:
+    return area * (area / perimeter) ** (2 / 3) * np.sqrt(slope) / n
+
 
+def trapezoid_depth(flow, base, top, slope, n: float = CHANNEL_N) -> np.ndarray:
+    """Depth of a trapezoid in steps of 1, 0.5, 0.1 and 0.01 that carries no more than the flow (arrays or numbers).
 
-def trapezoid_depth(flow: float, base: float, top: float, slope: float, n: float = CHANNEL_N) -> float:
-    """Greatest depth in steps that carries no more than the flow: coarse steps first, one fine step under."""
-    start = depth = 0.0
-    step = DEPTH_STEPS[0]
-    shoulder = (top - base) / 2
+    Each step size goes on from the last depth that carries no more; 25 m of steps of a size at most.
+    """
+    shape = np.broadcast_shapes(*map(np.shape, (flow, base, top, slope)))
+    flow, base, top, slope = (np.broadcast_to(np.asarray(v, float), shape).ravel() for v in (flow, base, top, slope))
+    depth = np.zeros(flow.shape)
     for step in DEPTH_STEPS:
-        carried, depth = 0.0, start
-        while carried <= flow and depth < start + TOO_DEEP:
-            depth += step
-            area = depth * (base + top) / 2
-            carried = area * (area / (base + 2 * np.hypot(shoulder, depth))) ** (2 / 3) * slope**0.5 / n
-        start = depth - step
-    return depth - step
-
-
-def triangle_depth(flow: float, dz: float, centre: float, left: float, right: float, slope: float, n: float = CHANNEL_N) -> float:
-    """Depth of a one-cell channel in steps of 0.1 that first carries more than the flow."""
-    if flow <= 0:
-        return 0.0
-    rises = max(left - centre, 0.0), max(right - centre, 0.0)
-    depth = carried = 0.0
-    while carried <= flow and depth < TOO_DEEP:
-        depth += 0.1
-        widths = [dz - dz * (r / (r + depth)) for r in rises]
-        area = sum(0.5 * depth * w for w in widths)
-        carried = area * (area / sum(np.hypot(w, depth) for w in widths)) ** (2 / 3) * slope**0.5 / n
-    return depth
-
-
-def smoothed(profile: np.ndarray, window: int = 11, order: int = 3) -> np.ndarray:
-    """Savitzky-Golay smoothing; the ends are values of the polynomial of the first and the last window."""
-    n = len(profile)
+
+        def more(k: np.ndarray) -> np.ndarray:
+            d = depth + k * step
+            return ~(_manning(d * (base + top) / 2, base + 2 * np.hypot((top - base) / 2, d), slope, n) <= flow)
+
+        depth = depth + step * (_least_step(more, len(flow), round(TOO_DEEP / step)) - 1)
+    return depth.reshape(shape)
+
+
+def triangle_depth(flow, dz, centre, left, right, slope, n: float = CHANNEL_N) -> np.ndarray:
+    """Depth of a one-cell channel in steps of 0.1 that first carries more than the flow; 0 without a flow, 25 at most.
+
+    A neighbour that is missing (infinitely high) is a wall.
+    """
+    shape = np.broadcast_shapes(*map(np.shape, (flow, dz, centre, left, right, slope)))
+    flow, dz, centre, left, right, slope = (np.broadcast_to(np.asarray(v, float), shape).ravel() for v in (flow, dz, centre, left, right, slope))
+    rises = [np.maximum(side - centre, 0.0) for side in (left, right)]
+
+    def more(k: np.ndarray) -> np.ndarray:
+        d = np.maximum(k, 1) * TRIANGLE_STEP
+        widths = [dz * d / (rise + d) for rise in rises]
+        return _manning(sum(widths) * d / 2, sum(np.hypot(w, d) for w in widths), slope, n) > flow
+
+    steps = _least_step(more, len(flow), round(TOO_DEEP / TRIANGLE_STEP))
+    return np.where(flow > 0, steps * TRIANGLE_STEP, 0.0).reshape(shape)
+
+
+def smoothed(profiles: np.ndarray, window: int = 11, order: int = 3) -> np.ndarray:
+    """Savitzky-Golay smoothing of profiles (the last axis) of one length; the ends are values of the polynomial of the
+    first and the last window. Short profiles get a window of their own length and a lower order."""
+    n = profiles.shape[-1]
     window = min(window, n)
-    order = min(order, window - 1)
     if window < 1:
-        return profile.copy()
-    left = (window - 1) // 2
-    x = np.arange(window) - left
-    powers = np.vander(x, order + 1, increasing=True).astype(float)
-    fit = powers @ np.linalg.pinv(powers)  # row i: value of the fit at place i
-    out = np.empty(n)
+        return profiles.copy()
+    order, left = min(order, window - 1), (window - 1) // 2
+    powers = np.vander(np.arange(window) - left, order + 1, increasing=True).astype(float)
+    solve = np.linalg.pinv(powers)
+    ends = profiles[..., :window] @ (powers @ solve).T, profiles[..., n - window :] @ (powers @ solve).T
     if window % 2:
-        for i in range(left, n - left):
-            out[i] = fit[left] @ profile[i - left : i + left + 1]
-        out[:left] = fit[:left] @ profile[:window]
-        out[n - left :] = fit[window - left :] @ profile[n - window :] if left else out[n - left :]
-    else:  # an even window is the whole profile: its middle lies between two ordinates
-        middle = np.array([(0.5) ** k for k in range(order + 1)]) @ np.linalg.pinv(powers)
-        padded = np.concatenate((np.full(window // 2, profile[0]), profile, np.full(window // 2, profile[-1])))
-        out[:] = [middle @ padded[i : i + window] for i in range(n)]
-        half = window // 2
-        out[:half], out[n - half :] = fit[:half] @ profile[:window], fit[window - half :] @ profile[n - window :]
-    return out
+        middle, first = solve[0], left
+        inner = np.lib.stride_tricks.sliding_window_view(profiles, window, axis=-1) @ middle
+        return np.concatenate((ends[0][..., :left], inner, ends[1][..., window - left :]), axis=-1)
+    return np.concatenate((ends[0][..., : window // 2], ends[1][..., window - (n - window // 2) :]), axis=-1)  # the window is the profile
+
+
+def _first(found: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """Place of the first true value of each row."""
+    return np.where(found.any(axis=1), found.argmax(axis=1) if found.shape[1] else 0, otherwise)
 
 
 @dataclass
-class Section:
-    """A section that bathymetry rewrites. Sides: elevations, land cover, (row, col); spacing; what was burnt."""
+class Channels:
+    """Sections of a batch. Sides: elevations (infinite beyond the end), land cover, number of ordinates; spacing."""
 
-    profile: list[np.ndarray]
-    cover: list[np.ndarray]
-    dz: float
+    z: tuple[np.ndarray, np.ndarray]
+    cover: tuple[np.ndarray, np.ndarray]
+    count: tuple[np.ndarray, np.ndarray]
+    dz: np.ndarray
     water: int = 80
 
     @property
-    def floor(self) -> float:
-        return float(self.profile[0][0])
-
-    def flat_bank(self, side: int, water_level: bool) -> int:
-        p = self.profile[side]
-        up = np.flatnonzero(p[1:] >= self.floor + FLAT_RISE)
-        return len(p) if not len(up) else int(up[0]) + 1 - water_level
-
-    def cover_bank(self, side: int) -> int | None:
-        other = np.flatnonzero(self.cover[side][1:] != self.water)
-        return int(other[0]) + 1 if len(other) else None
-
-    def width(self, side: int, wse: float) -> float:
-        d = wse - self.profile[side]
-        if not len(d) or d[0] <= 1e-16:
-            return 0.0
-        dry = np.flatnonzero(d[1:] <= 0)
-        if not len(dry):
-            return self.dz * (len(d) - 1)
-        k = int(dry[0]) + 1
-        return self.dz * (k - 1) + self.dz * d[k - 1] / (abs(d[k - 1]) + abs(d[k]))
-
-    def ratio_banks(self) -> tuple[int, int]:
-        """Banks at the last stage before width over depth grows; the centre if that is not found within 25 m."""
-        depth, ratio, before = 0.0, np.inf, (0.0, 0.0)
-        widths = (0.0, 0.0)
-        new = 0.0
-        while new <= ratio and depth <= TOO_DEEP:
-            depth += 0.01
-            widths = self.width(0, self.floor + depth), self.width(1, self.floor + depth)
-            new = sum(widths) / depth
-            if new > ratio:
-                depth -= 0.01
-                widths = before
+    def floor(self) -> np.ndarray:
+        return np.where(self.count[0] > 0, self.z[0][:, 0], self.z[1][:, 0])
+
+    def pick(self, rows: np.ndarray) -> "Channels":
+        return replace(self, z=tuple(z[rows] for z in self.z), cover=tuple(c[rows] for c in self.cover), count=tuple(n[rows] for n in self.count), dz=self.dz[rows])
+
+    def at(self, side: int, i: np.ndarray) -> np.ndarray:
+        """Elevations of one ordinate a section; infinite outside a side."""
+        z = self.z[side]
+        inside = (i >= 0) & (i < self.count[side])
+        return np.where(inside, z[np.arange(len(z)), np.where(inside, i, 0)], np.inf)
+
+    def flat_banks(self, water_level: bool) -> np.ndarray:
+        """(sections, 2): the first ordinate 0.1 above the centre, or, for the water's level, the one before it; the
+        side's length without one."""
+        found = []
+        for z, n in zip(self.z, self.count):
+            up = (z[:, 1:] >= self.floor[:, None] + FLAT_RISE) & np.isfinite(z[:, 1:])
+            first = _first(up, np.full(len(n), -1))
+            found.append(np.where(first < 0, n, first + 1 - water_level))
+        return np.stack(found, axis=1)
+
+    def cover_banks(self) -> np.ndarray:
+        """(sections, 2): the first ordinate that is not water; 0 without one."""
+        inside = lambda z: np.isfinite(z[:, 1:])
+        return np.stack([_first((c[:, 1:] != self.water) & inside(z), np.full(len(z), -1)) + 1 for z, c in zip(self.z, self.cover)], axis=1)
+
+    def cover_level(self) -> np.ndarray:
+        """The water's level by land cover: on each side the lowest of the centre and the water next to it; of those
+        above the centre the lower one, and 0.1 above the centre where none is."""
+        levels = []
+        for z, c in zip(self.z, self.cover):
+            wet = np.logical_and.accumulate((c == self.water) | (np.arange(c.shape[1]) == 0), axis=1) & np.isfinite(z)
+            lowest = np.where(wet, z, np.inf).min(axis=1, initial=np.inf)
+            levels.append(np.where(lowest > self.floor, lowest, np.inf))
+        level = np.minimum(*levels)
+        return np.where(np.isfinite(level), level, self.floor + FLAT_RISE)
+
+    def widths(self, side: int, stage: np.ndarray) -> np.ndarray:
+        """Top widths of a side at stages above the centre (sections x stages, all positive)."""
+        m, n = len(stage), self.count[side]
+        height = self.z[side] - self.floor[:, None]
+        # Where a profile first is as high as a stage, its running maximum first is; rows are set apart to look all up at once.
+        top = np.clip(np.maximum.accumulate(height[:, 1:], axis=1), -1.0, 2 * TOO_DEEP)
+        apart = 4 * TOO_DEEP * np.arange(m)
+        wide = top.shape[1]
+        below = np.searchsorted((top + apart[:, None]).ravel(), (stage + apart[:, None]).ravel(), side="left").reshape(stage.shape) - wide * np.arange(m)[:, None]
+        k = np.clip(below, 0, wide) + 1  # the first ordinate that is dry
+        rows = np.arange(m)[:, None]
+        inner = stage - height[rows, k - 1]
+        outer = np.where(k < n[:, None], stage - height[rows, np.minimum(k, wide)], np.inf)
+        with np.errstate(invalid="ignore"):
+            edge = np.where(np.isfinite(outer), inner / (np.abs(inner) + np.abs(outer)), 0.0)
+        return np.where(n[:, None] > 0, self.dz[:, None] * (np.minimum(k, np.maximum(n, 1)[:, None]) - 1 + edge), 0.0)
+
+    def ratio_banks(self) -> np.ndarray:
+        """(sections, 2): banks at the last stage, in steps of 0.01, before width over depth grows; 0 if it does not
+        within 25 m."""
+        found = np.zeros((len(self.dz), 2), int)
+        rows, last_ratio, last = np.arange(len(self.dz)), np.full(len(self.dz), np.inf), np.zeros((len(self.dz), 2))
+        for start in range(1, round(TOO_DEEP / STAGE_STEP) + 1, STAGES):
+            if not len(rows):
                 break
-            ratio, before = new, widths
-        return (int(widths[0] / self.dz), int(widths[1] / self.dz)) if depth < TOO_DEEP else (0, 0)
-
-    def bend_bank(self, side: int) -> int:
-        """First ordinate after which the smoothed profile rises less than before; 0 without one."""
-        p = self.profile[side]
-        if not len(p):
-            return 0
-        rise = np.diff(smoothed(p))
-        before = 0.0
-        for i, r in enumerate(rise):
-            if r < before:
-                return i
-            before = r
-        return 0
-
-    def bend_banks(self) -> tuple[int, int]:
-        return self.bend_bank(0), self.bend_bank(1)
+            steps = np.arange(start, min(start + STAGES, round(TOO_DEEP / STAGE_STEP) + 1)) * STAGE_STEP
+            part = self.pick(rows)
+            stage = np.broadcast_to(steps, (len(rows), len(steps)))
+            both = np.stack([part.widths(s, stage) for s in (0, 1)], axis=2)
+            ratio = both.sum(axis=2) / steps
+            before = np.concatenate((last_ratio[:, None], ratio[:, :-1]), axis=1)
+            grown = _first(ratio > before, np.full(len(rows), -1))
+            over = np.flatnonzero(grown >= 0)
+            widths = np.where((grown[over] > 0)[:, None], both[over, np.maximum(grown[over], 1) - 1], last[over])
+            found[rows[over]] = widths / part.dz[over, None]
+            still = grown < 0
+            rows, last_ratio, last = rows[still], ratio[still, -1], both[still, -1]
+        return found
+
+    def bend_banks(self) -> np.ndarray:
+        """(sections, 2): the first ordinate after which the smoothed profile rises less than before it; 0 without one."""
+        found = np.zeros((len(self.dz), 2), int)
+        for s, (z, n) in enumerate(zip(self.z, self.count)):
+            for length in np.unique(n[n > 1]):
+                rows = np.flatnonzero(n == length)
+                rise = np.diff(smoothed(z[rows, :length]), axis=1)
+                less = rise < np.concatenate((np.zeros((len(rows), 1)), rise[:, :-1]), axis=1) - LAST_BITS
+                found[rows, s] = _first(less, np.zeros(len(rows), int))
+        return found
 
 
 @dataclass
-class Shape:
-    """A trapezoid between two banks."""
-
-    banks: tuple[int, int]
-    cells: int
-    width: float
-    depth: float
-    bed: float
-    reach: tuple[float, float] = (0.0, 0.0)  # from the bank ordinates to the banks themselves
-
-
-def _trapezoid(section: Section, width: float, flow: float, slope: float, share: float) -> float:
-    return trapezoid_depth(flow, width - 2 * share * width, width, slope)
-
-
-def shape_by_level(section: Section, flow: float, slope: float, share: float, by_cover: bool) -> Shape | None:
-    """Banks by flat water or by land cover, then by width over depth, then by the bend of the profile; a method whose
-    depth runs away hands over to the next. One cell is a triangle (its depth lowers the centre only)."""
-    if by_cover:
-        banks, method, enough = tuple(section.cover_bank(s) or 0 for s in (0, 1)), "first", 1
-    else:
-        banks, method, enough = tuple(section.flat_bank(s, True) for s in (0, 1)), "first", 2
-    cells = sum(banks) - 1
-    method = method if cells >= enough else None
-    for name, find in (("ratio", section.ratio_banks), ("bend", section.bend_banks)):
-        if cells < 1:
-            banks = find()
-            cells = sum(banks) - 1
-            method = name if cells > 1 else method
-    cells = max(cells, 1)
-    if flow <= 0 or method is None:
-        return None
-    if cells == 1:
-        sides = [float(p[1]) if len(p) > 1 else np.inf for p in section.profile]
-        depth = triangle_depth(flow, section.dz, section.floor, *sides, slope)
-        return Shape((1, 1), 1, section.dz, depth, section.floor - depth)
-    depth = _trapezoid(section, cells * section.dz, flow, slope, share)
-    if depth >= TOO_DEEP and method == "ratio":
-        banks = section.bend_banks()
-        cells = sum(banks) - 1
-        depth = _trapezoid(section, cells * section.dz, flow, slope, share) if cells > 0 else TOO_DEEP
-    if depth >= TOO_DEEP:
-        return Shape((0, 0), 1, section.dz, 0.0, section.floor)
-    return Shape(banks, cells, cells * section.dz, depth, section.floor - depth)
-
-
-def shape_by_banks(section: Section, flow: float, slope: float, share: float, by_cover: bool) -> Shape | None:
-    """As shape_by_level, with the lower bank's elevation as the bankfull level and banks between ordinates."""
-    at = lambda side, i: float(section.profile[side][i]) if 0 <= i < len(section.profile[side]) else np.inf
-
-    def made(banks: tuple[int, int], cells: int) -> Shape:
-        levels = [e for s in (0, 1) if np.isfinite(e := at(s, banks[s])) and e >= section.floor]
-        full = min(levels, default=section.floor)
+class Shapes:
+    """A trapezoid a section: bank ordinates, cells, width, depth, level of the bed, and from the bank ordinates to the
+    banks themselves. Sections with no cells have none; one cell lowers the centre only."""
+
+    banks: np.ndarray
+    cells: np.ndarray
+    width: np.ndarray
+    depth: np.ndarray
+    bed: np.ndarray
+    reach: np.ndarray
+
+
+def _depth(flow: np.ndarray, width: np.ndarray, slope: np.ndarray, share: float) -> np.ndarray:
+    """Depth of a trapezoid with ``share`` of its width under each slope; too deep where it has no width."""
+    wide = width > 0
+    return np.where(wide, trapezoid_depth(flow, np.where(wide, width, 1.0) * (1 - 2 * share), np.where(wide, width, 1.0), slope), TOO_DEEP)
+
+
+def shapes_by_level(c: Channels, flow: np.ndarray, slope: np.ndarray, share: float, by_cover: bool) -> Shapes:
+    """Banks by flat water or land cover, then by width over depth, then by the bend of the profile; a width over depth
+    whose depth runs away hands over to the bend. One cell is a triangle (its depth lowers the centre only)."""
+    banks = c.cover_banks() if by_cover else c.flat_banks(True)
+    cells = banks.sum(axis=1) - 1
+    method = np.where(cells >= (1 if by_cover else 2), 1, 0)
+    for number, find in ((2, Channels.ratio_banks), (3, Channels.bend_banks)):
+        rows = np.flatnonzero(cells < 1)
+        banks[rows] = find(c.pick(rows))
+        cells[rows] = banks[rows].sum(axis=1) - 1
+        method[rows] = np.where(cells[rows] > 1, number, method[rows])
+    cells = np.maximum(cells, 1)
+    some, single = (flow > 0) & (method > 0), cells == 1
+    depth = _depth(flow, cells * c.dz, slope, share)
+    rows = np.flatnonzero(some & ~single & (depth >= TOO_DEEP) & (method == 2))
+    if len(rows):
+        part = c.pick(rows)
+        banks[rows] = part.bend_banks()
+        cells[rows] = banks[rows].sum(axis=1) - 1
+        depth[rows] = _depth(flow[rows], cells[rows] * part.dz, slope[rows], share)
+    sides = [c.at(s, np.ones(len(flow), int)) for s in (0, 1)]
+    depth = np.where(single, triangle_depth(flow, c.dz, c.floor, *sides, slope), depth)
+    lost = ~single & (depth >= TOO_DEEP)
+    depth, cells = np.where(lost, 0.0, depth), np.where(lost, 1, cells)
+    return Shapes(banks, np.where(some, cells, 0), cells * c.dz, depth, c.floor - depth, np.zeros(banks.shape))
+
+
+def shapes_by_banks(c: Channels, flow: np.ndarray, slope: np.ndarray, share: float, by_cover: bool) -> Shapes:
+    """As by level, with the lower bank's elevation as the bankfull level and banks between ordinates."""
+
+    def measured(c: Channels, flow: np.ndarray, slope: np.ndarray, banks: np.ndarray, cells: np.ndarray) -> Shapes:
+        levels = [np.where(np.isfinite(e := c.at(s, banks[:, s])) & (e >= c.floor), e, np.inf) for s in (0, 1)]
+        full = np.minimum(*levels)
+        full = np.where(np.isfinite(full), full, c.floor)
         reach = []
         for s in (0, 1):
-            if banks[s] + 1 >= len(section.profile[s]):
-                reach.append(0.5 * section.dz)
-                continue
-            rise = at(s, banks[s] + 1) - at(s, banks[s])
-            x = section.dz * (full - at(s, banks[s])) / rise if rise > 0 else 0.0
-            reach.append(x if 0 <= x <= section.dz else 0.5 * section.dz)
-        width = cells * section.dz + sum(reach)
-        depth = _trapezoid(section, width, flow, slope, share)
-        return Shape(banks, cells, width, depth, full - depth, tuple(reach))
+            here, there = c.at(s, banks[:, s]), c.at(s, banks[:, s] + 1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                x = np.where(there > here, c.dz * (full - here) / (there - here), 0.0)
+            reach.append(np.where(np.isfinite(there) & (x >= 0) & (x <= c.dz), x, c.dz / 2))
+        width = cells * c.dz + sum(reach)
+        depth = _depth(flow, width, slope, share)
+        return Shapes(banks, cells, width, depth, full - depth, np.stack(reach, axis=1))
 
     if by_cover:
-        wet = len(section.cover[0]) and section.cover[0][0] == section.water
-        banks = tuple(max((section.cover_bank(s) or 1) - 1, 0) if wet else 0 for s in (0, 1))
+        wet = (c.count[0] > 0) & (c.cover[0][:, 0] == c.water)
+        banks = np.where(wet[:, None], np.maximum(c.cover_banks() - 1, 0), 0)
     else:
-        banks = tuple(section.flat_bank(s, False) for s in (0, 1))
-    cells, method = sum(banks) - 1, "first"
-    if cells <= 1:
-        banks, method = section.ratio_banks(), "ratio"
-        cells = sum(banks) - 1
-    if cells <= 1:
-        banks, method = section.bend_banks(), "bend"
-        cells = sum(banks)
-    if cells <= 1 or flow <= 0:
-        return None
-    shape = made(banks, cells)
-    following = {"first": (("ratio", section.ratio_banks), ("bend", section.bend_banks)), "ratio": (("bend", section.bend_banks),), "bend": ()}[method]
-    for _, find in following:
-        if shape.depth < TOO_DEEP:
-            break
-        banks = find()
-        shape = made(banks, max(sum(banks) - 1, 1))
-    return None if shape.depth >= TOO_DEEP or shape.cells <= 1 else shape
-
-
-def burn(section: Section, shape: Shape, share: float, dem: list[np.ndarray], by_banks: bool) -> list[list[tuple[int, float]]]:
-    """Lower each side's profile to the shape; returns (ordinate, elevation) burnt on each side, in order.
-
-    Outside bank mode a cell is only burnt below its own ground.
+        banks = c.flat_banks(False)
+    cells = banks.sum(axis=1) - 1
+    for find, less in ((Channels.ratio_banks, 1), (Channels.bend_banks, 0)):
+        rows = np.flatnonzero(cells <= 1)
+        banks[rows] = find(c.pick(rows))
+        cells[rows] = banks[rows].sum(axis=1) - less
+    made = measured(c, flow, slope, banks, np.maximum(cells, 1))
+    some = (cells > 1) & (flow > 0)
+    for find in (Channels.ratio_banks, Channels.bend_banks):
+        rows = np.flatnonzero(some & (made.depth >= TOO_DEEP))
+        if len(rows):
+            part = c.pick(rows)
+            banks = find(part)
+            again = measured(part, flow[rows], slope[rows], banks, np.maximum(banks.sum(axis=1) - 1, 1))
+            for name in ("banks", "cells", "width", "depth", "bed", "reach"):
+                getattr(made, name)[rows] = getattr(again, name)
+    return replace(made, cells=np.where(some & (made.depth < TOO_DEEP) & (made.cells > 1), made.cells, 0))
+
+
+def bed(c: Channels, shapes: Shapes, side: int, share: float, by_banks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Elevations of a side with the shape in it, and which ordinates it takes (sections x ordinates).
+
+    From the bank inwards the bed falls over ``share`` of the width and is flat then. Where the banks are the far ones it
+    rises again. Unless banks were used, ordinates that are lower already stay.
     """
-    burnt: list[list[tuple[int, float]]] = [[], []]
-    if shape.cells == 1:
-        for s in (0, 1):
-            if len(section.profile[s]):
-                section.profile[s][0] = shape.bed
-                burnt[s].append((0, shape.bed))
-        return burnt
-    slope_width = share * shape.width
-    flat = shape.width - 2 * slope_width
-    for s in (0, 1):
-        bank = shape.banks[s] + by_banks
-        if bank <= 0:
-            continue
-        for x in range(min(bank + 1, len(section.profile[s]))):
-            to_bank = (bank - x) * section.dz + shape.reach[s]
-            rest = shape.width - to_bank
-            near = to_bank
-            if slope_width < to_bank:
-                near = slope_width  # the flat bed
-            elif to_bank >= flat + slope_width:
-                near = rest
-                if not by_banks and rest <= 0:
-                    continue
-            z = shape.bed if near == slope_width and slope_width < to_bank else shape.bed + shape.depth * (1 - near / slope_width)
-            if by_banks or z < dem[s][x]:
-                section.profile[s][x] = z
-                burnt[s].append((x, float(z)))
-    return burnt
+    x = np.arange(c.z[side].shape[1])
+    inside = x < c.count[side][:, None]
+    bank = (shapes.banks[:, side] + by_banks)[:, None]
+    width, depth, low = shapes.width[:, None], shapes.depth[:, None], shapes.bed[:, None]
+    slant = share * width
+    to_bank = (bank - x) * c.dz[:, None] + shapes.reach[:, side][:, None]
+    far = ~(to_bank > slant) & (to_bank >= width - slant)
+    way = np.where(far, width - to_bank, to_bank)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        z = low + depth * np.where(to_bank > slant, 0.0, 1 - way / slant)
+    taken = (bank > 0) & (x <= bank) & inside & (shapes.cells > 1)[:, None]
+    if not by_banks:
+        taken &= (z < c.z[side]) & (~far | (way > 0))
+    centre = (shapes.cells == 1)[:, None] & (x == 0) & inside
+    return np.where(centre, low, np.where(taken, z, c.z[side])), taken | centre
+
+
+def _padded(column: pa.Array, fill: float, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A list column as a matrix, which of its places are there, and the lists' lengths."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    there = np.arange(max(1, size.max(initial=0))) < size[:, None]
+    out = np.full(there.shape, fill, kind)
+    out[there] = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+    return out, there, size
+
+
+def _channels(batch: pa.RecordBatch, water: int) -> tuple[Channels, list[np.ndarray]]:
+    z, there, size, cover = [], [], [], []
+    for s in "12":
+        a, b, c = _padded(batch.column(f"p{s}"), np.inf, float)
+        z.append(a), there.append(b), size.append(c)
+        cover.append(_padded(batch.column(f"lc{s}"), -1, float)[0])
+    cover = [np.pad(k[:, : v.shape[1]], ((0, 0), (0, max(0, v.shape[1] - k.shape[1]))), constant_values=-1) for k, v in zip(cover, z)]
+    return Channels(tuple(z), tuple(cover), tuple(size), batch.column("dz").to_numpy(zero_copy_only=False).astype(float), water), there
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose matrices have BATCH_VALUES places at most (one row at least)."""
+    for batch in batches:
+        longest = max((pc.max(pc.list_value_length(batch.column(p))).as_py() or 1 for p in ("p1", "p2")), default=1) if batch.num_rows else 1
+        size = max(1, BATCH_VALUES // (2 * longest))
+        for a in range(0, batch.num_rows, size):
+            yield batch.slice(a, size)
+
+
+def _kinds(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def with_banks(sections: DataFrame, water: int = 80) -> DataFrame:
+    """Sections with their banks by each method, sides 1 and 2: flat, level (flat water, one before the bank), cover,
+    ratio and bend (arrays), and cover_level. Sections without a side have the banks of the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            c, _ = _channels(batch, water)
+            found = (c.flat_banks(False), c.flat_banks(True), c.cover_banks(), c.ratio_banks(), c.bend_banks())
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(f.astype(np.int32).ravel()), 2).cast(pa.list_(pa.int32())) for f in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists, pa.array(c.cover_level())], [*batch.schema.names, *names])
+
+    names = ["flat", "level", "cover", "ratio", "bend", "cover_level"]
+    return sections.mapInArrow(run, f"{_kinds(sections, sections.columns)}, {', '.join(f'{n} array<int>' for n in names[:-1])}, cover_level double")
 
 
 def with_bathymetry(sections: DataFrame, share: float = 0.2, by_banks: bool = False, by_cover: bool = False, water: int = 80) -> DataFrame:
     """Sections with burnt profiles in p1 and p2, and burnt: array of (row, col, z, side, i) for the raster.
 
-    ``sections`` has p1, lc1, rc1, p2, lc2, rc2, dz, slope and q_base beside its other columns, which stay.
+    ``sections`` has p1, lc1, rc1, p2, lc2, rc2, dz, slope and q_base beside its other columns, which stay. Sections
+    that lack a side or a positive baseflow stay as they are.
     """
-    schema = sections.schema.simpleString()[7:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sections.schema.fields)
-    find = shape_by_banks if by_banks else shape_by_level
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            first, second, burnt = [], [], []
-            for r in frame.to_dict("records"):
-                sides = [np.array(r["p1"], float), np.array(r["p2"], float)]
-                dem = [p.copy() for p in sides]
-                out: list[dict] = []
-                if len(sides[0]) and len(sides[1]) and r["q_base"] and r["q_base"] > 0:
-                    s = Section(sides, [np.array(r["lc1"]), np.array(r["lc2"])], r["dz"], water)
-                    shape = find(s, r["q_base"], r["slope"], share, by_cover)
-                    if shape is not None:
-                        for k, (side, rc) in enumerate(zip(burn(s, shape, share, dem, by_banks), (r["rc1"], r["rc2"]))):
-                            out += [{"row": int(rc[i]["r"]), "col": int(rc[i]["c"]), "z": z, "side": k + 1, "i": i} for i, z in side]
-                first.append(sides[0])
-                second.append(sides[1])
-                burnt.append(out)
-            yield frame.assign(p1=pd.Series(first, index=frame.index, dtype=object), p2=pd.Series(second, index=frame.index, dtype=object), burnt=pd.Series(burnt, index=frame.index, dtype=object))
-
-    return sections.mapInPandas(run, schema + ", burnt array<struct<row:int,col:int,z:double,side:int,i:int>>")
+    find = shapes_by_banks if by_banks else shapes_by_level
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            c, there = _channels(batch, water)
+            flow, slope = (np.nan_to_num(batch.column(n).to_numpy(zero_copy_only=False).astype(float)) for n in ("q_base", "slope"))
+            whole = np.flatnonzero((c.count[0] > 0) & (c.count[1] > 0) & (flow > 0))
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            items = []
+            part = c.pick(whole)
+            shapes = find(part, flow[whole], slope[whole], share, by_cover)
+            for s in (0, 1):
+                z, taken = bed(part, shapes, s, share, by_banks)
+                full = c.z[s].copy()
+                full[whole] = z
+                ends = np.concatenate(([0], np.cumsum(c.count[s]))).astype(np.int32)
+                columns[f"p{s + 1}"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(full[there[s]]))
+                row, i = np.nonzero(taken)
+                cell = pc.list_flatten(batch.column(f"rc{s + 1}"))
+                at = pa.array(ends[whole[row]] + i)
+                items.append((whole[row], *[pc.struct_field(cell, f).take(at).to_numpy(zero_copy_only=False) for f in "rc"], z[row, i], np.full(len(i), s + 1), i))
+            both = [np.concatenate(v) for v in zip(*items)]
+            order = np.lexsort((both[5], both[4], both[0]))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(both[0], minlength=batch.num_rows)))).astype(np.int32)
+            fields = [pa.array(v[order].astype(k)) for v, k in zip(both[1:], (np.int32, np.int32, float, np.int32, np.int32))]
+            columns["burnt"] = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, ["row", "col", "z", "side", "i"]))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return sections.mapInArrow(run, _kinds(sections, sections.columns) + ", burnt array<struct<row:int,col:int,z:double,side:int,i:int>>")
 
 
 def bathymetry_grid(burnt: DataFrame, order: str = "cell_seq") -> DataFrame:

@@ -63,3 +63,13 @@ def headwaters(reaches: DataFrame, key: str, downstream: str) -> DataFrame:
     """Reaches that no other one flows into; rows without an id are left out on both sides."""
     fed = reaches.where(F.col(downstream).isNotNull()).select(F.col(downstream).alias(key)).distinct()
     return reaches.where(F.col(key).isNotNull()).join(fed, key, "left_anti")
+
+
+def on_flow(cells: DataFrame, flows: DataFrame, key: str = "comid") -> DataFrame:
+    """Cells of reaches that have a flow."""
+    return cells.join(flows, key, "left_semi")
+
+
+def with_flow(cells: DataFrame, flows: DataFrame, key: str = "comid") -> DataFrame:
+    """Cells with their reach's flows; reaches without one give no row."""
+    return cells.join(flows, key)

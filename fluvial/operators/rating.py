@@ -41,18 +41,31 @@ def interpolated(pairs: Column, x: Column) -> Column:
     """Value at x of the line through an array of (q, y) structs, extended beyond its ends.
 
     Pairs with a missing or non-finite member are left out and the first of equal q is taken; none: null; one: its y.
+    One pass over the array keeps the two largest flows under x (a, b) and the two smallest from it on (c, d).
     """
+    none = F.lit(None).cast("struct<q:double,y:double>")
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    clean = F.filter(pairs, lambda p: ~(bad(p["q"]) | bad(p["y"])))
-    # First of equal flows: a pair is kept where no earlier one has its flow.
-    once = F.filter(clean, lambda p, i: F.array_position(F.transform(clean, lambda r: r["q"]), p["q"]) == i + 1)
-    ordered = F.array_sort(once)
-    m = F.size(ordered)
-    below = F.size(F.filter(ordered, lambda p: p["q"] < x))
-    i = F.least(F.greatest(below, F.lit(1)), m - 1)
-    a, b = F.get(ordered, i - 1), F.get(ordered, i)
-    line = a["y"] + (x - a["q"]) * (b["y"] - a["y"]) / (b["q"] - a["q"])
-    return F.when(m == 0, F.lit(None).cast("double")).when(m == 1, F.get(ordered, 0)["y"]).otherwise(line)
+
+    def step(s: Column, p: Column) -> Column:
+        p = F.struct(p["q"].cast("double").alias("q"), p["y"].cast("double").alias("y"))
+        q, under = p["q"], p["q"] < x
+        over_a, over_b = under & (s["a"].isNull() | (q > s["a"]["q"])), under & (s["a"]["q"] > q) & (s["b"].isNull() | (q > s["b"]["q"]))
+        under_c, under_d = ~under & (s["c"].isNull() | (q < s["c"]["q"])), ~under & (s["c"]["q"] < q) & (s["d"].isNull() | (q < s["d"]["q"]))
+        made = F.struct(
+            F.when(over_a, p).otherwise(s["a"]).alias("a"), F.when(over_a, s["a"]).when(over_b, p).otherwise(s["b"]).alias("b"),
+            F.when(under_c, p).otherwise(s["c"]).alias("c"), F.when(under_c, s["c"]).when(under_d, p).otherwise(s["d"]).alias("d"),
+        )
+        return F.when(bad(p["q"]) | bad(p["y"]), s).otherwise(made)
+
+    def line(s: Column) -> Column:
+        def through(e: Column, f: Column) -> Column:
+            return e["y"] + (x - e["q"]) * (f["y"] - e["y"]) / (f["q"] - e["q"])
+
+        below, above = s["a"].isNotNull(), s["c"].isNotNull()
+        lone = F.coalesce(s["a"], s["c"])["y"]
+        return F.when(below & above, through(s["a"], s["c"])).when(below & s["b"].isNotNull(), through(s["b"], s["a"])).when(above & s["d"].isNotNull(), through(s["c"], s["d"])).otherwise(lone)
+
+    return F.aggregate(pairs, F.struct(*[none.alias(k) for k in "abcd"]), step, line)
 
 
 def evaluate_vdt(vdt: DataFrame, forecast: DataFrame, increments: int, key: str = "COMID", round_level: bool = True) -> DataFrame:

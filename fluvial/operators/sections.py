@@ -103,18 +103,20 @@ def test_angles(manipulation: float, interval: float) -> list[float]:
     return [0.0] + [s * k * interval * pi / 180 for k in range(1, steps + 1) for s in (1, -1)]
 
 
-def top_width(profile: str, wse: Column, dz: str = "dz") -> Column:
-    """Width of one side at a water level; 0 where the centre is dry."""
-    d = F.transform(profile, lambda z: wse - z)
-    k = first_index(d, lambda x: x <= 0)
-    a, b = F.get(d, k - 1), F.get(d, k)
-    edge = F.col(dz) * (k - 1) + F.col(dz) * a / (F.abs(a) + F.abs(b))
-    return F.when((F.size(profile) > 0) & (F.get(d, F.lit(0)) > 1e-16), F.coalesce(edge, F.col(dz) * (F.size(profile) - 1))).otherwise(0.0)
+def with_top_width(df: DataFrame, profile: str, wse: str, to: str, dz: str = "dz") -> DataFrame:
+    """Width of one side at a water level (columns); 0 where the centre is dry. The first dry ordinate is found once, in
+    a column of its own, so that no plan holds the search more than once."""
+    k = f"__{to}_k"
+    df = df.withColumn(k, first_index(F.col(profile), lambda z: z >= F.col(wse)))
+    last, first = F.get(profile, F.col(k) - 1), F.get(profile, F.col(k))
+    edge = F.col(dz) * (F.col(k) - 1) + F.col(dz) * (F.col(wse) - last) / (F.abs(F.col(wse) - last) + F.abs(F.col(wse) - first))
+    wet = F.col(wse) - F.get(profile, F.lit(0)) > 1e-16  # null without ordinates
+    return df.withColumn(to, F.when(wet, F.coalesce(edge, F.col(dz) * (F.size(profile) - 1))).otherwise(0.0)).drop(k)
 
 
 def best_angle(candidates: DataFrame, test_depth: float = 0.5, keys: tuple[str, ...] = ("cell_seq",)) -> DataFrame:
     """Of sampled candidates (keys, angle, try, p1, p2, dz) the angle of the least top width at the test depth; the
     first tried of equals."""
-    wse = F.get("p1", F.lit(0)) + test_depth
-    widths = candidates.withColumn("tw", top_width("p1", wse) + top_width("p2", wse))
+    widths = candidates.withColumn("__wse", F.get("p1", F.lit(0)) + test_depth)
+    widths = with_top_width(with_top_width(widths, "p1", "__wse", "__t1"), "p2", "__wse", "__t2").withColumn("tw", F.col("__t1") + F.col("__t2"))
     return widths.groupBy(*keys).agg(F.min_by("angle", F.struct("tw", "try")).alias("xs_angle"), F.min("tw").alias("top_width"))

@@ -10,9 +10,10 @@ REACH_SQL = """reach AS (SELECT s_suppkey AS comid, 0.0005::DOUBLE + 0.0001::DOU
     5.0::DOUBLE + abs(s_acctbal) / 500.0::DOUBLE AS q_max, 0.5::DOUBLE AS q_base, 0.02::DOUBLE + 0.005::DOUBLE * (s_nationkey % 5) AS n FROM supplier)"""
 CELL_SQL = """cell AS (SELECT l_suppkey AS comid, (l_orderkey % 997)::BIGINT AS r, l_linenumber AS c, min(l_quantity) AS qty,
     1.0::DOUBLE + min(l_quantity) / 25.37::DOUBLE AS side FROM lineitem GROUP BY ALL)"""
-GRID_SQL = """grid AS (SELECT (l_orderkey % 200)::BIGINT AS "row", (l_partkey % 200)::BIGINT AS col, round_even(avg(l_extendedprice) / 1000.0::DOUBLE * 1000, 0) / 1000 AS z,
+GRID_SQL = """grid AS (SELECT (l_orderkey % 600)::BIGINT AS "row", (l_suppkey * 4 + l_partkey % 4)::BIGINT AS col, round_even(avg(l_extendedprice) / 1000.0::DOUBLE * 1000, 0) / 1000 AS z,
     min(l_suppkey) AS comid FROM lineitem GROUP BY ALL)"""
-SIZE = 200
+#: Rows of the grid. Each supplier is a stream along them, a strip of so many columns wide: the grid grows with the suppliers.
+ROWS, STRIP = 600, 4
 LENGTH, DZ = 21, 1.0
 
 
@@ -45,5 +46,10 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % SIZE).alias("row"), (F.col("l_partkey") % SIZE).alias("col"))
+    by = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % ROWS).alias("row"), (F.col("l_suppkey") * STRIP + F.col("l_partkey") % STRIP).alias("col"))
     return by.agg((F.rint(F.avg("l_extendedprice") / 1000.0 * 1000) / 1000).alias("z"), F.min("l_suppkey").alias("comid"))
+
+
+def columns(spark: SparkSession, sf_dir: str) -> int:
+    """Columns of the grid."""
+    return STRIP * (table(spark, sf_dir, "lineitem").agg(F.max("l_suppkey")).first()[0] + 1)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
-from ..operators import bathymetry, fits, neighbourhood, sections, solver, spatial
+from ..operators import bathymetry, fits, flow_stats, neighbourhood, sections, solver, spatial
 from ..sources import outputs, raster, tables, vectors
 from ..sources.config import Config
+from .lineage import settle
 
 
 @dataclass
@@ -64,7 +65,7 @@ class Engine:
         """Stream cells of reaches with a flow: cell_seq in row-major order, row, col, z, comid, flows, slope."""
         i, c = self.inputs, self.config
         on_stream = i.streams.join(self.dem, ["row", "col"]).withColumn("cell_seq", F.col("row").cast("long") * i.n_cols + F.col("col"))
-        cells = on_stream.join(i.flows, "comid", "left_semi")
+        cells = flow_stats.on_flow(on_stream, i.flows)
         method = c.slope_method
         if method == "end_points":
             reaches = i.reaches
@@ -86,7 +87,7 @@ class Engine:
             if method == "local_average_corrected":
                 local = neighbourhood.corrected_slope(local, neighbourhood.reach_slope(cells, i.dx, i.dy, c.slope_cells))
             sloped = cells.join(local.select("comid", "row", "col", "slope"), ["comid", "row", "col"])
-        return sloped.join(i.flows, "comid")
+        return flow_stats.with_flow(sloped, i.flows)
 
     def ground(self) -> DataFrame:
         """row, col, z, lc, n; stream cells carry the water class."""
@@ -96,20 +97,26 @@ class Engine:
         return self.dem.join(tables.roughness_of(cover, i.roughness), ["row", "col"])
 
     def sections(self) -> DataFrame:
-        """Sampled sections with their cells' columns, after low spot and angle search; manual ones replace sampling."""
+        """Sampled sections with their cells' columns, after low spot and angle search; manual ones replace sampling.
+
+        What several later steps read is written once: else each would hold the whole plan before it, and the plans
+        would multiply.
+        """
         i, c = self.inputs, self.config
         ground = self.ground()
         cells = self.cells()
         if i.manual is not None:
             return self._manual(cells, ground)
-        directed = cells.join(neighbourhood.stream_direction(cells, c.direction_cells).select("comid", "row", "col", "xs_direction"), ["comid", "row", "col"])
+        cells = settle(cells, "cells")
+        directed = settle(cells.join(neighbourhood.stream_direction(cells, c.direction_cells).select("comid", "row", "col", "xs_direction"), ["comid", "row", "col"]), "directed")
+        ground = settle(ground, "ground")
         length = sections.section_length(c.distance, i.dx, i.dy)
         table = sections.ordinates(self.spark, length, i.dx, i.dy)
         draw = lambda rows, keys=("cell_seq",): sections.sample(rows, ground, table, i.n_rows, i.n_cols, keys)
         placed = directed.withColumn("angle_idx", sections.angle_index(F.col("xs_direction")))
         if c.low_spot > 0:
             moved = sections.low_spot(draw(placed.select("cell_seq", "row", "col", "angle_idx")), c.low_spot)
-            placed = placed.drop("row", "col").join(moved, "cell_seq")
+            placed = settle(placed.drop("row", "col").join(moved, "cell_seq"), "placed")
         offsets = sections.test_angles(c.turn, c.turn_step)
         tested = len(offsets) > 1 or (c.turn > 0 and c.turn_step > 0)
         from math import pi
@@ -121,7 +128,7 @@ class Engine:
             # Many candidates share one of the 31 directions: each is sampled once.
             drawn = draw(tries.select("cell_seq", "row", "col", "angle_idx").distinct(), ("cell_seq", "angle_idx"))
             best = sections.best_angle(tries.select("cell_seq", "angle_idx", "angle", "try").join(drawn.select("cell_seq", "angle_idx", "p1", "p2", "dz"), ["cell_seq", "angle_idx"]))
-            placed = placed.join(best.select("cell_seq", "xs_angle"), "cell_seq").withColumn("xs_direction", F.col("xs_angle")).drop("xs_angle").withColumn("angle_idx", F.rint(F.col("xs_direction") / sections.STEP).cast("int"))
+            placed = settle(placed.join(best.select("cell_seq", "xs_angle"), "cell_seq"), "placed").withColumn("xs_direction", F.col("xs_angle")).drop("xs_angle").withColumn("angle_idx", F.rint(F.col("xs_direction") / sections.STEP).cast("int"))
         elif tested:
             placed = placed.withColumn("xs_direction", F.pmod("xs_direction", F.lit(pi)))
         return placed.drop("z").join(draw(placed.select("cell_seq", "row", "col", "angle_idx")), "cell_seq")
@@ -143,7 +150,7 @@ class Engine:
         drawn = self.sections()
         if c.bathymetry:
             drawn = bathymetry.with_bathymetry(drawn, c.bank_share, c.by_banks, c.by_cover, c.water)
-        self._drawn = drawn = drawn.persist()
+        self._drawn = drawn = settle(drawn, "sections")
         keep = ("cell_seq", "comid", "row", "col", "xs_direction")
         raw = solver.rating_tables(drawn, c.increments, keep)
         ground = self.dem.select("row", "col", F.col("z").cast("double").alias("elev"))
@@ -157,7 +164,7 @@ class Engine:
     @property
     def results(self) -> DataFrame:
         if not hasattr(self, "_results"):
-            self._results = self.solved().persist()  # every output reads it
+            self._results = settle(self.solved(), "results")  # every output reads it
         return self._results
 
     def vdt(self) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import hydraulics
 from ..functions.rounding import round_sig, rounded, signs_differ
 from ..operators import bathymetry, flow_stats, neighbourhood, rating, sections, solver, spatial
 from . import carriers
-from .carriers import CELL_SQL, GRID_SQL, LENGTH, REACH_SQL, SIZE, table
+from .carriers import CELL_SQL, GRID_SQL, LENGTH, REACH_SQL, ROWS, STRIP, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,20 +36,21 @@ def r(x: str, places: int = 3) -> str:
 # --- selections, joins, derived columns -----------------------------------------------------------------------------
 @query(f"WITH {CELL_SQL}, {REACH_SQL} SELECT comid, r, c FROM cell WHERE EXISTS (SELECT 1 FROM reach WHERE reach.comid = cell.comid AND q_max > 12)")
 def select_cells_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carriers.cells(spark, sf_dir).join(carriers.reach(spark, sf_dir).where("q_max > 12"), "comid", "left_semi").select("comid", "r", "c")
+    return flow_stats.on_flow(carriers.cells(spark, sf_dir), carriers.reach(spark, sf_dir).where("q_max > 12")).select("comid", "r", "c")
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 def headwater_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as reaches, urgent orders as reaches that flow into them."""
     customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     reaches = customers.select(F.col("c_custkey").alias("id"), F.lit(None).cast("long").alias("down"), "c_nationkey")
-    feeds = orders.select(F.lit(None).cast("long").alias("id"), F.col("o_custkey").alias("down"), F.lit(0).alias("c_nationkey"))
+    feeds = orders.where("o_orderpriority LIKE '1%'").select(F.lit(None).cast("long").alias("id"), F.col("o_custkey").alias("down"), F.lit(0).alias("c_nationkey"))
     return flow_stats.headwaters(reaches.unionByName(feeds), "id", "down").select(F.col("id").alias("c_custkey"), "c_nationkey")
 
 
 @query(f"WITH {CELL_SQL}, {REACH_SQL} SELECT comid, r, c, {r('q_max')} AS q_max, q_base FROM cell JOIN reach USING (comid)")
 def flow_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carriers.cells(spark, sf_dir).join(carriers.reach(spark, sf_dir), "comid").select("comid", "r", "c", rounded("q_max").alias("q_max"), "q_base")
+    return flow_stats.with_flow(carriers.cells(spark, sf_dir), carriers.reach(spark, sf_dir)).select("comid", "r", "c", rounded("q_max").alias("q_max"), "q_base")
 
 
 @query("""SELECT p_partkey, lc, CASE WHEN n > 10 THEN 0.035::DOUBLE WHEN n <= 0 THEN 0.005::DOUBLE ELSE n END AS n FROM
@@ -171,10 +172,17 @@ def flow_table_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_stats.flow_table(wide, series)
 
 
-@query(f"""WITH {SERIES}, {PERIODS}, part_series AS (SELECT rivid, {r('avg(q)')} AS qout_mean, {r('median(q)')} AS qout_median, {r('max(q)')} AS qout_max FROM series WHERE rivid % 3 > 0 GROUP BY rivid),
-    few AS (SELECT * FROM periods WHERE rivid % 5 > 0), {PIVOT.replace('FROM periods', 'FROM few')} SELECT coalesce(s.rivid, p.rivid) AS rivid, s.* EXCLUDE (rivid), p.* EXCLUDE (rivid) FROM part_series s FULL JOIN pivoted p ON s.rivid = p.rivid""")
+@query(f"""WITH series AS (SELECT o_custkey AS rivid, year(o_orderdate) AS y, o_totalprice / 7.0::DOUBLE AS q FROM orders WHERE o_orderpriority LIKE '1%'),
+    periods AS (SELECT c_custkey AS rivid, CASE c_mktsegment WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 5 ELSE 100 END AS rp, c_acctbal / 100.0::DOUBLE AS q FROM customer WHERE c_acctbal > 0), {PIVOT},
+    whole AS (SELECT rivid, {r('avg(q)')} AS qout_mean, {r('median(q)')} AS qout_median, {r('max(q)')} AS qout_max FROM series GROUP BY rivid)
+    SELECT coalesce(s.rivid, p.rivid) AS rivid, s.* EXCLUDE (rivid), p.* EXCLUDE (rivid) FROM whole s FULL JOIN pivoted p ON s.rivid = p.rivid""")
 def outer_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow_stats.retrospective(_series(spark, sf_dir).where("rivid % 3 > 0"), _periods(spark, sf_dir).where("rivid % 5 > 0"))
+    """Series of urgent orders, periods of customers in credit: some keys are on one side only."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'")
+    series = urgent.select(F.col("o_custkey").alias("rivid"), F.col("o_orderdate").alias("time"), (F.col("o_totalprice") / 7.0).alias("Qout"))
+    period = F.when(F.col("c_mktsegment") == "BUILDING", 2).when(F.col("c_mktsegment") == "MACHINERY", 5).otherwise(100)
+    periods = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("rivid"), period.alias("return_period"), (F.col("c_acctbal") / 100.0).alias("return_period_flow"))
+    return flow_stats.retrospective(series, periods)
 
 
 @query(f"SELECT user_id AS rivid, {r('max(value) FILTER (event_id % 10 = 5)')} AS qout_median, {r('max(value) FILTER (event_id % 10 = 0)')} AS qout_max FROM events GROUP BY user_id")
@@ -191,22 +199,14 @@ def premium_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- hydraulics -----------------------------------------------------------------------------------------------------
 def sides_sql(stages: str) -> str:
-    """CTE geo: area, perimeter, pn and width (both sides) of each row of ``stages`` (any columns, side, n, w)."""
+    """CTE geo: area, perimeter, pn and width (both sides) of each row of ``stages`` (any columns, side, n, w), in closed
+    form: a triangle of ordinates i / side that is filled to w. Under water to its end (at ordinate {LENGTH - 1}), a side
+    leaves its first segment out of area and perimeter."""
     last = LENGTH - 1
-    return f"""st AS (SELECT row_number() OVER () AS rid, * FROM ({stages})),
-    pts AS (SELECT rid, i, w - i / side AS d, lag(w - i / side) OVER (PARTITION BY rid ORDER BY i) AS e FROM st, (SELECT unnest(range({LENGTH})) AS i)),
-    ends AS (SELECT rid, min(i) FILTER (i >= 1 AND d <= 0) AS kk FROM pts GROUP BY rid),
-    half AS (SELECT st.rid, kk, max(d) FILTER (i = 0) AS d0, max(d) FILTER (i = kk - 1) AS di, max(d) FILTER (i = kk) AS dk,
-        coalesce(sum((d + e) / 2) FILTER (i >= CASE WHEN kk IS NULL THEN 2 ELSE 1 END AND i <= coalesce(kk - 1, {last})), 0) AS a,
-        coalesce(sum(sqrt(1 + (d - e) * (d - e))) FILTER (i >= CASE WHEN kk IS NULL THEN 2 ELSE 1 END AND i <= coalesce(kk - 1, {last})), 0) AS p,
-        coalesce(sum(sqrt(1 + (d - e) * (d - e)) * pow(n, 1.5::DOUBLE)) FILTER (i >= 1 AND i <= coalesce(kk - 1, {last})), 0) AS m
-        FROM st JOIN pts USING (rid) JOIN ends USING (rid) GROUP BY st.rid, kk),
-    whole AS (SELECT rid, d0, a, p, m, kk, di, di / (abs(di) + abs(dk)) AS u FROM half),
-    geo AS (SELECT st.* EXCLUDE (rid), CASE WHEN d0 <= 1e-16 THEN 0 ELSE 2 * (a + CASE WHEN kk IS NULL THEN 0 ELSE u * di / 2 END) END AS area,
-        CASE WHEN d0 <= 1e-16 THEN 0 ELSE 2 * (p + CASE WHEN kk IS NULL THEN 0 ELSE sqrt(u * u + di * di) END) END AS perimeter,
-        CASE WHEN d0 <= 1e-16 THEN 0 ELSE 2 * (m + CASE WHEN kk IS NULL THEN 0 ELSE sqrt(u * u + di * di) * pow(n, 1.5::DOUBLE) END) END AS pn,
-        CASE WHEN d0 <= 1e-16 THEN 0 ELSE 2 * CASE WHEN kk IS NULL THEN {last} ELSE kk - 1 + u END END AS width
-        FROM st JOIN whole USING (rid))"""
+    return f"""geo AS (SELECT *, CASE WHEN dry THEN w * w * side ELSE {last - 1} * (2 * w - {last + 1} / side) END AS area,
+        CASE WHEN dry THEN 2 * w * sqrt(side * side + 1) ELSE {2 * (last - 1)} * sqrt(1 + 1 / (side * side)) END AS perimeter,
+        CASE WHEN dry THEN 2 * w * sqrt(side * side + 1) ELSE {2 * last} * sqrt(1 + 1 / (side * side)) END * pow(n, 1.5::DOUBLE) AS pn,
+        CASE WHEN dry THEN 2 * w * side ELSE {2 * last} END AS width FROM (SELECT *, w * side <= {last} AS dry FROM ({stages})))"""
 
 
 STAGE_SQL = "SELECT comid, r, c, side, n, slope, qty, 0.2::DOUBLE + (qty % 10) AS w FROM cell JOIN reach USING (comid)"
@@ -220,7 +220,8 @@ def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CELL_SQL}, {REACH_SQL}, {sides_sql(STAGE_SQL)} SELECT comid, r, c, {r('width')} AS width FROM geo")
 def side_top_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = carriers.sections(spark, sf_dir).withColumn("w", 0.2 + F.col("qty") % 10)
-    return wide.select("comid", "r", "c", rounded(sections.top_width("p1", F.col("w")) + sections.top_width("p2", F.col("w"))).alias("width"))
+    wide = sections.with_top_width(sections.with_top_width(wide, "p1", "w", "t1"), "p2", "w", "t2")
+    return wide.select("comid", "r", "c", rounded(F.col("t1") + F.col("t2")).alias("width"))
 
 
 @query(f"WITH {CELL_SQL}, {REACH_SQL}, {sides_sql(STAGE_SQL)} SELECT comid, r, c, {r('area')} AS area, {r('perimeter')} AS perimeter, {r('pn', 4)} AS pn, {r('width')} AS width FROM geo")
@@ -313,11 +314,10 @@ def stream_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("comid", "row", "col", rounded("stream_direction", 6).alias("stream_direction"), rounded("xs_direction", 6).alias("xs_direction"))
 
 
-@query(f"""WITH {GRID_SQL}, thin AS (SELECT * FROM grid WHERE (7 * "row" + col) % 11 = 0) SELECT a."row", a.col, a.comid, count(*) AS n_around FROM thin a JOIN thin b ON abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1
-    GROUP BY ALL HAVING count(*) <= 2""")
+@query(f"""WITH {GRID_SQL} SELECT a."row", a.col, a.comid, count(*) AS n_around FROM grid a JOIN (SELECT "row" + i AS "row", col + j AS col FROM grid, (VALUES (-1), (0), (1)) x(i), (VALUES (-1), (0), (1)) y(j)) b
+    ON a."row" = b."row" AND a.col = b.col GROUP BY ALL HAVING count(*) <= 2""")
 def terminal_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    thin = carriers.grid(spark, sf_dir).where((7 * F.col("row") + F.col("col")) % 11 == 0)  # streams of the carrier: one cell wide
-    return neighbourhood.terminal_cells(thin).select("row", "col", "comid", "n_around")
+    return neighbourhood.terminal_cells(carriers.grid(spark, sf_dir)).select("row", "col", "comid", "n_around")
 
 
 @query(f"WITH {GRID_SQL} SELECT comid, min(z) AS min_elev, max(z) AS max_elev FROM grid GROUP BY comid")
@@ -333,23 +333,24 @@ ORDINATES_SQL = f"""t AS (SELECT angle_idx, i, angle_idx * {pi / 30} AS theta FR
     o AS (SELECT *, CASE WHEN snap THEN 0 ELSE floor(u) END AS m, CASE WHEN snap THEN 0 ELSE round_even(u + CASE WHEN steep AND u < 0 THEN -0.5 ELSE 0.5 END, 0) END AS s FROM u),
     ords AS (SELECT angle_idx, i, CASE WHEN steep THEN i ELSE m END AS rm, CASE WHEN steep THEN m WHEN theta >= {pi / 2} THEN -i ELSE i END AS cm,
         CASE WHEN steep THEN i ELSE s END AS rs, CASE WHEN steep THEN s WHEN theta >= {pi / 2} THEN -i ELSE i END AS cs, CASE WHEN snap THEN 0 ELSE abs(u - s) END AS ws FROM o)"""
-DENSE_SQL = f"""dense AS (SELECT "row", col, coalesce(z, 50.0::DOUBLE) AS z FROM (SELECT * FROM (SELECT unnest(range({SIZE})) AS "row"), (SELECT unnest(range({SIZE})) AS col)) LEFT JOIN grid USING ("row", col))"""
-SECTION_SQL = f"""cell AS (SELECT "row" * {SIZE} + col AS cell_seq, "row" AS r, col AS c, ("row" + col) % 31 AS angle_idx FROM grid WHERE ("row" * 7 + col) % 40 = 0),
+DENSE_SQL = f"""size AS (SELECT {STRIP} * (max(l_suppkey) + 1) AS m FROM lineitem),
+    dense AS (SELECT "row", col, coalesce(z, 50.0::DOUBLE) AS z FROM (SELECT * FROM (SELECT unnest(range({ROWS})) AS "row"), (SELECT unnest(range(m)) AS col FROM size)) LEFT JOIN grid USING ("row", col))"""
+SECTION_SQL = f"""cell AS (SELECT "row" * m + col AS cell_seq, "row" AS r, col AS c, ("row" + col) % 31 AS angle_idx FROM grid, size),
     pts AS (SELECT cell_seq, side, i, r + side * rm AS a, c + side * cm AS b, r + side * rs AS a2, c + side * cs AS b2, ws FROM cell JOIN ords USING (angle_idx), (VALUES (1), (-1)) v(side)),
-    ok AS (SELECT *, min(CASE WHEN least(a, a2, b, b2) <= 0 OR greatest(a, a2, b, b2) >= {SIZE - 1} THEN i END) OVER (PARTITION BY cell_seq, side) AS cut FROM pts),
+    ok AS (SELECT *, min(CASE WHEN least(a, a2, b, b2) <= 0 OR greatest(a, a2) >= {ROWS - 1} OR greatest(b, b2) >= m - 1 THEN i END) OVER (PARTITION BY cell_seq, side) AS cut FROM pts, size),
     drawn AS (SELECT cell_seq, side, i, g.z * (1 - ws) + h.z * ws AS z, a, b FROM ok JOIN dense g ON g."row" = a AND g.col = b JOIN dense h ON h."row" = a2 AND h.col = b2 WHERE i < coalesce(cut, {ORD}))"""
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = spark.range(SIZE * SIZE).select((F.col("id") / SIZE).cast("long").alias("row"), (F.col("id") % SIZE).alias("col"))
+def _dense(spark: SparkSession, sf_dir: str, columns: int) -> DataFrame:
+    every = spark.range(ROWS * columns).select((F.col("id") / columns).cast("long").alias("row"), (F.col("id") % columns).alias("col"))
     z = F.coalesce("z", F.lit(50.0))
     return every.join(carriers.grid(spark, sf_dir), ["row", "col"], "left").select("row", "col", z.alias("z"), F.lit(1).alias("lc"), F.lit(0.03).alias("n"))
 
 
-def _sampled(spark: SparkSession, sf_dir: str, turn: int = 0) -> DataFrame:
-    cells = carriers.grid(spark, sf_dir).where((F.col("row") * 7 + F.col("col")) % 40 == 0)
-    cells = cells.select((F.col("row") * SIZE + F.col("col")).alias("cell_seq"), "row", "col", ((F.col("row") + F.col("col") + turn) % 31).cast("int").alias("angle_idx"))
-    return sections.sample(cells, _dense(spark, sf_dir), sections.ordinates(spark, ORD, 1.0, 1.0), SIZE, SIZE)
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = carriers.columns(spark, sf_dir)
+    cells = carriers.grid(spark, sf_dir).select((F.col("row") * m + F.col("col")).alias("cell_seq"), "row", "col", ((F.col("row") + F.col("col")) % 31).cast("int").alias("angle_idx"))
+    return sections.sample(cells, _dense(spark, sf_dir, m), sections.ordinates(spark, ORD, 1.0, 1.0), ROWS, m)
 
 
 @query(f"WITH {GRID_SQL}, {DENSE_SQL}, {ORDINATES_SQL}, {SECTION_SQL} SELECT cell_seq, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = -1) AS n2, {r('coalesce(sum(z) FILTER (side = 1), 0)', 5)} AS z1, {r('coalesce(sum(z) FILTER (side = -1), 0)', 5)} AS z2 FROM drawn GROUP BY cell_seq")
@@ -385,12 +386,12 @@ def manual_section_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- rating lookup, fits, bathymetry --------------------------------------------------------------------------------
-@query("""WITH pts AS (SELECT l_orderkey % 3000 AS k, l_quantity AS q, min(l_extendedprice) AS y FROM lineitem GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY q) - 1 AS i, count(*) OVER (PARTITION BY k) AS m FROM pts),
+@query("""WITH pts AS (SELECT l_partkey AS k, l_quantity AS q, min(l_extendedprice) AS y FROM lineitem GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY q) - 1 AS i, count(*) OVER (PARTITION BY k) AS m FROM pts),
     b AS (SELECT k, m, least(greatest(count(*) FILTER (q < 20.5), 1), m - 1) AS j FROM o GROUP BY k, m),
     e AS (SELECT b.k, m, max(q) FILTER (i = j - 1) AS q0, max(y) FILTER (i = j - 1) AS y0, max(q) FILTER (i = j) AS q1, max(y) FILTER (i = j) AS y1, min(y) AS lone FROM b JOIN o USING (k, m) GROUP BY ALL)
     SELECT k, round_even(CASE WHEN m = 1 THEN lone ELSE y0 + (20.5 - q0) * (y1 - y0) / (q1 - q0) END * 100, 0) / 100 AS y FROM e""")
 def rating_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 3000).alias("k"), F.col("l_quantity").cast("double").alias("q")).agg(F.min("l_extendedprice").alias("y"))
+    pts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k"), F.col("l_quantity").cast("double").alias("q")).agg(F.min("l_extendedprice").alias("y"))
     lists = pts.groupBy("k").agg(F.collect_list(F.struct("q", "y")).alias("pairs"))
     return lists.select("k", rounded(rating.interpolated(F.col("pairs"), F.lit(20.5)), 2).alias("y"))
 
@@ -404,19 +405,22 @@ def power_fit_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_line(pts, "comid").select("comid", rounded("b").alias("b"), rounded("a").alias("a")).where("b IS NOT NULL")
 
 
-@query(f"WITH {CELL_SQL} SELECT comid, r, c, least(1 + ceil(0.1::DOUBLE * side - 1e-9)::BIGINT - 1, {LENGTH}) AS bank FROM cell")
-def bank_flat_water(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First ordinate that is 0.1 above the centre, one before it in water-level mode: i / side >= 0.1 at ceil(0.1 side)."""
-    k = hydraulics.first_index(F.col("p1"), lambda z: z >= F.get("p1", F.lit(0)) + 0.1)
-    return carriers.sections(spark, sf_dir).select("comid", "r", "c", F.coalesce(k.cast("long"), F.lit(LENGTH)).alias("bank"))
+def _banked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangular sections with water on the first ordinates, and their banks."""
+    wet = F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda i: F.when(i <= F.col("qty") % 7, 80).otherwise(10))
+    return bathymetry.with_banks(carriers.sections(spark, sf_dir).withColumn("lc1", wet).withColumn("lc2", wet))
 
 
-@query(f"WITH {CELL_SQL}, {REACH_SQL} SELECT comid, r, c, (1 + qty % 7)::INTEGER AS bank FROM cell JOIN reach USING (comid)")
-def bank_landcover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cover = F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda i: F.when(i <= F.col("qty") % 7, 80).otherwise(10))
-    return carriers.sections(spark, sf_dir).select("comid", "r", "c", hydraulics.first_index(cover, lambda x: x != 80).alias("bank"))
+@query(f"WITH {CELL_SQL}, {REACH_SQL} SELECT comid, r, c, least(ceil(0.1::DOUBLE * side - 1e-9)::INTEGER, {LENGTH}) AS bank, least(ceil(0.1::DOUBLE * side - 1e-9)::INTEGER, {LENGTH + 1}) - 1 AS level_bank FROM cell JOIN reach USING (comid)")
+def bank_flat_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First ordinate that is 0.1 above the centre, i / side >= 0.1 at ceil(0.1 side), and the one before it."""
+    return _banked(spark, sf_dir).select("comid", "r", "c", F.get("flat", F.lit(0)).alias("bank"), F.get("level", F.lit(1)).alias("level_bank"))
 
 
+@query(f"WITH {CELL_SQL}, {REACH_SQL} SELECT comid, r, c, (1 + qty % 7)::INTEGER AS bank, 0.1::DOUBLE AS level FROM cell JOIN reach USING (comid)")
+def bank_landcover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centre is the lowest ordinate, so the water's level is the one that stands for none: 0.1 above it."""
+    return _banked(spark, sf_dir).select("comid", "r", "c", F.get("cover", F.lit(1)).alias("bank"), rounded("cover_level").alias("level"))
 
 
 @query(f"""WITH RECURSIVE {REACH_SQL}, f(comid, q, slope, stage, start, depth, done) AS (
@@ -429,7 +433,7 @@ def bank_landcover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trapezoid_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pandas as pd
 
-    depth = F.pandas_udf(lambda q, s: pd.Series([bathymetry.trapezoid_depth(a, 12.0, 20.0, b) for a, b in zip(q, s)]), "double")
+    depth = F.pandas_udf(lambda q, s: pd.Series(bathymetry.trapezoid_depth(q, 12.0, 20.0, s)), "double")
     return carriers.reach(spark, sf_dir).select("comid", rounded(depth("q_max", "slope"), 2).alias("depth"))
 
 
@@ -442,7 +446,7 @@ def trapezoid_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def triangle_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pandas as pd
 
-    depth = F.pandas_udf(lambda q, s: pd.Series([bathymetry.triangle_depth(a, 5.0, 0.0, 1.0, 2.0, b) for a, b in zip(q, s)]), "double")
+    depth = F.pandas_udf(lambda q, s: pd.Series(bathymetry.triangle_depth(q, 5.0, 0.0, 1.0, 2.0, s)), "double")
     return carriers.reach(spark, sf_dir).select("comid", rounded(depth("q_max", "slope"), 2).alias("depth"))
 
 
