@@ -24,11 +24,11 @@ from . import common
 
 BITS = 12
 #: Rows and shingles of a side of a block of comparisons; buckets up to the last size are compared many at once.
-TILE, ITEMS, SMALL = 4096, 4_000_000, 64
+TILE, ITEMS, SMALL = 4096, 1_000_000, 64
 #: Rounds of ties after the first, while one in ten of those that are tied is linked.
 MOST_ROUNDS = 6
-#: Pairs that are confirmed together.
-PAIRS = 200
+#: Pairs that are confirmed together, and pairs of small buckets that are looked at in one step (some 1 KB each).
+PAIRS, STEP = 200, 20_000
 
 
 @dataclass(frozen=True)
@@ -202,7 +202,7 @@ def _finder(plan: Plan):
         for s in np.unique(size):
             i, j = np.triu_indices(s, 1)
             first = start[size == s]
-            for part in np.array_split(first, max(1, len(first) * len(i) // 200_000)):
+            for part in np.array_split(first, max(1, len(first) * len(i) // STEP)):
                 x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
                 near = close(n[x], n[y], comp[x], comp[y])
                 x, y = x[near], y[near]
@@ -253,9 +253,9 @@ def _linker(plan: Plan):
     def links(node: np.ndarray, comp: np.ndarray, left: np.ndarray, items: list[np.ndarray]) -> list[tuple[int, int]]:
         sizes = np.array([len(v) for v in items])
         flat, row = np.concatenate(items), np.repeat(np.arange(len(items)), sizes)
-        _, item = np.unique(flat, return_inverse=True)
+        item = np.unique(flat, return_inverse=True)[1].astype(np.int32)
         order = np.argsort(item, kind="stable")
-        holders, first = row[order], np.concatenate(([0], np.cumsum(np.bincount(item))))
+        holders, first = row[order].astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(item))))
         ends = np.concatenate(([0], np.cumsum(sizes)))
         _, own = np.unique(comp, return_inverse=True)
         out = []
