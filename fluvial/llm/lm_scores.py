@@ -1,10 +1,14 @@
 """Language-model scores of whole documents, beside an add-half unigram base.
 
 The model is log-bilinear: the sum of a linear map of each context word's vector predicts the vector of the next word.
-It is trained in numpy with noise-contrastive estimation, first on a bounded sample, then from there by every task on all
-training rows it reads, and the tasks' parameters are averaged. It is normalised exactly, by batched matrix products, when
-it scores. Its outputs are the most frequent words, the end, and classes of rarer words by how they end; a word of a class
-has its add-half share of the class, so a text's probability is a product over its own tokens.
+Its outputs are C classes of C words each, so a probability is that of the class times that of the word in its class, and
+normalising it exactly takes 2 C products, by batched matrix products. C grows with the fourth root of the training
+tokens: the words with vectors of their own grow with the square root. It is trained in numpy with noise-contrastive
+estimation on both levels, first on a bounded sample, then from there by every task on all training rows it reads, and
+the tasks' parameters are averaged, each word's by how often the tasks have seen it.
+
+A class holds words that end alike. The first one holds the end and the rarer words' outputs, by their last three bytes:
+such a word has its add-half share of its output, so a text's probability is a product over its own tokens.
 
 Counts cover all training documents. Words up to a fixed number (the most frequent) are sent to all tasks; the rest is
 joined by Spark, so the vocabulary has no bound.
@@ -14,7 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,126 +29,215 @@ from . import common
 
 #: Words that every task holds with their counts; rarer ones go through a join.
 HEAD_WORDS = 150_000
-#: Outputs: the end, single words, and classes of the rest. Context words, vector size, shared noise words a batch.
-OUTPUTS, SINGLES, CONTEXT, DIMS, NOISE = 256, 191, 3, 16, 64
+#: Classes at least and at most (the most: 262,144 outputs, 35 MB of parameters). Context words, vector size.
+CLASSES, CONTEXT, DIMS = (16, 512), 3, 16
+#: Noise classes that a batch shares, and noise words of the own class a token.
+NOISE, NOISE_WORDS = 32, 2
 #: Bound of the training documents' sample (rows, characters) that the pass over all training rows starts from.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 5_000_000
+#: Tasks of that pass at most (each sends all parameters once), and output rows sent together.
+REPLICAS, BLOCK = 1_024, 256
+#: Tokens that are scored together.
+TOKENS = 32_768
 END = 0
-CLASSES = OUTPUTS - 1 - SINGLES
 
 
-def rare_class(word: bytes) -> int:
+def classes_for(tokens: int) -> int:
+    return int(min(max(tokens**0.25, CLASSES[0]), CLASSES[1]))
+
+
+def rare_output(word: bytes, classes: int) -> int:
     """Output of a word that has none of its own: by its last three bytes."""
     value = 0
     for byte in word[-3:]:
         value = value * 257 + byte
-    return 1 + SINGLES + value * 2654435761 % (1 << 32) % CLASSES
+    return 1 + value * 2654435761 % (1 << 32) % (classes - 1)
+
+
+def own_outputs(words: list[bytes], classes: int) -> dict[bytes, int]:
+    """Outputs of the first words of a list, by frequency, that have one of their own: neighbours in the order of their
+    last letters share a class."""
+    few = sorted(words[: classes * (classes - 1)], key=lambda w: (w[::-1], w))
+    size = -(-len(few) // (classes - 1)) if few else 1  # classes are filled evenly
+    return {w: (1 + i // size) * classes + i % size for i, w in enumerate(few)}
+
+
+def _softplus_slope(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 @dataclass
 class Model:
-    """Vectors and biases of the outputs, and for each context place the mapped vectors of its words."""
+    """Vectors and biases of classes and of words, and for each context place the mapped vectors of its words. What no
+    output stands for has a bias of minus infinity."""
 
-    bias: np.ndarray
+    group: np.ndarray
+    group_bias: np.ndarray
     out: np.ndarray
-    mapped: np.ndarray = field(default_factory=lambda: np.zeros((CONTEXT, OUTPUTS + 1, DIMS), np.float32))  # the last: before the start
+    bias: np.ndarray
+    mapped: np.ndarray  # places x (outputs + 1) x size; the last output: before the start
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log10 P(target | context), normalised over the outputs; context: rows x CONTEXT, nearest word first."""
+        """log10 P(target | context), normalised over all outputs; context: rows x CONTEXT, nearest word first."""
         result = np.empty(len(target))
-        for a in range(0, len(target), 16_384):
-            c, t = context[a : a + 16_384], target[a : a + 16_384]
-            predicted = self.mapped[0][c[:, 0]]
-            for i in range(1, CONTEXT):
-                predicted = predicted + self.mapped[i][c[:, i]]
-            logits = predicted @ self.out.T
-            logits += self.bias
-            own = logits[np.arange(len(t)), t].astype(np.float64)
-            logits -= logits.max(axis=1, keepdims=True) if np.abs(logits).max() > 60 else np.float32(0)
-            top = logits[np.arange(len(t)), t].astype(np.float64) - own  # what was taken off
-            np.exp(logits, out=logits)
-            result[a : a + 16_384] = own + top - np.log(logits.sum(axis=1, dtype=np.float64))
+        for a in range(0, len(target), TOKENS):
+            result[a : a + TOKENS] = self._some(context[a : a + TOKENS], target[a : a + TOKENS])
         return result / np.log(10)
 
-
-def contexts(outputs: np.ndarray) -> np.ndarray:
-    """The CONTEXT outputs before each one, nearest first; OUTPUTS before the start."""
-    padded = np.concatenate((np.full(CONTEXT, OUTPUTS, outputs.dtype), outputs))
+    def _some(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        classes = len(self.group)
+        order = np.argsort(target // classes, kind="stable")  # a class's tokens together
+        context, target = context[order], target[order]
+        predicted = self.mapped[0][context[:, 0]]
+        for i in range(1, CONTEXT):
+            predicted = predicted + self.mapped[i][context[:, i]]
+        got = np.empty(len(target))
+        got[order] = self._of(predicted, self.group, self.group_bias, target // classes)
+        own = np.empty(len(target))
+        ends = np.searchsorted(target // classes, np.arange(classes + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            at, words = slice(ends[c], ends[c + 1]), slice(c * classes, (c + 1) * classes)
+            own[at] = self._of(predicted[at], self.out[words], self.bias[words], target[at] - c * classes)
+        got[order] += own
+        return got
+
+    @staticmethod
+    def _of(predicted: np.ndarray, vectors: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+        logits = predicted @ vectors.T
+        logits += bias
+        logits -= logits.max(axis=1, keepdims=True)
+        own = logits[np.arange(len(target)), target].astype(np.float64)
+        np.exp(logits, out=logits)
+        return own - np.log(logits.sum(axis=1, dtype=np.float64))
+
+
+def contexts(outputs: np.ndarray, start: int) -> np.ndarray:
+    """The CONTEXT outputs before each one, nearest first; ``start`` before the first."""
+    padded = np.concatenate((np.full(CONTEXT, start, outputs.dtype), outputs))
     return np.stack([padded[CONTEXT - 1 - i : len(padded) - 1 - i] for i in range(CONTEXT)], axis=1)
 
 
 class Trainer:
-    """Noise-contrastive estimation by steps over batches; starts from the unigram distribution ``share``."""
-
-    def __init__(self, share: np.ndarray, seed: int, rate: float = 0.08) -> None:
-        self.share, self.rate = share, rate
-        self.rng = np.random.default_rng(seed)
-        words = self.rng.normal(0, 0.1, (OUTPUTS + 1, DIMS))
+    """Noise-contrastive estimation by steps over batches; starts from the unigram distribution of ``counts``."""
+
+    def __init__(self, counts: np.ndarray, seed: int, rate: float = 0.1) -> None:
+        self.classes, self.rate, self.rng = int(round(len(counts) ** 0.5)), rate, np.random.default_rng(seed)
+        self.live = counts > 0
+        c = self.classes
+        share = np.where(self.live, counts + 0.5, 0.0)
+        share /= share.sum()
+        group = share.reshape(c, c).sum(axis=1)
+        with np.errstate(divide="ignore"):
+            self.group_log, self.inside_log = np.log(group).astype(np.float32), np.log(share / np.repeat(np.where(group > 0, group, 1.0), c)).astype(np.float32)
+        self.group_share, self.upto = group, np.concatenate(([0.0], np.cumsum(share)))
+        n = len(counts)
         maps = np.stack([np.eye(DIMS) / (1 + i) for i in range(CONTEXT)])
-        self.params = [words, maps, self.rng.normal(0, 0.01, (OUTPUTS, DIMS)), np.log(share)]
-        self.grown = [np.full_like(p, 1e-6) for p in self.params]
+        drawn = [self.rng.normal(0, 0.1, (n + 1, DIMS)), maps, self.rng.normal(0, 0.01, (n, DIMS)), self.inside_log, self.rng.normal(0, 0.01, (c, DIMS)), self.group_log]
+        self.params = [p.astype(np.float32) for p in drawn]
+        self.grown = [np.full_like(p, 1e-4) for p in self.params]
+
+    def _inside(self, group: np.ndarray) -> np.ndarray:
+        """Words drawn from the unigram distribution inside each class, NOISE_WORDS a row."""
+        low, high = self.upto[group * self.classes][:, None], self.upto[(group + 1) * self.classes][:, None]
+        drawn = np.searchsorted(self.upto, low + (high - low) * self.rng.random((len(group), NOISE_WORDS)), side="right") - 1
+        return np.clip(drawn, (group * self.classes)[:, None], (group * self.classes + self.classes - 1)[:, None])
 
     def step(self, c: np.ndarray, t: np.ndarray) -> None:
-        words, maps, out, bias = self.params
-        noise_log, lanes = np.log(NOISE * self.share), np.arange(DIMS)
-        noise = self.rng.choice(OUTPUTS, NOISE, p=self.share)
-        mapped = [(words @ m.T).astype(np.float32) for m in maps]
+        words, maps, out, bias, groups, group_bias = self.params
+        n, of = len(bias), t // self.classes
+        noise = self.rng.choice(self.classes, NOISE, p=self.group_share)
+        drawn = self._inside(of)
+        mapped = [words @ m.T for m in maps]
         predicted = sum(m[c[:, i]] for i, m in enumerate(mapped))
-        out_t, out_n = out[t].astype(np.float32), out[noise].astype(np.float32)
-        true = (predicted * out_t).sum(axis=1) + (bias - noise_log).astype(np.float32)[t]
-        false = predicted @ out_n.T + (bias - noise_log).astype(np.float32)[noise]
-        g_true = -1 / (1 + np.exp(np.clip(true, -30, 30))) / np.float32(len(t))
-        g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / np.float32(len(t))
-        g_pred = g_true[:, None] * out_t + g_false @ out_n
+        # Classes: all rows of the batch share the noise.
+        out_c, out_n = groups[of], groups[noise]
+        shift = group_bias - np.log(NOISE) - np.where(np.isfinite(self.group_log), self.group_log, 0)
+        c_true = -_softplus_slope(-((predicted * out_c).sum(axis=1) + shift[of]))
+        c_false = _softplus_slope(predicted @ out_n.T + shift[noise])
+        # Words of the class: noise of its own for each row.
+        out_t, out_d = out[t], out[drawn]
+        live = np.where(np.isfinite(self.inside_log), self.inside_log, 0)
+        shift = np.where(self.live, bias, 0) - np.float32(np.log(NOISE_WORDS)) - live
+        w_true = -_softplus_slope(-((predicted * out_t).sum(axis=1) + shift[t]))
+        w_false = _softplus_slope(np.einsum("nd,nkd->nk", predicted, out_d) + shift[drawn])
+        g_pred = c_true[:, None] * out_c + c_false @ out_n + w_true[:, None] * out_t + np.einsum("nk,nkd->nd", w_false, out_d)
+
+        lanes = np.arange(DIMS)
 
         def gathered(at: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
             return np.bincount((at[:, None] * DIMS + lanes).ravel(), g.ravel(), size * DIMS).reshape(size, DIMS)
 
-        g_out = gathered(t, g_true[:, None] * predicted, OUTPUTS) + gathered(noise, g_false.T @ predicted, OUTPUTS)
-        g_bias = np.bincount(t, g_true, OUTPUTS) + np.bincount(noise, g_false.sum(axis=0), OUTPUTS)
-        by_place = [gathered(c[:, i], g_pred, OUTPUTS + 1) for i in range(CONTEXT)]
+        g_out = gathered(np.concatenate((t, drawn.ravel())), np.concatenate((w_true[:, None] * predicted, (w_false[:, :, None] * predicted[:, None, :]).reshape(-1, DIMS))), n)
+        g_bias = np.bincount(t, w_true, n) + np.bincount(drawn.ravel(), w_false.ravel(), n)
+        g_groups = gathered(of, c_true[:, None] * predicted, self.classes) + gathered(noise, c_false.T @ predicted, self.classes)
+        g_group_bias = np.bincount(of, c_true, self.classes) + np.bincount(noise, c_false.sum(axis=0), self.classes)
+        by_place = [gathered(c[:, i], g_pred, n + 1).astype(np.float32) for i in range(CONTEXT)]
         g_maps = np.stack([g.T @ words for g in by_place])
         g_words = sum(g @ m for g, m in zip(by_place, maps))
-        for p, g, h in zip(self.params, (g_words, g_maps, g_out, g_bias), self.grown):
+        for p, g, h in zip(self.params, (g_words, g_maps, g_out, g_bias, g_groups, g_group_bias), self.grown):
+            g = g.astype(np.float32)
             h += g * g
             p -= self.rate * g / np.sqrt(h)
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.params])
+    def learn(self, sequences: list[np.ndarray], batch: int) -> None:
+        start = len(self.live)
+        context, target = np.concatenate([contexts(s, start) for s in sequences]), np.concatenate(sequences)
+        order = self.rng.permutation(len(target))
+        for a in range(0, len(order), batch):
+            self.step(context[order[a : a + batch]], target[order[a : a + batch]])
 
-    def load(self, flat: np.ndarray) -> None:
+    def rows(self) -> np.ndarray:
+        """Parameters by output: context vector, vector, bias; the last row is the place before the start."""
+        words, _, out, bias, _, _ = self.params
+        return np.concatenate((words, np.pad(np.column_stack((out, bias)), ((0, 1), (0, 0)))), axis=1)
+
+    def shared(self) -> np.ndarray:
+        return np.concatenate([self.params[i].ravel() for i in (1, 4, 5)])
+
+    def load(self, rows: np.ndarray, shared: np.ndarray) -> None:
+        words, maps, out, bias, groups, group_bias = self.params
+        words[...], out[...], bias[...] = rows[:, :DIMS], rows[:-1, DIMS:-1], rows[:-1, -1]
         a = 0
-        for p in self.params:
-            p[...] = flat[a : a + p.size].reshape(p.shape)
+        for p in (maps, groups, group_bias):
+            p[...] = shared[a : a + p.size].reshape(p.shape)
             a += p.size
 
     def model(self) -> Model:
-        words, maps, out, bias = self.params
-        return Model(bias.astype(np.float32), out.astype(np.float32), np.stack([words @ m.T for m in maps]).astype(np.float32))
+        words, maps, out, bias, groups, group_bias = (p.copy() for p in self.params)
+        dead = np.float32(-1e9)
+        return Model(groups, np.where(self.group_share > 0, group_bias, dead), out, np.where(self.live, bias, dead), np.stack([words @ m.T for m in maps]))
+
+    def base(self) -> Model:
+        """The unigram distribution as a model."""
+        none = np.float32(-1e9)
+        n = len(self.live)
+        zero = lambda *shape: np.zeros(shape, np.float32)
+        return Model(zero(self.classes, DIMS), np.where(self.group_share > 0, self.group_log, none), zero(n, DIMS), np.where(self.live, self.inside_log, none), zero(CONTEXT, n + 1, DIMS))
 
 
-def fit(sequences: list[np.ndarray], counts: np.ndarray, passes: int = 3, rate: float = 0.08, batch: int = 512, seed: int = 5, more: Callable[[Trainer], None] | None = None) -> Model:
-    """Noise-contrastive estimation from output sequences. ``counts``: of each output in all training tokens.
+def batch_for(outputs: int) -> int:
+    """Tokens a step: as many as there are outputs, since a step touches all of them."""
+    return int(min(max(outputs, 512), 32_768))
+
+
+def fit(sequences: list[np.ndarray], counts: np.ndarray, passes: int = 3, rate: float = 0.1, seed: int = 5, more: Callable[[Trainer], None] | None = None) -> Model:
+    """Noise-contrastive estimation from output sequences. ``counts``: of each output in all training tokens, C * C.
 
     Starts from the unigram distribution, and keeps it where the vectors do not help on a tenth of the sequences.
     ``more`` trains on after the passes over the other nine tenths; its result too is kept only where it helps.
     """
-    share = (counts + 0.5) / (counts + 0.5).sum()
-    base = Model(np.log(share).astype(np.float32), np.zeros((OUTPUTS, DIMS), np.float32))
+    trainer = Trainer(counts, seed, rate)
     held, learn = sequences[::10], [s for i, s in enumerate(sequences) if i % 10]
+    best = trainer.base()
     if not learn or not held:
-        return base
-    context, target = np.concatenate([contexts(s) for s in learn]), np.concatenate(learn)
-    check = np.concatenate([contexts(s) for s in held]), np.concatenate(held)
-    trainer = Trainer(share, seed, rate)
-    best, best_score = base, base.log_probability(*check).mean()
+        return best
+    check = np.concatenate([contexts(s, len(counts)) for s in held]), np.concatenate(held)
+    best_score = best.log_probability(*check).mean()
     for last in [False] * passes + [True] * (more is not None):
         if last:
             more(trainer)
         else:
-            order = trainer.rng.permutation(len(target))
-            for a in range(0, len(order), batch):
-                trainer.step(context[order[a : a + batch]], target[order[a : a + batch]])
+            trainer.learn(learn, min(4_096, batch_for(len(counts))))
         made = trainer.model()
         score = made.log_probability(*check).mean()
         if score > best_score:
@@ -152,19 +245,21 @@ def fit(sequences: list[np.ndarray], counts: np.ndarray, passes: int = 3, rate:
     return best
 
 
-def outputs_of(text: str | None, output: dict[bytes, int]) -> np.ndarray:
+def outputs_of(text: str | None, output: dict[bytes, int], classes: int) -> np.ndarray:
     """The outputs of a text's words, then the end. ``output``: of the words that need not be classed by their end."""
     words = common.words_of(text)
-    return np.array([*[rare_class(w) if o is None else o for o, w in zip(map(output.get, words), words)], END])
+    return np.array([*[rare_output(w, classes) if o is None else o for o, w in zip(map(output.get, words), words)], END])
 
 
-def learn_everywhere(texts: DataFrame, trainer: Trainer, output: dict[bytes, int], batch: int = 2048) -> None:
-    """Each task trains on from ``trainer`` over all rows it reads; the means, weighted by tokens, become the trainer's.
+def learn_everywhere(texts: DataFrame, trainer: Trainer, output: dict[bytes, int]) -> None:
+    """Each task trains on from ``trainer`` over all rows it reads; means of their parameters become the trainer's.
 
-    A task sends a row a parameter, summed by Spark before the shuffle, so the driver gets some 9,000 numbers from any
-    number of tasks. Rows are shuffled within what a task holds at once.
+    An output's parameters are weighted by how often a task has seen it, what all outputs share by the task's tokens.
+    Tasks send their parameters in blocks that Spark sums by block; the driver gets each parameter once, from any number
+    of tasks. Texts are shuffled within what a task holds at once.
     """
     sent = texts.sparkSession.sparkContext.broadcast((trainer, output))
+    n = len(trainer.live)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
@@ -173,32 +268,65 @@ def learn_everywhere(texts: DataFrame, trainer: Trainer, output: dict[bytes, int
 
         own, output = copy.deepcopy(sent.value[0]), sent.value[1]
         own.rng = np.random.default_rng((7, TaskContext.get().partitionId()))
-        tokens, waiting = 0, []
+        seen, held, waiting = np.zeros(n + 1), 0, []
 
         def learn() -> None:
-            context, target = np.concatenate([contexts(s) for s in waiting]), np.concatenate(waiting)
-            order = own.rng.permutation(len(target))
-            for a in range(0, len(order), batch):
-                own.step(context[order[a : a + batch]], target[order[a : a + batch]])
+            own.learn(waiting, batch_for(n))
+            seen[:] += np.bincount(np.concatenate(waiting), minlength=n + 1)
+            seen[n] += len(waiting)
 
-        held = 0
         for rows in batches:
             for t in rows.column(0).to_pylist():
-                waiting.append(outputs_of(t, output))
+                waiting.append(outputs_of(t, output, own.classes))
                 held += len(waiting[-1])
-                if held >= 200_000:
+                if held >= 300_000:
                     learn()
-                    tokens, held, waiting = tokens + held, 0, []
+                    held, waiting = 0, []
         if waiting:
             learn()
-        tokens += held
-        if tokens:
-            flat = own.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * tokens), pa.array(np.full(len(flat), float(tokens)))], ["at", "total", "weight"])
+        if seen.any():
+            values, blocks = own.rows().astype(np.float64) * seen[:, None], range(0, n + 1, BLOCK)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([-1, *range(len(blocks))], pa.int32()),
+                    pa.array([(own.shared().astype(np.float64) * seen.sum()).tobytes(), *[values[a : a + BLOCK].tobytes() for a in blocks]], pa.binary()),
+                    pa.array([seen.sum(keepdims=True).tobytes(), *[seen[a : a + BLOCK].tobytes() for a in blocks]], pa.binary()),
+                ],
+                ["block", "total", "weight"],
+            )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sums = None, []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in sums]], ["block", "total", "weight"])
 
-    means = texts.mapInArrow(run, "at long, total double, weight double").groupBy("at").agg((F.sum("total") / F.sum("weight")).alias("p")).orderBy("at").collect()
-    if means:
-        trainer.load(np.round([r["p"] for r in means], 7))  # sums in another order give the same model
+        for batch in batches:
+            for at, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                values = [np.frombuffer(v) for v in values]
+                if at != block:
+                    if block is not None:
+                        yield done()
+                    block, sums = at, [v.copy() for v in values]
+                else:
+                    for s, v in zip(sums, values):
+                        s += v
+        if block is not None:
+            yield done()
+
+    kinds = "block int, total binary, weight binary"
+    made = texts.coalesce(REPLICAS).mapInArrow(run, kinds)
+    made = common.settle(made.repartition("block").sortWithinPartitions("block").mapInArrow(add, kinds), "means").collect()
+    if made:
+        rows, shared = trainer.rows(), trainer.shared()
+        for block, total, weight in made:
+            total, weight = np.frombuffer(bytes(total)), np.frombuffer(bytes(weight))
+            if block < 0:
+                shared = total / weight
+            else:
+                at, there = slice(block * BLOCK, block * BLOCK + len(weight)), weight > 0
+                rows[at][there] = total.reshape(len(weight), -1)[there] / weight[there, None]
+        trainer.load(np.round(rows, 5), np.round(shared, 5))  # sums in another order give the same model
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -253,38 +381,44 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     n_docs = training.count()
     counts = common.settle(word_counts(training), "counts")
 
+    tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    tokens, vocabulary = tokens + n_docs, vocabulary + (n_docs > 0)
+    classes = classes_for(tokens)
+
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, types = np.zeros(OUTPUTS, np.int64), np.zeros(OUTPUTS, np.int64)
+        total, types = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
         for batch in batches:
             c = np.array(batch.column(1).to_pylist(), np.int64)
-            o = np.fromiter(map(rare_class, batch.column(0).to_pylist()), np.int64, len(c))
+            o = np.fromiter((rare_output(w, classes) for w in batch.column(0).to_pylist()), np.int64, len(c))
             np.add.at(total, o, c)
-            types += np.bincount(o, minlength=OUTPUTS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(OUTPUTS)), pa.array(total), pa.array(types)], ["o", "total", "types"])
+            types += np.bincount(o, minlength=classes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(total), pa.array(types)], ["o", "total", "types"])
 
-    tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tokens, vocabulary = tokens + n_docs, vocabulary + (n_docs > 0)
     threshold = _head_threshold(counts, head_words)
     head = sorted(((bytes(r[0]), r[1]) for r in counts.where(F.col("c") >= threshold).collect()), key=lambda r: (-r[1], r[0]))
     per_class = counts.mapInArrow(classify, "o long, total long, types long").groupBy("o").agg(F.sum("total"), F.sum("types")).collect()
-    total, types = np.zeros(OUTPUTS, np.int64), np.zeros(OUTPUTS, np.int64)
+    total, types = np.zeros(classes * classes, np.int64), np.zeros(classes * classes, np.int64)
     for o, a, b in per_class:
         total[o], types[o] = a, b
-    places = np.fromiter((1 + i if i < SINGLES else rare_class(w) for i, (w, _) in enumerate(head)), np.int64, len(head))
-    for i, (w, c) in enumerate(head[:SINGLES]):  # words of their own leave their class
-        total[rare_class(w)] -= c
-        types[rare_class(w)] -= 1
-        total[1 + i] = c
+    output = own_outputs([w for w, _ in head], classes)
+    places = np.fromiter((output[w] if w in output else rare_output(w, classes) for w, _ in head), np.int64, len(head))
+    for (w, c), o in zip(head, places):  # words of their own leave the output that they would share
+        if o >= classes:
+            total[rare_output(w, classes)] -= c
+            types[rare_output(w, classes)] -= 1
+            total[o] = c
     total[END] = n_docs
     place_of = {w: i for i, (w, _) in enumerate(head)}
 
     taken = bounded_sample(training.where(F.length("text") > 0).select("id", "text", F.lit("all").alias("label")), SAMPLE_ROWS, SAMPLE_CHARS, "text", "label", "id")
     output = {w: int(o) for (w, _), o in zip(head, places)}
-    model = fit([outputs_of(t, output) for t, _ in taken], total.astype(np.float64), more=lambda trainer: learn_everywhere(training.select("text"), trainer, output))
+    # An output for words that training has not seen stays open: half a count each.
+    counted = np.where((total > 0) | (np.arange(len(total)) < classes), np.maximum(total, 0.5), 0.0)
+    model = fit([outputs_of(t, output, classes) for t, _ in taken], counted, more=lambda trainer: learn_everywhere(training.select("text"), trainer, output))
 
     numerator = np.log10(np.array([c for _, c in head], np.float64) + 0.5)
-    inside = np.zeros(OUTPUTS)  # log10 of a class's denominator
-    inside[1 + SINGLES :] = np.log10(total[1 + SINGLES :] + 0.5 * (types[1 + SINGLES :] + 1))
+    inside = np.zeros(len(total))  # log10 of the denominator of an output that words share
+    inside[1:classes] = np.log10(total[1:classes] + 0.5 * (types[1:classes] + 1))
     denominator = float(np.log10(tokens + 0.5 * (vocabulary + 1)))
     end_base = float(np.log10(n_docs + 0.5))
     sent = spark.sparkContext.broadcast((model, place_of, places, numerator, inside))  # head_words entries at most
@@ -298,21 +432,40 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
         padded, padded_numerator = np.append(places, 0), np.append(numerator, 0.0)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
+            waiting: list[np.ndarray] = []
+
+            def scored() -> None:
+                """Scores of the texts that wait, all tokens together."""
+                if waiting:
+                    every = np.concatenate(waiting)
+                    each = model.log_probability(np.concatenate([contexts(t, len(inside)) for t in waiting]), every) - inside[every]
+                    ends = np.cumsum([len(t) for t in waiting])
+                    done = len(out[4]) - len(waiting)
+                    for i, v in enumerate(np.add.reduceat(each, np.concatenate(([0], ends[:-1])))):
+                        out[4][done + i] += float(v)
+                    waiting.clear()
+
+            held = 0
             for t in batch.column(2).to_pylist():
                 words = common.words_of(t)
                 at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
                 missing = np.flatnonzero(at < 0)
                 tail = [words[i] for i in missing.tolist()]
                 target = padded[at]
-                target[missing] = [rare_class(w) for w in tail]
+                target[missing] = [rare_output(w, classes) for w in tail]
                 target = np.append(target, END)
                 known = padded_numerator[at]  # 0 where missing: its share comes from the join
                 shares = float(known.sum())
-                in_class = target[:-1] > SINGLES
-                score = float(model.log_probability(contexts(target), target).sum()) + float(known[in_class].sum()) - float(inside[target].sum())
-                for values, v in zip(out, (row, len(words) + 1, len(words) - len(tail) + trained, shares + end_base - (len(words) + 1) * denominator, score, tail)):
+                share_out = (target[:-1] > END) & (target[:-1] < classes)
+                for values, v in zip(out, (row, len(words) + 1, len(words) - len(tail) + trained, shares + end_base - (len(words) + 1) * denominator, float(known[share_out].sum()), tail)):
                     values.append(v)
+                waiting.append(target)
+                held += len(target)
+                if held >= TOKENS:
+                    scored()
+                    held = 0
                 row += 1
+            scored()
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip(out, kinds)]], ["id", "held", "row", "n", "known", "base", "score", "tail"])
 

@@ -95,8 +95,9 @@ def nearest(vectors: DataFrame, is_query: "F.Column | str", k: int = 5, key: str
     Candidates are all rows but those with the query's own key; ties go to the smaller key; fewer than k rows give fewer
     results. Vectors that are null, empty, zero, or hold null or non-finite components take no part, as query or
     candidate; vectors of different lengths are not compared. Equal vectors are one class with its k + 1 smallest keys,
-    which is all that a result can need of it, so large groups of copies do not fill the blocks. Rows with a null key
-    take no part. An empty table gives no rows.
+    which is all that a result can need of it, so large groups of copies do not fill the blocks. Repeated rows count
+    once; a key that has several vectors is listed once, by its best score, and asks with each of them. Rows with a null
+    key take no part. An empty table gives no rows.
     """
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
 
@@ -112,7 +113,7 @@ def nearest(vectors: DataFrame, is_query: "F.Column | str", k: int = 5, key: str
     packed = common.settle(rows.mapInArrow(pack, "id long, v binary, q boolean"), "vectors")
     # Copies: the k + 1 smallest keys of each distinct vector; the rank limit is applied before the shuffle too.
     order = Window.partitionBy("v").orderBy("id")
-    few = packed.select("v", "id", F.row_number().over(order).alias("n")).where(F.col("n") <= k + 1)
+    few = packed.select("v", "id").distinct().select("v", "id", F.row_number().over(order).alias("n")).where(F.col("n") <= k + 1)
     classes = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     asked = packed.where("q").select("v", "id").distinct()
     classes = classes.join(asked.select("v").distinct().withColumn("q", F.lit(True)), "v", "left").select(F.col("ids")[0].alias("c"), "v", "ids", F.coalesce("q", F.lit(False)).alias("q"))
@@ -197,13 +198,14 @@ def nearest(vectors: DataFrame, is_query: "F.Column | str", k: int = 5, key: str
 
     own = classes.where("q").select("c", self_score("v").alias("score"), "ids")
     pool = found.select("c", "score", F.explode("ids").alias("vec_id")).unionByName(own.select("c", "score", F.explode("ids").alias("vec_id")))
+    pool = pool.groupBy("c", "vec_id").agg(F.max("score").alias("score"))
     # Of a class's pool, the k + 1 best hold the k best for any query in it; copies of a query are dealt by key.
     pool = pool.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
     listed = pool.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
     members = asked.join(classes.where("q").select("v", "c"), "v").select(F.col("id").alias("query_id"), "c")
     kept = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return (
-        members.join(listed, "c")
-        .select("query_id", F.posexplode(kept).alias("p", "x"))
-        .select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
-    )
+    listed = members.join(listed, "c").select("query_id", F.explode(kept).alias("x")).select("query_id", "x.vec_id", "x.score")
+    # A key with several vectors has several lists.
+    listed = listed.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -287,6 +287,26 @@ def test_index_meets_all_pairs_within_the_distance():
         assert set(ka) & set(kb)
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(40, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(0, m[0].tolist())] * 9 + [(50, m[0].tolist())] * 12 + [(100, m[1].tolist()), (100, m[2].tolist())]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    best = collections.defaultdict(dict)
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    for q, v in rows:
+        if q % 50 == 0:
+            for c, w in rows:
+                if c != q:
+                    best[q][c] = max(best[q].get(c, -2), float(unit(v) @ unit(w)))
+    for q, scores in best.items():
+        want = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:5]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r[0] for r in mine] == [1, 2, 3, 4, 5]
+        mine = sorted(mine, key=lambda r: (-round(r[2], 9), r[1]))  # both vectors of a key have a copy: ones that differ in the last bit
+        assert [r[1] for r in mine] == [w[0] for w in want] and np.allclose([r[2] for r in mine], [w[1] for w in want])
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(300, 16)).astype(np.float32)
@@ -441,17 +461,68 @@ def test_language_model_learns_from_rows_outside_its_sample(spark, monkeypatch):
     assert sum(gain) / len(gain) > 7  # 2.5 with what 20 rows teach
 
 
+def naive_probability(model, context, o):
+    """P(o | context) by the definition: softmax over classes times softmax over the words of the class."""
+    classes = len(model.group)
+    h = sum(model.mapped[i][x].astype(float) for i, x in enumerate(context))
+    group = np.exp(model.group.astype(float) @ h + model.group_bias)
+    words = slice(o // classes * classes, (o // classes + 1) * classes)
+    inside = np.exp(model.out[words].astype(float) @ h + model.bias[words])
+    return group[o // classes] / group.sum() * inside[o % classes] / inside.sum()
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(2)
     sequences = [rng.integers(0, 8, 60) for _ in range(60)]
     for s in sequences:  # every second output follows the one before
         s[1::2] = (s[::2] + 1)[: len(s[1::2])]
-    counts = np.zeros(lm_scores.OUTPUTS)
+    counts = np.zeros(256)
     for s in sequences:
-        counts += np.bincount(s, minlength=lm_scores.OUTPUTS)
+        s += 16 * (s % 3)
+        counts += np.bincount(s, minlength=256)
     model = lm_scores.fit(sequences, counts)
-    context = np.tile([[1, 2, 3]], (lm_scores.OUTPUTS, 1))
-    assert abs((10 ** model.log_probability(context, np.arange(lm_scores.OUTPUTS))).sum() - 1) < 1e-5
-    flat = lm_scores.Model(np.log((counts + 0.5) / (counts + 0.5).sum()).astype(np.float32), np.zeros((lm_scores.OUTPUTS, lm_scores.DIMS), np.float32))
-    c, t = lm_scores.contexts(sequences[0]), sequences[0]
-    assert model.log_probability(c, t).mean() > flat.log_probability(c, t).mean()
+    live = np.flatnonzero(counts)
+    got = model.log_probability(np.tile([[1, 2, 19]], (len(live), 1)), live)
+    assert abs((10**got).sum() - 1) < 1e-5
+    assert np.allclose(got, [np.log10(naive_probability(model, (1, 2, 19), o)) for o in live], atol=1e-5)
+    flat = lm_scores.Trainer(counts, 1).base()
+    c, t = lm_scores.contexts(sequences[0], 256), sequences[0]
+    assert np.allclose(flat.log_probability(c, t), np.log10((counts + 0.5)[t] / (counts[live] + 0.5).sum()), atol=1e-5)
+    assert model.log_probability(c, t).mean() > flat.log_probability(c, t).mean() + 0.1
+
+
+@pytest.mark.parametrize("head", [150_000, 40])
+def test_language_model_scores_equal_the_definition(spark, monkeypatch, head):
+    made = []
+    fit = lm_scores.fit
+    monkeypatch.setattr(lm_scores, "fit", lambda *a, **b: made.append(fit(*a, **b)) or made[0])
+    r = random.Random(4)
+    words = [f"{x}{y}" for x in "bdfgklmnprst" for y in ("a", "an", "ent", "ing", "ou", "ur")] * 3 + [f"rare{i}" for i in range(400)]
+    values = [" ".join(r.choice(words) for _ in range(r.randrange(1, 50))) for _ in range(150)] + [None, "", "Unseen ba BA"]
+    rows = {x.doc_id: x for x in lm_scores.score_documents(frame(spark, [(i, t, "x") for i, t in enumerate(values)]), language_id.held_out(parts=5, part=1), head_words=head).collect()}
+    model, classes = made[0], len(made[0].group)
+    counts, n = collections.Counter(), 0
+    for i, t in enumerate(values):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update(words_of(t))
+            n += 1
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    if len(ranked) > head:
+        ranked = [w for w in ranked if counts[w] > counts[ranked[head]]] or []
+    own = lm_scores.own_outputs(ranked, classes)
+    assert classes == lm_scores.classes_for(sum(counts.values()) + n) and len(set(own.values())) == len(own) and min(own.values(), default=classes) >= classes
+    shared, kinds = collections.Counter(), collections.Counter()
+    for w, c in counts.items():
+        if w not in own:
+            shared[lm_scores.rare_output(w, classes)] += c
+            kinds[lm_scores.rare_output(w, classes)] += 1
+    for i, t in enumerate(values):
+        tokens = words_of(t)
+        outputs = [own[w] if w in own else lm_scores.rare_output(w, classes) for w in tokens] + [lm_scores.END]
+        before, score = [classes * classes] * lm_scores.CONTEXT, 0.0
+        for o, w in zip(outputs, [*tokens, None]):
+            score += math.log10(naive_probability(model, before, o))
+            if w is not None and w not in own:
+                score += math.log10((counts[w] + 0.5) / (shared[o] + 0.5 * (kinds[o] + 1)))
+            before = [o, *before[:-1]]
+        assert abs(score - rows[i].score) < 1e-3 * (1 + len(tokens)), (i, score, rows[i].score)
