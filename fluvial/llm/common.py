@@ -18,6 +18,14 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def free_name(key: str, made: tuple[str, ...]) -> str:
+    """The name of a result's key: the key's own, with underscores after it as long as the result has another column of
+    that name."""
+    while key in made:
+        key += "_"
+    return key
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words between runs of space and \\t..\\r; bytes.split() breaks at exactly these."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []

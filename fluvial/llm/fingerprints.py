@@ -104,32 +104,41 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
     return marked.join(groups, "fingerprint")
 
 
-#: Most ranges that the documents are cut into for their successors; more rows make larger ranges, not more memory.
-MOST_RANGES = 10_000
+#: Most ranges that the documents are cut into for their successors; beyond them, ranges grow and their windows spill.
+MOST_RANGES = 200_000
 
 
 def with_successor(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 128, rows_a_range: int = 3_000) -> DataFrame:
     """key, text, fingerprint, next_text, next_fingerprint: the document that follows by descending key.
 
     After the last comes the first; a single document follows itself. Null keys come last, equal keys in the order of
-    their texts. No global window: quantiles cut the keys into ranges, the first document of each range is also sent to
-    the range before it, and each range is a window of its own.
+    their texts. No global window: quantiles of a hash's choice of keys cut the keys into ranges, the first document of
+    each range is also sent to the range before it, and each range is a window of its own. Keys of any kind that can be
+    ordered; the cuts only decide how even the ranges are.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     n = rows.count()
     parts = max(1, min(MOST_RANGES, n // rows_a_range))
     cuts: list = []
     if parts > 1:
-        cuts = sorted(set(rows.select(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []))
+        share = min(1.0, 10 * parts / n)  # some ten keys a range
+        some = rows.where(F.col("key").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("key").distinct()
+        known = [r[0] for r in some.orderBy("key").collect()]
+        cuts = sorted({known[len(known) * i // parts] for i in range(1, parts)}) if known else []
 
     def range_of(keys: list) -> list[int]:
         return [len(cuts) if k is None else len(cuts) - bisect.bisect_left(cuts, k) for k in keys]
 
-    @F.pandas_udf(T.IntegerType())
-    def ranged(keys: pd.Series) -> pd.Series:
-        return pd.Series(range_of([None if pd.isna(k) else k for k in keys]), dtype="int32")
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict = {}
+            for k, p in zip(keys := batch.column(0).to_pylist(), range_of(keys)):
+                if p not in seen or seen[p] is None or (k is not None and k > seen[p]):
+                    seen[p] = k
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), batch.schema.field(0).type)], ["part", "key"])
 
-    firsts = dict(rows.select("key", ranged("key").alias("part")).groupBy("part").agg(F.max("key")).collect())
+    kind = docs.schema[key].dataType.simpleString()
+    firsts = dict(rows.select("key").mapInArrow(heads, f"part int, key {kind}").groupBy("part").agg(F.max("key")).collect())
     order = sorted(firsts)
     before = {p: order[i - 1] for i, p in enumerate(order)}
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("halo", T.BooleanType()), *rows.schema.fields, T.StructField("fingerprint", T.StringType())])
