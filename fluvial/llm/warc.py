@@ -22,7 +22,8 @@ from . import common
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
-#: Bytes after which a task begins another archive.
+#: Parts that the keys of a digest are dealt over, and bytes after which a task begins another archive.
+SALTS = 16
 ARCHIVE_BYTES = 256 << 20
 CHUNK = 1 << 16
 
@@ -145,13 +146,19 @@ def _page(urn: str | None) -> str | None:
 def mark_revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0) -> DataFrame:
     """``pages`` with refers_to: the largest key among rows of an equal payload, where that is another row's.
 
-    Heads of groups are found with a map-side maximum on a digest, so a large group of copies costs a row a task.
+    Heads of groups are found with a map-side maximum on a digest, so a large group of copies costs a row a task. Only
+    keys and digests meet them, dealt over SALTS parts a digest; payloads are joined by their row's own key, so an error
+    page that a million rows share is spread like any other.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     marked = pages.withColumns({"__size": F.octet_length(body), "__digest": F.concat_ws(":", F.sha1(body), F.octet_length(body).cast("string"))})
     heads = marked.where(F.col("__size") >= least_bytes).groupBy("__digest").agg(F.max(key).alias("__head"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     other = F.col("__head").isNotNull() & ~F.col(key).eqNullSafe(F.col("__head"))
-    return marked.join(heads, "__digest", "left").withColumn("refers_to", F.when(other, F.col("__head"))).drop("__digest", "__head", "__size")
+    light = marked.select(key, "__digest").distinct().withColumn("__salt", F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)))
+    heads = heads.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    refers = light.join(heads, ["__digest", "__salt"]).where(other).select(F.col(key).alias("__key"), F.col("__digest").alias("__of"), F.col("__head").alias("refers_to"))
+    mine = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__digest") == F.col("__of"))
+    return marked.join(refers, mine, "left").drop("__digest", "__size", "__key", "__of")
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "html", url: str = "url", least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
