@@ -15,10 +15,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 Span = tuple[str, int, int]
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "national_id", "secret")
@@ -100,6 +102,11 @@ CUES = {
     "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access key", "bearer", "auth"),
 }
 CONTEXT = 32
+#: How keys of well-known services begin (fixed values).
+PREFIXES = ("ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "sk-", "pk_live_", "xoxb-", "xoxp-", "AKIA", "ASIA", "AIza", "ya29", "eyJ", "npm_", "hf_", "SG")
+_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} (?:at|AT) [A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{2,63}){1,4}")
+_CUED = re.compile(r"(?i:token|secret|passw(?:or)?d|api[_ ]?key|access key|bearer|auth)[\"']?[ \t]*[:=]?[ \t]*[\"']?([A-Za-z0-9+/=_.!@#$%^&*-]{8,})")
+_CUE = re.compile(r"(?i)token|secret|passw|api.?key|access key|bearer|auth")
 
 
 def candidates(text: str) -> list[Span]:
@@ -108,6 +115,10 @@ def candidates(text: str) -> list[Span]:
     if "at" in text or "AT" in text:
         if "(at)" in text or "[at]" in text or "(AT)" in text or "[AT]" in text:
             out += [("email", m.start(), m.end()) for m in _AT.finditer(text)]
+    if " dot " in text or " DOT " in text:
+        out += [("email", m.start(), m.end()) for m in _SPOKEN.finditer(text)]
+    if _CUE.search(text):  # what follows a cue, letters only included
+        out += [("secret", m.start(1), m.start(1) + len(m[1].rstrip(".,!?"))) for m in _CUED.finditer(text)]
     first = _DIGIT.search(text)
     if first is None:
         return out
@@ -127,10 +138,10 @@ def candidates(text: str) -> list[Span]:
         start, end = first.start(), _MARK_REST.match(text, first.start()).end()
         while start and text[start - 1] in _MARK:
             start -= 1
-        if 16 <= end - start <= 512 and not text[start:end].isdigit():
+        if end - start >= 16 and not text[start:end].isdigit():
             out.append(("secret", start, end))
         first = _DIGIT.search(text, end)
-    return out
+    return list(dict.fromkeys(out))
 
 
 def _iban_holds(s: str) -> bool:
@@ -140,7 +151,9 @@ def _iban_holds(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-FEATURES = 20
+FEATURES = 25
+#: Ends of domains that are in wide use (fixed values).
+_ENDS = re.compile(r"[ .\])](?:com|org|net|edu|gov|io|info|co|eu|de|uk|fr|es|it|nl|ch|at|us)$", re.I)
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -151,7 +164,7 @@ def features(text: str, span: Span) -> list[float]:
     digits = [c for c in s if c.isdigit()]
     letters = sum(c.isalpha() for c in s)
     seps = sum(c in " .-/()" for c in s)
-    counts = np.unique(list(s), return_counts=True)[1] / max(1, len(s))
+    counts = np.unique(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1] / max(1, len(s))
     own = max((before.rfind(c) for c in CUES[kind]), default=-1)
     other = max((before.rfind(c) for k in KINDS if k != kind for c in CUES[k]), default=-1)
     groups = re.findall(r"[0-9]+", s)
@@ -175,6 +188,11 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(re.search(r"[=:]\s*[\"']?$", before))),
         float(bool(a and (text[a - 1].isalnum() or text[a - 1] in "+$#._-")) + bool(after[:1].isalnum())),
         float(s[:1] == "(") + 2.0 * float(bool(re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", s))),
+        float(s.startswith(PREFIXES)),
+        float(bool(_ENDS.search(s))),
+        float(any(c.isupper() for c in s)) + 2.0 * float(any(c.islower() for c in s)),
+        float(sum(x.isdigit() != y.isdigit() for x, y in zip(s[:200], s[1:200]))) / max(1, min(len(s), 200) - 1),
+        float(own >= 0 and len(before) - own) if own >= 0 else 99.0,
         float(bool(re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", s))) + 2.0 * float(bool(re.search(r"(19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]", s))),
     ]
 
@@ -232,7 +250,7 @@ class Boosted:
         return 1 / (1 + np.exp(-score))
 
 
-def training_texts(n: int = 1500, seed: int = 11) -> list[tuple[str, list[Span]]]:
+def training_texts(n: int = 2000, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """Made-up sentences with and without personal data, and the spans that are personal."""
     rng = np.random.default_rng(seed)
     words = "the of and to report value with from order total page line build test item they were about first name".split()
@@ -264,7 +282,13 @@ def training_texts(n: int = 1500, seed: int = 11) -> list[tuple[str, list[Span]]
         ("iban", iban, ("", "iban ", "account ")),
         ("ip", lambda: " . ".join(str(rng.integers(1, 255)) for _ in range(4)), ("ip ", "host ")),
         ("secret", lambda: hexes(40), ('token = "', "token: ", 'password = "', "secret=")),
-        ("secret", lambda: mixed(int(rng.integers(20, 44))), ('api_key = "', "secret: ", "access key ", "bearer ")),
+        ("secret", lambda: mixed(int(rng.integers(20, 44))), ('api_key = "', "secret: ", "access key ", "bearer ", "token ", "auth ")),
+        ("secret", lambda: pick(PREFIXES) + mixed(int(rng.integers(16, 40))), ("", "", "token ", "key ", "use ", "export X=")),
+        ("secret", lambda: pick(["AKIA", "ASIA"]) + mixed(16).upper(), ("", "", "key ", "id ", "access key ")),
+        ("email", lambda: f"{pick(words)} {pick(['[at]', '(at)'])} {pick(words)} {pick(['[dot]', '(dot)'])} {pick(['com', 'org', 'net', 'fr'])}", ("", "mail ", "")),
+        ("secret", lambda: mixed(int(rng.integers(600, 1700))), ("", "secret ", "key ")),
+        ("secret", lambda: "".join(c for c in mixed(40) if not c.isdigit())[: int(rng.integers(12, 26))], ('password = "', "password: ", "passwd=", "secret: ")),
+        ("email", lambda: f"{pick(words)}{pick(['', '.', '_'])}{pick(words)} {pick(['at', 'AT'])} {pick(words)} {pick(['dot', 'DOT'])} {pick(['com', 'org', 'net', 'de'])}", ("", "mail ", "contact ", "write to ")),
     ]
     bad = [
         lambda: f"{digits(3)} {digits(3)} {digits(3)}",
@@ -281,6 +305,11 @@ def training_texts(n: int = 1500, seed: int = 11) -> list[tuple[str, list[Span]]
         lambda: f"AB{digits(2)} {mixed(4).upper()} {mixed(4).upper()}",
         lambda: f"isbn 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}",
         lambda: f"{digits(2)} . {digits(1)} . {digits(2)} . {digits(1)} list",
+        lambda: f"{pick(['token', 'secret', 'password', 'bearer', 'auth'])} {pick(['management', 'required', 'protected', 'agreements', 'expiration', 'recovered'])}",
+        lambda: f"{pick(words)} at {pick(words)} dot {pick(['product', 'matrix', 'notation', 'plots'])}",
+        lambda: f"id {hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}",
+        lambda: f"https/{pick(words)}/{pick(words)}-{digits(4)}/{pick(words)}",
+        lambda: f"md5 {hexes(32)}",
     ]
     out = []
     for _ in range(n):
@@ -324,16 +353,16 @@ def trained(precision: float = 0.97) -> tuple[Boosted, dict[str, float]]:
     return trees, thresholds
 
 
-def all_spans(text: str | None) -> list[Span]:
-    """Base spans and selected candidates, by kind as listed in KINDS, then start. A candidate that overlaps a base span
-    or a better candidate is not added."""
+def all_spans(text: str | None, base: list[Span] | None = None, model: tuple[Boosted, dict[str, float]] | None = None) -> list[Span]:
+    """Base spans (found already, or not) and selected candidates, by kind as listed in KINDS, then start. A candidate
+    that overlaps a base span or a better candidate is not added."""
     if not text:
         return []
-    base = base_spans(text)
+    base = list(base_spans(text) if base is None else base)
     proposed = candidates(text)
     if proposed:
         taken = [(a, b) for _, a, b in base]
-        trees, thresholds = trained()
+        trees, thresholds = model or trained()
         score = trees.probability(np.array([features(text, c) for c in proposed]))
         ranked = sorted((c for c in zip(-score, proposed) if -c[0] >= thresholds[c[1][0]]), key=lambda c: (c[0], c[1][1], -c[1][2]))
         taken = _Taken(taken)
@@ -374,10 +403,10 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, model: tuple[Boosted, dict[str, float]] | None = None) -> str | None:
     """The text with each span replaced by its kind in angle brackets; overlapping spans are one replacement, named by
     the first."""
-    spans = sorted(all_spans(text), key=lambda s: (s[1], -s[2]))
+    spans = sorted(all_spans(text, model=model), key=lambda s: (s[1], -s[2]))
     if not spans:
         return text
     out, at, i = [], 0, 0
@@ -396,27 +425,35 @@ def find_personal(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     Returns key, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and spans: all spans. A null text
     counts as empty: zeros, the digest of the empty string, "". Keys pass through row by row, null or repeated; an empty
-    table gives no rows.
+    table gives no rows. A key of the name of another column of the result gets a trailing underscore.
     """
+    name = common.free_name(key, (*[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans"))
     kind = docs.schema[key].dataType.simpleString()
-    names = [key, *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans"]
+    names = [name, *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans"]
+    model = trained()  # once, on the driver; tasks get the trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[] for _ in BASE_KINDS]
             shas, spans = [], []
             for text in batch.column(1).to_pylist():
-                base = sorted(base_spans(text or ""), key=lambda s: (KINDS.index(s[0]), s[1]))
+                plain = base_spans(text or "")
+                base = sorted(plain, key=lambda s: (KINDS.index(s[0]), s[1]))
                 for n, k in zip(counts, BASE_KINDS):
                     n.append(sum(s[0] == k for s in base))
                 shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
-                spans.append(joined(all_spans(text)))
+                spans.append(joined(all_spans(text, plain, model)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(n, pa.int64()) for n in counts], pa.array(shas, pa.string()), pa.array(spans, pa.string())], names)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string")
+    return docs.select(F.col(key).alias(name), F.col(text).alias("__text")).mapInArrow(run, f"`{name}` {kind}, " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string")
+
+
+def redacted(text: Column | str) -> Column:
+    """Column of texts without their personal data; null stays null, an empty text empty."""
+    model = trained()
 
+    @F.pandas_udf(T.StringType())
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: redact(t, model))
 
-@F.pandas_udf(T.StringType())
-def redacted(texts: pd.Series) -> pd.Series:
-    """Column of texts without their personal data; null stays null."""
-    return texts.map(redact)
+    return clean(text)
