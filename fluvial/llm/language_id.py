@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 UNKNOWN = "und"
 #: Hash slots of the n-grams (1 to 3 characters).
 SLOTS = 1 << 16
@@ -160,7 +162,8 @@ def bounded_sample(labelled: DataFrame, rows: int, chars: int, text: str, label:
     """About ``rows`` texts and ``chars`` characters at most, dealt evenly over the languages.
 
     Rows are taken by a threshold on a hash of key and text, set from counts over the whole table, so the sample does
-    not depend on partitioning and its size does not grow with the table.
+    not depend on partitioning and its size does not grow with the table. Repeated rows count once; the first in the
+    order of the hash are taken where more than twice ``rows`` pass.
     """
     stats = labelled.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).orderBy(F.desc("n"), label).collect()
     if not stats:
@@ -169,8 +172,8 @@ def bounded_sample(labelled: DataFrame, rows: int, chars: int, text: str, label:
     parts = {r[label]: min(1.0, share_rows / max(1, r["n"]), share_chars / max(1, r["chars"] or 0)) for r in stats}
     spot = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 30))
     limit: Column = F.create_map(*[x for c, p in parts.items() for x in (F.lit(c), F.lit(int(p * (1 << 30))))])
-    taken = labelled.where(spot < F.try_element_at(limit, F.col(label))).select(spot.alias("spot"), text, label).limit(2 * rows).collect()
-    return [(r[1], r[2]) for r in sorted(taken, key=lambda r: (r[0], r[1], r[2]))]
+    taken = labelled.where(spot < F.try_element_at(limit, F.col(label))).select(spot.alias("spot"), F.col(text).alias("text"), F.col(label).alias("label")).distinct()
+    return [(r[1], r[2]) for r in taken.orderBy("spot", "text", "label").limit(2 * rows).collect()]
 
 
 #: The documented bounds of the labelled sample that the classifier is fitted on.
@@ -216,7 +219,9 @@ def identify(docs: DataFrame, text: str = "text", label: str = "lang", key: str
     """Learn from the labelled rows with a key that are not held out, and predict every whole text.
 
     Returns key, held_out, lang_pred, score; a null key is never learned from. The label is never an input of a
-    prediction: only key and text reach it.
+    prediction: only key and text reach it. A key of the name of another column of the result gets a trailing underscore.
     """
+    name = common.free_name(key, ("held_out", "lang_pred", "score", "text"))
     model = train(docs.where(~held_out(key) & F.col(key).isNotNull()), text=text, label=label, key=key)
-    return predict_languages(docs.select(key, held_out(key).alias("held_out"), text), model, text).select(key, "held_out", "lang_pred", "score")
+    read = docs.select(F.col(key).alias(name), held_out(key).alias("held_out"), F.col(text).alias("text"))
+    return predict_languages(read, model, "text").select(name, "held_out", "lang_pred", "score")
