@@ -474,7 +474,7 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("shares"), F.count("c").alias("more"))
     base = F.col("base") + F.coalesce("shares", F.lit(0.0))
     return scored.drop("tail").join(tail, "row", "left").select(
-        F.col("id").alias(key),
+        F.col("id").alias(common.free_name(key, ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))),
         F.col("held").alias("held_out"),
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),

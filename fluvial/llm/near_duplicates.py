@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
     least key that links reach, the document's own included; kept marks where both are equal. A text without words, or
     null, has an empty set and is linked with nothing. Equal sets are one class from the start, so copies cost nothing
     more. A null key gets the least key of its component (null if there is none); repeated rows share theirs. An empty
-    table gives no rows. Other columns of ``docs`` are not read.
+    table gives no rows. Other columns of ``docs`` are not read. A key of the name of another column of the result gets a
+    trailing underscore.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -436,11 +437,13 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
     found = signed.where("mark IS NOT NULL").select("id", "n", "mark").join(named.join(least, "comp").select("mark", "component_id"), "mark")
     result = found.select("id", "n", "component_id").unionByName(signed.where("mark IS NULL").select("id", "n", F.col("id").alias("component_id")))
     component = F.col("component_id")
-    return result.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    name = common.free_name(key, ("n_shingles", "component_id", "kept"))
+    return result.select(F.col("id").alias(name), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the least key. Rows with a null key stay only where
     their component has no other key; repeated rows of a kept key stay."""
-    kept = near_duplicates(docs, plan, key, text).where("kept").select(F.col(key).alias("__kept")).distinct()
+    marked = near_duplicates(docs, plan, key, text)
+    kept = marked.where("kept").select(F.col(marked.columns[0]).alias("__kept")).distinct()
     return docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")

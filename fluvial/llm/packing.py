@@ -15,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Cost of a sequence of n tokens: a fixed part, n, and attention's share n * n / ATTENTION.
 FIXED_COST, ATTENTION = 96, 65_536
@@ -70,12 +72,13 @@ def pack(items: DataFrame, key: str = "doc_id", length: str = "n_tokens", capaci
     ``group_rows`` rows, dealt by a hash, are packed on their own, so no task holds more than a group, whatever keys
     repeat. An empty table gives no rows.
     """
+    name = common.free_name(key, ("piece", "start", "n_tokens", "bin_id", "capacity"))
     kind = items.schema[key].dataType.simpleString()
     most = max(capacities)
-    rows = items.select(key, F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    rows = items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long").alias("n"))
     parts = max(1, -(-rows.count() // group_rows))
-    spot = F.xxhash64(F.col(key), F.col("n"))
-    names = [key, "piece", "start", "n_tokens", "bin_id", "capacity"]
+    spot = F.xxhash64("key", "n")
+    names = [name, "piece", "start", "n_tokens", "bin_id", "capacity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, group = TaskContext.get().partitionId(), 0
@@ -89,7 +92,7 @@ def pack(items: DataFrame, key: str = "doc_id", length: str = "n_tokens", capaci
         if keys:
             yield placed(keys, sizes, f"{part}-{group}")
 
-    def placed(keys: list, sizes: list[int], name: str) -> pa.RecordBatch:
+    def placed(keys: list, sizes: list[int], group_name: str) -> pa.RecordBatch:
         pieces = [(n, i, p, a) for i, size in enumerate(sizes) for p, (a, n) in enumerate(cut(size, most))]
         pieces.sort(key=lambda x: (-x[0], x[1], x[2]))
         bins, capacity = pack_lengths([x[0] for x in pieces], capacities)
@@ -99,7 +102,7 @@ def pack(items: DataFrame, key: str = "doc_id", length: str = "n_tokens", capaci
                 pa.array([p for _, _, p, _ in pieces], pa.int32()),
                 pa.array([a for _, _, _, a in pieces], pa.int64()),
                 pa.array([n for n, _, _, _ in pieces], pa.int64()),
-                pa.array([f"{name}-{b}" for b in bins], pa.string()),
+                pa.array([f"{group_name}-{b}" for b in bins], pa.string()),
                 pa.array([capacity[b] for b in bins], pa.int32()),
             ],
             names,
@@ -111,8 +114,8 @@ def pack(items: DataFrame, key: str = "doc_id", length: str = "n_tokens", capaci
     # The order inside a part is fixed by its rows, so a second attempt packs alike.
     return (
         rows.repartition(parts, spot)
-        .sortWithinPartitions(spot, key, "n")
-        .mapInArrow(run, f"`{key}` {kind}, piece int, start long, n_tokens long, bin_id string, capacity int")
+        .sortWithinPartitions(spot, "key", "n")
+        .mapInArrow(run, f"`{name}` {kind}, piece int, start long, n_tokens long, bin_id string, capacity int")
     )
 
 

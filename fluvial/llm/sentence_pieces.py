@@ -14,6 +14,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
@@ -90,10 +93,12 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", key: str = "d
 
     Returns key, n_tokens, ids_sha256 and decoded_sha256; with ``full`` also ids (array<int>) and decoded. A null text
     counts as empty: no ids, and digests of the empty string. Nulls, ties and repeated rows in the key pass through,
-    row by row; other columns of ``docs`` are not read. An empty table gives no rows.
+    row by row; other columns of ``docs`` are not read. An empty table gives no rows. A key of the name of another column
+    of the result gets a trailing underscore.
     """
+    name = common.free_name(key, ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"))
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
+    schema = f"`{name}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model)
@@ -110,6 +115,6 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", key: str = "d
             columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             if full:
                 columns += [pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, [name, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias(name), F.col(text).alias("__text")).mapInArrow(run, schema)

@@ -20,6 +20,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
 
 # Character classes and states of the outer machine.
 RESET, L, SINGLE, E, R, V, LL, N, SP, WS, AP0, AP1, AP2, O = range(14)
@@ -332,8 +335,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
     """n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     A null text counts as empty: 0 bytes, 0 tokens. Keys that are null, tied or repeated pass through row by row; other
-    columns are not read. An empty table gives no rows.
+    columns are not read. An empty table gives no rows. A key of the name of another column of the result gets a
+    trailing underscore.
     """
+    name = common.free_name(key, ("n_bytes", "n_tokens", "over_limit"))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +349,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
-                [key, "n_bytes", "n_tokens", "over_limit"],
+                [name, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(key).alias(name), F.col(text).alias("__text")).mapInArrow(run, f"`{name}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
