@@ -1,0 +1,24 @@
+"""Connected components in rounds of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.lineage import settle
+
+
+def reached(edges: DataFrame) -> DataFrame:
+    """node, comp for the nodes of edges (a, b): the least node that they reach. Labels move along edges and then jump to
+    their label's label, so rounds grow with the logarithm of the longest path; each round is written, none is gathered."""
+    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("comp"))
+    labels = settle(labels, "labels")
+    while True:
+        seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        moved = labels.join(seen, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        up = moved.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        after = settle(moved.join(up, "comp").select("node", "old", F.col("up").alias("comp")), "labels")
+        labels = after.select("node", "comp")
+        if after.where("old <> comp").isEmpty():
+            return labels

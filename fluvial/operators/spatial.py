@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import asinh, atan, atan2, atanh, cos, cosh, degrees, hypot, pi, radians, sin, sinh, sqrt, tan
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +31,16 @@ def pairs_within(points: DataFrame, distance: float, order: str, extra: tuple[st
     return out.where(F.col("dist") <= distance).select("a", "b", "dist", *[f"{s}_{c}" for s in "ab" for c in extra])
 
 
+#: Buckets along a side of a ring's bucket, by which far points are told apart before any is met.
+FINE = 16
+
+
 def nearest(seeds: DataFrame, points: DataFrame, key: str, start: float = 64.0, k: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """The k nearest points of each seed with dist; all ties stay. Seeds: key, x, y. Points: x, y and any columns.
 
-    Rings of buckets, twice as wide each time: a seed is settled when k points lie within the ring's inner radius, so
-    the first rings settle nearly all and no seed meets all points. ``by``: columns that must be equal.
+    Rings of buckets, four times as wide each time: a seed is settled when k points lie within the ring's inner radius.
+    A seed meets occupied fine buckets with their counts first, and then only the points of those that can hold one of
+    its nearest: wide rings cost buckets, not points. ``by``: columns that must be equal.
     """
     size, left, out = start, seeds, None
     span = points.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).first()
@@ -45,9 +51,18 @@ def nearest(seeds: DataFrame, points: DataFrame, key: str, start: float = 64.0,
     rest = [c for c in points.columns if c not in ("x", "y", *by)]
     rank = F.rank().over(_by(key))
     while True:
+        fine = size / FINE
         near = left.select(key, *by, F.col("x").alias("sx"), F.col("y").alias("sy"), F.explode(F.array(*[F.struct((_bucket("x", size) + i).alias("kx"), (_bucket("y", size) + j).alias("ky")) for i, j in _around()])).alias("w")).select("*", "w.kx", "w.ky").drop("w")
-        held = points.select(*by, *rest, "x", "y", _bucket("x", size).alias("kx"), _bucket("y", size).alias("ky"))
-        met = near.join(held, [*by, "kx", "ky"]).withColumn("dist", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")))
+        boxes = points.groupBy(*by, _bucket("x", fine).alias("fx"), _bucket("y", fine).alias("fy")).agg(F.count("*").alias("held"))
+        boxes = boxes.withColumns({"kx": F.floor(F.col("fx") / FINE), "ky": F.floor(F.col("fy") / FINE)})
+        # How near and how far the points of a box can be.
+        inner = lambda s, f: F.greatest(F.col(f) * fine - F.col(s), F.col(s) - (F.col(f) + 1) * fine, F.lit(0.0))
+        outer = lambda s, f: F.greatest(F.abs(F.col(f) * fine - F.col(s)), F.abs((F.col(f) + 1) * fine - F.col(s)))
+        asked = near.join(boxes, [*by, "kx", "ky"]).withColumns({"low": F.hypot(inner("sx", "fx"), inner("sy", "fy")), "high": F.hypot(outer("sx", "fx"), outer("sy", "fy"))})
+        sure = asked.withColumn("sum", F.sum("held").over(_by(key, "high"))).where(F.col("sum") >= k).groupBy(key).agg(F.min("high").alias("enough"))
+        asked = asked.join(sure, key, "left").where(F.col("enough").isNull() | (F.col("low") <= F.col("enough") + 1e-9 * size)).select(key, *by, "sx", "sy", "fx", "fy")
+        held = points.select(*by, *rest, "x", "y", _bucket("x", fine).alias("fx"), _bucket("y", fine).alias("fy"))
+        met = asked.join(held, [*by, "fx", "fy"]).withColumn("dist", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")))
         last = size >= most
         met = (met if last else met.where(F.col("dist") <= size)).withColumn("k", rank).where(F.col("k") <= k)
         full = met if last else met.join(met.groupBy(key).count().where(F.col("count") >= k).select(key), key, "left_semi")
@@ -55,36 +70,72 @@ def nearest(seeds: DataFrame, points: DataFrame, key: str, start: float = 64.0,
         out = full if out is None else out.unionByName(full)
         if last:
             return out
-        left = left.join(full.select(key).distinct(), key, "left_anti")
+        left = cut(left.join(full.select(key).distinct(), key, "left_anti"))
         if left.isEmpty():
             return out
         size *= 4
 
 
-def _by(key: str):
+def _by(key: str, order: str = "dist"):
     from pyspark.sql import Window
 
-    return Window.partitionBy(key).orderBy("dist")
+    return Window.partitionBy(key).orderBy(order)
+
+
+#: Tiles of the thinning are this many distances wide at first, and grow by four a round while none would hold more edges.
+TILE_WIDTH, TILE_EDGES = 64, 1_000_000
 
 
 def thin(points: DataFrame, distance: float, percent: float, order: str, level: str) -> DataFrame:
     """Greedy thinning in order: a point that stays drops every later one within the distance whose level differs by at
     most ``percent``.
 
-    The result is the first maximal independent set in that order, so it is found in rounds: what has no earlier
-    neighbour left stays, its neighbours go. Rounds grow with the longest chain, not with the points.
+    A point's fate hangs on its earlier neighbours only. Each round decides, tile by tile and in order, all points whose
+    earlier neighbours are decided, in the tile or before; tiles shift and widen from round to round, so rounds grow with
+    the tiles that a chain crosses, not with its points.
     """
     diff = F.abs(F.col(f"a_{level}") - F.col(f"b_{level}")) / ((F.col(f"a_{level}") + F.col(f"b_{level}")) / 2) * 100
     edges = cut(pairs_within(points, distance, order, (level,)).where(diff <= percent).select("a", "b"))
-    gone = points.select(F.col(order).alias("id")).limit(0)
-    alive = edges
-    while not alive.isEmpty():
-        waiting = alive.select(F.col("b").alias("id")).distinct()
-        stay = alive.select(F.col("a").alias("id")).distinct().join(waiting, "id", "left_anti")
-        drop = cut(alive.join(stay.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct())
-        gone = gone.unionByName(drop)
-        alive = cut(alive.join(drop.select(F.col("id").alias("a")), "a", "left_anti").join(drop.select(F.col("id").alias("b")), "b", "left_anti").join(stay.select(F.col("id").alias("a")), "a", "left_anti"))
-    return points.join(gone.select(F.col("id").alias(order)), order, "left_anti")
+    kind = points.schema[order].dataType.simpleString()
+    fate = f"id {kind}, stays boolean"
+    # Points without an earlier neighbour stay.
+    known = cut(edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")), "id", "left_anti").withColumn("stays", F.lit(True)))
+    where = points.select(F.col(order).alias("b"), "x", "y")
+    dropped = known.where("NOT stays").select("id")
+    size, shift, alive = TILE_WIDTH * distance, 0.0, edges.join(where, "b").withColumn("fate", F.lit(None).cast("boolean"))
+
+    def decide(edges: pd.DataFrame) -> pd.DataFrame:
+        state, earlier = {}, {}
+        for a, b, known in zip(edges["a"], edges["b"], edges["fate"]):
+            earlier.setdefault(b, []).append(a)
+            if not pd.isna(known):
+                state[a] = bool(known)
+        made = []
+        for b in sorted(earlier):
+            fates = [state.get(a) for a in earlier[b]]
+            if True in fates:
+                state[b] = False
+            elif None not in fates:
+                state[b] = True
+            else:
+                continue
+            made.append((b, state[b]))
+        return pd.DataFrame(made, columns=["id", "stays"])
+
+    news = known
+    while True:
+        # What the last round has decided goes to the edges that wait for it.
+        fresh = news.select(F.col("id").alias("a"), F.col("stays").alias("now"))
+        alive = cut(alive.join(fresh, "a", "left").withColumn("fate", F.coalesce("fate", "now")).drop("now"))
+        if alive.isEmpty():
+            break
+        tiled = alive.select("a", "b", "fate", *[F.floor((F.col(c) + shift) / size).alias(f"t{c}") for c in "xy"])
+        most = tiled.groupBy("tx", "ty").count().agg(F.max("count")).first()[0]
+        news = cut(tiled.groupBy("tx", "ty").applyInPandas(decide, fate))
+        dropped = dropped.unionByName(news.where("NOT stays").select("id"))
+        alive = alive.join(news.select(F.col("id").alias("b")), "b", "left_anti")
+        size, shift = (size * 4 if most * 16 <= TILE_EDGES else size), size / 2 if not shift else 0.0
+    return points.join(dropped.select(F.col("id").alias(order)).distinct(), order, "left_anti")
 
 
 def circular_mean(angle: Column) -> Column:
@@ -156,6 +207,24 @@ def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Colum
     return 500_000 + 0.9996 * radius * east, (10_000_000 if south else 0) + 0.9996 * radius * north
 
 
+def geographic(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Longitude and latitude of transverse Mercator coordinates: the series back, then two steps for the latitude."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi0, eta0 = (y - (10_000_000 if south else 0)) / (0.9996 * radius), (x - 500_000) / (0.9996 * radius)
+    xi, eta = xi0, eta0
+    for j, b in enumerate(beta, 1):
+        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, d in enumerate(delta, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (zone * 6 - 183), F.degrees(lat)
+
+
 def geodesic(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
     """Length of the geodesic in metres: Vincenty's inverse iteration."""
     b = AXIS * (1 - FLATTENING)
@@ -199,6 +268,22 @@ def tag_seeds(points: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ("COM
     return points.join(hit, list(keys), "left").withColumn("SEED", F.when(F.col("__hit"), "1").otherwise("0")).drop("__hit")
 
 
+def tag_seeds_of_reach(points: DataFrame, seeds: DataFrame, elevation: str = "BaseElev", keys: tuple[str, ...] = ("COMID", "Row", "Col")) -> DataFrame:
+    """SEED: "1" at the highest point of each reach that is the nearest to one of the reach's own seeds, "0" elsewhere.
+
+    ``seeds``: seed, COMID, x, y. A seed whose nearest point is of another reach counts for none; of equally near points
+    the first by its keys is taken, and of equally high ones too.
+    """
+    from pyspark.sql import Window
+
+    near = nearest(seeds.select("seed", F.col("COMID").alias("__own"), "x", "y").select("seed", "x", "y"), points.select(*keys, elevation, "x", "y"), "seed")
+    near = near.join(seeds.select("seed", F.col("COMID").alias("__own")), "seed").where(F.col("__own") == F.col(keys[0]))
+    first = near.groupBy("seed").agg(F.min(F.struct("dist", *keys, elevation)).alias("p")).select("p.*")
+    best = first.withColumn("__n", F.row_number().over(Window.partitionBy(keys[0]).orderBy(F.desc(elevation), *keys))).where("__n = 1")
+    hit = best.select(*keys).withColumn("__hit", F.lit(True))
+    return points.join(hit, list(keys), "left").withColumn("SEED", F.when(F.col("__hit"), "1").otherwise("0")).drop("__hit")
+
+
 def terminal_points(parts: list[list[tuple[float, float]]]) -> list[tuple[float, float]]:
     """End points of line parts that only one part ends at; a closed ring has none."""
     count: dict[tuple[float, float], int] = {}
@@ -209,6 +294,18 @@ def terminal_points(parts: list[list[tuple[float, float]]]) -> list[tuple[float,
     return [p for p, n in count.items() if n == 1]
 
 
+def exposed_points(parts: list[list[tuple[float, float]]], points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Those of the points that are next to fewer than two different vertices, over all parts that begin or end there:
+    what joins two parts of a reach is no end of it."""
+    beside: dict[tuple[float, float], set] = {p: set() for p in points}
+    for part in parts:
+        if len(part) > 1:
+            for end, following in ((part[0], part[1]),) if part[0] == part[-1] else ((part[0], part[1]), (part[-1], part[-2])):
+                if end in beside:
+                    beside[end].add(following)
+    return [p for p in points if len(beside[p]) < 2]
+
+
 def upstream_points(parts: list[list[tuple[float, float]]], outlet: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Terminals of a reach that are not at, or downstream of another terminal on the way to, its outlet.
 
@@ -275,7 +372,7 @@ def headwater_seeds(reaches: DataFrame, elevation: DataFrame | None, key: str, d
                     outlet = [e for e in ends if far[e] <= least + max(1e-9, 1e-9 * least)]
                 elif r["z"] is not None and len(r["z"]):
                     z = {(p["x"], p["y"]): p["z"] for p in r["z"]}
-                    known = {e: z[e] for e in ends if z.get(e) is not None}
+                    known = {e: z[e] for e in exposed_points(parts, ends) if z.get(e) is not None}
                     if known:
                         least = min(known.values())
                         outlet = [e for e in known if known[e] <= least + max(0.01, 1e-9 * abs(least))]

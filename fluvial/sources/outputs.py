@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
+from ..operators import spatial
+from . import files, vectors
 
 
 def _each(name: str, i: int) -> Column:
@@ -63,11 +65,49 @@ def features(points: DataFrame, third: str | None = None) -> DataFrame:
     )
 
 
-def write_geojson(points: DataFrame, path: str, crs: str | None = None, third: str | None = None) -> None:
-    """Newline-delimited features in a folder, with a header file that names the collection and CRS beside it."""
-    features(points, third).write.mode("overwrite").text(path)
+def _collection(rows: DataFrame, path: str, crs: str | None) -> None:
+    """Features (column value) as one FeatureCollection file: written by tasks, put together piece by piece."""
     head = {"type": "FeatureCollection", **({"crs": {"type": "name", "properties": {"name": crs}}} if crs else {})}
-    points.sparkSession.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.head")
+    rows.write.mode("overwrite").text(f"{path}.parts")
+    files.joined(f"{path}.parts", path, (json.dumps(head)[:-1] + ', "features": [\n').encode(), b",\n", b"\n]}\n")
+
+
+def write_geojson(points: DataFrame, path: str, crs: str | None = None, third: str | None = None, zone: int | None = None, south: bool = False) -> None:
+    """Point features with WaterSurfaceElev_m and SEED as one FeatureCollection file, its CRS named in it. Points in a
+    UTM ``zone`` are written in degrees."""
+    if zone is not None:
+        lon, lat = spatial.geographic(F.col("x"), F.col("y"), zone, south)
+        points = points.withColumns({"x": lon, "y": lat})
+    _collection(features(points, third), path, crs)
+
+
+def write_points_geojson(points: DataFrame, path: str, epsg: int | str) -> None:
+    """x, y, z as one FeatureCollection of 3-D points without properties; a CRS member names the EPSG code."""
+    at = F.struct(F.lit("Point").alias("type"), F.array(*[F.col(c).cast("double") for c in "xyz"]).alias("coordinates"))
+    rows = points.select(F.concat(F.lit('{"type": "Feature", "geometry": '), F.to_json(at), F.lit(', "properties": {}}')).alias("value"))
+    _collection(rows, path, f"urn:ogc:def:crs:EPSG::{epsg}")
+
+
+def write_vector(lines: DataFrame, path: str, crs: str | None = None) -> None:
+    """Attributes and ``parts`` (arrays of x, y) by the path's ending: Parquet with WKB in ``geometry``, or GeoJSON. Lines
+    of one vertex are points."""
+    rest = [c for c in lines.columns if c != "parts"]
+    if path.endswith((".parquet", ".geoparquet")):
+        vectors.with_wkb(lines).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    elif path.endswith((".geojson", ".json")):
+        kind = F.when(F.forall("parts", lambda p: F.size(p) == 1), "MultiPoint").otherwise("MultiLineString")
+        lists = F.transform("parts", lambda p: F.transform(p, lambda v: F.array(v["x"], v["y"])))
+        points = F.flatten(lists)
+        shape = F.when(kind == "MultiPoint", F.to_json(F.struct(kind.alias("type"), points.alias("coordinates")))).otherwise(F.to_json(F.struct(kind.alias("type"), lists.alias("coordinates"))))
+        made = F.concat(F.lit('{"type": "Feature", "properties": '), F.to_json(F.struct(*rest)) if rest else F.lit("{}"), F.lit(', "geometry": '), shape, F.lit("}"))
+        _collection(lines.select(made.alias("value")), path, crs)
+    else:
+        raise ValueError(f"{path}: unknown vector format")
+
+
+def write_angles(reaches: DataFrame, path: str, key: str, angle: str = "bearing") -> None:
+    """Delimited text (tabs) of whole ids and angles in radians."""
+    write_table(reaches.select(F.col(key).cast("long").alias(key), angle), path, "\t")
 
 
 def scenario_flows(flows: DataFrame, names: dict[str, str], folder: str, key: str = "COMID") -> None:

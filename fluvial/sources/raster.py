@@ -11,9 +11,12 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import open_input, open_output
+
 #: TIFF field types (size in bytes, struct code) and the tags that are used: fixed by the format.
 TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS_A_STRIP, STRIP_SIZES, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 317, 322, 323, 324, 325, 339
@@ -41,7 +44,7 @@ class Header:
 
 
 def read_header(path: str) -> Header:
-    with open(path, "rb") as f:
+    with open_input(path) as f:
         data = f.read(16)
         order = {b"II": "<", b"MM": ">"}.get(data[:2])
         if order is None:
@@ -115,7 +118,7 @@ def unpack_lzw(data: bytes) -> bytes:
 
 
 def read_block(path: str, h: Header, index: int) -> np.ndarray:
-    with open(path, "rb") as f:
+    with open_input(path) as f:
         f.seek(h.places[index])
         raw = f.read(h.sizes[index])
     if h.compression == 5:
@@ -126,8 +129,9 @@ def read_block(path: str, h: Header, index: int) -> np.ndarray:
         raise ValueError(f"{path}: compression {h.compression} is not supported")
     values = np.frombuffer(raw, np.dtype(h.order + h.kind))
     values = values[: len(values) // h.block[1] * h.block[1]].reshape(-1, h.block[1])
-    if h.predictor == 2:
-        values = np.cumsum(values, axis=1, dtype=values.dtype)
+    if h.predictor == 2:  # differences of the stored words, whatever they stand for
+        words = np.dtype(f"u{values.dtype.itemsize}")
+        values = np.cumsum(values.astype(values.dtype.newbyteorder("=")).view(words), axis=1, dtype=words).view(values.dtype.newbyteorder("="))
     elif h.predictor != 1:
         raise ValueError(f"{path}: predictor {h.predictor} is not supported")
     return values
@@ -149,7 +153,7 @@ class GeoTiff(DataSource):
 
 class GeoTiffReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self) -> list[InputPartition]:
         h = read_header(self.path)
@@ -179,23 +183,87 @@ def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
     return spark.read.format("geotiff").load(path), read_header(path)
 
 
-def write_grid(grid: DataFrame, path: str, like: Header, kind: str = "f4", fill: float = float("nan")) -> None:
-    """Write (row, col, v) as a deflated TIFF with the georeference of another grid. A raster file is one file: its cells
-    come to the driver, in strips of rows, one at a time."""
+def pack_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes from the highest bit on, a code longer one entry early, a clear code before the table is full."""
+    clear, end = 256, 257
+    out, bits, held = bytearray(), 0, 0
+    table, width, code = {bytes([i]): i for i in range(256)}, 9, clear
+
+    def put(code: int) -> None:
+        nonlocal bits, held
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+        held &= (1 << bits) - 1
+
+    put(clear)
+    following, prefix = 258, b""
+    for i in range(len(data)):
+        longer = prefix + data[i : i + 1]
+        if longer in table:
+            prefix = longer
+            continue
+        put(table[prefix])
+        table[longer] = following
+        following += 1
+        if following >= 4094:
+            put(clear)
+            table, following, width = {bytes([i]): i for i in range(256)}, 258, 9
+        else:
+            width = 12 if following >= 2048 else 11 if following >= 1024 else 10 if following >= 512 else 9
+        prefix = data[i : i + 1]
+    if prefix:
+        put(table[prefix])
+        following += 1
+        width = 12 if following >= 2048 else 11 if following >= 1024 else 10 if following >= 512 else 9
+    put(end)
+    if bits:
+        out.append(held << (8 - bits) & 255)
+    return bytes(out)
+
+
+#: TIFF numbers of the compressions that are written.
+COMPRESSIONS = {"none": 1, "lzw": 5, "deflate": 8}
+
+
+def pack_block(block: np.ndarray, compression: str, predictor: int) -> bytes:
+    if predictor == 2:
+        words = block.view(np.dtype(f"u{block.dtype.itemsize}"))
+        block = np.concatenate((words[:, :1], np.diff(words, axis=1)), axis=1)
+    raw = np.ascontiguousarray(block).tobytes()
+    return pack_lzw(raw) if compression == "lzw" else zlib.compress(raw) if compression == "deflate" else raw
+
+
+def write_grid(grid: DataFrame, path: str, like: Header, kind: str = "f4", fill: float = float("nan"), compression: str = "lzw", strip_values: int = 250_000) -> None:
+    """Write (row, col, v) as one TIFF with the georeference of another grid: LZW or deflate with differences of
+    neighbours (predictor 2), or uncompressed.
+
+    Strips of rows are filled and compressed by tasks; the driver gets compressed strips only, which is what the file
+    holds. Cells without a row are ``fill``; of repeated cells one is written.
+    """
     from pyspark.sql import functions as F
 
-    step = max(1, 4_000_000 // max(1, like.n_cols))
+    predictor = 1 if compression == "none" else 2
+    step = max(1, strip_values // max(1, like.n_cols))
+    cells = grid.select((F.col("row") / step).cast("long").alias("s"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("v").cast("double").alias("v"))
+    n_rows, n_cols = like.n_rows, like.n_cols
+
+    def strip(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        s = int(key[0])
+        block = np.full((min(step, n_rows - s * step), n_cols), fill, np.dtype("<" + kind))
+        block[frame["row"].to_numpy() - s * step, frame["col"].to_numpy()] = frame["v"].to_numpy()
+        return pd.DataFrame({"s": [s], "data": [pack_block(block, compression, predictor)]})
+
+    made = {r["s"]: bytes(r["data"]) for r in cells.groupBy("s").applyInPandas(strip, "s long, data binary").toLocalIterator()}
     strips = []
-    cells = grid.select("row", "col", "v").withColumn("s", F.floor(F.col("row") / step)).repartition("s").sortWithinPartitions("s").persist()
-    for s in range(-(-like.n_rows // step)):
-        block = np.full((min(step, like.n_rows - s * step), like.n_cols), fill, np.dtype("<" + kind))
-        found = cells.where(F.col("s") == s).toPandas()
-        block[found["row"].to_numpy(int) - s * step, found["col"].to_numpy(int)] = found["v"].to_numpy()
-        strips.append(zlib.compress(block.tobytes()))
-    cells.unpersist()
+    for s in range(-(-n_rows // step)):
+        if s not in made:
+            made[s] = pack_block(np.full((min(step, n_rows - s * step), n_cols), fill, np.dtype("<" + kind)), compression, predictor)
+        strips.append(made[s])
     entries: list[tuple[int, int, tuple | bytes]] = [
-        (WIDTH, 4, (like.n_cols,)), (HEIGHT, 4, (like.n_rows,)), (BITS, 3, (8 * np.dtype(kind).itemsize,)), (COMPRESSION, 3, (8,)), (262, 3, (1,)), (STRIPS, 4, tuple([0] * len(strips))), (SAMPLES, 3, (1,)),
-        (ROWS_A_STRIP, 4, (step,)), (STRIP_SIZES, 4, tuple(map(len, strips))), (PREDICTOR, 3, (1,)), (FORMAT, 3, ({"u": 1, "i": 2, "f": 3}[kind[0]],)),
+        (WIDTH, 4, (like.n_cols,)), (HEIGHT, 4, (like.n_rows,)), (BITS, 3, (8 * np.dtype(kind).itemsize,)), (COMPRESSION, 3, (COMPRESSIONS[compression],)), (262, 3, (1,)), (STRIPS, 4, tuple([0] * len(strips))), (SAMPLES, 3, (1,)),
+        (ROWS_A_STRIP, 4, (step,)), (STRIP_SIZES, 4, tuple(map(len, strips))), (PREDICTOR, 3, (predictor,)), (FORMAT, 3, ({"u": 1, "i": 2, "f": 3}[kind[0]],)),
         (SCALE, 12, (like.transform[1], -like.transform[5], 0.0)), (TIE, 12, (0.0, 0.0, 0.0, like.transform[0], like.transform[3], 0.0)), *([(GEO_KEYS, 3, tuple(like.tags["geo"]))] if like.tags.get("geo") else []), (NODATA, 2, f"{fill}".encode() + b"\0"),
     ]
     at = 8 + 2 + 12 * len(entries) + 4
@@ -215,5 +283,5 @@ def write_grid(grid: DataFrame, path: str, like: Header, kind: str = "f4", fill:
             extra += raw + b"\0" * (size % 2)
         else:
             out += struct.pack("<HHI", tag, kind_, count) + raw.ljust(4, b"\0")
-    with open(path, "wb") as f:
+    with open_output(path) as f:
         f.write(out + struct.pack("<I", 0) + extra + b"".join(strips))

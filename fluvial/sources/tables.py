@@ -6,8 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CURVE_SCHEMA = "COMID bigint, Row bigint, Col bigint, BaseElev double, DEM_Elev double, QMax double, Slope double, XS_Angle double, depth_a double, depth_b double, tw_a double, tw_b double, vel_a double, vel_b double"
-#: Land-cover classes of a common 10 m product and their usual roughness.
-DEFAULT_ROUGHNESS = ((10, "Tree Cover", 0.120), (20, "Shrubland", 0.050), (30, "Grassland", 0.030), (40, "Cropland", 0.035), (50, "Built-up", 0.075), (60, "Bare", 0.030), (70, "Snow and Ice", 0.030), (80, "Water", 0.030), (90, "Emergent Wetland", 0.100), (95, "Mangrove", 0.100), (100, "Moss and Lichen", 0.010))
+#: Land-cover classes of the national product that runs start from, and their roughness (fixed values).
+DEFAULT_ROUGHNESS = (
+    (11, "Water", 0.030),
+    (21, "Dev_Open_Space", 0.013),
+    (22, "Dev_Low_Intesity", 0.050),
+    (23, "Dev_Med_Intensity", 0.075),
+    (24, "Dev_High_Intensity", 0.100),
+    (31, "Barren_Land", 0.030),
+    (41, "Decid_Forest", 0.120),
+    (42, "Evergreen_Forest", 0.120),
+    (43, "Mixed_Forest", 0.120),
+    (52, "Shrub", 0.050),
+    (71, "Grass_Herb", 0.030),
+    (81, "Pasture_Hay", 0.040),
+    (82, "Cultivated_Crops", 0.035),
+    (90, "Woody_Wetlands", 0.100),
+    (95, "Emergent_Herb_Wet", 0.100),
+)
 MANUAL_ARRAYS = {"XS1_Profile": "double", "XS2_Profile": "double", "LC1_Profile": "int", "LC2_Profile": "int", "XS1_Row": "int", "XS1_Col": "int", "XS2_Row": "int", "XS2_Col": "int"}
 
 

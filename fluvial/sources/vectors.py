@@ -5,12 +5,16 @@ from __future__ import annotations
 import json
 import sqlite3
 import struct
-from pathlib import Path
+from collections.abc import Iterator
+from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import read_bytes
+
 POINT = "struct<x:double,y:double>"
 PARTS = f"array<array<{POINT}>>"
 
@@ -43,6 +47,38 @@ def parse_wkb(data: bytes) -> list[list[tuple[float, float]]]:
     return one(0)[0]
 
 
+def with_parts(raw: DataFrame, geometry: str) -> DataFrame:
+    """The parts of a column of WKB, in Arrow batches; null stays null."""
+    kept = [c for c in raw.columns if c != geometry]
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if d is None else [[{"x": v[0], "y": v[1]} for v in part] for part in parse_wkb(d)] for d in batch.column(geometry).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, kind)], [*kept, "parts"])
+
+    return raw.mapInArrow(run, ", ".join([*[f"`{c}` {raw.schema[c].dataType.simpleString()}" for c in kept], f"parts {PARTS}"]))
+
+
+def make_wkb(parts: list[list[tuple[float, float]]]) -> bytes:
+    """A multi-line, or a multi-point where every part is one vertex."""
+    if all(len(p) == 1 for p in parts):
+        return struct.pack("<BII", 1, 4, len(parts)) + b"".join(struct.pack("<BI2d", 1, 1, *p[0]) for p in parts)
+    return struct.pack("<BII", 1, 5, len(parts)) + b"".join(struct.pack("<BII", 1, 2, len(p)) + b"".join(struct.pack("<2d", *v) for v in p) for p in parts)
+
+
+def with_wkb(lines: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """``parts`` as WKB."""
+    kept = [c for c in lines.columns if c != "parts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if p is None else make_wkb([[(v["x"], v["y"]) for v in part] for part in p]) for p in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(made, pa.binary())], [*kept, geometry])
+
+    return lines.mapInArrow(run, ", ".join([*[f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in kept], f"{geometry} binary"]))
+
+
 def _rows(spark: SparkSession, rows: list[dict], columns: list[str]) -> DataFrame:
     kinds = []
     for c in columns:
@@ -57,7 +93,7 @@ def _rows(spark: SparkSession, rows: list[dict], columns: list[str]) -> DataFram
 
 def _geojson(path: str) -> list[dict]:
     out = []
-    for f in json.loads(Path(path).read_text())["features"]:
+    for f in json.loads(read_bytes(path))["features"]:
         g = f["geometry"]
         parts = {"LineString": lambda c: [c], "MultiLineString": lambda c: c, "Point": lambda c: [[c]], "MultiPoint": lambda c: [[p] for p in c]}[g["type"]](g["coordinates"])
         out.append({**f["properties"], "parts": [[(float(p[0]), float(p[1])) for p in part] for part in parts]})
@@ -65,7 +101,7 @@ def _geojson(path: str) -> list[dict]:
 
 
 def _shapefile(path: str) -> list[dict]:
-    data, table = Path(path).read_bytes(), Path(path).with_suffix(".dbf").read_bytes()
+    data, table = read_bytes(path), read_bytes(path[: -len(PurePosixPath(path).suffix)] + ".dbf")
     n, head, width = struct.unpack("<IHH", table[4:12])
     names, at = [], 32
     while table[at] != 13:
@@ -110,11 +146,7 @@ def read_lines(spark: SparkSession, path: str, layer: str | None = None) -> Data
         raw = spark.read.parquet(path)
         geometry = "geometry" if "geometry" in raw.columns else "geom"
 
-        @F.udf(PARTS)
-        def parts(data):
-            return None if data is None else parse_wkb(bytes(data))
-
-        return raw.withColumn("parts", parts(geometry)).drop(geometry)
+        return with_parts(raw, geometry)
     rows = _geojson(path) if path.endswith((".geojson", ".json")) else _shapefile(path) if path.endswith(".shp") else _geopackage(path, layer) if path.endswith(".gpkg") else None
     if rows is None:
         raise ValueError(f"{path}: unknown vector format")

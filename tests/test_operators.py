@@ -190,9 +190,13 @@ def test_features_and_geojson(spark, tmp_path):
     out = features.curve_features(curves, forecast, seeds, (0.0, 10.0, 0.0, 0.0, 0.0, -10.0))
     rows = out.orderBy("Col").collect()
     assert [r.Col for r in rows] == [0, 6] and [r.SEED for r in rows] == ["1", "0"]
-    outputs.write_geojson(out, str(tmp_path / "o"))
-    one = json.loads(spark.read.text(str(tmp_path / "o")).first()[0])
+    outputs.write_geojson(out.repartition(3), str(tmp_path / "o.geojson"), "EPSG:26912")
+    whole = json.loads((tmp_path / "o.geojson").read_text())
+    assert whole["type"] == "FeatureCollection" and whole["crs"]["properties"]["name"] == "EPSG:26912" and len(whole["features"]) == 2
+    one = whole["features"][0]
     assert one["geometry"]["type"] == "Point" and set(one["properties"]) == {"WaterSurfaceElev_m", "SEED"}
+    outputs.write_geojson(out.limit(0), str(tmp_path / "none.geojson"))
+    assert json.loads((tmp_path / "none.geojson").read_text())["features"] == []
 
 
 def test_streamed_forecast(spark, tmp_path):
@@ -204,3 +208,136 @@ def test_streamed_forecast(spark, tmp_path):
     q = streaming.levels(stream, vdt, 2).writeStream.format("memory").queryName("levels").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination()
     assert spark.table("levels").first().WaterSurfaceElev_m == 20.0
+
+
+def test_thinning_of_a_long_chain_equals_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TILE_WIDTH", 4)
+    pts = [(i, float(i * 3 % 1499), float(i % 5), 100.0 + (i % 7) * 0.01) for i in range(900)]
+    kept = []
+    for i, x, y, z in pts:
+        if not any(math.hypot(x - a, y - b) <= 10 and abs(z - c) / ((z + c) / 2) * 100 <= 0.05 for _, a, b, c in kept):
+            kept.append((i, x, y, z))
+    df = spark.createDataFrame(pts, "id long, x double, y double, wse double")
+    assert {r.id for r in spatial.thin(df, 10.0, 0.05, "id", "wse").collect()} == {k[0] for k in kept}
+    assert spatial.thin(df.limit(0), 10.0, 0.05, "id", "wse").count() == 0
+
+
+def test_nearest_from_far_away(spark):
+    pts = [(i, 1e6 + i * 0.5 % 100, 1e6 + i % 13) for i in range(500)]
+    seeds = [(1, 0.0, 0.0), (2, 1e6 + 50, 1e6 + 5), (3, 2e6, 0.0)]
+    got = {(r.seed, r.id) for r in spatial.nearest(spark.createDataFrame(seeds, "seed long, x double, y double"), spark.createDataFrame(pts, "id long, x double, y double"), "seed").collect()}
+    want = set()
+    for s, x, y in seeds:
+        d = {i: math.hypot(x - a, y - b) for i, a, b in pts}
+        want |= {(s, i) for i in d if d[i] == min(d.values())}
+    assert got == want
+
+
+def naive_sweep(cells, n_rows, n_cols):
+    """The clean-up on a padded array, in the words of its description."""
+    b = np.zeros((n_rows + 4, n_cols + 4), int)
+    for (r, c), v in cells.items():
+        b[r + 2, c + 2] = v
+    order = sorted((r + 2, c + 2) for r, c in cells)
+    for _ in range(2):
+        for r, c in order:
+            if not b[r, c]:
+                continue
+            lone = lambda a: not a.any()
+            up, down, left, right = b[r - 1, c], b[r + 1, c], b[r, c - 1], b[r, c + 1]
+            vertical = not left and not right and ((lone(b[r + 1, c - 1 : c + 2]) and up) or (lone(b[r - 1, c - 1 : c + 2]) and down))
+            across = not up and not down and ((lone(b[r - 1 : r + 2, c + 1]) and left) or (lone(b[r - 1 : r + 2, c - 1]) and right))
+            if vertical or across:
+                b[r, c] = 0
+        for r, c in order:
+            v = b[r, c]
+            if not v or any(b[r + s, c] == v and v in (b[r + s, c - 1], b[r + s, c + 1]) for s in (1, -1)):
+                continue
+            for s in (1, -1):
+                if b[r, c + s] == v and v in (b[r + 1, c + s], b[r - 1, c + s]):
+                    if not b[r - 1, c + 2 * s] and not b[r, c + 2 * s]:
+                        b[r, c + s] = 0
+                    break
+    return {(int(r) - 2, int(c) - 2): int(b[r, c]) for r, c in zip(*b.nonzero())}
+
+
+def test_streams_are_cleaned_by_components(spark):
+    from fluvial.operators import streams
+
+    rng = np.random.default_rng(4)
+    cells = {(int(r), int(c)): int(rng.integers(1, 4)) for r, c in zip(*np.nonzero(rng.random((40, 40)) < 0.18))}
+    cells |= {(20, c): 9 for c in range(5, 35)} | {(r, 17): 9 for r in range(21, 30)}
+    want = naive_sweep(cells, 40, 40)
+    assert streams.swept(cells) == want and 0 < len(want) < len(cells)
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()], "row int, col int, comid long")
+    assert {(r.row, r.col): r.comid for r in streams.clean_streams(df).collect()} == want
+    assert streams.clean_streams(df.limit(0)).count() == 0
+
+
+def test_exposed_points_and_seeds_of_a_reach(spark):
+    a, b, c, d = (0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (1.0, 1.0)
+    assert spatial.exposed_points([[a, b], [b, c], [d, b]], [a, b, c]) == [a, c]
+    points = spark.createDataFrame([(1, 0, i, float(i), 0.0, 10.0 + i) for i in range(5)] + [(2, 1, 0, 0.0, 9.0, 5.0)], "COMID long, Row long, Col long, x double, y double, BaseElev double")
+    seeds = spark.createDataFrame([("s", 1, 0.2, 0.1), ("t", 1, 3.9, 0.1), ("u", 1, 0.0, 8.9)], "seed string, COMID long, x double, y double")
+    got = {(r.COMID, r.Col) for r in spatial.tag_seeds_of_reach(points, seeds).where("SEED = '1'").collect()}
+    assert got == {(1, 4)}  # the highest; the third seed lies next to another reach
+
+
+def test_projection_there_and_back(spark):
+    rows = spark.createDataFrame([(-111.5, 40.2), (-109.1, 45.0), (-113.7, 31.3)], "lon double, lat double")
+    xy = rows.select("lon", "lat", *[v.alias(n) for v, n in zip(spatial.utm(F.col("lon"), F.col("lat"), 12), "xy")])
+    back = xy.select("lon", "lat", *[v.alias(n) for v, n in zip(spatial.geographic(F.col("x"), F.col("y"), 12), ("lon2", "lat2"))])
+    for r in back.collect():
+        assert abs(r.lon - r.lon2) < 1e-7 and abs(r.lat - r.lat2) < 1e-7
+
+
+@pytest.mark.parametrize("compression", ["none", "lzw", "deflate"])
+def test_written_rasters_of_all_compressions(spark, tmp_path, compression):
+    like = raster.Header("<", 70, 90, "f4", 1, 1, (70, 90), [], [], (100.0, 2.0, 0.0, 50.0, 0.0, -2.0), False, 26912, None, False, {"geo": (1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 26912)})
+    grid = spark.createDataFrame([(r, c, float(r * 90 + c) / 8) for r in range(70) for c in range(90) if 10 < r < 55], "row int, col int, v double")
+    raster.write_grid(grid, str(tmp_path / "g.tif"), like, compression=compression, strip_values=1000)
+    back, head = raster.read_grid(spark, str(tmp_path / "g.tif"))
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in grid.collect()}
+    assert head.predictor == (1 if compression == "none" else 2) and len(head.places) > 1
+
+
+def test_packed_words_come_back():
+    for n in (0, 1, 5, 5000, 60000):
+        data = np.random.default_rng(n).integers(0, 7 if n < 10000 else 256, n).astype(np.uint8).tobytes()
+        assert raster.unpack_lzw(raster.pack_lzw(data)) == data
+
+
+def test_vector_sinks(spark, tmp_path):
+    rows = [(7, [[(0.0, 0.0), (1.0, 0.0)], [(5.0, 5.0), (9.0, 5.0), (9.0, 6.0)]]), (8, [[(2.0, 3.0)]])]
+    lines = spark.createDataFrame(rows, f"COMID long, parts {vectors.PARTS}")
+    for name in ("l.geojson", "l.parquet"):
+        outputs.write_vector(lines, str(tmp_path / name))
+        back = vectors.read_lines(spark, str(tmp_path / name)).collect()
+        assert sorted((r.COMID, [[(p.x, p.y) for p in part] for part in r.parts]) for r in back) == rows
+    outputs.write_points_geojson(spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, z double"), str(tmp_path / "p.geojson"), 4326)
+    whole = json.loads((tmp_path / "p.geojson").read_text())
+    assert whole["crs"]["properties"]["name"].endswith("EPSG::4326") and whole["features"][0]["geometry"]["coordinates"] == [1.0, 2.0, 3.0]
+
+
+def test_inputs_are_prepared_from_a_folder(spark, tmp_path):
+    from fluvial.plans import prepare
+
+    like = raster.Header("<", 20, 30, "f4", 1, 1, (20, 30), [], [], (0.0, 1.0, 0.0, 20.0, 0.0, -1.0), False, 26912, None, False, {"geo": (1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 26912)})
+    grid = spark.range(600).select((F.col("id") / 30).cast("int").alias("row"), (F.col("id") % 30).cast("int").alias("col"))
+    for folder in ("DEM", "LandCover", "lines"):
+        (tmp_path / folder).mkdir()
+    raster.write_grid(grid.withColumn("v", F.col("row") + 0.5), str(tmp_path / "DEM/DEM.tif"), like)
+    raster.write_grid(grid.withColumn("v", F.lit(11.0)), str(tmp_path / "LandCover/LandCover.tif"), like, "i4", 0)
+    (tmp_path / "lines/s.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"id": 7}, "geometry": {"type": "LineString", "coordinates": [[2.5, 5.5], [25.5, 15.5]]}}]}))
+    saved, prepare.LINES = prepare.LINES, "lines/s.geojson"
+    try:
+        config = prepare.prepare(spark, str(tmp_path), "id", "qmax", "qbase", "flows.csv", False, False)
+        with pytest.raises(ValueError):
+            prepare.prepare(spark, str(tmp_path), "id", "qmax", "qbase", "flows.csv", False, False)
+    finally:
+        prepare.LINES = saved
+    cells, _ = raster.read_grid(spark, config.streams)
+    assert {r.v for r in cells.collect()} == {7.0} and cells.count() > 10
+    assert raster.read_grid(spark, config.cover)[0].where("v = 11").count() == 600
+    assert {(r.lc, r.n) for r in tables.read_roughness(spark, config.roughness).collect()} >= {(11, 0.03), (95, 0.1), (21, 0.013)}
+    assert Config.read(str(tmp_path / prepare.CONFIG)).flow_max == "qmax"
