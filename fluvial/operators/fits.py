@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
-from ..plans.lineage import cut
+from ..plans.lineage import settle
 
 #: First guesses of top width, velocity and depth, and what a fit that fails gives.
 STARTS = {"tw": (12.0, 0.3), "vel": (1.0, 0.3), "depth": (0.2, 0.5)}
@@ -89,27 +89,47 @@ def log_line(points: DataFrame, key: str) -> DataFrame:
     return s.select(key, F.exp((F.col("sy") - F.col("b") * F.col("sx")) / F.col("n")).alias("a"), "b")
 
 
-def pooled_curves(results: DataFrame, key: str = "COMID", rounds: int = 6) -> DataFrame:
-    """One fit a reach over all increments of all its cells: Gauss-Newton on sums, so a long reach is never in one task.
+def pooled_curves(results: DataFrame, key: str = "COMID", rounds: int = 100) -> DataFrame:
+    """One fit a reach over all increments of all its cells, as depth_a .. vel_b.
 
-    Starts from the least-squares line of the logarithms; each round sums the normal equations of all reaches.
+    Damped least squares on sums: a round sums the normal equations of all fits at their trial parameters, which is a
+    row a reach and task, so a long reach is never in one task; steps, damping and the end follow from the sums. A fit
+    with fewer than two points, or that does not settle, is FAILED.
     """
-    points = results.select(key, F.explode("inc").alias("i"), "base_elev").select(
-        key, F.col("i.q").alias("q"), F.col("i.t").alias("tw"), F.col("i.v").alias("vel"), (F.col("i.wse") - F.col("base_elev")).alias("depth")
-    )
-    points = cut(points.where("q > 0"))
-    out = None
-    for name in ("depth", "tw", "vel"):
-        mine = points.select(key, F.col("q"), F.col(name).alias("y")).where("y > 0")
-        fit = log_line(mine, key)
-        for _ in range(rounds):
-            p = F.pow("q", "b")
-            j, r = F.col("a") * p * F.log("q"), F.col("y") - F.col("a") * p
-            sums = mine.join(fit, key).groupBy(key).agg(
-                F.first("a").alias("a"), F.first("b").alias("b"), F.sum(p * p).alias("aa"), F.sum(p * j).alias("ab"), F.sum(j * j).alias("bb"), F.sum(p * r).alias("ga"), F.sum(j * r).alias("gb")
-            )
-            det = F.expr("aa * bb - ab * ab")
-            fit = cut(sums.select(key, (F.col("a") + F.coalesce(F.try_divide(F.expr("bb * ga - ab * gb"), det), F.lit(0.0))).alias("a"), (F.col("b") + F.coalesce(F.try_divide(F.expr("aa * gb - ab * ga"), det), F.lit(0.0))).alias("b")))
-        fit = fit.select(key, rounded("a").alias(f"{name}_a"), rounded("b").alias(f"{name}_b"))
-        out = fit if out is None else out.join(fit, key)
-    return out
+    values = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("y")) for n, c in (("depth", "d"), ("tw", "i.t"), ("vel", "i.v"))])
+    points = results.select(key, F.explode("inc").alias("i"), "base_elev").withColumn("d", F.col("i.wse") - F.col("base_elev"))
+    points = settle(points.where("i.q > 0").select(key, F.col("i.q").alias("q"), F.explode(values).alias("v")).select(key, "q", "v.name", "v.y").where("y IS NOT NULL"), "points")
+    starts = F.map_from_arrays(F.array(*[F.lit(n) for n in STARTS]), F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in STARTS.values()]))
+    fits = points.groupBy(key, "name").agg(F.count("*").alias("n")).withColumn("p", starts[F.col("name")])
+    kept = ("aa", "ab", "bb", "ga", "gb")
+    none = {c: F.lit(None).cast("double") for c in ("a", "b", "cost", *kept)}
+    fits = fits.select(key, "name", F.col("p.a").alias("ta"), F.col("p.b").alias("tb"), (F.col("n") < 2).alias("done"), F.lit(False).alias("good"), F.lit(1e-3).alias("damp")).withColumns(none)
+    fits = settle(fits, "fits")
+    for _ in range(rounds):
+        p = F.pow("q", "tb")
+        j, r = F.col("ta") * p * F.log("q"), F.col("ta") * p - F.col("y")
+        asked = fits.where("NOT done").select(key, "name", "ta", "tb")
+        terms = {"cost": r * r, "aa": p * p, "ab": p * j, "bb": j * j, "ga": p * r, "gb": j * r}
+        sums = points.join(asked, [key, "name"]).groupBy(key, "name").agg(*[F.sum(t).alias(f"n_{c}") for c, t in terms.items()])
+        now = fits.join(sums, [key, "name"], "left")
+        better = ~F.col("done") & F.col("n_cost").isNotNull() & ~F.isnan("n_cost") & (F.col("cost").isNull() | (F.col("n_cost") <= F.col("cost")))
+        near = lambda t, o: F.abs(F.col(t) - F.col(o)) <= 1e-8 * (F.abs(F.col(o)) + 1e-8)
+        settled = better & F.col("cost").isNotNull() & ((near("ta", "a") & near("tb", "b")) | (F.col("cost") - F.col("n_cost") <= 1e-14 * F.col("cost")))
+        now = now.withColumns({"better": better, "settled": settled})
+        taken = {c: F.when(F.col("better"), F.col(f"n_{c}")).otherwise(F.col(c)) for c in ("cost", *kept)}
+        taken |= {o: F.when(F.col("better"), F.col(t)).otherwise(F.col(o)) for o, t in (("a", "ta"), ("b", "tb"))}
+        taken["damp"] = F.when(F.col("better"), F.greatest(F.col("damp") / 10, F.lit(1e-12))).otherwise(F.least(F.col("damp") * 10, F.lit(1e12)))
+        now = now.withColumns(taken)
+        now = now.withColumns({"good": F.col("good") | F.col("settled"), "done": F.col("done") | F.col("settled") | (F.col("damp") >= 1e12)})
+        da, db = F.col("aa") * (1 + F.col("damp")), F.col("bb") * (1 + F.col("damp"))
+        det = da * db - F.col("ab") * F.col("ab")
+        step_a = F.try_divide(F.col("ab") * F.col("gb") - db * F.col("ga"), det)
+        step_b = F.try_divide(F.col("ab") * F.col("ga") - da * F.col("gb"), det)
+        now = now.withColumns({"ta": F.col("a") + step_a, "tb": F.col("b") + step_b})
+        # No step can be made where the equations say nothing.
+        now = now.withColumn("done", F.col("done") | F.coalesce(F.col("ta").isNull() | F.col("tb").isNull(), F.lit(True)))
+        fits = settle(now.select(*fits.columns), "fits")
+        if fits.where("NOT done").isEmpty():
+            break
+    of = lambda n, c: rounded(F.coalesce(F.max(F.when(F.col("name") == n, F.when(F.col("good"), F.col(c)).otherwise(FAILED))), F.lit(FAILED))).alias(f"{n}_{c}")
+    return fits.groupBy(key).agg(*[of(n, c) for n in ("depth", "tw", "vel") for c in "ab"])

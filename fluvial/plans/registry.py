@@ -269,10 +269,42 @@ def ap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return area_perimeter(named, INCREMENTS, ["COMID", "Row", "Col"])
 
 
-@query()
+NORMAL = "pow(q_max * n / (sqrt(slope) * side * pow(side / (2 * sqrt(side * side + 1)), 2.0::DOUBLE / 3)), 3.0::DOUBLE / 8)"
+
+
+@query(f"""WITH {CELL_SQL}, {REACH_SQL} SELECT comid, r, c, true AS near FROM (SELECT *, {NORMAL} AS w FROM cell JOIN reach USING (comid)) WHERE w * side < {LENGTH - 2}""")
 def solved_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full stage solve on triangular sections (bracketing root and staged search): no SQL twin; tested in closed form."""
-    return solver.rating_tables(carriers.sections(spark, sf_dir), 3, ("comid", "r", "c")).select("comid", "r", "c", "wse_max", F.get("inc", F.lit(2))["q"].alias("q"))
+    """Full stage solve (bracketing root and staged search) against normal depth in closed form, which triangular
+    sections have as long as they hold it: within half a centimetre."""
+    solved = solver.rating_tables(carriers.sections(spark, sf_dir), 3, ("comid", "r", "c")).select("comid", "r", "c", "wse_max")
+    every = carriers.cells(spark, sf_dir).join(carriers.reach(spark, sf_dir), "comid").withColumn("w", F.expr(NORMAL.replace("::DOUBLE", "D")))
+    both = every.where(F.col("w") * F.col("side") < LENGTH - 2).join(solved, ["comid", "r", "c"], "left")
+    return both.select("comid", "r", "c", F.coalesce(F.abs(F.col("wse_max") - F.col("w")) <= 0.005, F.lit(False)).alias("near"))
+
+
+def _power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that follow power laws exactly, one a reach, in cells of different flows."""
+    law = carriers.cells(spark, sf_dir).withColumns({"u": F.col("comid") % 7, "q0": 1 + F.col("qty") % 9})
+    q = lambda k: F.col("q0") * (k + 1)
+    item = lambda k: F.struct(q(k).alias("q"), ((0.5 + F.col("u") / 10) * F.pow(q(k), F.lit(0.4))).alias("v"), ((3 + F.col("u")) * F.pow(q(k), F.lit(0.3))).alias("t"), (5 + (0.2 + F.col("u") / 20) * F.pow(q(k), F.lit(0.5))).alias("wse"))
+    return law.select(F.col("comid").alias("COMID"), "r", "c", F.lit(5.0).alias("base_elev"), F.array(*[item(k) for k in range(5)]).alias("inc"))
+
+
+LAWS = "0.2::DOUBLE + comid % 7 / 20.0::DOUBLE AS depth_a, 0.5::DOUBLE AS depth_b, 3.0::DOUBLE + comid % 7 AS tw_a, 0.3::DOUBLE AS tw_b, 0.5::DOUBLE + comid % 7 / 10.0::DOUBLE AS vel_a, 0.4::DOUBLE AS vel_b"
+
+
+@query(f'WITH {CELL_SQL} SELECT comid AS "COMID", r, c, {LAWS} FROM cell')
+def cell_power_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.fits import cell_curves
+
+    return cell_curves(_power(spark, sf_dir), ["COMID", "r", "c"])
+
+
+@query(f'WITH {CELL_SQL} SELECT DISTINCT comid AS "COMID", {LAWS} FROM cell')
+def pooled_power_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.fits import pooled_curves
+
+    return pooled_curves(_power(spark, sf_dir))
 
 
 # --- neighbourhoods -------------------------------------------------------------------------------------------------
@@ -491,6 +523,94 @@ def circular_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(rounded(F.degrees(spatial.circular_mean(F.radians("value"))), 2).alias("bearing"))
 
 
+@query(f"""WITH {CELL_SQL}, {REACH_SQL}, lit AS (SELECT cell.comid AS "COMID", r, c, {r('0.1::DOUBLE * q_max')} AS velocity, {r('side / 5 * q_max')} AS width, {r('qty + 0.14::DOUBLE * q_max')} AS wse FROM cell JOIN reach USING (comid)),
+    m AS (SELECT *, avg(wse) OVER w AS a, stddev_samp(wse) OVER w AS s FROM lit WINDOW w AS (PARTITION BY "COMID")) SELECT "COMID", r, c, velocity, width, wse FROM m WHERE wse BETWEEN a - 2 * s AND a + 2 * s AND wse > 0""")
+def vdt_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rating tables that are lines, read between and beyond their increments."""
+    made = {f"{n}_{i}": e for i in (1, 2, 3) for n, e in (("q", F.lit(5.0 * i)), ("v", F.lit(0.5 * i)), ("t", F.col("side") * i), ("wse", F.col("qty") + 0.7 * i))}
+    vdt = carriers.cells(spark, sf_dir).withColumnRenamed("comid", "COMID").withColumns(made)
+    out = rating.evaluate_vdt(vdt, carriers.reach(spark, sf_dir).select("comid", "q_max"), 3)
+    return out.select("COMID", "r", "c", F.col("Velocity").alias("velocity"), F.col("TopWidth").alias("width"), F.col("WaterSurfaceElev_m").alias("wse"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level lines: supplier s along row s % 600, through the middles of 5 + s % 7 cells."""
+    at = lambda n: F.struct((n + 0.5).alias("x"), (-(F.col("s_suppkey") % 600) - 0.5).alias("y"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array(at(F.lit(0.0)), at((4 + F.col("s_suppkey") % 7).cast("double"))).alias("pts"))
+
+
+@query("""SELECT "row", col, max(s_suppkey) AS comid FROM (SELECT s_suppkey, s_suppkey % 600 AS "row", unnest(range(5 + s_suppkey % 7)) AS col FROM supplier) GROUP BY "row", col""")
+def rasterised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.rasterise(_lines(spark, sf_dir), (0.0, 1.0, 0.0, 0.0, 0.0, -1.0), "s_suppkey")
+
+
+@query(f"SELECT s_suppkey, {r('atan2(s_acctbal, 100.0::DOUBLE + s_nationkey)', 6)} AS bearing FROM supplier")
+def reach_bearings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    pts = F.array(at(F.lit(1), F.lit(2)), at(F.lit(50), F.lit(-3)), at(F.col("s_nationkey") + 101, F.col("s_acctbal") + 2))
+    return spatial.reach_bearing(table(spark, sf_dir, "supplier").withColumn("pts", pts)).select("s_suppkey", rounded("bearing", 6).alias("bearing"))
+
+
+ENDS_SQL = """ends AS (SELECT comid, arg_min(z, ("row", col)) AS z0, arg_max(z, ("row", col)) AS z1, min("row") AS r0, max("row") AS r1, arg_min(col, ("row", col)) AS c0, arg_max(col, ("row", col)) AS c1 FROM grid GROUP BY comid)"""
+
+
+@query(f"""WITH {GRID_SQL}, {ENDS_SQL} SELECT comid, {r('abs(z1 - z0) / sqrt((r1 - r0) * (r1 - r0) + (c1 - c0) * (c1 - c0))', 6)} AS slope FROM ends""")
+def end_point_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines from a stream's first cell to its last, in row-major order."""
+    grid = carriers.grid(spark, sf_dir)
+    at = lambda p: F.struct((F.col(f"{p}.col") + 0.5).alias("x"), (-F.col(f"{p}.row") - 0.5).alias("y"))
+    ends = grid.groupBy("comid").agg(F.min(F.struct("row", "col")).alias("a"), F.max(F.struct("row", "col")).alias("b"))
+    out = spatial.end_point_slope(ends.select("comid", F.array(at("a"), at("b")).alias("pts")), grid, (0.0, 1.0, 0.0, 0.0, 0.0, -1.0), "comid")
+    return out.select("comid", rounded("slope", 6).alias("slope"))
+
+
+@query(f"""WITH {GRID_SQL}, pts AS (SELECT l_orderkey AS k, l_linenumber AS l, l_suppkey * 4 + 1 AS pc, l_orderkey % 600 AS pr FROM lineitem),
+    near AS (SELECT k, l, z, greatest(abs("row" - pr), abs(col - pc)) AS ring, ("row" - pr) * ("row" - pr) + (col - pc) * (col - pc) AS d2, "row", col FROM pts JOIN (SELECT *, unnest(range(5)) - 2 AS i FROM grid) g ON g.col - pc BETWEEN -2 AND 2 AND "row" + i = pr)
+    SELECT k, l, arg_min(z, (ring, d2, "row", col)) AS z FROM near GROUP BY k, l""")
+def values_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elevation under a point in each line item's strip, or else the nearest within two cells."""
+    lines = table(spark, sf_dir, "lineitem")
+    pts = lines.select(F.struct("l_orderkey", "l_linenumber").alias("id"), (F.col("l_suppkey") * STRIP + 1.5).alias("x"), (-(F.col("l_orderkey") % ROWS) - 0.5).alias("y"))
+    out = spatial.value_near(pts, carriers.grid(spark, sf_dir), (0.0, 1.0, 0.0, 0.0, 0.0, -1.0), "id")
+    return out.select(F.col("id.l_orderkey").alias("k"), F.col("id.l_linenumber").alias("l"), "z")
+
+
+@query(f"""WITH {GRID_SQL}, size AS (SELECT {STRIP} * (max(l_suppkey) + 1) AS m FROM lineitem), ends AS (SELECT a."row", a.col, a.comid FROM grid a JOIN (SELECT "row" + i AS "row", col + j AS col FROM grid, (VALUES (-1), (0), (1)) x(i), (VALUES (-1), (0), (1)) y(j)) b
+    ON a."row" = b."row" AND a.col = b.col GROUP BY ALL HAVING count(*) <= 2 UNION SELECT "row", col, comid FROM grid, size WHERE "row" < 1 OR col < 1 OR "row" >= {ROWS - 1} OR col >= m - 1),
+    span AS (SELECT comid, min(z) AS lo, max(z) AS hi FROM grid GROUP BY comid)
+    SELECT ends.comid AS "COMID", 100.0::DOUBLE - 5.0::DOUBLE - "row" * 10.0::DOUBLE AS "Lat", 5.0::DOUBLE + col * 10.0::DOUBLE AS "Long", "row" AS "Row", col AS "Col", lo AS "MinElev", hi AS "MaxElev" FROM ends JOIN span USING (comid)""")
+def raster_seed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .features import raster_seeds
+
+    return raster_seeds(carriers.grid(spark, sf_dir), (0.0, 10.0, 0.0, 100.0, 0.0, -10.0), ROWS, carriers.columns(spark, sf_dir))
+
+
+@query(f"""WITH {PERIODS}, {PIVOT}, inside AS (SELECT c_custkey AS rivid FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND c_nationkey <= 12),
+    points AS (SELECT o_custkey AS rivid, {r("max(o_totalprice / 3.0::DOUBLE) FILTER (o_orderkey % 2 = 0)")} AS qout_median, {r("max(o_totalprice / 3.0::DOUBLE) FILTER (o_orderkey % 2 = 1)")} AS qout_max FROM orders WHERE o_custkey IN (SELECT rivid FROM inside) GROUP BY o_custkey)
+    SELECT rivid, p.* EXCLUDE (rivid), v.* EXCLUDE (rivid), {r('qout_max * 1.5::DOUBLE')} AS qout_max_premium, {r('rp100 * 1.5::DOUBLE')} AS rp100_premium FROM points p FULL JOIN (SELECT * FROM pivoted WHERE rivid IN (SELECT rivid FROM inside)) v USING (rivid)""")
+def tile_flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow table of the reaches in a box: each customer is a line between two points."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    reaches = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rivid"), F.array(at(F.lit(1), F.lit(1)), at(F.col("c_acctbal"), F.col("c_nationkey"))).alias("pts"))
+    curve = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rivid"), F.when(F.col("o_orderkey") % 2 == 0, 50.0).otherwise(0.0).alias("p_exceed"), (F.col("o_totalprice") / 3.0).alias("fdc"))
+    return flow_stats.tile_table(curve, _periods(spark, sf_dir), reaches, (0.0, 0.0, 5000.0, 12.0))
+
+
+@query("SELECT * FROM (VALUES (11, 'Water', 0.03::DOUBLE), (21, 'Dev_Open_Space', 0.013::DOUBLE), (22, 'Dev_Low_Intesity', 0.05::DOUBLE), (23, 'Dev_Med_Intensity', 0.075::DOUBLE), (24, 'Dev_High_Intensity', 0.1::DOUBLE), (31, 'Barren_Land', 0.03::DOUBLE), (41, 'Decid_Forest', 0.12::DOUBLE), (42, 'Evergreen_Forest', 0.12::DOUBLE), (43, 'Mixed_Forest', 0.12::DOUBLE), (52, 'Shrub', 0.05::DOUBLE), (71, 'Grass_Herb', 0.03::DOUBLE), (81, 'Pasture_Hay', 0.04::DOUBLE), (82, 'Cultivated_Crops', 0.035::DOUBLE), (90, 'Woody_Wetlands', 0.1::DOUBLE), (95, 'Emergent_Herb_Wet', 0.1::DOUBLE)) t(\"LC_ID\", \"Description\", \"Manning_n\")")
+def default_roughness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import tables
+
+    return tables.default_roughness(spark)
+
+
+@query()
+def cleaned_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swept in row-major order, so no SQL twin; tested against an array version."""
+    from ..operators import streams
+
+    return streams.clean_streams(carriers.grid(spark, sf_dir))
+
+
 @query(f"""WITH {GRID_SQL} SELECT DISTINCT comid FROM grid""")
 def distinct_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carriers.grid(spark, sf_dir).select("comid").distinct()
