@@ -2,72 +2,120 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import reached
+from ..plans.lineage import settle
 
-#: Cells further apart than this in rows or columns do not decide about each other.
-REACH = 2
+#: Sweeps over all cells (two passes of two), and cells that a band of rows holds on average.
+SWEEPS, BAND_CELLS = 4, 50_000
 
+Row = dict[int, int]
 
-def swept(cells: dict[tuple[int, int], int], passes: int = 2) -> dict[tuple[int, int], int]:
-    """The cells (row, col) -> stream that stay. Each of the passes goes over all cells in row-major order twice, and
-    sees what it has taken away already.
 
-    First spurs: a cell without neighbours on both sides of an axis, with a cell next to it along the axis and none of
-    the three on the other side, goes. Then doubled cells: where the row above and the row below do not carry the stream
-    on as a corner, a neighbour in the row that has a corner itself goes if nothing follows it.
-    """
-    left = dict(cells)
-    at = left.get
-    order = sorted(left)
-
-    def spur(r: int, c: int) -> bool:
-        for dr, dc in ((1, 0), (0, 1)):
-            if at((r + dc, c + dr)) or at((r - dc, c - dr)):
+def _spurs(row: Row, above: Row, below: Row) -> Row:
+    """Cells of a row (column -> stream) without those that have nothing on both sides of an axis, a cell next to them
+    along it, and none of the three on the other side. Taken from left to right: what went is seen."""
+    left = dict(row)
+    for c in sorted(row):
+        up, down, west, east = above.get(c), below.get(c), left.get(c - 1), left.get(c + 1)
+        if not west and not east:
+            over, under = (any(x.get(c + k) for k in (-1, 0, 1)) for x in (above, below))
+            if (up and not under) or (down and not over):
+                del left[c]
                 continue
-            for s in (1, -1):
-                beyond = any(at((r + s * dr + k * dc, c + s * dc + k * dr)) for k in (-1, 0, 1))
-                if not beyond and at((r - s * dr, c - s * dc)):
-                    return True
-        return False
-
-    def doubled(r: int, c: int, v: int) -> tuple[int, int] | None:
-        for s in (1, -1):  # a corner above or below leaves the row as it is
-            if at((r + s, c)) == v and v in (at((r + s, c + 1)), at((r + s, c - 1))):
-                return None
+        if not up and not down:
+            ahead, behind = (any(x.get(c + s) for x in (above, left, below)) for s in (1, -1))
+            if (west and not ahead) or (east and not behind):
+                del left[c]
+    return left
+
+
+def _doubled(row: Row, above: Row, below: Row) -> Row:
+    """Cells of a row without those next to a cell of their stream that have a corner of it, where nothing follows them
+    in the row or above; a cell whose own corner is in the next or the last row leaves its neighbours."""
+    left = dict(row)
+    for c in sorted(row):
+        v = left.get(c)
+        if not v or any(x.get(c) == v and v in (x.get(c + 1), x.get(c - 1)) for x in (below, above)):
+            continue
         for s in (1, -1):
-            if at((r, c + s)) == v and v in (at((r + 1, c + s)), at((r - 1, c + s))):
-                return None if at((r - 1, c + 2 * s)) or at((r, c + 2 * s)) else (r, c + s)
-        return None
-
-    for _ in range(passes):
-        for cell in order:
-            if cell in left and spur(*cell):
-                del left[cell]
-        for cell in order:
-            if cell in left and (gone := doubled(*cell, left[cell])):
-                del left[gone]
+            if left.get(c + s) == v and v in (below.get(c + s), above.get(c + s)):
+                if not above.get(c + 2 * s) and not left.get(c + 2 * s):
+                    del left[c + s]
+                break
     return left
 
 
+def swept(rows: dict[int, Row], first: int, last: int, over: list[Row] | None = None, under: list[Row] | None = None) -> list[dict[int, Row]]:
+    """Rows ``first`` to ``last`` before the first sweep and after each one.
+
+    A row's sweep sees the row above as that sweep has left it, and the row below as the sweep before has. ``over``: the
+    row above all after each sweep; ``under``: the row below all before each one (empty where they are not given).
+    """
+    states = [{r: rows.get(r, {}) for r in range(first, last + 1)}]
+    for k in range(SWEEPS):
+        before, after = states[-1], {}
+        for r in range(first, last + 1):
+            above = after[r - 1] if r > first else over[k] if over else {}
+            below = before[r + 1] if r < last else under[k] if under else {}
+            after[r] = (_spurs, _doubled)[k % 2](before[r], above, below) if before[r] else {}
+        states.append(after)
+    return states
+
+
 def clean_streams(cells: DataFrame) -> DataFrame:
-    """row, col, comid of the stream cells that stay.
+    """row, col, comid of the stream cells that stay. Of repeated cells the largest stream counts; an empty grid gives
+    no rows.
 
-    What a sweep does to a cell hangs on the cells before it, so cells that are linked by steps of two cells at most are
-    swept together, a component a group; components are found by joins. An empty grid gives no rows.
+    Rows are swept in bands. A band needs the rows next to it as the sweeps leave them, which it takes from what its
+    neighbours found in the round before; rounds go on until no band's edge changes, which is as often as a cascade of
+    removals crosses bands. So no task holds more than a band, and the result is that of one sweep over all.
     """
     own = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("comid").cast("long").alias("comid"))
-    own = own.withColumn("node", F.col("row") * (1 << 31) + F.col("col"))
-    steps = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(REACH + 1) for j in range(-REACH, REACH + 1) if (i, j) > (0, 0)]
-    near = own.select("node", "row", "col", F.explode(F.array(*steps)).alias("s")).select(F.col("node").alias("a"), ((F.col("row") + F.col("s.i")) * (1 << 31) + F.col("col") + F.col("s.j")).alias("b"))
-    labels = reached(near.join(own.select(F.col("node").alias("b")), "b"))
-    grouped = own.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = settle(own.groupBy("row", "col").agg(F.max("comid").alias("comid")), "streams")
+    shape = own.agg(F.count("*"), F.min("row"), F.max("row")).first()
+    if not shape[0]:
+        return own
+    n, low, high = shape
+    height = max(2, int(BAND_CELLS * (high - low + 1) / n))
+    band = F.floor((F.col("row") - low) / height)
+    banded = settle(own.withColumn("band", band), "banded").repartition("band")
+    # Edges: of each band the last row after sweeps 1 to 4 (for the band below), and the first row before them (for the one above).
+    edge = "band long, side int, k int, col long, comid long"
+
+    def run(frame: pd.DataFrame, edges: pd.DataFrame, b: int) -> list[dict[int, Row]]:
+        rows: dict[int, Row] = {}
+        for r, c, v in zip(frame["row"].tolist(), frame["col"].tolist(), frame["comid"].tolist()):
+            rows.setdefault(r, {})[c] = v
+        given: list[list[Row]] = [[{} for _ in range(SWEEPS)] for _ in range(2)]
+        for side, k, c, v in zip(edges["side"].tolist(), edges["k"].tolist(), edges["col"].tolist(), edges["comid"].tolist()):
+            given[side][k][c] = v
+        return swept(rows, low + b * height, low + (b + 1) * height - 1, *given)
+
+    def edges_of(key: tuple, frame: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        b = int(key[0])
+        states = run(frame, edges, b)
+        top, bottom = low + b * height, low + (b + 1) * height - 1
+        made = [(b + 1, 0, k, c, v) for k in range(SWEEPS) for c, v in states[k + 1][bottom].items()]
+        made += [(b - 1, 1, k, c, v) for k in range(SWEEPS) for c, v in states[k][top].items()]
+        return pd.DataFrame(made, columns=["band", "side", "k", "col", "comid"], dtype="int64").astype({"side": np.int32, "k": np.int32})
 
-    def sweep(frame: pd.DataFrame) -> pd.DataFrame:
-        left = swept(dict(zip(zip(frame["row"], frame["col"]), frame["comid"])))
-        return pd.DataFrame([(r, c, v) for (r, c), v in left.items()], columns=["row", "col", "comid"], dtype="int64")
+    def cells_of(key: tuple, frame: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        last = run(frame, edges, int(key[0]))[-1]
+        return pd.DataFrame([(r, c, v) for r, row in last.items() for c, v in row.items()], columns=["row", "col", "comid"], dtype="int64")
 
-    return grouped.groupBy("comp").applyInPandas(sweep, "row long, col long, comid long")
+    first = banded.where((F.col("row") - low) % height == 0).select((F.col("band") - 1).alias("band"), F.lit(1).alias("side"), F.explode(F.array(*map(F.lit, range(SWEEPS)))).alias("k"), "col", "comid")
+    last = banded.where((F.col("row") - low) % height == height - 1).select((F.col("band") + 1).alias("band"), F.lit(0).alias("side"), F.explode(F.array(*map(F.lit, range(SWEEPS)))).alias("k"), "col", "comid")
+    edges = settle(first.unionByName(last).select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in edge.split(", ")]), "edges")
+    known = banded.select("band").distinct()
+    while True:
+        found = banded.groupBy("band").cogroup(edges.join(known, "band", "left_semi").groupBy("band")).applyInPandas(edges_of, edge)
+        found = settle(found, "edges")
+        same = found.exceptAll(edges).isEmpty() and edges.exceptAll(found).isEmpty()
+        edges = found
+        if same:
+            break
+    return banded.groupBy("band").cogroup(edges.join(known, "band", "left_semi").groupBy("band")).applyInPandas(cells_of, "row long, col long, comid long")

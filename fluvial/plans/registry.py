@@ -172,14 +172,14 @@ def flow_table_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_stats.flow_table(wide, series)
 
 
-@query(f"""WITH series AS (SELECT o_custkey AS rivid, year(o_orderdate) AS y, o_totalprice / 7.0::DOUBLE AS q FROM orders WHERE o_orderpriority LIKE '1%'),
+@query(f"""WITH series AS (SELECT o_custkey AS rivid, year(o_orderdate) AS y, o_totalprice / 7.0123457::DOUBLE AS q FROM orders WHERE o_orderpriority LIKE '1%'),
     periods AS (SELECT c_custkey AS rivid, CASE c_mktsegment WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 5 ELSE 100 END AS rp, c_acctbal / 100.0::DOUBLE AS q FROM customer WHERE c_acctbal > 0), {PIVOT},
     whole AS (SELECT rivid, {r('avg(q)')} AS qout_mean, {r('median(q)')} AS qout_median, {r('max(q)')} AS qout_max FROM series GROUP BY rivid)
     SELECT coalesce(s.rivid, p.rivid) AS rivid, s.* EXCLUDE (rivid), p.* EXCLUDE (rivid) FROM whole s FULL JOIN pivoted p ON s.rivid = p.rivid""")
 def outer_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series of urgent orders, periods of customers in credit: some keys are on one side only."""
     urgent = table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'")
-    series = urgent.select(F.col("o_custkey").alias("rivid"), F.col("o_orderdate").alias("time"), (F.col("o_totalprice") / 7.0).alias("Qout"))
+    series = urgent.select(F.col("o_custkey").alias("rivid"), F.col("o_orderdate").alias("time"), (F.col("o_totalprice") / 7.0123457).alias("Qout"))
     period = F.when(F.col("c_mktsegment") == "BUILDING", 2).when(F.col("c_mktsegment") == "MACHINERY", 5).otherwise(100)
     periods = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("rivid"), period.alias("return_period"), (F.col("c_acctbal") / 100.0).alias("return_period_flow"))
     return flow_stats.retrospective(series, periods)
@@ -290,7 +290,7 @@ def _power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return law.select(F.col("comid").alias("COMID"), "r", "c", F.lit(5.0).alias("base_elev"), F.array(*[item(k) for k in range(5)]).alias("inc"))
 
 
-LAWS = "0.2::DOUBLE + comid % 7 / 20.0::DOUBLE AS depth_a, 0.5::DOUBLE AS depth_b, 3.0::DOUBLE + comid % 7 AS tw_a, 0.3::DOUBLE AS tw_b, 0.5::DOUBLE + comid % 7 / 10.0::DOUBLE AS vel_a, 0.4::DOUBLE AS vel_b"
+LAWS = f"{r('0.2::DOUBLE + comid % 7 / 20.0::DOUBLE')} AS depth_a, 0.5::DOUBLE AS depth_b, 3.0::DOUBLE + comid % 7 AS tw_a, 0.3::DOUBLE AS tw_b, {r('0.5::DOUBLE + comid % 7 / 10.0::DOUBLE')} AS vel_a, 0.4::DOUBLE AS vel_b"
 
 
 @query(f'WITH {CELL_SQL} SELECT comid AS "COMID", r, c, {LAWS} FROM cell')
