@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 No piece of the model has a whitespace marker after another character, or a line feed, so no merge crosses the start of
-a marker run or a line feed. A text is cut there; each distinct chunk is segmented once and the ids are joined back by
+a marker run or a line feed. A text is cut there; each distinct chunk is segmented once a worker and the ids are joined back by
 position. A model that breaks this rule is refused.
 """
 
@@ -20,10 +20,9 @@ from . import common
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
-#: Entries of a worker's table before it starts anew; a bound of memory, not of results.
-TABLE_ENTRIES = 500_000
-#: Characters of the table's keys before it starts anew.
-TABLE_CHARS = 30_000_000
+#: Entries, and characters of their keys, that a worker's table holds in each of two halves; a bound of memory, not of
+#: results. A full half becomes the older one, and what is asked for again moves on: what is frequent is never lost.
+TABLE_ENTRIES, TABLE_CHARS = 250_000, 15_000_000
 
 
 class ChunkTable:
@@ -41,6 +40,7 @@ class ChunkTable:
         if self.library.encode("\n", out_type=str)[0] != MARK or self.library.decode(self.probe) != "a":
             raise ValueError("the table needs a model that puts one marker before a text")
         self.entries, self.ids, self.plain, self.chars = entries, {}, {}, 0
+        self.older: tuple[dict, dict] = ({}, {})
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -57,8 +57,17 @@ class ChunkTable:
         if not new:
             return
         if len(self.ids) + len(new) > self.entries or self.chars > TABLE_CHARS:
+            self.older = self.ids, self.plain
             self.ids, self.plain, self.chars = {}, {}, 0
             new = list(set(chunks))
+        ids, plain = self.older
+        if known := [c for c in new if c in ids]:
+            self.ids.update((c, ids[c]) for c in known)
+            self.plain.update((c, plain[c]) for c in known)
+            self.chars += sum(map(len, known))
+            new = [c for c in new if c not in ids]
+        if not new:
+            return
         texts = [c[1:].replace(MARK, " ") if c[0] == MARK else c for c in new]
         ids = self.library.encode(texts, num_threads=1)
         # The library puts a marker first, but not before nothing; it cannot merge with a line feed.

@@ -603,3 +603,15 @@ def test_keys_of_the_names_of_results(spark):
     }.items():
         got = run(spark.createDataFrame(rows, f"`{name}` string, text string"))
         assert got.columns[0] == f"{name}_" and sorted(str(r[0]) for r in got.collect()) == ["None", "a", "a"], name
+
+
+def test_piece_table_that_overflows():
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    table = sentence_pieces.ChunkTable(path, entries=25)
+    for t in texts(60, 5) + [x for x in ODD if x] + texts(60, 5):
+        ids, plain = table.encode(t)
+        assert [int(i) for i in ids.split(",")] == library.encode(t) and plain == library.decode(library.encode(t))
+        assert len(table.ids) <= max(25, len(set(table.chunks(t)))) and len(table.older[0]) <= 400
