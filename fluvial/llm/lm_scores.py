@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from . import common
 HEAD_WORDS = 150_000
 #: Classes at least and at most (the most: 262,144 outputs, 35 MB of parameters). Context words, vector size.
 CLASSES, CONTEXT, DIMS = (16, 512), 3, 16
-#: Noise classes that a batch shares, and noise words of the own class a token.
-NOISE, NOISE_WORDS = 32, 2
+#: Noise classes that a batch shares, noise words of the own class a token, and the words of a class they are taken from.
+NOISE, NOISE_WORDS, POOL = 16, 2, 1_024
 #: Bound of the training documents' sample (rows, characters) that the pass over all training rows starts from.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 5_000_000
 #: Tasks of that pass at most (each sends all parameters once), and output rows sent together.
@@ -63,7 +64,24 @@ def own_outputs(words: list[bytes], classes: int) -> dict[bytes, int]:
 
 
 def _softplus_slope(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):  # far below, the slope is 0
+        y = np.exp(-x)
+        y += 1
+    return np.divide(1, y, out=y)
+
+
+class Outputs(dict):
+    """Word -> output; a word that is not held gets that of its end."""
+
+    def __init__(self, own: dict[bytes, int], classes: int) -> None:
+        super().__init__(own)
+        self.classes = classes
+
+    def __missing__(self, word: bytes) -> int:
+        return rare_output(word, self.classes)
+
+    def __reduce__(self):
+        return Outputs, (dict(self), self.classes)
 
 
 @dataclass
@@ -105,16 +123,28 @@ class Model:
     def _of(predicted: np.ndarray, vectors: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
         logits = predicted @ vectors.T
         logits += bias
-        logits -= logits.max(axis=1, keepdims=True)
+        top = logits.max()
+        if top > 60 or top < -60:  # else no row can run over or vanish
+            logits -= logits.max(axis=1, keepdims=True)
         own = logits[np.arange(len(target)), target].astype(np.float64)
         np.exp(logits, out=logits)
-        return own - np.log(logits.sum(axis=1, dtype=np.float64))
+        total = logits @ np.ones(logits.shape[1], np.float32)
+        if not total.all():
+            return own - np.log(np.maximum(logits.sum(axis=1, dtype=np.float64), 1e-300))
+        return own - np.log(total.astype(np.float64))
 
 
-def contexts(outputs: np.ndarray, start: int) -> np.ndarray:
-    """The CONTEXT outputs before each one, nearest first; ``start`` before the first."""
-    padded = np.concatenate((np.full(CONTEXT, start, outputs.dtype), outputs))
-    return np.stack([padded[CONTEXT - 1 - i : len(padded) - 1 - i] for i in range(CONTEXT)], axis=1)
+def stream_of(sequences: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
+    """All sequences in one array, ``start`` CONTEXT times in front of each, and the places of their outputs."""
+    front = np.full(CONTEXT, start)
+    stream = np.concatenate([x for s in sequences for x in (front, s)])
+    return stream, np.flatnonzero(stream < start)
+
+
+def contexts(outputs: np.ndarray | list[np.ndarray], start: int) -> np.ndarray:
+    """The CONTEXT outputs before each one, nearest first; ``start`` before the first. A list: of all its sequences."""
+    stream, at = stream_of(outputs if isinstance(outputs, list) else [outputs], start)
+    return np.stack([stream[at - 1 - i] for i in range(CONTEXT)], axis=1)
 
 
 class Trainer:
@@ -129,26 +159,31 @@ class Trainer:
         group = share.reshape(c, c).sum(axis=1)
         with np.errstate(divide="ignore"):
             self.group_log, self.inside_log = np.log(group).astype(np.float32), np.log(share / np.repeat(np.where(group > 0, group, 1.0), c)).astype(np.float32)
-        self.group_share, self.upto = group, np.concatenate(([0.0], np.cumsum(share)))
+        self.group_share, self.share = group, share
         n = len(counts)
         maps = np.stack([np.eye(DIMS) / (1 + i) for i in range(CONTEXT)])
         drawn = [self.rng.normal(0, 0.1, (n + 1, DIMS)), maps, self.rng.normal(0, 0.01, (n, DIMS)), self.inside_log, self.rng.normal(0, 0.01, (c, DIMS)), self.group_log]
         self.params = [p.astype(np.float32) for p in drawn]
         self.grown = [np.full_like(p, 1e-4) for p in self.params]
 
-    def _inside(self, group: np.ndarray) -> np.ndarray:
-        """Words drawn from the unigram distribution inside each class, NOISE_WORDS a row."""
-        low, high = self.upto[group * self.classes][:, None], self.upto[(group + 1) * self.classes][:, None]
-        drawn = np.searchsorted(self.upto, low + (high - low) * self.rng.random((len(group), NOISE_WORDS)), side="right") - 1
-        return np.clip(drawn, (group * self.classes)[:, None], (group * self.classes + self.classes - 1)[:, None])
-
-    def step(self, c: np.ndarray, t: np.ndarray) -> None:
+    def draw(self) -> np.ndarray:
+        """POOL words a class, drawn from the unigram distribution inside it; steps take their noise words from these."""
+        inside = np.cumsum(self.share.reshape(self.classes, -1), axis=1)
+        spots = self.rng.random((self.classes, POOL)) * inside[:, -1:]
+        at = np.stack([np.searchsorted(c, s, side="right") for c, s in zip(inside, spots)])
+        return np.minimum(at, self.classes - 1) + np.arange(self.classes)[:, None] * self.classes
+
+    def step(self, stream: np.ndarray, at: np.ndarray, pool: np.ndarray) -> None:
+        """One step over a stretch of outputs: those at the places ``at`` are predicted from the CONTEXT before each."""
+        at = at[np.argsort(stream[at], kind="stable")]  # equal targets, and targets of a class, stand together
+        t = stream[at]
         words, maps, out, bias, groups, group_bias = self.params
         n, of = len(bias), t // self.classes
         noise = self.rng.choice(self.classes, NOISE, p=self.group_share)
-        drawn = self._inside(of)
-        mapped = [words @ m.T for m in maps]
-        predicted = sum(m[c[:, i]] for i, m in enumerate(mapped))
+        drawn = pool[of[:, None], self.rng.integers(0, POOL, (len(t), NOISE_WORDS))]
+        vectors = words[stream]
+        before = [vectors[at - 1 - i] for i in range(CONTEXT)]
+        predicted = sum(x @ m.T for x, m in zip(before, maps))
         # Classes: all rows of the batch share the noise.
         out_c, out_n = groups[of], groups[noise]
         shift = group_bias - np.log(NOISE) - np.where(np.isfinite(self.group_log), self.group_log, 0)
@@ -167,24 +202,35 @@ class Trainer:
         def gathered(at: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
             return np.bincount((at[:, None] * DIMS + lanes).ravel(), g.ravel(), size * DIMS).reshape(size, DIMS)
 
-        g_out = gathered(np.concatenate((t, drawn.ravel())), np.concatenate((w_true[:, None] * predicted, (w_false[:, :, None] * predicted[:, None, :]).reshape(-1, DIMS))), n)
+        def together(at: np.ndarray, g: np.ndarray, into: np.ndarray) -> np.ndarray:
+            """Adds up rows that stand together in ``at``."""
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            into[at[first]] += np.add.reduceat(g, first, axis=0)
+            return into
+
+        g_out = sum(gathered(drawn[:, k], w_false[:, k, None] * predicted, n) for k in range(NOISE_WORDS))
+        g_out = together(t, w_true[:, None] * predicted, g_out)
         g_bias = np.bincount(t, w_true, n) + np.bincount(drawn.ravel(), w_false.ravel(), n)
-        g_groups = gathered(of, c_true[:, None] * predicted, self.classes) + gathered(noise, c_false.T @ predicted, self.classes)
+        g_groups = together(of, c_true[:, None] * predicted, gathered(noise, c_false.T @ predicted, self.classes))
         g_group_bias = np.bincount(of, c_true, self.classes) + np.bincount(noise, c_false.sum(axis=0), self.classes)
-        by_place = [gathered(c[:, i], g_pred, n + 1).astype(np.float32) for i in range(CONTEXT)]
-        g_maps = np.stack([g.T @ words for g in by_place])
-        g_words = sum(g @ m for g, m in zip(by_place, maps))
+        g_maps = np.stack([g_pred.T @ x for x in before])
+        g_vectors = np.zeros_like(vectors)
+        for i, m in enumerate(maps):
+            g_vectors[at - 1 - i] += g_pred @ m  # places are all different
+        g_words = gathered(stream, g_vectors, n + 1)
         for p, g, h in zip(self.params, (g_words, g_maps, g_out, g_bias, g_groups, g_group_bias), self.grown):
             g = g.astype(np.float32)
             h += g * g
             p -= self.rate * g / np.sqrt(h)
 
     def learn(self, sequences: list[np.ndarray], batch: int) -> None:
-        start = len(self.live)
-        context, target = np.concatenate([contexts(s, start) for s in sequences]), np.concatenate(sequences)
-        order = self.rng.permutation(len(target))
-        for a in range(0, len(order), batch):
-            self.step(context[order[a : a + batch]], target[order[a : a + batch]])
+        """Steps over the sequences in an order drawn anew, the place before the start in front of each."""
+        stream, places = stream_of([sequences[i] for i in self.rng.permutation(len(sequences))], len(self.live))
+        pool = self.draw()
+        for a in range(0, len(places), batch):
+            at = places[a : a + batch]
+            low = at[0] - CONTEXT
+            self.step(stream[low : at[-1] + 1], at - low, pool)
 
     def rows(self) -> np.ndarray:
         """Parameters by output: context vector, vector, bias; the last row is the place before the start."""
@@ -231,7 +277,7 @@ def fit(sequences: list[np.ndarray], counts: np.ndarray, passes: int = 3, rate:
     best = trainer.base()
     if not learn or not held:
         return best
-    check = np.concatenate([contexts(s, len(counts)) for s in held]), np.concatenate(held)
+    check = contexts(held, len(counts)), np.concatenate(held)
     best_score = best.log_probability(*check).mean()
     for last in [False] * passes + [True] * (more is not None):
         if last:
@@ -245,13 +291,13 @@ def fit(sequences: list[np.ndarray], counts: np.ndarray, passes: int = 3, rate:
     return best
 
 
-def outputs_of(text: str | None, output: dict[bytes, int], classes: int) -> np.ndarray:
-    """The outputs of a text's words, then the end. ``output``: of the words that need not be classed by their end."""
+def outputs_of(text: str | None, output: Outputs) -> np.ndarray:
+    """The outputs of a text's words, then the end."""
     words = common.words_of(text)
-    return np.array([*[rare_output(w, classes) if o is None else o for o, w in zip(map(output.get, words), words)], END])
+    return np.fromiter(chain(map(output.__getitem__, words), (END,)), np.int64, len(words) + 1)
 
 
-def learn_everywhere(texts: DataFrame, trainer: Trainer, output: dict[bytes, int]) -> None:
+def learn_everywhere(texts: DataFrame, trainer: Trainer, output: Outputs) -> None:
     """Each task trains on from ``trainer`` over all rows it reads; means of their parameters become the trainer's.
 
     An output's parameters are weighted by how often a task has seen it, what all outputs share by the task's tokens.
@@ -277,7 +323,7 @@ def learn_everywhere(texts: DataFrame, trainer: Trainer, output: dict[bytes, int
 
         for rows in batches:
             for t in rows.column(0).to_pylist():
-                waiting.append(outputs_of(t, output, own.classes))
+                waiting.append(outputs_of(t, output))
                 held += len(waiting[-1])
                 if held >= 300_000:
                     learn()
@@ -411,10 +457,10 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     place_of = {w: i for i, (w, _) in enumerate(head)}
 
     taken = bounded_sample(training.where(F.length("text") > 0).select("id", "text", F.lit("all").alias("label")), SAMPLE_ROWS, SAMPLE_CHARS, "text", "label", "id")
-    output = {w: int(o) for (w, _), o in zip(head, places)}
+    output = Outputs({w: int(o) for (w, _), o in zip(head, places)}, classes)
     # An output for words that training has not seen stays open: half a count each.
     counted = np.where((total > 0) | (np.arange(len(total)) < classes), np.maximum(total, 0.5), 0.0)
-    model = fit([outputs_of(t, output, classes) for t, _ in taken], counted, more=lambda trainer: learn_everywhere(training.select("text"), trainer, output))
+    model = fit([outputs_of(t, output) for t, _ in taken], counted, more=lambda trainer: learn_everywhere(training.select("text"), trainer, output))
 
     numerator = np.log10(np.array([c for _, c in head], np.float64) + 0.5)
     inside = np.zeros(len(total))  # log10 of the denominator of an output that words share
@@ -438,7 +484,7 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
                 """Scores of the texts that wait, all tokens together."""
                 if waiting:
                     every = np.concatenate(waiting)
-                    each = model.log_probability(np.concatenate([contexts(t, len(inside)) for t in waiting]), every) - inside[every]
+                    each = model.log_probability(contexts(waiting, len(inside)), every) - inside[every]
                     ends = np.cumsum([len(t) for t in waiting])
                     done = len(out[4]) - len(waiting)
                     for i, v in enumerate(np.add.reduceat(each, np.concatenate(([0], ends[:-1])))):
@@ -448,7 +494,7 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
             held = 0
             for t in batch.column(2).to_pylist():
                 words = common.words_of(t)
-                at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                 missing = np.flatnonzero(at < 0)
                 tail = [words[i] for i in missing.tolist()]
                 target = padded[at]
