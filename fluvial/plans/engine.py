@@ -138,6 +138,8 @@ class Engine:
         i = self.inputs
         slopes = cells.groupBy(F.col("comid").alias("source_id")).agg(F.median("slope").alias("slope"))
         rows = i.manual.join(i.flows, "comid").join(slopes, "source_id").withColumn("cell_seq", F.col("row") * i.n_cols + F.col("col"))
+        if rows.isEmpty():
+            raise ValueError("no manual section is of a reach with a flow")
         lift = 100.0 if self.shifted else 0.0
         for s in (1, 2):
             under = rows.select("cell_seq", F.posexplode(f"rc{s}").alias("i", "rc")).select("cell_seq", "i", F.col("rc.r").alias("row"), F.col("rc.c").alias("col")).join(ground.select("row", "col", "n"), ["row", "col"])
@@ -217,8 +219,10 @@ def main(argv: list[str] | None = None) -> None:
 
     parser = argparse.ArgumentParser(description="Rating curves of stream cells from grids")
     parser.add_argument("config")
+    parser.add_argument("--log-level", default="WARN", choices=["ALL", "DEBUG", "ERROR", "FATAL", "INFO", "OFF", "TRACE", "WARN"])
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    spark.sparkContext.setLogLevel(args.log_level)
     Engine(spark, Config.read(args.config)).run()
 
 

@@ -183,6 +183,13 @@ def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
     return spark.read.format("geotiff").load(path), read_header(path)
 
 
+def with_crs(head: Header, path: str) -> Header:
+    """The header, if it names a coordinate system; else an error."""
+    if not head.geographic and head.epsg is None:
+        raise ValueError(f"{path}: no coordinate system")
+    return head
+
+
 def pack_lzw(data: bytes) -> bytes:
     """LZW as TIFF has it: codes from the highest bit on, a code longer one entry early, a clear code before the table is full."""
     clear, end = 256, 257

@@ -344,3 +344,90 @@ def test_inputs_are_prepared_from_a_folder(spark, tmp_path):
     assert raster.read_grid(spark, config.cover)[0].where("v = 11").count() == 600
     assert {(r.lc, r.n) for r in tables.read_roughness(spark, config.roughness).collect()} >= {(11, 0.03), (95, 0.1), (21, 0.013)}
     assert Config.read(str(tmp_path / prepare.CONFIG)).flow_max == "qmax"
+
+
+def channels(rng, m=150):
+    """Sections of random banks over flat water, as lists and as a batch."""
+    sides, covers = [], []
+    for _ in range(m):
+        z0 = rng.uniform(0, 5)
+        pair = []
+        for _ in range(2):
+            n = int(rng.integers(1, 40))
+            i = np.arange(n)
+            z = z0 + np.maximum(0, (i - rng.integers(0, 12)) * rng.uniform(0.05, 1.5)) + rng.normal(0, 0.03, n)
+            z[0] = z0
+            pair.append(z)
+        sides.append(pair)
+        covers.append([np.where(np.arange(len(z)) <= rng.integers(0, 10), 80, 10) for z in pair])
+    pad = lambda v, fill: np.array([np.concatenate((x, np.full(40 - len(x), fill))) for x in v], float)
+    batch = bathymetry.Channels(
+        tuple(pad([p[s] for p in sides], np.inf) for s in (0, 1)), tuple(pad([p[s] for p in covers], -1) for s in (0, 1)),
+        tuple(np.array([len(p[s]) for p in sides]) for s in (0, 1)), np.full(m, 2.0),
+    )
+    return sides, covers, batch
+
+
+def wide_at(z, stage, dz):
+    """Width of a side at a level, by walking outwards to where the ground meets it."""
+    for k in range(1, len(z)):
+        if z[k] >= stage:
+            return dz * (k - 1) + dz * (stage - z[k - 1]) / (abs(stage - z[k - 1]) + abs(stage - z[k]))
+    return dz * (len(z) - 1)
+
+
+def test_banks_equal_their_definitions():
+    sides, covers, batch = channels(np.random.default_rng(1))
+    flat, level, cover, ratio, bend = batch.flat_banks(False), batch.flat_banks(True), batch.cover_banks(), batch.ratio_banks(), batch.bend_banks()
+    stages = np.arange(1, 2501) * 0.01
+    for i, (pair, lcs) in enumerate(zip(sides, covers)):
+        for s, (z, lc) in enumerate(zip(pair, lcs)):
+            up = [k for k in range(1, len(z)) if z[k] >= pair[0][0] + 0.1]
+            assert flat[i, s] == (up[0] if up else len(z)) and level[i, s] == (up[0] - 1 if up else len(z))
+            dry = [k for k in range(1, len(z)) if lc[k] != 80]
+            assert cover[i, s] == (dry[0] if dry else 0)
+            if len(z) > 11:
+                rise = np.diff(bathymetry.smoothed(z))
+                less = [k for k in range(len(rise)) if rise[k] < (rise[k - 1] if k else 0.0) - 1e-9]
+                assert bend[i, s] == (less[0] if less else 0)
+        widths = np.array([[wide_at(z, pair[0][0] + d, 2.0) for z in pair] for d in stages])
+        over = widths.sum(axis=1) / stages
+        grown = np.flatnonzero(np.diff(over) > 1e-12)
+        if len(grown) and grown[0] < 2400:
+            assert (ratio[i] == (widths[grown[0]] / 2.0).astype(int)).all() or abs(np.diff(over)[grown[0]]) < 1e-9
+
+
+def test_beds_follow_the_trapezoid():
+    rng = np.random.default_rng(2)
+    _, _, c = channels(rng)
+    flow, slope = rng.uniform(0.5, 60, len(c.dz)), 10 ** rng.uniform(-4, -2, len(c.dz))
+    for find, by_banks in ((bathymetry.shapes_by_level, False), (bathymetry.shapes_by_banks, True)):
+        shapes = find(c, flow, slope, 0.2, False)
+        some = np.flatnonzero(shapes.cells > 1)
+        assert len(some) > 20 and (shapes.depth[some] < 25).all()
+        carried = lambda d: d * 0.8 * shapes.width[some] * (d * 0.8 * shapes.width[some] / (0.6 * shapes.width[some] + 2 * np.hypot(0.2 * shapes.width[some], d))) ** (2 / 3) * slope[some] ** 0.5 / 0.03  # noqa: E731, B023
+        assert (carried(shapes.depth[some]) <= flow[some]).all() and (carried(shapes.depth[some] + 0.0101) > flow[some]).all()
+        for s in (0, 1):
+            z, taken = bathymetry.bed(c, shapes, s, 0.2, by_banks)
+            assert (z[~taken] == c.z[s][~taken]).all()
+            rows, i = np.nonzero(taken & (shapes.cells > 1)[:, None])
+            to_bank = (shapes.banks[rows, s] + by_banks - i) * 2.0 + shapes.reach[rows, s]
+            inner = to_bank > 0.2 * shapes.width[rows]
+            assert np.allclose(z[rows, i][inner], shapes.bed[rows][inner])
+            slant = shapes.bed[rows] + shapes.depth[rows] * (1 - to_bank / (0.2 * shapes.width[rows]))
+            assert np.allclose(z[rows, i][~inner], slant[~inner]) and (by_banks or (z <= c.z[s]).all())
+
+
+def test_triangles_first_carry_more_than_the_flow():
+    rng = np.random.default_rng(3)
+    q, s, a, b = rng.uniform(0, 5, 200), 10 ** rng.uniform(-4, -1, 200), rng.uniform(-1, 3, 200), rng.uniform(-1, 3, 200)
+    d = bathymetry.triangle_depth(q, 5.0, 0.0, a, b, s)
+
+    def carried(d):
+        w = [5 * d / (np.maximum(x, 0) + d) for x in (a, b)]
+        area = d * sum(w) / 2
+        return area * (area / sum(np.hypot(x, d) for x in w)) ** (2 / 3) * s**0.5 / 0.03
+
+    inside = d < 24.95
+    assert (carried(d)[inside] > q[inside]).all() and (carried(np.maximum(d - 0.1, 1e-9))[inside] <= q[inside] + 1e-9).all()
+    assert bathymetry.triangle_depth(0.0, 5.0, 0.0, 1.0, 1.0, 0.01) == 0.0
