@@ -431,3 +431,84 @@ def test_triangles_first_carry_more_than_the_flow():
     inside = d < 24.95
     assert (carried(d)[inside] > q[inside]).all() and (carried(np.maximum(d - 0.1, 1e-9))[inside] <= q[inside] + 1e-9).all()
     assert bathymetry.triangle_depth(0.0, 5.0, 0.0, 1.0, 1.0, 0.01) == 0.0
+
+
+def test_zarr_reads_only_the_chunks_of_the_ids(spark, tmp_path):
+    import zlib
+
+    from fluvial.sources import arrays
+
+    def put(name, values, chunks, dims, attrs=None, compressor=None):
+        folder = tmp_path / "z" / name
+        folder.mkdir(parents=True)
+        about = {"shape": list(values.shape), "chunks": list(chunks), "dtype": values.dtype.str, "compressor": compressor, "fill_value": None, "order": "C", "filters": None, "zarr_format": 2}
+        (folder / ".zarray").write_text(json.dumps(about))
+        (folder / ".zattrs").write_text(json.dumps({"_ARRAY_DIMENSIONS": dims, **(attrs or {})}))
+        counts = [-(-s // c) for s, c in zip(values.shape, chunks)]
+        for at in np.ndindex(*counts):
+            full = np.zeros(chunks, values.dtype)
+            part = values[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunks))]
+            full[tuple(slice(0, n) for n in part.shape)] = part
+            raw = full.tobytes()
+            (folder / ".".join(map(str, at))).write_bytes(zlib.compress(raw) if compressor else raw)
+
+    q = np.arange(10 * 25, dtype="<f4").reshape(10, 25)
+    put("rivid", np.arange(100, 125, dtype="<i8"), (10,), ["rivid"])
+    put("time", np.arange(10, dtype="<i4"), (4,), ["time"], {"units": "days since 1980-01-01 00:00:00"})
+    put("Qout", q, (4, 10), ["time", "rivid"], compressor={"id": "zlib", "level": 1})
+    rows = arrays.read_zarr(spark, str(tmp_path / "z"), "Qout").collect()
+    assert len(rows) == 250 and {(r.time.day, r.rivid): r.Qout for r in rows} == {(i + 1, 100 + j): q[i, j] for i in range(10) for j in range(25)}
+    for k in (0, 2):  # chunks without a wanted id are never opened
+        for i in range(3):
+            (tmp_path / "z/Qout" / f"{i}.{k}").write_bytes(b"broken")
+    some = arrays.read_zarr(spark, str(tmp_path / "z"), "Qout", ids=[112, 117, 999]).collect()
+    assert sorted((r.time.day, r.rivid, r.Qout) for r in some) == sorted((i + 1, 100 + j, float(q[i, j])) for i in range(10) for j in (12, 17))
+
+
+def netcdf(path, times, ids, q, records):
+    """A classic NetCDF file by hand: Qout over time and rivid; time grows (records) or not."""
+    name = lambda s: struct.pack(">I", len(s)) + s.encode().ljust(-(-len(s) // 4) * 4, b"\0")
+    none = struct.pack(">II", 0, 0)
+    text = lambda k, v: name(k) + struct.pack(">II", 2, len(v)) + v.encode().ljust(-(-len(v) // 4) * 4, b"\0")
+    fill = name("_FillValue") + struct.pack(">II", 5, 1) + struct.pack(">f", -9.0)
+    attrs = {"time": struct.pack(">II", 12, 1) + text("units", "hours since 2001-01-01"), "rivid": none, "Qout": struct.pack(">II", 12, 1) + fill}
+    data = {"rivid": np.asarray(ids, ">i4").tobytes(), "time": np.asarray(times, ">f8").tobytes(), "Qout": np.asarray(q, ">f4").tobytes()}
+    dims, kinds = {"rivid": [1], "time": [0], "Qout": [0, 1]}, {"rivid": 4, "time": 6, "Qout": 5}
+    row = {"time": 8, "Qout": 4 * len(ids)}
+
+    def header(begins):
+        out = b"CDF\x01" + struct.pack(">I", len(times) if records else 0)
+        out += struct.pack(">II", 10, 2) + name("time") + struct.pack(">I", 0 if records else len(times)) + name("rivid") + struct.pack(">I", len(ids)) + none
+        out += struct.pack(">II", 11, 3)
+        for v in ("rivid", "time", "Qout"):
+            size = row[v] if records and v in row else len(data[v])
+            out += name(v) + struct.pack(">I", len(dims[v])) + b"".join(struct.pack(">I", d) for d in dims[v]) + attrs[v] + struct.pack(">III", kinds[v], size, begins[v])
+        return out
+
+    at = len(header(dict.fromkeys(data, 0)))
+    begins = {"rivid": at, "time": at + len(data["rivid"])}
+    begins["Qout"] = begins["time"] + (8 if records else len(data["time"]))
+    body = data["rivid"]
+    if records:
+        body += b"".join(data["time"][8 * i : 8 * i + 8] + data["Qout"][row["Qout"] * i : row["Qout"] * (i + 1)] for i in range(len(times)))
+    else:
+        body += data["time"] + data["Qout"]
+    path.write_bytes(header(begins) + body)
+
+
+@pytest.mark.parametrize("records", [False, True])
+def test_netcdf_folder_as_rows(spark, tmp_path, records, monkeypatch):
+    from fluvial.sources import arrays
+
+    monkeypatch.setattr(arrays, "SLAB", 10)
+    q = np.arange(12, dtype=float).reshape(4, 3)
+    q[2, 1] = -9.0
+    netcdf(tmp_path / "a.nc", [0, 1, 2, 3], [7, 8, 9], q, records)
+    netcdf(tmp_path / "b.nc", [24, 25, 26, 27], [7, 8, 9], q + 100, records)
+    rows = arrays.read_netcdf(spark, str(tmp_path), ["Qout"]).collect()
+    want = {(1, h, 7 + j): None if (h, j) == (2, 1) else float(q[h, j]) for h in range(4) for j in range(3)}
+    want |= {(2, h, 7 + j): float(q[h, j] + 100) for h in range(4) for j in range(3)}
+    assert {(r.time.day, r.time.hour, r.rivid): r.Qout for r in rows} == want and len(rows) == 24
+    (tmp_path / "c.nc").write_bytes(b"\x89HDF\r\n\x1a\n")
+    with pytest.raises(ValueError):
+        arrays.read_netcdf(spark, str(tmp_path / "c.nc"), ["Qout"])
