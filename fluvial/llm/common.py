@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def free_name(key: str, made: tuple[str, ...]) -> str:
     return key
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The rows a few at a time, so that a worker holds few texts as Python strings."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words between runs of space and \\t..\\r; bytes.split() breaks at exactly these."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []

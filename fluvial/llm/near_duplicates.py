@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.in_slices(batches):
             size, mark, sig = [], [], []
             for t in batch.column(1).to_pylist():
                 items = shingle_set(t, plan.words)
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", t
 
     # Full sets of the classes that meet another one.
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.in_slices(batches):
             sets = [shingle_set(t, plan.words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["id", "mark", "items"])
 
