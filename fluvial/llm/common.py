@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,26 @@ def maybe_in(rows: DataFrame, key: Column, members: DataFrame, member: Column, b
         .where(set_bit.replace("conv", "(conv", 1).replace(" != 0", ") != 0"))
         .drop("__bucket", "__at", "__bits")
     )
+
+
+#: Every ASCII byte that is no letter or digit becomes a space, A-Z become a-z; other bytes stay (fixed by the contracts).
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Lower-cased (A-Z) runs of ASCII letters and digits and of all characters beyond ASCII."""
+    return text.encode("utf-8", "surrogatepass").translate(PLAIN).split() if text else []
+
+
+def summed_vectors(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of vectors of ``size`` 64-bit integers, one in each row of the only, binary column.
+
+    They are merged in a tree of executors; the driver gets the last step's few vectors, whatever the number of rows.
+    """
+    vectors = rows.rdd
+    parts = vectors.getNumPartitions()
+    if not parts:
+        return np.zeros(size, np.int64)
+    # A step merges 30 partitions or so, so that few vectors meet in a task or in the driver.
+    depth = max(2, math.ceil(math.log(max(2, parts), 30)))
+    return vectors.map(lambda row: np.frombuffer(row[0], np.int64)).treeReduce(np.add, depth)
