@@ -84,10 +84,9 @@ def summed_vectors(rows: DataFrame, size: int) -> np.ndarray:
 
     They are merged in a tree of executors; the driver gets the last step's few vectors, whatever the number of rows.
     """
-    vectors = rows.rdd
-    parts = vectors.getNumPartitions()
-    if not parts:
-        return np.zeros(size, np.int64)
+    context = rows.sparkSession.sparkContext
+    # Where there is no row at all, the zeros are the sum.
+    vectors = rows.rdd.map(lambda row: np.frombuffer(row[0], np.int64)).union(context.parallelize([np.zeros(size, np.int64)], 1))
     # A step merges 30 partitions or so, so that few vectors meet in a task or in the driver.
-    depth = max(2, math.ceil(math.log(max(2, parts), 30)))
-    return vectors.map(lambda row: np.frombuffer(row[0], np.int64)).treeReduce(np.add, depth)
+    depth = max(2, math.ceil(math.log(vectors.getNumPartitions(), 30)))
+    return vectors.treeReduce(np.add, depth)
