@@ -1,214 +1,201 @@
-"""Gridded series as long rows: Zarr (version 2) and NetCDF classic files, a chunk or a slab a task.
+"""Gridded series as long rows: the data sources "zarr" (versions 2 and 3) and "netcdf" (classic and NetCDF-4 files).
 
-Chunks may be plain, or compressed with zlib, gzip, zstd, bz2 or lzma; others need the numcodecs package. Files in the
-HDF5 form of NetCDF are refused: no reader for them is installed.
+    spark.read.format("zarr").option("variables", "Qout").load(group).where("rivid IN (1, 2) AND time >= '2020-01-01'")
+
+A row holds the coordinates of a place, one column a dimension, and the values of the variables there. Filters on
+coordinates reach the source: the driver looks them up in the coordinates, which are one-dimensional, and plans only the
+chunks that hold a wanted place; a task reads a few chunks, by bytes, and gives wanted rows only. A variable that the
+schema leaves out is not read.
 """
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import json
-import lzma
 import math
 import re
-import struct
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
+from . import classic, hdf5, zarr
 from .files import open_input, store_of
+from .filters import Pushed, allow_pushdown
 
-#: Rows that a task gives at once, and values of a slab of a NetCDF file.
-ROWS, SLAB = 100_000, 4_000_000
-
-
-def _decoded(raw: bytes, compressor: dict | None) -> bytes:
-    kind = (compressor or {}).get("id")
-    if kind is None:
-        return raw
-    if kind in ("zlib", "gzip", "bz2", "lzma"):
-        return {"zlib": zlib.decompress, "gzip": gzip.decompress, "bz2": bz2.decompress, "lzma": lzma.decompress}[kind](raw)
-    if kind == "zstd":
-        import zstandard
-
-        return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-    try:
-        import numcodecs
-    except ImportError:
-        raise ValueError(f"compressor {kind} needs numcodecs") from None
-    return numcodecs.get_codec(compressor).decode(raw)
-
-
-class Zarr:
-    """One array of a Zarr group: its description and its chunks."""
-
-    def __init__(self, group: str, name: str):
-        self.store, self.root = store_of(f"{group.rstrip('/')}/{name}")
-        self.about = json.loads(self._bytes(".zarray"))
-        attrs = self._bytes(".zattrs")
-        self.attrs = json.loads(attrs) if attrs else {}
-        self.shape, self.chunks, self.dtype = self.about["shape"], self.about["chunks"], np.dtype(self.about["dtype"])
-        if self.about.get("filters"):
-            raise ValueError(f"{self.root}: filters are not supported")
-
-    def _bytes(self, name: str) -> bytes | None:
-        if self.store.get_file_info(f"{self.root}/{name}").type == fs.FileType.NotFound:
-            return None
-        with self.store.open_input_stream(f"{self.root}/{name}", compression=None) as f:
-            return f.read()
-
-    def chunk(self, at: tuple[int, ...]) -> np.ndarray:
-        """A chunk without what lies beyond the array; one that is not there holds the fill value."""
-        raw = self._bytes(self.about.get("dimension_separator", ".").join(map(str, at)))
-        if raw is None:
-            fill = self.about.get("fill_value")
-            full = np.full(self.chunks, np.nan if fill in (None, "NaN") and self.dtype.kind == "f" else fill or 0, self.dtype)
-        else:
-            full = np.frombuffer(_decoded(raw, self.about.get("compressor")), self.dtype).reshape(self.chunks, order=self.about.get("order", "C"))
-        return full[tuple(slice(0, min(c, s - i * c)) for i, c, s in zip(at, self.chunks, self.shape))]
-
-    def line(self, start: int, stop: int) -> np.ndarray:
-        """Values of a one-dimensional array."""
-        size = self.chunks[0]
-        parts = [self.chunk((k,)) for k in range(start // size, -(-stop // size))]
-        return np.concatenate(parts)[start - start // size * size :][: stop - start] if parts else np.zeros(0, self.dtype)
+#: Rows that a task gives at once, and bytes of values of a task's chunks (option partitionBytes).
+ROWS, PARTITION_BYTES = 100_000, 64_000_000
+TIME_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
-def _times(values: np.ndarray, units: str | None) -> np.ndarray:
-    """Numbers since a moment, by their units, as microseconds since 1970."""
+def _since(units: str | None) -> tuple[int, int] | None:
+    """Seconds of a unit and the microseconds since 1970 it counts from, for units like "days since 1980-01-01"."""
     m = re.match(r"\s*(second|minute|hour|day)s?\s+since\s+(\S+)(?:[ T](\S+))?", units or "")
     if not m:
-        return values
+        return None
     start = datetime.fromisoformat(f"{m[2]}T{(m[3] or '00:00:00').rstrip('Z')}").replace(tzinfo=timezone.utc)
-    step = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[m[1]]
-    offset = (start - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
-    return (np.asarray(values, np.float64) * step * 1e6).round().astype(np.int64) + offset
-
-
-def _kind(dtype: np.dtype, units: str | None) -> tuple[str, pa.DataType]:
-    if re.match(r"\s*(second|minute|hour|day)s?\s+since", units or ""):
-        return "timestamp", pa.timestamp("us", "UTC")
-    return ("long", pa.int64()) if dtype.kind in "iu" else ("double", pa.float64())
-
-
-def _rows(axes: list[np.ndarray], values: np.ndarray, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    grid = np.indices(values.shape).reshape(values.ndim, -1)
-    flat = values.ravel().astype(np.float64)
-    for a in range(0, len(flat), ROWS):
-        part = slice(a, a + ROWS)
-        columns = [pa.array(axis[g[part]].astype(np.int64 if k != pa.float64() else float)).cast(k) for axis, g, k in zip(axes, grid, kinds)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(flat[part])], names)
-
-
-def read_zarr(spark: SparkSession, group: str, variable: str, key: str = "rivid", ids: list[int] | None = None) -> DataFrame:
-    """The dimensions' coordinates and the values of a variable, a row a value; missing values stay as they are.
-
-    With ``ids`` only chunks that hold one of them are read, and only their rows are given. A task reads a chunk.
-    """
-    array = Zarr(group, variable)
-    names = array.attrs["_ARRAY_DIMENSIONS"]
-    coords = [Zarr(group, n) for n in names]
-    kinds = [_kind(c.dtype, c.attrs.get("units")) for c in coords]
-    spans = [range(-(-s // c)) for s, c in zip(array.shape, array.chunks)]
-    wanted = None if ids is None else np.unique(np.asarray(ids, np.int64))
-    if wanted is not None:
-        axis = names.index(key)
-        held = np.flatnonzero(np.isin(coords[axis].line(0, array.shape[axis]), wanted))
-        spans[axis] = sorted(set((held // array.chunks[axis]).tolist()))
-    places = [()]
-    for span in spans:
-        places = [(*p, i) for p in places for i in span]
-    schema = ", ".join(f"`{n}` {k}" for n, (k, _) in zip(names, kinds)) + f", `{variable}` double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array, coords = Zarr(group, variable), [Zarr(group, n) for n in names]
-        for batch in batches:
-            for at in batch.column(0).to_pylist():
-                values = array.chunk(tuple(at))
-                axes = [c.line(i * size, i * size + n) for c, i, size, n in zip(coords, at, array.chunks, values.shape)]
-                if wanted is not None:
-                    k = names.index(key)
-                    keep = np.flatnonzero(np.isin(axes[k], wanted))
-                    axes[k], values = axes[k][keep], np.take(values, keep, axis=k)
-                axes = [_times(a, c.attrs.get("units")) for a, c in zip(axes, coords)]
-                yield from _rows(axes, values, [*names, variable], [k for _, k in kinds])
-
-    listed = spark.createDataFrame([(list(p),) for p in places], "at array<int>")
-    return listed.repartition(max(1, len(places))).mapInArrow(run, schema)
-
-
-#: NetCDF classic: numpy kinds and sizes of its types (fixed by the format).
-NC_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
-
-
-class NetCdf:
-    """Header of a classic NetCDF file: dimensions, variables with their attributes and places."""
-
-    def __init__(self, path: str):
-        self.path = path
-        with open_input(path) as f:
-            self.f = f
-            magic = f.read(4)
-            if magic[:3] != b"CDF":
-                raise ValueError(f"{path}: not a classic NetCDF file" + (" (HDF5; no reader for it is installed)" if magic == b"\x89HDF" else ""))
-            self.wide, self.far = magic[3] == 5, magic[3] in (2, 5)
-            self.records = self._size()
-            self.dims = self._list(lambda: (self._name(), self._size()))
-            self._list(self._attribute)
-            self.variables = {name: about for name, about in self._list(self._variable)}
-        record = [v for v in self.variables.values() if v["record"]]
-        self.stride = sum(v["size"] for v in record) if len(record) != 1 else math.prod(record[0]["shape"][1:]) * record[0]["dtype"].itemsize
-        del self.f
-
-    def _number(self, kind: str) -> int:
-        return struct.unpack(">" + kind, self.f.read(struct.calcsize(kind)))[0]
-
-    def _size(self) -> int:
-        return self._number("Q" if self.wide else "I")
-
-    def _name(self) -> str:
-        n = self._size()
-        return self.f.read(-(-n // 4) * 4)[:n].decode()
-
-    def _list(self, one) -> list:
-        tag, n = self._number("I"), self._size()
-        return [one() for _ in range(n)] if tag else []
-
-    def _attribute(self) -> tuple:
-        name, kind, n = self._name(), self._number("I"), self._size()
-        dtype = np.dtype(NC_TYPES[kind])
-        raw = self.f.read(-(-n * dtype.itemsize // 4) * 4)[: n * dtype.itemsize]
-        return name, raw.decode("utf-8", "replace") if kind == 2 else np.frombuffer(raw, dtype).tolist()
-
-    def _variable(self) -> tuple[str, dict]:
-        name = self._name()
-        ids = [self._size() for _ in range(self._size())]
-        attrs, kind, size = dict(self._list(self._attribute)), self._number("I"), self._size()
-        begin = self._number("Q" if self.far else "I")
-        sizes = [self.dims[i][1] for i in ids]
-        record = bool(ids) and sizes[0] == 0
-        shape = [self.records if record and k == 0 else s for k, s in enumerate(sizes)]
-        return name, {"dims": [self.dims[i][0] for i in ids], "shape": shape, "attrs": attrs, "dtype": np.dtype(NC_TYPES[kind]), "size": size, "begin": begin, "record": record}
-
-    def slab(self, name: str, start: int, stop: int) -> np.ndarray:
-        """Rows ``start`` to ``stop`` of a variable's first dimension."""
-        v = self.variables[name]
-        rest, each = v["shape"][1:], math.prod(v["shape"][1:])
-        with open_input(self.path) as f:
-            if not v["record"]:
-                f.seek(v["begin"] + start * each * v["dtype"].itemsize)
-                return np.frombuffer(f.read((stop - start) * each * v["dtype"].itemsize), v["dtype"]).reshape(stop - start, *rest)
-            out = []
-            for i in range(start, stop):
-                f.seek(v["begin"] + i * self.stride)
-                out.append(np.frombuffer(f.read(each * v["dtype"].itemsize), v["dtype"]).reshape(rest))
-            return np.stack(out) if out else np.zeros((0, *rest), v["dtype"])
+    return TIME_UNITS[m[1]], (start - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
+def _opened(kind: str, path: str):
+    if kind == "zarr":
+        return zarr.Group(path)
+    with open_input(path) as f:
+        head = f.read(3)
+    return classic.Group(path) if head == b"CDF" else hdf5.Group(path)
+
+
+@lru_cache(maxsize=8)
+def _group(kind: str, path: str):
+    """A group that a worker has opened, kept for its next chunks."""
+    return _opened(kind, path)
+
+
+class Axis:
+    """A dimension's coordinates: its variable's values, or the numbers from 0 where it has none."""
+
+    def __init__(self, group, name: str):
+        self.variable = group.variable(name) if name in group.names() else None
+        self.since = _since(self.variable.attrs.get("units")) if self.variable else None
+        whole = self.variable is None or self.variable.dtype.kind in "iu"
+        self.kind, self.arrow = ("timestamp", pa.timestamp("us", "UTC")) if self.since else ("long", pa.int64()) if whole else ("double", pa.float64())
+
+    def values(self, start: int, stop: int) -> np.ndarray:
+        if self.variable is None:
+            return np.arange(start, stop)
+        size = self.variable.chunks[0]
+        first = start // size
+        parts = [self.variable.load(at, where) for at, where in self.variable.places([range(first, -(-stop // size))])]
+        line = np.concatenate(parts)[start - first * size : stop - first * size] if parts else np.zeros(0, self.variable.dtype)
+        if self.since:
+            return (line.astype(np.float64) * self.since[0] * 1e6).round().astype(np.int64) + self.since[1]
+        return line.astype(np.int64 if self.kind == "long" else np.float64)
+
+
+def _decoded(values: np.ndarray, attrs: dict) -> np.ndarray:
+    """Values as doubles: missing ones (_FillValue, missing_value) are NaN, packed ones are scaled."""
+    out = values.astype(np.float64)
+    for name in ("_FillValue", "missing_value"):
+        fill = attrs.get(name)
+        if fill is not None:
+            out[np.isin(out, np.asarray(fill, np.float64))] = np.nan
+    one = lambda name, default: np.ravel(np.asarray(attrs.get(name, default), np.float64))[0]
+    return out * one("scale_factor", 1.0) + one("add_offset", 0.0)
+
+
+@dataclass
+class Chunks(InputPartition):
+    """Chunks of one file: their places, and of each variable what leads to their bytes."""
+
+    path: str
+    chunks: list[tuple[tuple[int, ...], list]]
+
+
+class Series(DataSource):
+    """Options: path (a group, a file, or a folder of files), variables (comma-separated; all with the most dimensions
+    if it is left out), partitionBytes."""
+
+    KIND = ""
+
+    @classmethod
+    def name(cls) -> str:
+        return cls.KIND
+
+    def files(self) -> list[str]:
+        return [self.options["path"]] if self.KIND == "zarr" else netcdf_files(self.options["path"])
+
+    def schema(self) -> str:
+        group = _opened(self.KIND, self.files()[0])
+        if self.options.get("variables"):
+            variables = [v.strip() for v in self.options["variables"].split(",")]
+        else:
+            of = {n: group.variable(n) for n in group.names()}
+            data = {n: v for n, v in of.items() if [n] != list(v.dims)}
+            most = max((len(v.dims) for v in data.values()), default=0)
+            variables = [n for n, v in data.items() if len(v.dims) == most]
+        if not variables:
+            raise ValueError("no variables")
+        dims = group.variable(variables[0]).dims
+        if any(group.variable(v).dims != dims for v in variables):
+            raise ValueError("variables lie over different dimensions")
+        return ", ".join([*(f"`{n}` {Axis(group, n).kind}" for n in dims), *(f"`{v}` double" for v in variables)])
+
+    def reader(self, schema) -> "SeriesReader":
+        return SeriesReader(self.KIND, self.files(), schema.names, int(self.options.get("partitionBytes", PARTITION_BYTES)))
+
+
+class ZarrSeries(Series):
+    KIND = "zarr"
+
+
+class NetCdfSeries(Series):
+    KIND = "netcdf"
+
+
+class SeriesReader(DataSourceReader):
+    def __init__(self, kind: str, paths: list[str], columns: list[str], most_bytes: int):
+        self.kind, self.paths, self.columns, self.most_bytes = kind, paths, columns, most_bytes
+        group = _opened(kind, paths[0])
+        known = set(group.names())
+        self.variables = [c for c in columns if c in known and list(group.variable(c).dims) != [c]]
+        if not self.variables:
+            raise ValueError("the schema has no variable")
+        self.dims = list(group.variable(self.variables[0]).dims)
+        self.pushed = Pushed(set(self.dims) & set(columns))
+
+    def pushFilters(self, filters: list[Filter]):
+        return list(self.pushed.take(filters))
+
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for path in self.paths:
+            group = _opened(self.kind, path)
+            arrays = [group.variable(v) for v in self.variables]
+            spans = []
+            for name, size, chunk in zip(self.dims, arrays[0].shape, arrays[0].chunks):
+                wanted = np.arange(size)
+                if any(c == name for c, _, _ in self.pushed.tests):
+                    wanted = np.flatnonzero(self.pushed.mask(name, Axis(group, name).values(0, size)))
+                spans.append(np.unique(wanted // chunk).tolist())
+            if not all(spans):
+                continue
+            if any(a.chunks != arrays[0].chunks for a in arrays):
+                raise ValueError(f"{path}: variables are cut differently; read them one by one")
+            each = max(1, math.prod(arrays[0].chunks) * sum(a.dtype.itemsize for a in arrays))
+            held: list = []
+            for places in zip(*(a.places(spans) for a in arrays)):
+                held.append((places[0][0], [where for _, where in places]))
+                if len(held) * each >= self.most_bytes:
+                    out.append(Chunks(path, held))
+                    held = []
+            if held:
+                out.append(Chunks(path, held))
+        return out or [Chunks(self.paths[0], [])]  # of no partitions Spark makes one that nothing describes
+
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
+        group = _group(self.kind, partition.path)
+        arrays = [group.variable(v) for v in self.variables]
+        axes = [Axis(group, n) for n in self.dims]
+        coordinates = lru_cache(maxsize=64)(lambda k, start, stop: axes[k].values(start, stop))
+        for at, wheres in partition.chunks:
+            blocks = [a.load(at, where) for a, where in zip(arrays, wheres)]
+            lines, keep = [], []
+            for k, (name, i, chunk, size) in enumerate(zip(self.dims, at, arrays[0].chunks, blocks[0].shape)):
+                line = coordinates(k, i * chunk, i * chunk + size)
+                keep.append(np.flatnonzero(self.pushed.mask(name, line)))
+                lines.append(line[keep[-1]])
+            values = [_decoded(b[np.ix_(*keep)] if keep else b, a.attrs).ravel() for a, b in zip(arrays, blocks)]
+            shape = tuple(map(len, lines))
+            for a in range(0, len(values[0]), ROWS):
+                places = np.unravel_index(np.arange(a, min(a + ROWS, len(values[0]))), shape)
+                made = {n: pa.array(line[p]).cast(axis.arrow) for n, line, p, axis in zip(self.dims, lines, places, axes)}
+                made |= {v: pa.array(x[a : a + ROWS], from_pandas=True) for v, x in zip(self.variables, values)}
+                yield pa.RecordBatch.from_arrays([made[c] for c in self.columns], self.columns)
 
 
 def netcdf_files(path: str) -> list[str]:
@@ -216,45 +203,24 @@ def netcdf_files(path: str) -> list[str]:
     store, at = store_of(path)
     if store.get_file_info(at).type != fs.FileType.Directory:
         return [path]
-    return sorted(f"{path.rstrip('/')}/{x.base_name}" for x in store.get_file_info(fs.FileSelector(at)) if x.base_name.endswith((".nc", ".nc3", ".cdf")))
+    return sorted(f"{path.rstrip('/')}/{x.base_name}" for x in store.get_file_info(fs.FileSelector(at)) if x.base_name.endswith((".nc", ".nc3", ".nc4", ".cdf", ".h5")))
+
+
+def _read(spark: SparkSession, source: type[Series], path: str, variables: list[str] | None, partition_bytes: int) -> DataFrame:
+    allow_pushdown(spark)
+    spark.dataSource.register(source)
+    reader = spark.read.format(source.KIND).option("partitionBytes", partition_bytes)
+    return (reader.option("variables", ",".join(variables)) if variables else reader).load(path)
+
+
+def read_zarr(spark: SparkSession, group: str, variable: str | None = None, key: str = "rivid", ids: list[int] | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """The dimensions' coordinates and the values of a variable (of all that have the most dimensions, without one), a
+    row a value; missing values are null. ``ids`` is a filter on ``key``, which is pushed down like any other."""
+    rows = _read(spark, ZarrSeries, group, [variable] if variable else None, partition_bytes)
+    return rows if ids is None else rows.where(F.col(key).isin([int(i) for i in ids]))
 
 
-def read_netcdf(spark: SparkSession, path: str, variables: list[str]) -> DataFrame:
+def read_netcdf(spark: SparkSession, path: str, variables: list[str] | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """Coordinates and named variables over the same dimensions, a row a place, of a file or of all files of a folder
-    (one a year, say). Tasks read slabs of a file's first dimension; fill values are null."""
-    paths = netcdf_files(path)
-    first = NetCdf(paths[0])
-    names = first.variables[variables[0]]["dims"]
-    if any(first.variables[v]["dims"] != names for v in variables):
-        raise ValueError("variables lie over different dimensions")
-    units = {n: first.variables[n]["attrs"].get("units") if n in first.variables else None for n in names}
-    kinds = [_kind(first.variables[n]["dtype"] if n in first.variables else np.dtype("i8"), units[n]) for n in names]
-    slabs = []
-    for p in paths:
-        shape = NetCdf(p).variables[variables[0]]["shape"]
-        step = max(1, SLAB // max(1, math.prod(shape[1:])))
-        slabs += [(p, a, min(a + step, shape[0])) for a in range(0, shape[0], step)]
-    schema = ", ".join([*(f"`{n}` {k}" for n, (k, _) in zip(names, kinds)), *(f"`{v}` double" for v in variables)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                file = NetCdf(p)
-                shape = [b - a, *file.variables[variables[0]]["shape"][1:]]
-                axes = []
-                for k, (n, size) in enumerate(zip(names, shape)):
-                    low = a if k == 0 else 0
-                    here = file.variables[n] if n in file.variables else None
-                    axes.append(_times(file.slab(n, low, low + size), here["attrs"].get("units")) if here else np.arange(low, low + size))
-                columns = []
-                for v in variables:
-                    about, raw = file.variables[v], file.slab(v, a, b)
-                    values, fill = raw.astype(np.float64).ravel(), about["attrs"].get("_FillValue", about["attrs"].get("missing_value"))
-                    columns.append(pa.array(values, mask=np.isin(values, np.asarray(fill, np.float64)) if fill else None))
-                grid = np.indices(shape).reshape(len(shape), -1)
-                places = [pa.array(x[g].astype(np.int64 if k != pa.float64() else float)).cast(k) for x, g, (_, k) in zip(axes, grid, kinds)]
-                whole = pa.RecordBatch.from_arrays([*places, *columns], [*names, *variables])
-                for i in range(0, whole.num_rows, ROWS):
-                    yield whole.slice(i, ROWS)
-
-    return spark.createDataFrame(slabs, "path string, a long, b long").repartition(max(1, len(slabs))).mapInArrow(run, schema)
+    (one a year, say), classic or NetCDF-4; missing values are null."""
+    return _read(spark, NetCdfSeries, path, variables, partition_bytes)
