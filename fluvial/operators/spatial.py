@@ -284,104 +284,6 @@ def tag_seeds_of_reach(points: DataFrame, seeds: DataFrame, elevation: str = "Ba
     return points.join(hit, list(keys), "left").withColumn("SEED", F.when(F.col("__hit"), "1").otherwise("0")).drop("__hit")
 
 
-def terminal_points(parts: list[list[tuple[float, float]]]) -> list[tuple[float, float]]:
-    """End points of line parts that only one part ends at; a closed ring has none."""
-    count: dict[tuple[float, float], int] = {}
-    for part in parts:
-        if part[0] != part[-1]:
-            for end in (part[0], part[-1]):
-                count[end] = count.get(end, 0) + 1
-    return [p for p, n in count.items() if n == 1]
-
-
-def exposed_points(parts: list[list[tuple[float, float]]], points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Those of the points that are next to fewer than two different vertices, over all parts that begin or end there:
-    what joins two parts of a reach is no end of it."""
-    beside: dict[tuple[float, float], set] = {p: set() for p in points}
-    for part in parts:
-        if len(part) > 1:
-            for end, following in ((part[0], part[1]),) if part[0] == part[-1] else ((part[0], part[1]), (part[-1], part[-2])):
-                if end in beside:
-                    beside[end].add(following)
-    return [p for p in points if len(beside[p]) < 2]
-
-
-def upstream_points(parts: list[list[tuple[float, float]]], outlet: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Terminals of a reach that are not at, or downstream of another terminal on the way to, its outlet.
-
-    Lengths to the outlets come from a shortest-path search over the parts; a terminal on another's way goes.
-    """
-    import heapq
-
-    graph: dict[tuple, list[tuple[tuple, float]]] = {}
-    for part in parts:
-        for a, b in zip(part, part[1:]):
-            graph.setdefault(a, []).append((b, hypot(a[0] - b[0], a[1] - b[1])))
-            graph.setdefault(b, []).append((a, hypot(a[0] - b[0], a[1] - b[1])))
-    far = {p: 0.0 for p in outlet if p in graph}
-    nxt: dict[tuple, tuple] = {}
-    heap = [(0.0, p) for p in far]
-    while heap:
-        d, p = heapq.heappop(heap)
-        if d > far[p]:
-            continue
-        for q, w in graph[p]:
-            if d + w < far.get(q, float("inf")):
-                far[q], nxt[q] = d + w, p
-                heapq.heappush(heap, (d + w, q))
-    ends = [p for p in terminal_points(parts) if p not in outlet]
-    passed = set()
-    for p in ends:
-        while p in nxt:
-            p = nxt[p]
-            passed.add(p)
-    return [p for p in ends if p not in passed]
-
-
-def headwater_seeds(reaches: DataFrame, elevation: DataFrame | None, key: str, downstream: str) -> DataFrame:
-    """Seed points (key, x, y) at the upper ends of reaches that no other one flows into.
-
-    ``reaches``: key, downstream, parts (array of arrays of x, y). The outlet is the terminal nearest to the downstream
-    reach; without one, the lowest terminal in ``elevation`` (key, x, y, z), with a tolerance of a centimetre.
-    """
-    from .flow_stats import headwaters
-
-    heads = headwaters(reaches, key, downstream)
-    down = reaches.select(F.col(key).alias(downstream), F.col("parts").alias("down_parts"))
-    joined = heads.join(down, downstream, "left").select(key, "parts", "down_parts")
-    if elevation is not None:
-        z = elevation.groupBy(key).agg(F.collect_list(F.struct("x", "y", "z")).alias("z"))  # terminals of a reach: a few
-        joined = joined.join(z, key, "left")
-    else:
-        joined = joined.withColumn("z", F.lit(None).cast("array<struct<x:double,y:double,z:double>>"))
-    kind = reaches.schema[key].dataType.simpleString()
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            out = []
-            for r in frame.to_dict("records"):
-                parts = [[(p["x"], p["y"]) for p in part] for part in r["parts"]]
-                ends = terminal_points(parts)
-                outlet: list = []
-                if r["down_parts"] is not None and len(r["down_parts"]):
-                    vertices = [(p["x"], p["y"]) for part in r["down_parts"] for p in part]
-                    far = {e: min(hypot(e[0] - v[0], e[1] - v[1]) for v in vertices) for e in ends}
-                    least = min(far.values(), default=0.0)
-                    outlet = [e for e in ends if far[e] <= least + max(1e-9, 1e-9 * least)]
-                elif r["z"] is not None and len(r["z"]):
-                    z = {(p["x"], p["y"]): p["z"] for p in r["z"]}
-                    known = {e: z[e] for e in exposed_points(parts, ends) if z.get(e) is not None}
-                    if known:
-                        least = min(known.values())
-                        outlet = [e for e in known if known[e] <= least + max(0.01, 1e-9 * abs(least))]
-                out += [(r[key], x, y) for x, y in (upstream_points(parts, outlet) if outlet else ends)]
-            yield pd.DataFrame(out, columns=[key, "x", "y"])
-
-    return joined.mapInPandas(run, f"`{key}` {kind}, x double, y double")
-
-
 def value_near(points: DataFrame, grid: DataFrame, transform: tuple, key: str, reach: int = 2) -> DataFrame:
     """Grid value under each point; where there is none, the nearest within rings of up to ``reach`` cells, in scan
     order among equals. ``grid``: row, col, z without missing cells."""

@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import spatial
+from ..operators import networks, spatial
 from ..sources import outputs, raster, tables, vectors
 from .features import curve_features, raster_seeds
 
@@ -44,7 +44,7 @@ def features(argv: list[str] | None = None) -> None:
     reaches = vectors.read_lines(spark, args.strm_shp)
     ends = reaches.select(args.stream_id_field, F.explode(F.flatten("parts")).alias("p")).select(args.stream_id_field, "p.x", "p.y").distinct()
     at = spatial.value_near(ends.withColumn("k", F.struct(args.stream_id_field, "x", "y")), dem.withColumnRenamed("v", "z"), head.transform, "k").select("k.*", "z")
-    found = spatial.headwater_seeds(reaches, at, args.stream_id_field, args.downstream_id_field)
+    found = networks.headwater_seeds(reaches, at, args.stream_id_field, args.downstream_id_field)
     outputs.write_vector(found.withColumn("parts", F.array(F.array(F.struct("x", "y")))), args.seed_output_file)
     named = found.select(F.col(args.stream_id_field).alias("seed"), "x", "y")
     rows = curve_features(tables.read_curves(spark, args.curve_param_file), tables.read_forecast(spark, args.comid_q_file), named, head.transform, args.thin_output and args.thin_geojson, geographic=head.geographic)

@@ -46,7 +46,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def forget(settled: DataFrame) -> None:
+    """Delete the table of a settled DataFrame that nothing reads any more, before the driver ends."""
+    _forget(settled.sparkSession, settled._settled_at)
 
 
 def cut(df: DataFrame) -> DataFrame:

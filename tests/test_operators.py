@@ -124,19 +124,6 @@ def test_direction_of_a_diagonal(spark):
     assert abs(r.stream_direction - math.pi / 4) < 1e-9 and abs(r.xs_direction - 3 * math.pi / 4) < 1e-9
 
 
-def test_upstream_points():
-    y_shape = [[(0.0, 0.0), (1.0, 0.0)], [(1.0, 0.0), (2.0, 1.0)], [(1.0, 0.0), (2.0, -1.0)]]
-    assert sorted(spatial.upstream_points(y_shape, [(0.0, 0.0)])) == [(2.0, -1.0), (2.0, 1.0)]
-    assert spatial.terminal_points([[(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)]]) == []
-
-
-def test_headwater_seeds(spark):
-    p = lambda *xy: [[(float(a), float(b)) for a, b in xy]]
-    reaches = spark.createDataFrame([(1, 3, p((0, 2), (1, 1))), (2, 3, p((2, 2), (1, 1))), (3, None, p((1, 1), (1, 0)))], "id long, down long, parts array<array<struct<x:double,y:double>>>")
-    got = {(r.id, r.x, r.y) for r in spatial.headwater_seeds(reaches, None, "id", "down").collect()}
-    assert got == {(1, 0.0, 2.0), (2, 2.0, 2.0)}
-
-
 @pytest.mark.parametrize("kind,fill", [("f4", float("nan")), ("u1", 0)])
 def test_raster_round_trip(spark, tmp_path, kind, fill):
     like = raster.Header("<", 7, 9, kind, 1, 1, (7, 9), [], [], (100.0, 2.0, 0.0, 50.0, 0.0, -2.0), False, 26912, None, False, {"geo": (1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 26912)})
@@ -277,9 +264,7 @@ def test_streams_are_cleaned_in_bands(spark, monkeypatch, band):
     assert streams.clean_streams(df.limit(0)).count() == 0
 
 
-def test_exposed_points_and_seeds_of_a_reach(spark):
-    a, b, c, d = (0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (1.0, 1.0)
-    assert spatial.exposed_points([[a, b], [b, c], [d, b]], [a, b, c]) == [a, c]
+def test_seeds_of_a_reach(spark):
     points = spark.createDataFrame([(1, 0, i, float(i), 0.0, 10.0 + i) for i in range(5)] + [(2, 1, 0, 0.0, 9.0, 5.0)], "COMID long, Row long, Col long, x double, y double, BaseElev double")
     seeds = spark.createDataFrame([("s", 1, 0.2, 0.1), ("t", 1, 3.9, 0.1), ("u", 1, 0.0, 8.9)], "seed string, COMID long, x double, y double")
     got = {(r.COMID, r.Col) for r in spatial.tag_seeds_of_reach(points, seeds).where("SEED = '1'").collect()}
