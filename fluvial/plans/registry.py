@@ -620,3 +620,6 @@ def distinct_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = carriers.grid(spark, sf_dir)
     return spatial.resample(g.select("row", "col"), g.select("row", "col", F.col("z").alias("v")), (0.0, 3.0, 0.0, 0.0, 0.0, -3.0), (0.0, 7.0, 0.0, 0.0, 0.0, -7.0), centre=False)
+
+
+from . import registry_io  # noqa: E402, F401  more queries, which register themselves
