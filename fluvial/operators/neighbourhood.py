@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_sig, rounded
+from ..plans.lineage import settle
+from .quantiles import percentiles
 
 DEFAULT_SLOPE = 0.0002
 
@@ -50,10 +52,12 @@ def reach_slope(cells: DataFrame, dx: float, dy: float, distance: int, key: str
     """Median slope of each stream over all pairs in the closed box, without what lies beyond the quartiles, and the
     quartiles themselves (p25, p75)."""
     later = (F.col("nrow") > F.col("row")) | ((F.col("nrow") == F.col("row")) & (F.col("ncol") > F.col("col")))
-    slopes = neighbours(cells, distance, key).where(later).select(key, rounded(_slope(dx, dy), 8).alias("s")).where("s > 0")
-    bounds = slopes.groupBy(key).agg(F.percentile(round_sig("s", 8), F.array(F.lit(0.25), F.lit(0.75))).alias("p"))
-    bounds = bounds.select(key, rounded(F.col("p")[0], 8).alias("p25"), rounded(F.col("p")[1], 8).alias("p75"))
-    median = slopes.join(bounds, key).where(F.col("s").between(F.col("p25"), F.col("p75"))).groupBy(key).agg(F.median("s").alias("slope"))
+    # Written once: quartiles and median read the slopes several times, and no later step meets the pairs again.
+    slopes = settle(neighbours(cells, distance, key).where(later).select(key, rounded(_slope(dx, dy), 8).alias("s")).where("s > 0"), "slopes")
+    bounds = percentiles(slopes.select(key, round_sig("s", 8).alias("s")), key, "s", [0.25, 0.75])
+    bounds = settle(bounds.select(key, rounded(F.col("p")[0], 8).alias("p25"), rounded(F.col("p")[1], 8).alias("p75")), "quartiles")
+    inner = slopes.join(bounds, key).where(F.col("s").between(F.col("p25"), F.col("p75")))
+    median = percentiles(inner, key, "s", [0.5]).select(key, F.col("p")[0].alias("slope"))
     out = cells.select(key).distinct().join(bounds, key, "left").join(median, key, "left")
     return out.select(key, *[F.coalesce(c, F.lit(DEFAULT_SLOPE)).alias(c) for c in ("slope", "p25", "p75")])
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
+from ..plans.lineage import settle
+from .quantiles import percentiles
 
 
 def evaluate_curves(curves: DataFrame, forecast: DataFrame, key: str = "COMID") -> DataFrame:
@@ -22,8 +24,9 @@ def evaluate_curves(curves: DataFrame, forecast: DataFrame, key: str = "COMID")
 
 
 def with_group_median(df: DataFrame, value: str, to: str, key: str = "COMID") -> DataFrame:
-    """Median of the group beside each row: aggregated and joined back, so no task holds a whole large group's rows."""
-    return df.join(df.groupBy(key).agg(F.median(value).alias(to)), key)
+    """Median of the group beside each row (null without a value), joined back, so no task holds a large group."""
+    rows = settle(df, "medians")
+    return rows.join(percentiles(rows, key, value, [0.5]).select(key, F.col("p")[0].alias(to)), key, "left")
 
 
 def depth_outliers_dropped(df: DataFrame, depth: str = "CurveDepth", key: str = "COMID") -> DataFrame:
