@@ -172,16 +172,15 @@ def flow_table_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_stats.flow_table(wide, series)
 
 
-@query(f"""WITH series AS (SELECT o_custkey AS rivid, year(o_orderdate) AS y, o_totalprice / 7.0123457::DOUBLE AS q FROM orders WHERE o_orderpriority LIKE '1%'),
-    periods AS (SELECT c_custkey AS rivid, CASE c_mktsegment WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 5 ELSE 100 END AS rp, c_acctbal / 100.0::DOUBLE AS q FROM customer WHERE c_acctbal > 0), {PIVOT},
+@query(f"""WITH series AS (SELECT o_custkey AS rivid, year(o_orderdate) AS y, o_totalprice / 7.0123457::DOUBLE AS q FROM orders),
+    periods AS (SELECT c_custkey + 40 AS rivid, CASE c_mktsegment WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 5 ELSE 100 END AS rp, c_acctbal / 100.0::DOUBLE AS q FROM customer), {PIVOT},
     whole AS (SELECT rivid, {r('avg(q)')} AS qout_mean, {r('median(q)')} AS qout_median, {r('max(q)')} AS qout_max FROM series GROUP BY rivid)
     SELECT coalesce(s.rivid, p.rivid) AS rivid, s.* EXCLUDE (rivid), p.* EXCLUDE (rivid) FROM whole s FULL JOIN pivoted p ON s.rivid = p.rivid""")
 def outer_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series of urgent orders, periods of customers in credit: some keys are on one side only."""
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'")
-    series = urgent.select(F.col("o_custkey").alias("rivid"), F.col("o_orderdate").alias("time"), (F.col("o_totalprice") / 7.0123457).alias("Qout"))
+    """Series of orders by customer, periods of customers 40 numbers on: some keys are on one side only."""
+    series = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rivid"), F.col("o_orderdate").alias("time"), (F.col("o_totalprice") / 7.0123457).alias("Qout"))
     period = F.when(F.col("c_mktsegment") == "BUILDING", 2).when(F.col("c_mktsegment") == "MACHINERY", 5).otherwise(100)
-    periods = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("rivid"), period.alias("return_period"), (F.col("c_acctbal") / 100.0).alias("return_period_flow"))
+    periods = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 40).alias("rivid"), period.alias("return_period"), (F.col("c_acctbal") / 100.0).alias("return_period_flow"))
     return flow_stats.retrospective(series, periods)
 
 
@@ -512,9 +511,13 @@ def nearest_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest(seeds, pts.where("vec_id % 25 <> 0"), "seed").select("seed", "vec_id", rounded("dist").alias("dist"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS_SQL}, edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM pts a JOIN pts b ON a.vec_id < b.vec_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 50 AND abs(a.wse - b.wse) / ((a.wse + b.wse) / 2) * 100 <= 0.05),
+    fate(id, stays) USING KEY (id) AS (SELECT vec_id, true FROM pts WHERE vec_id NOT IN (SELECT b FROM edges) UNION
+        (SELECT e.b, NOT bool_or(coalesce(f.stays, false)) FROM edges e LEFT JOIN recurring.fate f ON f.id = e.a WHERE e.b NOT IN (SELECT id FROM recurring.fate) AND EXISTS (SELECT 1 FROM fate)
+            GROUP BY e.b HAVING bool_or(coalesce(f.stays, false)) OR count(f.id) = count(*)))
+    SELECT vec_id, x, y, wse FROM pts JOIN fate ON id = vec_id WHERE stays""")
 def thin_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy thinning in row order: iterative, so no SQL twin; tested against a sequential version."""
+    """Greedy thinning in row order; the twin settles all points whose earlier neighbours are settled, round by round."""
     return spatial.thin(_points(spark, sf_dir), 50.0, 0.05, "vec_id", "wse").select("vec_id", "x", "y", "wse")
 
 
@@ -596,11 +599,14 @@ def tile_flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_stats.tile_table(curve, _periods(spark, sf_dir), reaches, (0.0, 0.0, 5000.0, 12.0))
 
 
-@query("SELECT * FROM (VALUES (11, 'Water', 0.03::DOUBLE), (21, 'Dev_Open_Space', 0.013::DOUBLE), (22, 'Dev_Low_Intesity', 0.05::DOUBLE), (23, 'Dev_Med_Intensity', 0.075::DOUBLE), (24, 'Dev_High_Intensity', 0.1::DOUBLE), (31, 'Barren_Land', 0.03::DOUBLE), (41, 'Decid_Forest', 0.12::DOUBLE), (42, 'Evergreen_Forest', 0.12::DOUBLE), (43, 'Mixed_Forest', 0.12::DOUBLE), (52, 'Shrub', 0.05::DOUBLE), (71, 'Grass_Herb', 0.03::DOUBLE), (81, 'Pasture_Hay', 0.04::DOUBLE), (82, 'Cultivated_Crops', 0.035::DOUBLE), (90, 'Woody_Wetlands', 0.1::DOUBLE), (95, 'Emergent_Herb_Wet', 0.1::DOUBLE)) t(\"LC_ID\", \"Description\", \"Manning_n\")")
+@query("SELECT p_partkey, t.* FROM part LEFT JOIN (VALUES (11, 'Water', 0.03::DOUBLE), (21, 'Dev_Open_Space', 0.013::DOUBLE), (22, 'Dev_Low_Intesity', 0.05::DOUBLE), (23, 'Dev_Med_Intensity', 0.075::DOUBLE), (24, 'Dev_High_Intensity', 0.1::DOUBLE), (31, 'Barren_Land', 0.03::DOUBLE), (41, 'Decid_Forest', 0.12::DOUBLE), (42, 'Evergreen_Forest', 0.12::DOUBLE), (43, 'Mixed_Forest', 0.12::DOUBLE), (52, 'Shrub', 0.05::DOUBLE), (71, 'Grass_Herb', 0.03::DOUBLE), (81, 'Pasture_Hay', 0.04::DOUBLE), (82, 'Cultivated_Crops', 0.035::DOUBLE), (90, 'Woody_Wetlands', 0.1::DOUBLE), (95, 'Emergent_Herb_Wet', 0.1::DOUBLE)) t(\"LC_ID\", \"Description\", \"Manning_n\") ON p_size = \"LC_ID\"")
 def default_roughness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as cells whose size is their land-cover class; a class that is not listed has no row in the table."""
     from ..sources import tables
 
-    return tables.default_roughness(spark)
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("int").alias("LC_ID"))
+    classes = tables.default_roughness(spark).withColumn("class", F.col("LC_ID"))
+    return parts.join(F.broadcast(classes), "LC_ID", "left").select("p_partkey", F.col("class").alias("LC_ID"), "Description", "Manning_n")  # fifteen classes
 
 
 @query()
