@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import projections
 from ..operators import networks, spatial
 from ..sources import outputs, raster, tables, vectors
 from .features import curve_features, raster_seeds
@@ -41,13 +42,15 @@ def features(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     dem, head = raster.read_grid(spark, args.dem_raster_file)
     raster.with_crs(head, args.dem_raster_file)
+    system, lines_in = raster.system_of(head), vectors.system_of(args.strm_shp)
     reaches = vectors.read_lines(spark, args.strm_shp)
+    if lines_in is not None:  # a layer without a system is taken to lie in the grid's
+        reaches = projections.reproject(reaches, lines_in, system)
     ends = reaches.select(args.stream_id_field, F.explode(F.flatten("parts")).alias("p")).select(args.stream_id_field, "p.x", "p.y").distinct()
     at = spatial.value_near(ends.withColumn("k", F.struct(args.stream_id_field, "x", "y")), dem.withColumnRenamed("v", "z"), head.transform, "k").select("k.*", "z")
     found = networks.headwater_seeds(reaches, at, args.stream_id_field, args.downstream_id_field)
     outputs.write_vector(found.withColumn("parts", F.array(F.array(F.struct("x", "y")))), args.seed_output_file)
     named = found.select(F.col(args.stream_id_field).alias("seed"), "x", "y")
     rows = curve_features(tables.read_curves(spark, args.curve_param_file), tables.read_forecast(spark, args.comid_q_file), named, head.transform, args.thin_output and args.thin_geojson, geographic=head.geographic)
-    to_degrees = not head.geographic and head.epsg and args.out_projection.upper() in ("EPSG:4326", "EPSG:4269")
-    zone = head.epsg % 100 if to_degrees and head.epsg // 100 in (269, 326, 327) else None
-    outputs.write_geojson(rows, args.out_geojson_file, args.out_projection, zone=zone, south=bool(zone and head.epsg // 100 == 327))
+    placed = projections.reproject(rows, system, projections.of_epsg(args.out_projection))
+    outputs.write_geojson(placed, args.out_geojson_file, args.out_projection)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
 from ..operators import spatial
-from . import files, vectors
+from . import files, layers, vectors
 
 
 def _each(name: str, i: int) -> Column:
@@ -89,8 +89,8 @@ def write_points_geojson(points: DataFrame, path: str, epsg: int | str) -> None:
 
 
 def write_vector(lines: DataFrame, path: str, crs: str | None = None) -> None:
-    """Attributes and ``parts`` (arrays of x, y) by the path's ending: Parquet with WKB in ``geometry``, or GeoJSON. Lines
-    of one vertex are points."""
+    """Attributes and ``parts`` (arrays of x, y) by the path's ending: Parquet with WKB in ``geometry``, GeoJSON, or a
+    shapefile. Lines of one vertex are points."""
     rest = [c for c in lines.columns if c != "parts"]
     if path.endswith((".parquet", ".geoparquet")):
         vectors.with_wkb(lines).write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -101,6 +101,8 @@ def write_vector(lines: DataFrame, path: str, crs: str | None = None) -> None:
         shape = F.when(kind == "MultiPoint", F.to_json(F.struct(kind.alias("type"), points.alias("coordinates")))).otherwise(F.to_json(F.struct(kind.alias("type"), lists.alias("coordinates"))))
         made = F.concat(F.lit('{"type": "Feature", "properties": '), F.to_json(F.struct(*rest)) if rest else F.lit("{}"), F.lit(', "geometry": '), shape, F.lit("}"))
         _collection(lines.select(made.alias("value")), path, crs)
+    elif path.endswith(".shp"):
+        layers.write_shapefile(lines, path)
     else:
         raise ValueError(f"{path}: unknown vector format")
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, InputPartition, WriterCommitMessage
 
+from ..functions import projections
 from .files import open_input, open_output, store_of
 from .filters import Pushed, allow_pushdown
 
@@ -254,6 +255,11 @@ def with_crs(head: Header, path: str) -> Header:
     return head
 
 
+def system_of(head: Header) -> projections.System:
+    """The coordinate system that a grid's keys describe, by code or by parameters; an unknown one is an error."""
+    return projections.of_geokeys(tuple(head.tags.get("geo", ())), tuple(head.tags.get("numbers", ())))
+
+
 def pack_lzw(data: bytes) -> bytes:
     """LZW as TIFF has it, with a clear code before the table is full. The search for the longest known text walks the
     bytes; the codes' bits are put together at once."""

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-import sqlite3
+import re
 import struct
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import projections
+from . import layers
 from .files import read_bytes
 
 POINT = "struct<x:double,y:double>"
@@ -100,57 +101,32 @@ def _geojson(path: str) -> list[dict]:
     return out
 
 
-def _shapefile(path: str) -> list[dict]:
-    data, table = read_bytes(path), read_bytes(path[: -len(PurePosixPath(path).suffix)] + ".dbf")
-    n, head, width = struct.unpack("<IHH", table[4:12])
-    names, at = [], 32
-    while table[at] != 13:
-        names.append((table[at : at + 11].split(b"\0")[0].decode("latin-1"), chr(table[at + 11]), table[at + 16], table[at + 17]))
-        at += 32
-    out, at = [], 100
-    for i in range(n):
-        size, kind = struct.unpack(">I", data[at + 4 : at + 8])[0] * 2, struct.unpack("<I", data[at + 8 : at + 12])[0]
-        parts: list = []
-        if kind in (3, 13, 23):
-            k, m = struct.unpack("<II", data[at + 44 : at + 52])
-            starts = [*struct.unpack(f"<{k}I", data[at + 52 : at + 52 + 4 * k]), m]
-            xy = struct.unpack(f"<{2 * m}d", data[at + 52 + 4 * k : at + 52 + 4 * k + 16 * m])
-            parts = [[(xy[2 * j], xy[2 * j + 1]) for j in range(a, b)] for a, b in zip(starts, starts[1:])]
-        elif kind in (1, 11, 21):
-            parts = [[struct.unpack("<2d", data[at + 12 : at + 28])]]
-        row, p = {}, head + i * width + 1
-        for name, kind_, length, places in names:
-            text = table[p : p + length].decode("latin-1").strip()
-            row[name] = None if not text or text.startswith("*") else (float(text) if places or "." in text or "e" in text.lower() else int(text)) if kind_ in "NF" else text
-            p += length
-        out.append({**row, "parts": parts})
-        at += 8 + size
-    return out
-
-
-def _geopackage(path: str, layer: str | None) -> list[dict]:
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        db.row_factory = sqlite3.Row
-        table, column = db.execute("SELECT table_name, column_name FROM gpkg_geometry_columns" + (" WHERE table_name = ?" if layer else ""), (layer,) if layer else ()).fetchone()
-        out = []
-        for r in db.execute(f'SELECT * FROM "{table}"'):
-            blob = r[column]
-            skip = 8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[blob[3] >> 1 & 7]
-            out.append({**{k: r[k] for k in r.keys() if k != column}, "parts": parse_wkb(blob[skip:])})
-        return out
-
-
 def read_lines(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """Attributes and parts. GeoParquet is read in parallel; the other formats are single files read by the driver."""
+    """Attributes and parts. GeoParquet, shapefiles and GeoPackages are read by tasks in ranges; a GeoJSON file is one
+    text, which the driver reads."""
     if path.endswith((".parquet", ".geoparquet")):
         raw = spark.read.parquet(path)
-        geometry = "geometry" if "geometry" in raw.columns else "geom"
-
-        return with_parts(raw, geometry)
-    rows = _geojson(path) if path.endswith((".geojson", ".json")) else _shapefile(path) if path.endswith(".shp") else _geopackage(path, layer) if path.endswith(".gpkg") else None
-    if rows is None:
-        raise ValueError(f"{path}: unknown vector format")
-    return _rows(spark, rows, sorted({k for r in rows for k in r if k != "parts"}))
+        return with_parts(raw, "geometry" if "geometry" in raw.columns else "geom")
+    if path.endswith(".shp"):
+        return layers.read_shapefile(spark, path)
+    if path.endswith(".gpkg"):
+        return with_parts(layers.read_geopackage(spark, path, layer), "geometry")
+    if path.endswith((".geojson", ".json")):
+        rows = _geojson(path)
+        return _rows(spark, rows, sorted({k for r in rows for k in r if k != "parts"}))
+    raise ValueError(f"{path}: unknown vector format")
+
+
+def system_of(path: str) -> projections.System | None:
+    """The coordinate system that a layer states: a shapefile by its .prj, GeoJSON by its member or as degrees; else None."""
+    if path.endswith(".shp"):
+        prj = path.removesuffix(".shp") + ".prj"
+        return projections.of_wkt(read_bytes(prj).decode("latin-1")) if layers._exists(prj) else None
+    if path.endswith((".geojson", ".json")):
+        named = re.search(r'"crs"\s*:\s*\{.*?"name"\s*:\s*"([^"]*)"', read_bytes(path)[:4096].decode("utf-8", "replace"), re.S)
+        code = re.search(r"(\d+)$", named[1]) if named and "EPSG" in named[1] else None
+        return projections.of_epsg(code[1] if code else 4326)
+    return None
 
 
 def longest_part(lines: DataFrame) -> DataFrame:
