@@ -89,47 +89,54 @@ def log_line(points: DataFrame, key: str) -> DataFrame:
     return s.select(key, F.exp((F.col("sy") - F.col("b") * F.col("sx")) / F.col("n")).alias("a"), "b")
 
 
-def pooled_curves(results: DataFrame, key: str = "COMID", rounds: int = 100) -> DataFrame:
+#: Exponents that are tried at first, steps between two of them then, and Newton's steps after that.
+EXPONENTS, COARSE, FINE, NEWTON = 8.0, 32, 16, 4
+
+
+def pooled_curves(results: DataFrame, key: str = "COMID") -> DataFrame:
     """One fit a reach over all increments of all its cells, as depth_a .. vel_b.
 
-    Damped least squares on sums: a round sums the normal equations of all fits at their trial parameters, which is a
-    row a reach and task, so a long reach is never in one task; steps, damping and the end follow from the sums. A fit
-    with fewer than two points, or that does not settle, is FAILED.
+    For a given exponent b the best factor is S / T, with S the sum of y q^b and T that of q^2b, which leaves a cost of
+    sum(y y) - S S / T: a function of b alone. Two passes over the points sum it on a coarse grid from -8 to 8 and on a fine
+    one around the least cost, a few more make Newton's steps, all as a row a fit and task, so a long reach is never in
+    one task and passes are six at most, whatever the data. A fit with fewer than two points, with its best exponent at
+    the end of the grid, or whose steps do not end is FAILED; where exponents do not matter (one flow only, or no y), the
+    first guess's is taken.
     """
     values = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("y")) for n, c in (("depth", "d"), ("tw", "i.t"), ("vel", "i.v"))])
     points = results.select(key, F.explode("inc").alias("i"), "base_elev").withColumn("d", F.col("i.wse") - F.col("base_elev"))
-    points = settle(points.where("i.q > 0").select(key, F.col("i.q").alias("q"), F.explode(values).alias("v")).select(key, "q", "v.name", "v.y").where("y IS NOT NULL"), "points")
-    starts = F.map_from_arrays(F.array(*[F.lit(n) for n in STARTS]), F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in STARTS.values()]))
-    fits = points.groupBy(key, "name").agg(F.count("*").alias("n")).withColumn("p", starts[F.col("name")])
-    kept = ("aa", "ab", "bb", "ga", "gb")
-    none = {c: F.lit(None).cast("double") for c in ("a", "b", "cost", *kept)}
-    fits = fits.select(key, "name", F.col("p.a").alias("ta"), F.col("p.b").alias("tb"), (F.col("n") < 2).alias("done"), F.lit(False).alias("good"), F.lit(1e-3).alias("damp")).withColumns(none)
+    points = points.where("i.q > 0").select(key, F.ln("i.q").alias("x"), F.explode(values).alias("v")).select(key, "x", "v.name", "v.y").where("y IS NOT NULL")
+    points = settle(points, "points")
+    starts = F.map_from_arrays(F.array(*map(F.lit, STARTS)), F.array(*[F.lit(b) for _, b in STARTS.values()]))
+    fits = points.groupBy(key, "name").agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), (F.min("x") == F.max("x")).alias("flat"))
+    fits = fits.select(key, "name", "n", "flat", "yy", F.lit(0.0).alias("b"), F.lit(EXPONENTS).alias("half"), F.lit(True).alias("inner"))
     fits = settle(fits, "fits")
-    for _ in range(rounds):
-        p = F.pow("q", "tb")
-        j, r = F.col("ta") * p * F.log("q"), F.col("ta") * p - F.col("y")
-        asked = fits.where("NOT done").select(key, "name", "ta", "tb")
-        terms = {"cost": r * r, "aa": p * p, "ab": p * j, "bb": j * j, "ga": p * r, "gb": j * r}
-        sums = points.join(asked, [key, "name"]).groupBy(key, "name").agg(*[F.sum(t).alias(f"n_{c}") for c, t in terms.items()])
-        now = fits.join(sums, [key, "name"], "left")
-        better = ~F.col("done") & F.col("n_cost").isNotNull() & ~F.isnan("n_cost") & (F.col("cost").isNull() | (F.col("n_cost") <= F.col("cost")))
-        near = lambda t, o: F.abs(F.col(t) - F.col(o)) <= 1e-8 * (F.abs(F.col(o)) + 1e-8)
-        settled = better & F.col("cost").isNotNull() & ((near("ta", "a") & near("tb", "b")) | (F.col("cost") - F.col("n_cost") <= 1e-14 * F.col("cost")))
-        now = now.withColumns({"better": better, "settled": settled})
-        taken = {c: F.when(F.col("better"), F.col(f"n_{c}")).otherwise(F.col(c)) for c in ("cost", *kept)}
-        taken |= {o: F.when(F.col("better"), F.col(t)).otherwise(F.col(o)) for o, t in (("a", "ta"), ("b", "tb"))}
-        taken["damp"] = F.when(F.col("better"), F.greatest(F.col("damp") / 10, F.lit(1e-12))).otherwise(F.least(F.col("damp") * 10, F.lit(1e12)))
-        now = now.withColumns(taken)
-        now = now.withColumns({"good": F.col("good") | F.col("settled"), "done": F.col("done") | F.col("settled") | (F.col("damp") >= 1e12)})
-        da, db = F.col("aa") * (1 + F.col("damp")), F.col("bb") * (1 + F.col("damp"))
-        det = da * db - F.col("ab") * F.col("ab")
-        step_a = F.try_divide(F.col("ab") * F.col("gb") - db * F.col("ga"), det)
-        step_b = F.try_divide(F.col("ab") * F.col("ga") - da * F.col("gb"), det)
-        now = now.withColumns({"ta": F.col("a") + step_a, "tb": F.col("b") + step_b})
-        # No step can be made where the equations say nothing.
-        now = now.withColumn("done", F.col("done") | F.coalesce(F.col("ta").isNull() | F.col("tb").isNull(), F.lit(True)))
-        fits = settle(now.select(*fits.columns), "fits")
-        if fits.where("NOT done").isEmpty():
+    for steps in (COARSE, FINE):
+        tried = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k")
+        asked = fits.where("n > 1").select(key, "name", F.col("b").alias("c"), "half", "yy")
+        at = F.col("c") + F.col("half") * (2.0 * F.col("k") / steps - 1)
+        each = points.join(asked, [key, "name"]).select(key, "name", "x", "y", "yy", "half", tried, "c").withColumn("t", at)
+        sums = each.groupBy(key, "name", "k", "t", "yy", "half").agg(F.sum(F.col("y") * F.exp(F.col("t") * F.col("x"))).alias("s"), F.sum(F.exp(2 * F.col("t") * F.col("x"))).alias("u"))
+        cost = F.col("yy") - F.try_divide(F.col("s") * F.col("s"), F.col("u"))
+        best = sums.groupBy(key, "name").agg(F.min_by(F.struct("t", "k"), F.struct(cost, F.abs(F.col("t") - starts[F.col("name")]))).alias("best"))
+        inner = F.col("inner") & F.coalesce((F.col("best.k") > 0) & (F.col("best.k") < steps), F.lit(False)) if steps == COARSE else F.col("inner")
+        fits = settle(fits.join(best, [key, "name"], "left").select(key, "name", "n", "flat", "yy", F.col("best.t").alias("b"), (F.col("half") * 2 / steps).alias("half"), inner.alias("inner")), "fits")
+    guess = starts[F.col("name")]
+    fits = fits.withColumns({"b": F.when(F.col("flat"), guess).otherwise(F.col("b")), "a": F.lit(None).cast("double"), "step": F.lit(None).cast("double")})
+    for _ in range(NEWTON):
+        p, pp, x = F.exp(F.col("b") * F.col("x")), F.exp(2 * F.col("b") * F.col("x")), F.col("x")
+        terms = {"s0": F.col("y") * p, "s1": F.col("y") * x * p, "s2": F.col("y") * x * x * p, "t0": pp, "t1": 2 * x * pp, "t2": 4 * x * x * pp}
+        asked = fits.where("n > 1 AND b IS NOT NULL").select(key, "name", "b")
+        sums = points.join(asked, [key, "name"]).groupBy(key, "name").agg(*[F.sum(t).alias(c) for c, t in terms.items()])
+        slope = F.expr("2 * s0 * s1 / t0 - s0 * s0 * t1 / (t0 * t0)")
+        bend = F.expr("2 * s1 * s1 / t0 + 2 * s0 * s2 / t0 - 4 * s0 * s1 * t1 / (t0 * t0) - s0 * s0 * t2 / (t0 * t0) + 2 * s0 * s0 * t1 * t1 / (t0 * t0 * t0)")
+        # Less cost lies where S S / T bends down; a step stays within the fine grid's.
+        free = F.when(F.col("flat") | (bend >= 0), 0.0).otherwise(-slope / bend)
+        now = fits.drop("a", "step").join(sums, [key, "name"], "left").withColumn("step", F.greatest(-F.col("half"), F.least(F.col("half"), free)))
+        a = F.expr("(s0 + step * s1 + step * step / 2 * s2) / (t0 + step * t1 + step * step / 2 * t2)")
+        fits = settle(now.select(key, "name", "n", "flat", "yy", (F.col("b") + F.col("step")).alias("b"), "half", "inner", a.alias("a"), "step"), "fits")
+        if fits.where("n > 1 AND abs(step) > 1e-9").isEmpty():
             break
-    of = lambda n, c: rounded(F.coalesce(F.max(F.when(F.col("name") == n, F.when(F.col("good"), F.col(c)).otherwise(FAILED))), F.lit(FAILED))).alias(f"{n}_{c}")
+    good = (F.col("n") > 1) & (F.col("inner") | F.col("flat")) & F.col("a").isNotNull() & ~F.isnan("a") & (F.abs("step") <= 1e-4)
+    of = lambda n, c: rounded(F.coalesce(F.max(F.when((F.col("name") == n) & good, F.col(c))), F.lit(FAILED))).alias(f"{n}_{c}")
     return fits.groupBy(key).agg(*[of(n, c) for n in ("depth", "tw", "vel") for c in "ab"])
