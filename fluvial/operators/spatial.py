@@ -149,7 +149,7 @@ def stream_angles(cells: DataFrame, vertices: DataFrame, key: str = "cell_seq")
     from pyspark.sql import Window
 
     placed = near.drop("x", "y").join(cells.select(key, "x", "y"), key).withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("dist", "vx", "vy"))).where("n BETWEEN 2 AND 5")
-    return placed.groupBy(key).agg(F.round(F.degrees(circular_mean(F.atan2(F.col("vy") - F.col("y"), F.col("vx") - F.col("x"))))).alias("angle"))
+    return placed.groupBy(key).agg(F.rint(F.degrees(circular_mean(F.atan2(F.col("vy") - F.col("y"), F.col("vx") - F.col("x"))))).alias("angle"))
 
 
 def reach_bearing(reaches: DataFrame) -> DataFrame:

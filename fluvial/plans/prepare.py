@@ -1,12 +1,16 @@
-"""Inputs of a run from a folder: land cover and streams on the elevation grid, roughness classes, the configuration."""
+"""Inputs of a run from a folder: land cover and streams on the elevation grid, roughness classes, the configuration;
+bearings of reaches, angles of stream cells, and a forecast file a scenario."""
 
 from __future__ import annotations
 
+import argparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import spatial, streams
-from ..sources import files, outputs, raster, tables, vectors
+from ..functions import projections
+from ..operators import rating, spatial, streams
+from ..sources import arrays, files, outputs, raster, tables, vectors
 from ..sources.config import Config
 
 #: Places of inputs and of what is made, under the main folder (fixed by the layout of such folders).
@@ -54,3 +58,47 @@ def write_bearings(spark: SparkSession, lines: str, key: str, path: str) -> None
     """Ids and directions (radians) from each line's first vertex to its last, of all its parts."""
     parts = vectors.read_lines(spark, lines).withColumn("pts", F.flatten("parts"))
     outputs.write_angles(spatial.reach_bearing(parts), path, key)
+
+
+def write_stream_angles(spark: SparkSession, lines: str, streams_path: str, path: str) -> None:
+    """Whole degrees at each stream cell, 0 elsewhere, on the streams' grid: the mean direction from the cell's centre to
+    the second to fifth nearest vertices of the lines, which are brought into the grid's system where they state another."""
+    cells, head = raster.read_grid(spark, streams_path)
+    placed = rating.cell_centres(cells.where("v > 0").select("row", "col"), head.transform[0], head.transform[3], head.transform[1], -head.transform[5], "row", "col")
+    layer, stated = vectors.read_lines(spark, lines), vectors.system_of(lines)
+    if stated is not None:
+        layer = projections.reproject(layer, stated, raster.system_of(head))
+    vertices = layer.select(F.explode(F.flatten("parts")).alias("p")).select("p.x", "p.y").distinct()
+    angles = spatial.stream_angles(placed.withColumn("cell", F.struct("row", "col")), vertices, "cell")
+    raster.write_grid(angles.select("cell.row", "cell.col", F.col("angle").alias("v")), path, head, "i4", 0, compression="none")
+
+
+def write_scenarios(spark: SparkSession, netcdf: str, key: str, columns: dict[str, str], folder: str) -> None:
+    """A forecast file (COMID, qout) for each named variable of a NetCDF table: scenario -> variable."""
+    table = netcdf_columns(arrays.read_netcdf(spark, netcdf, list(dict.fromkeys(columns.values()))), key, columns)
+    outputs.scenario_flows(table, {name: name for name in columns}, folder)
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Prepare inputs of runs."""
+    parser = argparse.ArgumentParser(description=main.__doc__)
+    kinds = parser.add_subparsers(dest="kind", required=True)
+    inputs, angles, bearings, scenarios = (kinds.add_parser(k) for k in ("inputs", "angles", "bearings", "scenarios"))
+    for name in ("main_folder", "id_field", "max_flow", "base_flow", "flow_file"):
+        inputs.add_argument(f"--{name}", required=True)
+    for name in ("use_banks", "by_cover", "delete"):
+        inputs.add_argument(f"--{name}", action="store_true")
+    for kind, names in ((angles, ("strm_shp", "strm_raster_file", "out_file")), (bearings, ("strm_shp", "stream_id_field", "out_file")), (scenarios, ("netcdf_file", "id_field", "out_folder"))):
+        for name in names:
+            kind.add_argument(f"--{name}", required=True)
+    scenarios.add_argument("--flows", nargs="+", required=True, metavar="NAME=VARIABLE")
+    args = parser.parse_args(argv)
+    spark = SparkSession.builder.getOrCreate()
+    if args.kind == "inputs":
+        prepare(spark, args.main_folder, args.id_field, args.max_flow, args.base_flow, args.flow_file, args.use_banks, args.by_cover, args.delete)
+    elif args.kind == "angles":
+        write_stream_angles(spark, args.strm_shp, args.strm_raster_file, args.out_file)
+    elif args.kind == "bearings":
+        write_bearings(spark, args.strm_shp, args.stream_id_field, args.out_file)
+    else:
+        write_scenarios(spark, args.netcdf_file, args.id_field, dict(f.split("=", 1) for f in args.flows), args.out_folder)
