@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
+from ..plans.lineage import settle
 
 RETURN_PERIODS = (2, 5, 10, 25, 50, 100)
 
@@ -59,6 +60,31 @@ def tile_table(curve: DataFrame, periods: DataFrame, reaches: DataFrame, box: tu
     return with_premium(duration_points(curve.join(inside, key, "left_semi"), key).join(pivoted(periods.join(inside, key, "left_semi"), key), key, "full"))
 
 
+def in_tiles(reaches: DataFrame, tiles: DataFrame, key: str = "rivid", tile: str = "tile") -> DataFrame:
+    """Which reaches (key, pts) lie wholly in which tiles (tile, minx, miny, maxx, maxy), edges included: tile, key.
+
+    A line is in a box when the lower left corner and the upper right one of its own box are. So a reach goes to the one
+    cell of its lower left corner, a tile to the cells that it touches (four at most, cells being as large as the largest
+    tile), and an equi-join finds the pairs: no reach is copied, and reaches far from all tiles meet none. Reaches
+    without a vertex are in no tile.
+    """
+    at = lambda f, c: f(F.transform("pts", lambda p: p[c]))
+    corners = {"x0": at(F.array_min, "x"), "y0": at(F.array_min, "y"), "x1": at(F.array_max, "x"), "y1": at(F.array_max, "y")}
+    size = tiles.agg(F.max(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0] or 1.0
+    cell = lambda c: F.floor(F.col(c) / size)
+    spots = reaches.select(key, *[v.alias(n) for n, v in corners.items()]).where("x0 IS NOT NULL").withColumns({"cx": cell("x0"), "cy": cell("y0")})
+    touched = tiles.withColumn("cx", F.explode(F.sequence(cell("minx"), cell("maxx")))).withColumn("cy", F.explode(F.sequence(cell("miny"), cell("maxy"))))
+    return spots.join(touched, ["cx", "cy"]).where("x0 >= minx AND y0 >= miny AND x1 <= maxx AND y1 <= maxy").select(tile, key).distinct()
+
+
+def tile_tables(curve: DataFrame, periods: DataFrame, reaches: DataFrame, tiles: DataFrame, key: str = "rivid", tile: str = "tile") -> DataFrame:
+    """tile_table of many tiles at once: each reach's flows are worked out once, and joined to the tiles that hold it."""
+    pairs = settle(in_tiles(reaches, tiles, key, tile), "tiles")
+    wanted = pairs.select(key).distinct()
+    points, wide = (f(rows.join(wanted, key, "left_semi"), key) for f, rows in ((duration_points, curve), (pivoted, periods)))
+    return with_premium(pairs.join(points.join(wide, key, "full"), key))
+
+
 def headwaters(reaches: DataFrame, key: str, downstream: str) -> DataFrame:
     """Reaches that no other one flows into; rows without an id are left out on both sides."""
     fed = reaches.where(F.col(downstream).isNotNull()).select(F.col(downstream).alias(key)).distinct()

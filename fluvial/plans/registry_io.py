@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import flow_stats, networks
+from ..operators import flow_stats, lookup, networks
 from ..sources import arrays, raster
 from . import carriers, discharge
 from .carriers import GRID_SQL, ROWS, table
 from .lineage import new_folder
-from .registry import YEARLY, query
+from .registry import PERIODS, PIVOT, YEARLY, query, r
+from .registry import _periods as return_periods
 
 
 # --- gridded files --------------------------------------------------------------------------------------------------
@@ -90,3 +91,32 @@ def reach_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = e.select("k", F.explode(F.array("a", "b")).alias("n")).distinct()
     heights = points.select("k", (3.0 * F.col("n")).alias("x"), (4.0 * F.col("n") + 10000.0 * F.col("k")).alias("y"), (F.col("n") * 37 % 101).cast("double").alias("z"))
     return networks.headwater_seeds(reaches, heights, "k", "down")
+
+
+# --- tiles ----------------------------------------------------------------------------------------------------------
+@query(f"""WITH {PERIODS}, {PIVOT}, tiles AS (SELECT n_nationkey AS tile, 100.0::DOUBLE * n_regionkey - 900 AS minx, 0.0::DOUBLE AS miny, 400.0::DOUBLE * (n_nationkey + 1) AS maxx, n_nationkey::DOUBLE AS maxy FROM nation),
+    inside AS (SELECT tile, c_custkey AS rivid FROM customer JOIN tiles ON least(1, c_acctbal) >= minx AND least(1, c_nationkey) >= miny AND greatest(1, c_acctbal) <= maxx AND greatest(1, c_nationkey) <= maxy),
+    points AS (SELECT o_custkey AS rivid, {r("max(o_totalprice / 3.0::DOUBLE) FILTER (o_orderkey % 2 = 0)")} AS qout_median, {r("max(o_totalprice / 3.0::DOUBLE) FILTER (o_orderkey % 2 = 1)")} AS qout_max FROM orders GROUP BY o_custkey)
+    SELECT tile, rivid, p.* EXCLUDE (rivid), v.* EXCLUDE (rivid), {r('qout_max * 1.5::DOUBLE')} AS qout_max_premium, {r('rp100 * 1.5::DOUBLE')} AS rp100_premium FROM inside JOIN points p USING (rivid) JOIN pivoted v USING (rivid)""")
+def tile_flow_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow tables of all tiles at once: a tile a nation; each customer is a line between two points."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    reaches = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rivid"), F.array(at(F.lit(1), F.lit(1)), at(F.col("c_acctbal"), F.col("c_nationkey"))).alias("pts"))
+    n = F.col("n_nationkey")
+    tiles = table(spark, sf_dir, "nation").select(n.alias("tile"), (100.0 * F.col("n_regionkey") - 900).alias("minx"), F.lit(0.0).alias("miny"), (400.0 * (n + 1)).alias("maxx"), n.cast("double").alias("maxy"))
+    curve = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rivid"), F.when(F.col("o_orderkey") % 2 == 0, 50.0).otherwise(0.0).alias("p_exceed"), (F.col("o_totalprice") / 3.0).alias("fdc"))
+    return flow_stats.tile_tables(curve, return_periods(spark, sf_dir), reaches, tiles)
+
+
+# --- long rating tables -----------------------------------------------------------------------------------------------
+@query("""WITH pts AS (SELECT l_partkey AS k, l_quantity::DOUBLE AS q, min(l_extendedprice) AS y FROM lineitem GROUP BY ALL), asked AS (SELECT l_orderkey, l_linenumber, l_partkey AS k, 60.0::DOUBLE * l_discount * 10 AS x FROM lineitem),
+    o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY q) - 1 AS i, count(*) OVER (PARTITION BY k) AS m FROM pts),
+    b AS (SELECT k, x, m, least(greatest(count(*) FILTER (q < x), 1), m - 1) AS j FROM o JOIN (SELECT DISTINCT k, x FROM asked) USING (k) GROUP BY k, x, m),
+    e AS (SELECT b.k, x, m, max(q) FILTER (i = j - 1) AS q0, max(y) FILTER (i = j - 1) AS y0, max(q) FILTER (i = j) AS q1, max(y) FILTER (i = j) AS y1, min(y) AS lone FROM b JOIN o USING (k, m) GROUP BY ALL)
+    SELECT l_orderkey, l_linenumber, round_even(CASE WHEN m = 1 THEN lone ELSE y0 + (x - q0) * (y1 - y0) / (q1 - q0) END * 10, 0) / 10 AS level FROM asked LEFT JOIN e USING (k, x)""")
+def long_rating_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rating tables of prices over quantities; each line item asks for one flow."""
+    lines = table(spark, sf_dir, "lineitem")
+    asked = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"), (60.0 * F.col("l_discount") * 10).alias("x"))
+    found = lookup.levels_at(lines.select(F.col("l_partkey").alias("k"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("y")), asked, "k")
+    return found.select("l_orderkey", "l_linenumber", (F.rint(F.col("level") * 10) / 10).alias("level"))
