@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import kinds, padded, parts
+
 #: Roughness of the assumed channel; depth at which a method has failed; rise that ends flat water (fixed values).
 CHANNEL_N, TOO_DEEP, FLAT_RISE = 0.03, 25.0, 0.1
 #: Steps of the depth of a trapezoid, of a triangle, and of the stage of the width over depth (fixed values).
@@ -311,51 +313,29 @@ def bed(c: Channels, shapes: Shapes, side: int, share: float, by_banks: bool) ->
     return np.where(centre, low, np.where(taken, z, c.z[side])), taken | centre
 
 
-def _padded(column: pa.Array, fill: float, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A list column as a matrix, which of its places are there, and the lists' lengths."""
-    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
-    there = np.arange(max(1, size.max(initial=0))) < size[:, None]
-    out = np.full(there.shape, fill, kind)
-    out[there] = pc.list_flatten(column).to_numpy(zero_copy_only=False)
-    return out, there, size
-
-
 def _channels(batch: pa.RecordBatch, water: int) -> tuple[Channels, list[np.ndarray]]:
     z, there, size, cover = [], [], [], []
     for s in "12":
-        a, b, c = _padded(batch.column(f"p{s}"), np.inf, float)
+        a, b, c = padded(batch.column(f"p{s}"), np.inf, float)
         z.append(a), there.append(b), size.append(c)
-        cover.append(_padded(batch.column(f"lc{s}"), -1, float)[0])
+        cover.append(padded(batch.column(f"lc{s}"), -1, float)[0])
     cover = [np.pad(k[:, : v.shape[1]], ((0, 0), (0, max(0, v.shape[1] - k.shape[1]))), constant_values=-1) for k, v in zip(cover, z)]
     return Channels(tuple(z), tuple(cover), tuple(size), batch.column("dz").to_numpy(zero_copy_only=False).astype(float), water), there
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches whose matrices have BATCH_VALUES places at most (one row at least)."""
-    for batch in batches:
-        longest = max((pc.max(pc.list_value_length(batch.column(p))).as_py() or 1 for p in ("p1", "p2")), default=1) if batch.num_rows else 1
-        size = max(1, BATCH_VALUES // (2 * longest))
-        for a in range(0, batch.num_rows, size):
-            yield batch.slice(a, size)
-
-
-def _kinds(df: DataFrame, columns: list[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-
-
 def with_banks(sections: DataFrame, water: int = 80) -> DataFrame:
     """Sections with their banks by each method, sides 1 and 2: flat, level (flat water, one before the bank), cover,
     ratio and bend (arrays), and cover_level. Sections without a side have the banks of the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
+        for batch in parts(batches, BATCH_VALUES):
             c, _ = _channels(batch, water)
             found = (c.flat_banks(False), c.flat_banks(True), c.cover_banks(), c.ratio_banks(), c.bend_banks())
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(f.astype(np.int32).ravel()), 2).cast(pa.list_(pa.int32())) for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists, pa.array(c.cover_level())], [*batch.schema.names, *names])
 
     names = ["flat", "level", "cover", "ratio", "bend", "cover_level"]
-    return sections.mapInArrow(run, f"{_kinds(sections, sections.columns)}, {', '.join(f'{n} array<int>' for n in names[:-1])}, cover_level double")
+    return sections.mapInArrow(run, f"{kinds(sections, sections.columns)}, {', '.join(f'{n} array<int>' for n in names[:-1])}, cover_level double")
 
 
 def with_bathymetry(sections: DataFrame, share: float = 0.2, by_banks: bool = False, by_cover: bool = False, water: int = 80) -> DataFrame:
@@ -367,7 +347,7 @@ def with_bathymetry(sections: DataFrame, share: float = 0.2, by_banks: bool = Fa
     find = shapes_by_banks if by_banks else shapes_by_level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
+        for batch in parts(batches, BATCH_VALUES):
             c, there = _channels(batch, water)
             flow, slope = (np.nan_to_num(batch.column(n).to_numpy(zero_copy_only=False).astype(float)) for n in ("q_base", "slope"))
             whole = np.flatnonzero((c.count[0] > 0) & (c.count[1] > 0) & (flow > 0))
@@ -392,7 +372,7 @@ def with_bathymetry(sections: DataFrame, share: float = 0.2, by_banks: bool = Fa
             columns["burnt"] = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, ["row", "col", "z", "side", "i"]))
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return sections.mapInArrow(run, _kinds(sections, sections.columns) + ", burnt array<struct<row:int,col:int,z:double,side:int,i:int>>")
+    return sections.mapInArrow(run, kinds(sections, sections.columns) + ", burnt array<struct<row:int,col:int,z:double,side:int,i:int>>")
 
 
 def bathymetry_grid(burnt: DataFrame, order: str = "cell_seq") -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
 from ..plans.lineage import settle
+from .batches import kinds
 
 #: First guesses of top width, velocity and depth, and what a fit that fails gives.
 STARTS = {"tw": (12.0, 0.3), "vel": (1.0, 0.3), "depth": (0.2, 0.5)}
@@ -60,23 +62,29 @@ def cell_curves(results: DataFrame, keep: list[str]) -> DataFrame:
     """depth_a, depth_b, tw_a, tw_b, vel_a, vel_b of each rating table (inc, base_elev); rows where a coefficient is not
     positive go."""
     names = [f"{n}_{c}" for n in ("depth", "tw", "vel") for c in "ab"]
-    kinds = ", ".join(f"`{c}` {results.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            width = max(len(i) for i in frame["inc"])
-            get = lambda f: np.array([[i[f] for i in row] + [np.nan] * (width - len(row)) for row in frame["inc"]], float)
-            q = get("q")
-            mask = ~np.isnan(q) & (q > 0)
-            values = {"tw": get("t"), "vel": get("v"), "depth": get("wse") - frame["base_elev"].to_numpy()[:, None]}
-            out = frame[keep].copy()
-            for n, y in values.items():
-                out[f"{n}_a"], out[f"{n}_b"] = fit_power(q, np.nan_to_num(y), mask, STARTS[n])
-            yield out[[*keep, *names]]
-
-    fitted = results.select(*keep, "inc", *[c for c in ("base_elev",) if c not in keep]).mapInPandas(run, kinds + ", " + ", ".join(f"{n} double" for n in names))
+            inc = batch.column("inc")
+            size = pc.fill_null(pc.list_value_length(inc), 0).to_numpy()
+            mask = np.arange(max(1, size.max())) < size[:, None]
+            flat = pc.list_flatten(inc)
+
+            def get(name: str) -> np.ndarray:
+                out = np.full(mask.shape, np.nan)
+                out[mask] = pc.struct_field(flat, name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                return out
+
+            q, base = get("q"), batch.column("base_elev").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            used = ~np.isnan(q) & (q > 0)
+            values = {"depth": get("wse") - base[:, None], "tw": get("t"), "vel": get("v")}
+            found = [c for n, y in values.items() for c in fit_power(q, np.nan_to_num(y), used, STARTS[n])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, found)], [*keep, *names])
+
+    columns = [*keep, "inc", *[c for c in ("base_elev",) if c not in keep]]
+    fitted = results.select(*columns).mapInArrow(run, kinds(results, keep) + ", " + ", ".join(f"{n} double" for n in names))
     fitted = fitted.withColumns({n: rounded(n) for n in names})
     return fitted.where("depth_a > 0 AND tw_a > 0 AND vel_a > 0")
 

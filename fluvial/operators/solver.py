@@ -10,10 +10,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..functions.hydraulics import FALLBACK_N, LEAST_N, LEAST_PERIMETER
+from .batches import kinds, padded, parts
 
 #: Ordinates of a batch's two matrices together.
 BATCH_VALUES = 4_000_000
@@ -44,6 +46,16 @@ class Side:
             n15[i, : len(p)] = np.asarray(n, float) ** 1.5
         return cls(z, n15, count, dz)
 
+    @classmethod
+    def read(cls, profiles: pa.Array, roughness: pa.Array, dz: np.ndarray) -> "Side":
+        """The same from list columns of a batch."""
+        z, _, count = padded(profiles, np.inf, float)
+        n, _, _ = padded(roughness, 0.0, float)
+        n15 = np.zeros(z.shape)
+        shared = min(z.shape[1], n.shape[1])
+        n15[:, :shared] = n[:, :shared] ** 1.5
+        return cls(z, n15, count, dz)
+
     def pick(self, rows: np.ndarray) -> "Side":
         return Side(self.z[rows], self.n15[rows], self.count[rows], self.dz[rows])
 
@@ -237,24 +249,24 @@ def rating_tables(sections: DataFrame, number: int, keep: tuple[str, ...] = ("ce
     or without a positive stage or an increment, give no row. The first usable flow is set just under the baseflow where
     it is above it. With ``stage`` the maximum stage is that column's, and the target is the flow there.
     """
-    kinds = ", ".join(f"`{c}` {sections.schema[c].dataType.simpleString()}" for c in keep)
-    wanted = [*keep, "p1", "n1", "p2", "n2", "dz", "slope", "q_base", "q_max", *([stage] if stage else [])]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame[[len(p) + len(r) > 0 for p, r in zip(frame["p1"], frame["p2"])]]
-            longest = max((max(len(p), len(r)) for p, r in zip(frame["p1"], frame["p2"])), default=1)
-            size = max(1, BATCH_VALUES // (2 * longest))
-            for at in range(0, len(frame), size):
-                yield solved(frame.iloc[at : at + size])
-
-    def solved(frame: pd.DataFrame) -> pd.DataFrame:
-        dz = frame["dz"].to_numpy(float)
-        s = Sections(Side.of(list(frame["p1"]), list(frame["n1"]), dz), Side.of(list(frame["p2"]), list(frame["n2"]), dz), frame["slope"].to_numpy(float))
-        base = np.array([p[0] if len(p) else r[0] for p, r in zip(frame["p1"], frame["p2"])], float)
-        target, low_q = frame["q_max"].to_numpy(float), frame["q_base"].fillna(0.0).to_numpy(float)
+    wanted = list(dict.fromkeys([*keep, "p1", "n1", "p2", "n2", "dz", "slope", "q_base", "q_max", *([stage] if stage else [])]))
+    fields = ("q", "v", "t", "wse", "p")
+    names = [*keep, "q_base", "q_max", "slope", "base_elev", "wse_max", "start", "last", "inc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, BATCH_VALUES):
+            size = [pc.fill_null(pc.list_value_length(batch.column(p)), 0).to_numpy() for p in ("p1", "p2")]
+            yield solved(batch.filter(pa.array(size[0] + size[1] > 0)))
+
+    def solved(batch: pa.RecordBatch) -> pa.RecordBatch:
+        number_of = lambda name: batch.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        dz, slope, target, low_q = (number_of(n) for n in ("dz", "slope", "q_max", "q_base"))
+        low_q = np.where(np.isnan(low_q), 0.0, low_q)
+        left, right = (Side.read(batch.column(f"p{k}"), batch.column(f"n{k}"), dz) for k in "12")
+        s = Sections(left, right, slope)
+        base = np.where(left.count > 0, left.z[:, 0], right.z[:, 0])
         if stage:
-            w = frame[stage].to_numpy(float)
+            w = number_of(stage)
             q = s.flow(w)
         else:
             w, q = solve_stage(s, base, target)
@@ -266,11 +278,9 @@ def rating_tables(sections: DataFrame, number: int, keep: tuple[str, ...] = ("ce
         first = np.minimum(start + 1, number)
         over = (low_q[good] > 0.001) & (table[rows, first, 0] >= low_q[good])
         table[rows[over], first[over], 0] = low_q[good][over] - 0.001
-        names = ("q", "v", "t", "wse", "p")
-        out = frame.iloc[good][list(keep)].reset_index(drop=True)
-        return out.assign(
-            q_base=low_q[good], q_max=target[good], slope=s.slope[good], base_elev=base[good], wse_max=w[good], start=start.astype("int32"), last=last.astype("int32"),
-            inc=pd.Series([[dict(zip(names, map(float, r))) for r in t[1:]] for t in table], dtype=object),
-        )
-
-    return sections.select(*wanted).mapInPandas(run, f"{kinds}, {RESULT}")
+        items = pa.StructArray.from_arrays([pa.array(table[:, 1:, k].ravel()) for k in range(len(fields))], list(fields))
+        inc = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(good) + 1) * number, number, dtype=np.int32)), items)
+        made = [pa.array(x[good]) for x in (low_q, target, slope, base, w)] + [pa.array(x.astype(np.int32)) for x in (start, last)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(good)) for c in keep), *made, inc], names)
+
+    return sections.select(*wanted).mapInArrow(run, f"{kinds(sections, list(keep))}, {RESULT}")
