@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import flow_stats, lookup, networks
+from ..operators import bathymetry, flow_stats, lookup, networks
 from ..sources import arrays, raster
 from . import carriers, discharge
-from .carriers import GRID_SQL, ROWS, table
+from .carriers import CELL_SQL, GRID_SQL, LENGTH, REACH_SQL, ROWS, table
 from .lineage import new_folder
 from .registry import PERIODS, PIVOT, YEARLY, query, r
 from .registry import _periods as return_periods
@@ -120,3 +120,53 @@ def long_rating_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"), (60.0 * F.col("l_discount") * 10).alias("x"))
     found = lookup.levels_at(lines.select(F.col("l_partkey").alias("k"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("y")), asked, "k")
     return found.select("l_orderkey", "l_linenumber", (F.rint(F.col("level") * 10) / 10).alias("level"))
+
+
+# --- bathymetry -------------------------------------------------------------------------------------------------------
+#: Depths in closed steps: of trapezoids with a fifth of their width under each slope, and of triangles whose sides rise
+#: by 1 / side a metre.
+STEP = "CASE stage WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE WHEN 3 THEN 0.1::DOUBLE ELSE 0.01::DOUBLE END"
+
+
+def _depths(width: str, single: str) -> str:
+    return f"""{CELL_SQL}, {REACH_SQL}, sized AS (SELECT comid, r, c, qty, side, slope, q_base, ({width})::DOUBLE AS width FROM cell JOIN reach USING (comid)),
+    t(width, slope, q, stage, start, depth, done) AS (
+        SELECT DISTINCT width, slope, q_base, 1, 0.0::DOUBLE, 0.0::DOUBLE, false FROM sized WHERE NOT ({single})
+        UNION ALL
+        SELECT width, slope, q, CASE WHEN over THEN stage + 1 ELSE stage END, CASE WHEN over THEN d - h ELSE start END, CASE WHEN over THEN d - h ELSE d END, over AND stage = 4 FROM (
+            SELECT *, (1 / 0.03::DOUBLE * d * 0.8::DOUBLE * width * pow(d * 0.8::DOUBLE * width / (0.6::DOUBLE * width + 2 * sqrt(0.04::DOUBLE * width * width + d * d)), 2.0::DOUBLE / 3) * sqrt(slope) > q) OR d >= start + 25 AS over
+            FROM (SELECT *, {STEP} AS h, depth + {STEP} AS d FROM t WHERE NOT done))),
+    v(qty, side, slope, q, depth, done) AS (
+        SELECT DISTINCT qty, side, slope, q_base, 0.0::DOUBLE, false FROM sized WHERE {single}
+        UNION ALL
+        SELECT qty, side, slope, q, d, (1 / 0.03::DOUBLE * d * w * pow(d * w / (2 * sqrt(w * w + d * d)), 2.0::DOUBLE / 3) * sqrt(slope) > q) OR d >= 25
+            FROM (SELECT *, 1 - 1 / (1 + d * side) AS w FROM (SELECT *, depth + 0.1::DOUBLE AS d FROM v WHERE NOT done))),
+    deep AS (SELECT comid, r, c, qty, side, width, coalesce(td, vd) AS depth FROM sized LEFT JOIN (SELECT width, slope, depth AS td FROM t WHERE done) USING (width, slope) LEFT JOIN (SELECT qty, slope, depth AS vd FROM v WHERE done) USING (qty, slope))"""
+
+
+def _burnt(spark: SparkSession, sf_dir: str, least: int, by_banks: bool) -> DataFrame:
+    """Triangular sections with water on the first ordinates, and the channel burnt into them."""
+    every = F.sequence(F.lit(0), F.lit(LENGTH - 1))
+    wet = F.transform(every, lambda i: F.when(i <= least + F.col("qty") % 7, 80).otherwise(10))
+    at = F.transform(every, lambda i: F.struct(i.alias("r"), F.lit(1).alias("c")))
+    made = carriers.sections(spark, sf_dir).withColumns({"lc1": wet, "lc2": wet, "rc1": at, "rc2": at})
+    burnt = bathymetry.with_bathymetry(made, 0.2, by_banks, True).select("comid", "r", "c", F.explode("burnt").alias("b"))
+    return burnt.select("comid", "r", "c", "b.side", "b.i", (F.rint(F.col("b.z") * 1e4) / 1e4).alias("z"))
+
+
+@query(f"""WITH RECURSIVE {_depths('1 + 2 * (qty % 7)', 'qty % 7 = 0')},
+    shape AS (SELECT comid, r, c, s AS side, i, i / side AS ground, CASE WHEN qty % 7 = 0 THEN -depth ELSE -depth + depth * CASE WHEN 1 + qty % 7 - i > 0.2::DOUBLE * width THEN 0 ELSE 1 - (1 + qty % 7 - i) / (0.2::DOUBLE * width) END END AS z
+        FROM deep, (VALUES (1), (2)) sides(s), (SELECT unnest(range({LENGTH})) AS i) WHERE i <= CASE WHEN qty % 7 = 0 THEN 0 ELSE 1 + qty % 7 END)
+    SELECT comid, r, c, side, i::INTEGER AS i, {r('z', 4)} AS z FROM shape WHERE z < ground""")
+def burnt_below_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trapezoids under the water's level between banks by land cover; a single cell of water is a triangle."""
+    return _burnt(spark, sf_dir, 0, False)
+
+
+@query(f"""WITH RECURSIVE {_depths('3 + 2 * (qty % 7)', 'false')},
+    shape AS (SELECT comid, r, c, s AS side, i, (2 + qty % 7) / side - depth AS low, depth, 3 + qty % 7 - i AS off, 0.2::DOUBLE * width AS slant
+        FROM deep, (VALUES (1), (2)) sides(s), (SELECT unnest(range({LENGTH})) AS i) WHERE i <= 3 + qty % 7)
+    SELECT comid, r, c, side, i::INTEGER AS i, {r('low + depth * CASE WHEN off > slant THEN 0 ELSE 1 - off / slant END', 4)} AS z FROM shape""")
+def burnt_below_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trapezoids under the lower bank's level, banks by land cover; what is lower already is filled."""
+    return _burnt(spark, sf_dir, 2, True)
