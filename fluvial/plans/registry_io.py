@@ -37,7 +37,7 @@ def raster_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- series in stores -----------------------------------------------------------------------------------------------
-SERIES = "series AS (SELECT o_custkey AS rivid, year(o_orderdate) AS y, max(o_totalprice) AS q FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey <= 12 AND c_acctbal BETWEEN 0 AND 5000) GROUP BY o_custkey, o_orderdate)"
+SERIES = "series AS (SELECT o_custkey AS rivid, year(o_orderdate) AS y, max(o_totalprice / 7.0123457::DOUBLE) AS q FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey <= 12 AND c_acctbal BETWEEN 0 AND 5000) GROUP BY o_custkey, o_orderdate)"
 
 
 def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +45,7 @@ def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from ..sources.zarr_store import write_zarr
 
     group = new_folder(spark, "series")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rivid"), F.col("o_orderdate").cast("timestamp").alias("time"), F.col("o_totalprice").alias("Qout"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rivid"), F.col("o_orderdate").cast("timestamp").alias("time"), (F.col("o_totalprice") / 7.0123457).alias("Qout"))  # no exact halves to round
     write_zarr(orders, group, "Qout", {"time": 500, "rivid": 200})
     asked = table(spark, sf_dir, "customer").where("c_nationkey <= 12 AND c_acctbal BETWEEN 0 AND 5000")
     return discharge.of_reaches(arrays.read_zarr(spark, group, "Qout"), asked, "rivid", "c_custkey").where("Qout IS NOT NULL"), asked
