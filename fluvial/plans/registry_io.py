@@ -19,7 +19,7 @@ def _file(spark: SparkSession, sf_dir: str, compression: str) -> DataFrame:
     """The grid as a GeoTIFF, read back. The file lies in the shared folder."""
     n_cols = carriers.columns(spark, sf_dir)
     like = raster.Header("<", ROWS, n_cols, "f8", 1, 1, (ROWS, n_cols), [], [], (0.0, 10.0, 0.0, 6000.0, 0.0, -10.0), False, 26912, None, False, {"geo": (1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 26912)})
-    path = new_folder(spark, "grid") + ".tif"
+    path = f"{new_folder(spark, 'grid')}/grid.tif"
     raster.write_grid(carriers.grid(spark, sf_dir).withColumnRenamed("z", "v"), path, like, "f8", compression=compression, strip_values=20_000)
     return raster.read_grid(spark, path, 200_000)[0].select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "v")
 
