@@ -1,17 +1,23 @@
 """Cross-sections: ordinates in 31 directions, sampling from a grid, low spots and angle search.
 
-Offsets of all directions are one small table (31 times the section length). Sampling explodes a cell's ordinates, joins
-the grid twice on (row, col) and regroups by cell; after that a section is a row with arrays.
+Offsets of all directions are one small table (31 times the section length). Sampling deals cells and grid to tiles, looks
+ordinates up in a tile's matrix and gives each section as a row with arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.hydraulics import first_index
+from . import tiles
+from .batches import kinds
 
 DIRECTIONS = 30
 STEP = pi / DIRECTIONS
@@ -54,33 +60,68 @@ def angle_index(direction: Column) -> Column:
     return F.rint(F.when(direction > pi, direction - pi).otherwise(direction) / F.lit(STEP)).cast("int")
 
 
-def sample(cells: DataFrame, grid: DataFrame, table: DataFrame, n_rows: int, n_cols: int, keys: tuple[str, ...] = ("cell_seq",)) -> DataFrame:
+def sample(
+    cells: DataFrame, grid: DataFrame, table: DataFrame, n_rows: int, n_cols: int, keys: tuple[str, ...] = ("cell_seq",), wanted: tuple[str, ...] = ("p", "lc", "n", "rc")
+) -> DataFrame:
     """Both sides of each section: p1, lc1, n1, rc1 and p2, lc2, n2, rc2 (arrays from the centre), and dz.
 
-    ``cells``: keys, row, col, angle_idx. ``grid``: row, col, z, lc, n. A side ends before the first ordinate of which a
-    cell touches the outermost ring of the grid; a section without any ordinate gives no row. The ordinate table is broadcast: its size is fixed by the section
-    length, not by the data.
+    ``cells``: keys, row, col, angle_idx. ``grid``: row, col, z and, where they are ``wanted``, lc and n; one row a cell.
+    A side ends before the first ordinate of which a cell touches the outermost ring of the grid or is not in it; a
+    section without any ordinate gives no row. Sections meet the grid tile by tile, so what is shuffled grows with cells
+    and grid, not with ordinates. The ordinate table goes to all tasks: its size is fixed by the section length, not by
+    the data.
     """
-    full = cells.join(F.broadcast(table), "angle_idx").withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
-    at = {c: (F.col(b) + F.col("side") * F.col(c)) for c, b in (("rm", "row"), ("cm", "col"), ("rs", "row"), ("cs", "col"))}
-    full = full.withColumns({f"__{c}": e for c, e in at.items()})
-    out = (F.col("__rm") <= 0) | (F.col("__rm") >= n_rows - 1) | (F.col("__rs") <= 0) | (F.col("__rs") >= n_rows - 1)
-    out = out | (F.col("__cm") <= 0) | (F.col("__cm") >= n_cols - 1) | (F.col("__cs") <= 0) | (F.col("__cs") >= n_cols - 1)
-    main = grid.select(F.col("row").alias("__rm"), F.col("col").alias("__cm"), F.col("z").alias("zm"), "lc", "n")
-    second = grid.select(F.col("row").alias("__rs"), F.col("col").alias("__cs"), F.col("z").alias("zs"))
-    drawn = full.where(~out).join(main, ["__rm", "__cm"]).join(second, ["__rs", "__cs"])
-    z = F.col("zm") * F.col("wm") + F.col("zs") * F.col("ws")
-    item = F.struct("i", z.cast("double").alias("z"), F.col("lc").alias("lc"), F.col("n").cast("double").alias("n"), F.col("__rm").alias("r"), F.col("__cm").alias("c"))
-    side = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, item)))
-    packed = drawn.groupBy(*keys).agg(side(1).alias("s1"), side(-1).alias("s2"), F.first("dz").alias("dz"))
+    rows = table.select("angle_idx", "i", "rm", "cm", "rs", "cs", "wm", "ws", "dz").toPandas()
+    shape = (int(rows["angle_idx"].max()) + 1, int(rows["i"].max()) + 1)
+    known = np.zeros(shape[0], bool)
+    known[rows["angle_idx"]] = True
+    ords = {c: np.zeros(shape, rows[c].dtype) for c in ("rm", "cm", "rs", "cs", "wm", "ws", "dz")}
+    for c, m in ords.items():
+        m[rows["angle_idx"], rows["i"]] = rows[c]
+    rim = max(1, int(max(np.abs(ords[c]).max() for c in ("rm", "cm", "rs", "cs"))))
+    held = [c for c in ("lc", "n") if c in wanted]
+    own = cells.select(*keys, F.col("row").alias("__r"), F.col("col").alias("__c"), F.col("angle_idx").cast("int").alias("__angle"))
+    place, schema = (f"struct<r:{cells.schema['row'].dataType.simpleString()},c:{cells.schema['col'].dataType.simpleString()}>", [kinds(cells, list(keys))])
+    cover = grid.schema["lc"].dataType.simpleString() if "lc" in wanted else ""
     for k in (1, 2):
-        # The first gap in i is where the side ends; what lies beyond a cut is not part of it.
-        packed = packed.withColumn(f"s{k}", F.filter(f"s{k}", lambda x, j: x["i"] == j))
-    arrays = []
-    for k in (1, 2):
-        arrays += [F.col(f"s{k}.{f}").alias(f"{name}{k}") for f, name in (("z", "p"), ("lc", "lc"), ("n", "n"))]
-        arrays.append(F.transform(f"s{k}", lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c"))).alias(f"rc{k}"))
-    return packed.where((F.size("s1") > 0) | (F.size("s2") > 0)).select(*keys, *arrays, "dz")
+        schema += [f"{f}{k} array<{kind}>" for f, kind in (("p", "double"), ("lc", cover), ("n", "double"), ("rc", place)) if f in wanted]
+    ground = grid.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col("z").cast("double").alias("z"), *[F.col(c).cast("double") if c == "n" else F.col(c) for c in held])
+    whole = {"r": cells.schema["row"].dataType, "c": cells.schema["col"].dataType}
+
+    def run(first: tuple[int, int], side: int, mine: pa.Table, seen: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not seen.num_rows:
+            return
+        at = tiles.matrix(first, side, seen)
+        z, held_z = tiles.numbers(seen.column("z"))
+        others = {c: (*tiles.numbers(seen.column(c)), seen.schema.field(c).type) for c in held}
+        step = max(1, tiles.VALUES // shape[1])
+        for start in range(0, mine.num_rows, step):
+            part = mine.slice(start, step)
+            angle, there = tiles.numbers(part.column("__angle"))
+            part = part.filter(pa.array(there & (angle >= 0) & (angle < shape[0]) & known[np.clip(angle, 0, shape[0] - 1)]))
+            (r, _), (c, _), (angle, _) = (tiles.numbers(part.column(f"__{x}")) for x in ("r", "c", "angle"))
+            sides, some = [], np.zeros(len(r), bool)
+            for sign in (1, -1):
+                rm, cm, rs, cs = (x[:, None] + sign * ords[o][angle].astype(np.int64) for o, x in (("rm", r), ("cm", c), ("rs", r), ("cs", c)))
+                inside = (np.minimum(rm, rs) > 0) & (np.maximum(rm, rs) < n_rows - 1) & (np.minimum(cm, cs) > 0) & (np.maximum(cm, cs) < n_cols - 1)
+                main, second = at[rm - first[0], cm - first[1]], at[rs - first[0], cs - first[1]]
+                there = np.logical_and.accumulate(inside & (main >= 0) & (second >= 0), axis=1)
+                some |= there[:, 0]
+                sides.append((there, main, second, rm, cm))
+            made = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (part.column(k).filter(pa.array(some)) for k in keys)]
+            for there, main, second, rm, cm in sides:
+                there, main, second, rm, cm = there[some], main[some], second[some], rm[some], cm[some]
+                if "p" in wanted:
+                    made.append(tiles.listed(z[main] * ords["wm"][angle[some]] + z[second] * ords["ws"][angle[some]], held_z[main] & held_z[second], there, pa.float64()))
+                made += [tiles.listed(v[main], ok[main], there, kind) for v, ok, kind in others.values()]
+                if "rc" in wanted:
+                    offsets = pa.array(np.concatenate([[0], there.sum(axis=1).cumsum()]).astype(np.int32))
+                    made.append(pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x[there]).cast(to_arrow_type(whole[n])) for n, x in (("r", rm), ("c", cm))], ["r", "c"])))
+            made.append(pa.array(ords["dz"][angle[some], 0]))
+            yield pa.RecordBatch.from_arrays(made, names)
+
+    names = [*keys, *[f"{f}{k}" for k in (1, 2) for f in ("p", "lc", "n", "rc") if f in wanted], "dz"]
+    return tiles.over_tiles(own, ground, rim, run, ", ".join([*schema, "dz double"]))
 
 
 def low_spot(sections: DataFrame, reach: int, keys: tuple[str, ...] = ("cell_seq",)) -> DataFrame:

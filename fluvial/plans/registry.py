@@ -378,23 +378,23 @@ def _dense(spark: SparkSession, sf_dir: str, columns: int) -> DataFrame:
     return every.join(carriers.grid(spark, sf_dir), ["row", "col"], "left").select("row", "col", z.alias("z"), F.lit(1).alias("lc"), F.lit(0.03).alias("n"))
 
 
-def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sampled(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
     m = carriers.columns(spark, sf_dir)
     cells = carriers.grid(spark, sf_dir).select((F.col("row") * m + F.col("col")).alias("cell_seq"), "row", "col", ((F.col("row") + F.col("col")) % 31).cast("int").alias("angle_idx"))
-    return sections.sample(cells, _dense(spark, sf_dir, m), sections.ordinates(spark, ORD, 1.0, 1.0), ROWS, m)
+    return sections.sample(cells, _dense(spark, sf_dir, m), sections.ordinates(spark, ORD, 1.0, 1.0), ROWS, m, wanted=wanted)
 
 
 @query(f"WITH {GRID_SQL}, {DENSE_SQL}, {ORDINATES_SQL}, {SECTION_SQL} SELECT cell_seq, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = -1) AS n2, {r('coalesce(sum(z) FILTER (side = 1), 0)', 5)} AS z1, {r('coalesce(sum(z) FILTER (side = -1), 0)', 5)} AS z2 FROM drawn GROUP BY cell_seq")
 def section_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = lambda p: rounded(F.aggregate(p, F.lit(0.0), lambda s, z: s + z), 5)  # noqa: E731  half weights end in 5 at the fourth place
-    return _sampled(spark, sf_dir).select("cell_seq", F.size("p1").cast("long").alias("n1"), F.size("p2").cast("long").alias("n2"), total("p1").alias("z1"), total("p2").alias("z2"))
+    return _sampled(spark, sf_dir, "p").select("cell_seq", F.size("p1").cast("long").alias("n1"), F.size("p2").cast("long").alias("n2"), total("p1").alias("z1"), total("p2").alias("z2"))
 
 
 @query(f"""WITH {GRID_SQL}, {DENSE_SQL}, {ORDINATES_SQL}, {SECTION_SQL}, mid AS (SELECT cell_seq, z AS z0, a, b FROM drawn WHERE side = 1 AND i = 0),
     low AS (SELECT cell_seq, arg_min(a, (z, i, -side)) AS ra, arg_min(b, (z, i, -side)) AS cb FROM drawn JOIN mid USING (cell_seq) WHERE i < 5 AND drawn.z > 0 AND drawn.z < z0 GROUP BY cell_seq)
     SELECT cell_seq, coalesce(ra, a)::BIGINT AS "row", coalesce(cb, b)::BIGINT AS col FROM mid LEFT JOIN low USING (cell_seq)""".replace("arg_min(a,", "arg_min(drawn.a,").replace("arg_min(b,", "arg_min(drawn.b,"))
 def low_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.low_spot(_sampled(spark, sf_dir).where(F.size("p1") > 0), 5).select("cell_seq", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    return sections.low_spot(_sampled(spark, sf_dir, "p", "rc").where(F.size("p1") > 0), 5).select("cell_seq", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
 
 
 @query(f"WITH {CELL_SQL}, {REACH_SQL}, {sides_sql('SELECT comid, r, c, try, side * (1 + (try * 7 + c) % 3) AS side, n, slope, 0.5::DOUBLE AS w FROM (SELECT *, unnest(range(4)) AS try FROM cell JOIN reach USING (comid))')} SELECT comid, r, c, arg_min(try * 0.1::DOUBLE, ({r('width', 9)}, try)) AS xs_angle, {r('min(width)')} AS top_width FROM geo GROUP BY comid, r, c")

@@ -497,3 +497,41 @@ def test_netcdf_folder_as_rows(spark, tmp_path, records, monkeypatch):
     (tmp_path / "c.nc").write_bytes(b"\x89HDF\r\n\x1a\n")
     with pytest.raises(Exception, match="no root group"):
         arrays.read_netcdf(spark, str(tmp_path / "c.nc"), ["Qout"])
+
+
+def of_patchy_grid(seed):
+    """Cells of a grid with holes, as a dictionary, around the origin."""
+    draw = np.random.default_rng(seed)
+    return {(r, c): float(draw.integers(1, 90)) for r in range(-4, 40) for c in range(-4, 40) if draw.random() < 0.9}
+
+
+def test_sections_over_tiles_equal_a_walk_along_each(spark, monkeypatch):
+    from fluvial.operators import tiles
+
+    monkeypatch.setattr(tiles, "WIDTH", 8)
+    held = of_patchy_grid(3)
+    grid = spark.createDataFrame([(r, c, z, int(z) % 5, z / 100) for (r, c), z in held.items()], "row int, col int, z double, lc int, n double")
+    cells = [(i, r, c, (r * 7 + c) % 31) for i, (r, c) in enumerate(held)]
+    table = sections.ordinates(spark, 9, 1.0, 1.0)
+    drawn = sections.sample(spark.createDataFrame(cells, "cell_seq long, row int, col int, angle_idx int"), grid, table, 36, 36)
+    plan = drawn._jdf.queryExecution().toString()
+    assert "Join" not in plan  # no row an ordinate that meets the grid
+    ords, got = {(o.angle_idx, o.i): o for o in table.collect()}, {x.cell_seq: x for x in drawn.collect()}
+    kept = 0
+    for i, r, c, angle in cells:
+        both = []
+        for sign in (1, -1):
+            walk = []
+            for k in range(9):
+                o = ords[angle, k]
+                a, b = (r + sign * o.rm, c + sign * o.cm), (r + sign * o.rs, c + sign * o.cs)
+                if min(*a, *b) <= 0 or max(*a, *b) >= 35 or a not in held or b not in held:
+                    break
+                walk.append((held[a] * o.wm + held[b] * o.ws, int(held[a]) % 5, held[a] / 100, a))
+            both.append(walk)
+        if both[0] or both[1]:
+            kept += 1
+            x = got[i]
+            for walk, p, lc, n, rc in zip(both, (x.p1, x.p2), (x.lc1, x.lc2), (x.n1, x.n2), (x.rc1, x.rc2)):
+                assert [(z, cover, rough, (at.r, at.c)) for z, cover, rough, at in zip(p, lc, n, rc)] == walk and len(p) == len(walk)
+    assert kept == len(got) > 100
