@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import asinh, atan, atan2, atanh, cos, cosh, degrees, hypot, pi, radians, sin, sinh, sqrt, tan
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from . import tiles
+from .batches import kinds
 
 # GRS80 (WGS84's flattening differs after the eighth digit).
 AXIS, FLATTENING = 6378137.0, 1 / 298.257222101
@@ -288,10 +293,29 @@ def value_near(points: DataFrame, grid: DataFrame, transform: tuple, key: str, r
     """Grid value under each point; where there is none, the nearest within rings of up to ``reach`` cells, in scan
     order among equals. ``grid``: row, col, z without missing cells."""
     x0, dx, _, y0, _, dy = transform
-    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])).alias("o")
-    placed = points.select(key, F.floor((F.col("y") - y0) / dy).alias("pr"), F.floor((F.col("x") - x0) / dx).alias("pc"), offsets)
-    at = placed.select(key, (F.col("pr") + F.col("o.i")).alias("row"), (F.col("pc") + F.col("o.j")).alias("col"), F.greatest(F.abs("o.i"), F.abs("o.j")).alias("ring"), (F.col("o.i") ** 2 + F.col("o.j") ** 2).alias("d2"))
-    return at.join(grid.select("row", "col", "z"), ["row", "col"]).groupBy(key).agg(F.min_by("z", F.struct("ring", "d2", "row", "col")).alias("z"))
+    around = sorted(((i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)), key=lambda o: (max(map(abs, o)), o[0] ** 2 + o[1] ** 2, o))
+    # Of points that share a key, those as near by ring and distance are told apart by the cell, as one point's are.
+    level = np.unique([(2 * reach * reach + 1) * max(map(abs, o)) + o[0] ** 2 + o[1] ** 2 for o in around], return_inverse=True)[1]
+    own = points.select(key, F.floor((F.col("y") - y0) / dy).alias("__r"), F.floor((F.col("x") - x0) / dx).alias("__c"))
+    ground = grid.select(F.col("row").cast("long").alias("__r"), F.col("col").cast("long").alias("__c"), "z")
+
+    def run(first: tuple[int, int], side: int, mine: pa.Table, seen: pa.Table) -> Iterator[pa.RecordBatch]:
+        at = tiles.matrix(first, side, seen)
+        r, c = (tiles.numbers(mine.column(x))[0] - first[k] for k, x in enumerate(("__r", "__c")))
+        found, rank = np.full(len(r), -1), np.zeros(len(r), np.int64)
+        left = np.arange(len(r))
+        for k, (i, j) in enumerate(around):
+            met = at[r[left] + i, c[left] + j]
+            found[left], rank[left] = met, k
+            left = left[met < 0]
+        some = np.flatnonzero(found >= 0)
+        if len(some):
+            row, col = (np.asarray([o[n] for o in around])[rank[some]] + x[some] + first[n] for n, x in ((0, r), (1, c)))
+            made = [mine.column(key).take(pa.array(some)), *map(pa.array, (level[rank[some]], row, col)), seen.column("z").take(pa.array(found[some]))]
+            yield from pa.table(made, [key, "level", "row", "col", "z"]).to_batches()
+
+    near = tiles.over_tiles(own, ground, reach, run, f"{kinds(points, [key])}, level long, row long, col long, {kinds(grid, ['z'])}")
+    return near.groupBy(key).agg(F.min_by("z", F.struct("level", "row", "col")).alias("z"))
 
 
 def end_point_slope(reaches: DataFrame, grid: DataFrame, transform: tuple, key: str, length: Column | None = None) -> DataFrame:

@@ -535,3 +535,20 @@ def test_sections_over_tiles_equal_a_walk_along_each(spark, monkeypatch):
             for walk, p, lc, n, rc in zip(both, (x.p1, x.p2), (x.lc1, x.lc2), (x.n1, x.n2), (x.rc1, x.rc2)):
                 assert [(z, cover, rough, (at.r, at.c)) for z, cover, rough, at in zip(p, lc, n, rc)] == walk and len(p) == len(walk)
     assert kept == len(got) > 100
+
+
+def test_values_near_points_equal_a_search(spark, monkeypatch):
+    from fluvial.operators import tiles
+
+    monkeypatch.setattr(tiles, "WIDTH", 8)
+    draw, held = np.random.default_rng(4), {k: z for k, z in of_patchy_grid(4).items() if (k[0] + k[1]) % 4 == 0}
+    grid = spark.createDataFrame([(*k, z) for k, z in held.items()], "row int, col int, z double")
+    at = [(i % 400, *(float(x) for x in draw.uniform(-8, 44, 2))) for i in range(500)] + [(900, None, 1.0)]  # a hundred ids have two points
+    found = spatial.value_near(spark.createDataFrame(at, "id long, x double, y double"), grid, (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), "id")
+    assert "Join" not in found._jdf.queryExecution().toString()  # no row an offset that meets the grid
+    want = {}
+    for i, x, y in at[:500]:
+        r, c = math.floor(y), math.floor(x)
+        want[i] = min([*want.get(i, []), *((max(abs(a), abs(b)), a * a + b * b, r + a, c + b, held[r + a, c + b]) for a in range(-2, 3) for b in range(-2, 3) if (r + a, c + b) in held)], default=None)
+        want[i] = [want[i]] if want[i] else []
+    assert {x.id: x.z for x in found.collect()} == {i: w[0][-1] for i, w in want.items() if w}
