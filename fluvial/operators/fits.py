@@ -17,6 +17,7 @@ from .batches import kinds
 #: First guesses of top width, velocity and depth, and what a fit that fails gives.
 STARTS = {"tw": (12.0, 0.3), "vel": (1.0, 0.3), "depth": (0.2, 0.5)}
 FAILED = -9999.9
+STARTS_ORDER = ("depth", "tw", "vel")
 
 
 def fit_power(x: np.ndarray, y: np.ndarray, mask: np.ndarray, start: tuple[float, float], rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
@@ -99,21 +100,83 @@ def log_line(points: DataFrame, key: str) -> DataFrame:
 
 #: Exponents that are tried at first, steps between two of them then, and Newton's steps after that.
 EXPONENTS, COARSE, FINE, NEWTON = 8.0, 32, 16, 4
-
-
-def pooled_curves(results: DataFrame, key: str = "COMID") -> DataFrame:
+#: A reach of more increments is fitted in passes over all tasks; points whose powers are held at once.
+LONG_REACH, BLOCK = 500_000, 20_000
+
+
+def pooled_fit(x: np.ndarray, y: np.ndarray, start: float) -> tuple[float, float]:
+    """a and b of one fit, as `pooled_curves` has it, from logarithms of flows and values in memory."""
+    if len(x) < 2:
+        return FAILED, FAILED
+    flat, yy, b, half, inner = x.min() == x.max(), (y * y).sum(), 0.0, EXPONENTS, True
+    wide = np.abs(x).max() > 40  # where powers under- or overflow, none is got from the one before
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(x), BLOCK)]
+    with np.errstate(all="ignore"):
+        for steps in () if flat else (COARSE, FINE):
+            t = b + half * (2.0 * np.arange(steps + 1) / steps - 1)
+            s, u = np.zeros(steps + 1), np.zeros(steps + 1)
+            for i in blocks:
+                v, w = x[i], y[i]
+                p, on = np.exp(t[0] * v), np.exp((t[1] - t[0]) * v)
+                for k in range(steps + 1):
+                    s[k], u[k] = s[k] + (p * w).sum(), u[k] + (p * p).sum()
+                    p = np.exp(t[k + 1] * v) if wide and k < steps else p * on
+            cost = np.where(u == 0, -np.inf, yy - s * s / u)
+            k = np.lexsort((np.abs(t - start), cost))[0]
+            inner &= steps == FINE or 0 < k < steps
+            b, half = t[k], half * 2 / steps
+        b = start if flat else b
+        for _ in range(NEWTON):
+            s0 = s1 = s2 = t0 = t1 = t2 = 0.0
+            for i in blocks:
+                p, v = np.exp(b * x[i]), x[i]
+                py, pp = p * y[i], p * p
+                s0, s1, s2 = s0 + py.sum(), s1 + (py * v).sum(), s2 + (py * v * v).sum()
+                t0, t1, t2 = t0 + pp.sum(), t1 + 2 * (pp * v).sum(), t2 + 4 * (pp * v * v).sum()
+            slope = 2 * s0 * s1 / t0 - s0 * s0 * t1 / (t0 * t0)
+            bend = 2 * s1 * s1 / t0 + 2 * s0 * s2 / t0 - 4 * s0 * s1 * t1 / (t0 * t0) - s0 * s0 * t2 / (t0 * t0) + 2 * s0 * s0 * t1 * t1 / (t0 * t0 * t0)
+            # Less cost lies where S S / T bends down; a step stays within the fine grid's.
+            step = 0.0 if flat or bend >= 0 else max(-half, min(half, -slope / bend))
+            a, b = (s0 + step * s1 + step * step / 2 * s2) / (t0 + step * t1 + step * step / 2 * t2), b + step
+            if abs(step) <= 1e-9:
+                break
+    return (a, b) if (inner or flat) and not np.isnan(a) and abs(step) <= 1e-4 else (FAILED, FAILED)
+
+
+def pooled_curves(results: DataFrame, key: str = "COMID", long_reach: int = LONG_REACH) -> DataFrame:
     """One fit a reach over all increments of all its cells, as depth_a .. vel_b.
 
     For a given exponent b the best factor is S / T, with S the sum of y q^b and T that of q^2b, which leaves a cost of
-    sum(y y) - S S / T: a function of b alone. Two passes over the points sum it on a coarse grid from -8 to 8 and on a fine
-    one around the least cost, a few more make Newton's steps, all as a row a fit and task, so a long reach is never in
-    one task and passes are six at most, whatever the data. A fit with fewer than two points, with its best exponent at
-    the end of the grid, or whose steps do not end is FAILED; where exponents do not matter (one flow only, or no y), the
-    first guess's is taken.
+    sum(y y) - S S / T: a function of b alone. It is tried on a coarse grid from -8 to 8 and on a fine one around the
+    least cost, then Newton's steps follow. A fit with fewer than two points, with its best exponent at the end of the
+    grid, or whose steps do not end is FAILED; where exponents do not matter (one flow only, or no y), the first guess's
+    is taken. A reach of at most ``long_reach`` increments meets in one task, longer ones are fitted in passes.
     """
-    values = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("y")) for n, c in (("depth", "d"), ("tw", "i.t"), ("vel", "i.v"))])
-    points = results.select(key, F.explode("inc").alias("i"), "base_elev").withColumn("d", F.col("i.wse") - F.col("base_elev"))
-    points = points.where("i.q > 0").select(key, F.ln("i.q").alias("x"), F.explode(values).alias("v")).select(key, "x", "v.name", "v.y").where("y IS NOT NULL")
+    opened = results.where("inc IS NOT NULL").select(key, F.explode("inc").alias("i"), "base_elev").where("i.q > 0")
+    opened = opened.select(key, F.ln("i.q").alias("x"), (F.col("i.wse") - F.col("base_elev")).cast("double").alias("depth"), F.col("i.t").cast("double").alias("tw"), F.col("i.v").cast("double").alias("vel"))
+    long = settle(results.groupBy(key).agg(F.sum(F.coalesce(F.size("inc"), F.lit(0))).alias("n")).where(F.col("n") > long_reach).select(key), "long")
+    names = [f"{n}_{c}" for n in STARTS_ORDER for c in "ab"]
+
+    def run(group: tuple[pa.Scalar], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        x, found = table.column("x").to_numpy(), []
+        for n in STARTS_ORDER:
+            there = pc.is_valid(table.column(n)).to_numpy() & group[0].is_valid
+            found += pooled_fit(x[there], table.column(n).to_numpy()[there], STARTS[n][1])
+        if any(pc.any(pc.is_valid(table.column(n))).as_py() for n in STARTS_ORDER):
+            yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()], table.schema.field(key).type), *[pa.array([float(v)]) for v in found]], [key, *names])
+
+    schema = f"{kinds(results, [key])}, " + ", ".join(f"{n} double" for n in names)
+    if long.isEmpty():
+        return opened.groupBy(key).applyInArrow(run, schema).withColumns({n: rounded(n) for n in names})
+    usual = opened.join(long, key, "left_anti").groupBy(key).applyInArrow(run, schema).withColumns({n: rounded(n) for n in names})
+    return usual.unionByName(_in_passes(opened.join(long, key, "left_semi"), key))
+
+
+def _in_passes(opened: DataFrame, key: str) -> DataFrame:
+    """The same fits from sums over all tasks, a row a fit and task: six passes at most, whatever the data."""
+    values = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("y")) for n in STARTS_ORDER])
+    points = opened.select(key, "x", F.explode(values).alias("v")).select(key, "x", "v.name", "v.y").where("y IS NOT NULL")
     points = settle(points, "points")
     starts = F.map_from_arrays(F.array(*map(F.lit, STARTS)), F.array(*[F.lit(b) for _, b in STARTS.values()]))
     fits = points.groupBy(key, "name").agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), (F.min("x") == F.max("x")).alias("flat"))
@@ -147,4 +210,4 @@ def pooled_curves(results: DataFrame, key: str = "COMID") -> DataFrame:
             break
     good = (F.col("n") > 1) & (F.col("inner") | F.col("flat")) & F.col("a").isNotNull() & ~F.isnan("a") & (F.abs("step") <= 1e-4)
     of = lambda n, c: rounded(F.coalesce(F.max(F.when((F.col("name") == n) & good, F.col(c))), F.lit(FAILED))).alias(f"{n}_{c}")
-    return fits.groupBy(key).agg(*[of(n, c) for n in ("depth", "tw", "vel") for c in "ab"])
+    return fits.groupBy(key).agg(*[of(n, c) for n in STARTS_ORDER for c in "ab"])
