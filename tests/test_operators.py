@@ -552,3 +552,34 @@ def test_values_near_points_equal_a_search(spark, monkeypatch):
         want[i] = min([*want.get(i, []), *((max(abs(a), abs(b)), a * a + b * b, r + a, c + b, held[r + a, c + b]) for a in range(-2, 3) for b in range(-2, 3) if (r + a, c + b) in held)], default=None)
         want[i] = [want[i]] if want[i] else []
     assert {x.id: x.z for x in found.collect()} == {i: w[0][-1] for i, w in want.items() if w}
+
+
+@pytest.mark.parametrize("hot", [10**6, 30])
+def test_slopes_and_directions_over_tiles_equal_all_pairs(spark, monkeypatch, hot):
+    from fluvial.operators import tiles
+
+    monkeypatch.setattr(tiles, "WIDTH", 8)
+    draw = np.random.default_rng(8)
+    cells = [(r, c, k, float(draw.integers(0, 60))) for r in range(-3, 30) for c in range(-3, 30) for k in (1, 2, 3) if draw.random() < 0.15]
+    rows = spark.createDataFrame(cells, "row int, col int, comid long, z double")
+    slope = lambda a, b: abs(a[3] - b[3]) / math.hypot((a[1] - b[1]) * 2.0, (a[0] - b[0]) * 3.0)
+    local = neighbourhood.local_slope(rows, 2.0, 3.0, 4)
+    assert "Join" not in local._jdf.queryExecution().toString()  # no copies of cells that meet cells
+    found = {(x.row, x.col, x.comid): x.slope for x in local.collect()}
+    turned = {(x.row, x.col, x.comid): x.stream_direction for x in neighbourhood.stream_direction(rows, 4).collect()}
+    assert len(found) == len(turned) == len(cells)
+    for a in cells:
+        box = [b for b in cells if b[2] == a[2] and -4 <= b[0] - a[0] < 4 and -4 <= b[1] - a[1] < 4]
+        s = [slope(a, b) for b in box if b != a]
+        assert abs(found[a[:3]] - (np.mean(s) if s else 0)) < 1e-12
+        x, y = np.array([b[1] - a[1] for b in box]), np.array([b[0] - a[0] for b in box])
+        below, above = len(x) * (x * x).sum() - x.sum() ** 2, len(x) * (x * y).sum() - x.sum() * y.sum()
+        level = math.pi / 2 if abs(x).max() <= abs(y).max() else 0.0
+        want = 0.0 if len(x) <= 1 else level if below == 0 or above == 0 else math.atan(above / below) % (2 * math.pi)
+        assert abs(turned[a[:3]] - want) < 1e-9
+    for x in neighbourhood.reach_slope(rows, 2.0, 3.0, 4, hot_rows=hot).collect():
+        own = [c for c in cells if c[2] == x.comid]
+        s = np.rint(np.array([slope(a, b) for k, a in enumerate(own) for b in own[k + 1 :] if abs(a[0] - b[0]) <= 4 and abs(a[1] - b[1]) <= 4]) * 1e8) / 1e8
+        s = s[s > 0]
+        low, high = np.percentile(s, [25, 75])
+        assert abs(x.p25 - low) < 1e-6 and abs(x.p75 - high) < 1e-6 and abs(x.slope - np.median(s[(s >= x.p25) & (s <= x.p75)])) < 1e-9
