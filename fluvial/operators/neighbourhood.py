@@ -87,20 +87,20 @@ def reach_slope(cells: DataFrame, dx: float, dy: float, distance: int, key: str
     """Median slope of each stream over all pairs in the closed box, without what lies beyond the quartiles, and the
     quartiles themselves (p25, p75).
 
-    A tile gives its slopes as one list a stream. A stream of at most ``hot_rows`` slopes meets in one task; of longer
+    A tile gives its slopes as one list a stream, in order and as whole numbers of eighth decimals, which pack well. A stream of at most ``hot_rows`` slopes meets in one task; of longer
     ones the percentiles are searched.
     """
     kind = kinds(cells, [key])
 
     def work(mine: pa.Table, ours: np.ndarray, z: np.ndarray, pairs: Iterator) -> pa.Table:
-        whose, made = [np.zeros(0, np.int64)], [np.zeros(0)]
+        whose, made = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, j, hit, other in pairs:
-            s = np.rint(np.abs(z[hit] - other) / np.hypot(j * dx, i * dy) * 1e8) / 1e8
+            s = np.rint(np.abs(z[hit] - other) / np.hypot(j * dx, i * dy) * 1e8)
             some = s > 0
             whose.append(ours[hit[some]])
-            made.append(s[some])
+            made.append(s[some].astype(np.int64))
         whose, made = np.concatenate(whose), np.concatenate(made)
-        order = np.argsort(whose, kind="stable")
+        order = np.lexsort((made, whose))
         code, n = np.unique(whose, return_counts=True)
         row = {k: i for i, k in enumerate(ours.tolist())}
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]).astype(np.int32)), pa.array(made[order]))
@@ -108,7 +108,7 @@ def reach_slope(cells: DataFrame, dx: float, dy: float, distance: int, key: str
 
     later = [(i, j) for i in range(distance + 1) for j in range(-distance, distance + 1) if i > 0 or j > 0]
     # Written once: several steps read the slopes, and no later one meets the pairs again.
-    slopes = settle(_around(cells, distance, key, later, work, f"{kind}, s array<double>").withColumn("t", F.transform("s", lambda x: round_sig(x, 8))), "slopes")
+    slopes = settle(_around(cells, distance, key, later, work, f"{kind}, s array<long>"), "slopes")
 
     def of(values: np.ndarray, p: float) -> float:
         values, x = np.sort(values), p * (len(values) - 1)
@@ -118,7 +118,9 @@ def reach_slope(cells: DataFrame, dx: float, dy: float, distance: int, key: str
 
     def run(group: tuple[pa.Scalar], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        s, t = (pc.list_flatten(table.column(x)).to_numpy() for x in "st")
+        s = pc.list_flatten(table.column("s")).to_numpy() / 1e8
+        factor = 10.0 ** (7 - np.floor(np.log10(s)))  # to eight figures, as round_sig has it
+        t = np.floor(s * factor + 0.5) / factor
         low, high = (np.rint(of(t, p) * 1e8) / 1e8 for p in (0.25, 0.75))
         inner = s[(s >= low) & (s <= high)]
         yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()], table.schema.field(key).type), *(pa.array([x], pa.float64()) for x in (low, high, of(inner, 0.5) if len(inner) else None))], [key, "p25", "p75", "slope"])
@@ -128,7 +130,7 @@ def reach_slope(cells: DataFrame, dx: float, dy: float, distance: int, key: str
     if hot.isEmpty():
         found = slopes.groupBy(key).applyInArrow(run, schema)
     else:
-        long = slopes.join(hot, key, "left_semi").select(key, F.explode(F.arrays_zip("s", "t")).alias("x")).select(key, "x.s", "x.t")
+        long = slopes.join(hot, key, "left_semi").select(key, F.explode("s").alias("s")).select(key, (F.col("s") / 1e8).alias("s")).withColumn("t", round_sig("s", 8))
         bounds = percentiles(long.select(key, "t"), key, "t", [0.25, 0.75], hot_rows)
         bounds = settle(bounds.select(key, rounded(F.col("p")[0], 8).alias("p25"), rounded(F.col("p")[1], 8).alias("p75")), "quartiles")
         median = percentiles(long.join(bounds, key).where(F.col("s").between(F.col("p25"), F.col("p75"))), key, "s", [0.5], hot_rows).select(key, F.col("p")[0].alias("slope"))
