@@ -583,3 +583,19 @@ def test_slopes_and_directions_over_tiles_equal_all_pairs(spark, monkeypatch, ho
         s = s[s > 0]
         low, high = np.percentile(s, [25, 75])
         assert abs(x.p25 - low) < 1e-6 and abs(x.p75 - high) < 1e-6 and abs(x.slope - np.median(s[(s >= x.p25) & (s <= x.p75)])) < 1e-9
+
+
+def test_wide_streams_are_cleaned_in_few_rounds(spark, monkeypatch):
+    """A grid with many cells a row, and a line from its first row to its last that goes from its free end on."""
+    from fluvial.operators import streams
+
+    monkeypatch.setattr(streams, "BAND_CELLS", 60)
+    written, settle = [], streams.settle
+    monkeypatch.setattr(streams, "settle", lambda df, label: written.append(label) or settle(df, label))
+    rng = np.random.default_rng(7)
+    cells = {(int(r), int(c)): int(rng.integers(1, 4)) for r, c in zip(*np.nonzero(rng.random((40, 150)) < 0.2)) if not 70 <= c <= 80}
+    cells |= {(r, 75): 9 for r in range(40)}
+    want = naive_sweep(cells, 40, 150)
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()], "row int, col int, comid long")
+    assert {(r.row, r.col): r.comid for r in streams.clean_streams(df).collect()} == want
+    assert len(written) <= 16, written
