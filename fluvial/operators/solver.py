@@ -88,21 +88,74 @@ class Side:
         return tuple(np.where(wet, x, 0.0) for x in (a, p, rough, t))
 
 
+@dataclass
+class Filled:
+    """A side for looking up many stages: the running maxima of its profile (ordinates x sections), and at each ordinate
+    what does not hang on the stage: its elevation, the next one's, n^1.5, and sums up to it of perimeter, perimeter
+    times n^1.5 and mean heights above the centre. A stage costs a look-up and a row of these, not all ordinates."""
+
+    top: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
+    dz: np.ndarray
+
+    @classmethod
+    def of(cls, side: Side) -> "Filled":
+        m, wide = side.z.shape
+        there = np.arange(wide) < side.count[:, None]
+        z = np.where(there, side.z, 0.0)
+        with np.errstate(invalid="ignore"):
+            run = np.hypot(side.dz[:, None], z[:, 1:] - z[:, :-1])
+            rise = z - z[:, :1]  # above the centre, so that sums keep their digits on high ground
+            made = [np.where(there[:, 1:], x, 0.0) for x in (run, run * side.n15[:, 1:], (rise[:, 1:] + rise[:, :-1]) / 2)]
+        after = np.concatenate((z[:, 1:], z[:, -1:]), axis=1)
+        sums = [np.concatenate((np.zeros((m, 1)), np.cumsum(x, axis=1)), axis=1) for x in made]
+        top = np.fmax.accumulate(np.where(there, side.z, np.inf)[:, 1:].T, axis=0)
+        return cls(np.ascontiguousarray(top), np.stack([z, after, side.n15, *sums], axis=2), side.count, side.dz)
+
+    def pick(self, rows: np.ndarray) -> "Filled":
+        return Filled(self.top.take(rows, axis=1), self.at[rows], self.count[rows], self.dz[rows])
+
+    def geometry(self, wse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Area, perimeter, sum of perimeter times n^1.5, at one stage a section."""
+        m, wide, kinds_ = self.at.shape
+        # The last ordinate that is counted: those before the first dry one, or all.
+        dry = self.top >= wse
+        last = np.subtract(len(dry), dry.sum(axis=0, dtype=np.int16), dtype=np.int64)
+        bank = last + 1 < self.count
+        last = np.minimum(last, np.maximum(self.count - 1, 0))
+        z, after, n15, run, rough, mean = self.at.reshape(m * wide, kinds_).take(np.arange(0, m * wide, wide) + last, axis=0).T
+        deep, inner, outer = wse - self.at[:, 0, 0], wse - z, wse - after
+        with np.errstate(invalid="ignore", divide="ignore"):
+            u = np.where(bank, self.dz * inner / (np.abs(inner) + np.abs(outer)), 0.0)
+        edge = np.where(bank, np.hypot(u, inner), 0.0)
+        # A side under water to its end leaves the first segment out of area and perimeter.
+        skip = ~bank & (last > 0)
+        first = np.where(skip[:, None], self.at[:, min(1, wide - 1), 3:], 0.0)
+        a = self.dz * ((last - skip) * deep - (mean - first[:, 2])) + u * inner / 2
+        wet = (self.count > 0) & (deep > 1e-16)
+        return tuple(np.where(wet, x, 0.0) for x in (a, run - first[:, 0] + edge, rough + edge * n15))
+
+
 @dataclass
 class Sections:
     left: Side
     right: Side
     slope: np.ndarray
+    filled: tuple[Filled, Filled] | None = None
+
+    def __post_init__(self) -> None:
+        self.filled = self.filled or (Filled.of(self.left), Filled.of(self.right))
 
     def pick(self, rows: np.ndarray) -> "Sections":
-        return Sections(self.left.pick(rows), self.right.pick(rows), self.slope[rows])
+        return Sections(self.left.pick(rows), self.right.pick(rows), self.slope[rows], tuple(f.pick(rows) for f in self.filled))
 
     def both(self, wse: np.ndarray) -> list[np.ndarray]:
         return [x + y for x, y in zip(self.left.geometry(wse), self.right.geometry(wse))]
 
     def flow(self, wse: np.ndarray) -> np.ndarray:
         """Manning's flow, unrounded."""
-        a, p, rough, _ = self.both(wse)
+        a, p, rough = (x + y for x, y in zip(*(f.geometry(wse) for f in self.filled)))
         p = np.maximum(p, LEAST_PERIMETER)
         n = round_to((rough / p) ** (2 / 3), 4)
         n = np.where(n < LEAST_N, FALLBACK_N, n)

@@ -40,6 +40,23 @@ def test_batched_geometry_equals_the_plain_one():
     assert np.allclose(np.stack(got, axis=1), want)
 
 
+def test_stages_are_looked_up_without_all_ordinates(monkeypatch):
+    rng = np.random.default_rng(2)
+    z = [[np.concatenate(([h], h + rng.uniform(-0.5, 3, k))) if k >= 0 else [] for h, k in zip(rng.uniform(0, 3000, 300), rng.integers(-1, 12, 300))] for _ in "12"]
+    n = [[rng.uniform(0.01, 0.1, len(x)) for x in side] for side in z]
+    dz = rng.uniform(0.5, 2, 300)
+    base = np.array([a[0] if len(a) else b[0] if len(b) else 0.0 for a, b in zip(*z)])
+    wse = base + rng.uniform(-0.5, 4, 300)
+    made = solver.Sections(*(solver.Side.of(a, b, dz) for a, b in zip(z, n)), np.full(300, 0.01))
+    for side, p, m in zip(made.filled, z, n):
+        want = np.array([plain_side(list(a), list(b), c, w)[:3] for a, b, c, w in zip(p, m, dz, wse)])
+        assert np.allclose(np.stack(side.geometry(wse), axis=1), want)
+    monkeypatch.setattr(solver.Side, "geometry", None)
+    target = made.flow(base + 2.0)
+    stage, flow = solver.solve_stage(made, base, np.where(target > 0, target, 1.0))
+    assert (np.abs(flow - target)[target > 1] < 0.01 * target[target > 1]).mean() > 0.9
+
+
 def test_lock_step_roots():
     target = np.array([2.0, 10.0, 0.001, 999.0])
     got = solver.bracketed_root(lambda x: x**3 - target, np.zeros(4), np.full(4, 10.0), 1e-9)
