@@ -175,9 +175,18 @@ def stream_direction(cells: DataFrame, distance: int, key: str = "comid") -> Dat
 
 def terminal_cells(cells: DataFrame) -> DataFrame:
     """Cells whose 3 x 3 block holds two stream cells at most, themselves counted, with that count."""
-    around = F.explode(F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    counts = cells.select("row", "col").distinct().select(around.alias("c")).groupBy("c.row", "c.col").agg(F.count("*").alias("n_around"))
-    return cells.join(counts, ["row", "col"]).where("n_around <= 2")
+    names = cells.columns
+    own = cells.withColumns({"__r": F.col("row").cast("long"), "__c": F.col("col").cast("long")})
+
+    def run(first: tuple[int, int], side: int, mine: pa.Table, seen: pa.Table) -> Iterator[pa.RecordBatch]:
+        held = (tiles.matrix(first, side, seen) >= 0).astype(np.int64)
+        r, c = (tiles.numbers(mine.column(x))[0] - first[k] for k, x in enumerate(("__r", "__c")))
+        around = sum(held[r + i, c + j] for i in (-1, 0, 1) for j in (-1, 0, 1))
+        few = np.flatnonzero(around <= 2)
+        made = [mine.column(x).take(pa.array(few)) for x in names]
+        yield from pa.table([*made, pa.array(around[few])], [*names, "n_around"]).to_batches()
+
+    return tiles.over_tiles(own, own.select("__r", "__c"), 1, run, f"{kinds(cells, names)}, n_around long")
 
 
 def elevation_range(cells: DataFrame, key: str = "comid") -> DataFrame:
