@@ -376,9 +376,16 @@ def with_bathymetry(sections: DataFrame, share: float = 0.2, by_banks: bool = Fa
 
 
 def bathymetry_grid(burnt: DataFrame, order: str = "cell_seq") -> DataFrame:
-    """row, col, z: where sections overlap the last one in row-major order wins, whatever the partitioning."""
+    """row, col, z: where sections overlap the last one in row-major order wins, whatever the partitioning.
+
+    Whole numbers as order, side and ordinate make one number, so that cells are aggregated in a hash table; by a struct
+    all of them would be sorted.
+    """
     cells = burnt.select(order, F.explode("burnt").alias("b")).select(order, "b.*")
-    return cells.groupBy("row", "col").agg(F.max_by("z", F.struct(order, "side", "i")).alias("z"))
+    last = F.struct(order, "side", "i")
+    if burnt.schema[order].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        last = F.col(order).cast("decimal(19,0)") * F.lit(10**11).cast("decimal(12,0)") + (F.col("side").cast("long") * 10**10 + F.col("i")).cast("decimal(19,0)")
+    return cells.groupBy("row", "col").agg(F.max_by("z", last).alias("z"))
 
 
 def below_ground(grid: DataFrame, dem: DataFrame, shifted: bool, any_height: bool = False) -> DataFrame:

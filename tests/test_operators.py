@@ -616,3 +616,23 @@ def test_wide_streams_are_cleaned_in_few_rounds(spark, monkeypatch):
     df = spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()], "row int, col int, comid long")
     assert {(r.row, r.col): r.comid for r in streams.clean_streams(df).collect()} == want
     assert len(written) <= 16, written
+
+
+def test_terminal_cells_and_last_writers_without_copies_or_sorts(spark, capsys):
+    rng = np.random.default_rng(5)
+    at = {(int(r), int(c)) for r, c in zip(*np.nonzero(rng.random((60, 250)) < 0.15))} | {(-1, 191), (191, 192), (192, 191)}
+    cells = spark.createDataFrame([(r, c, r % 3, 1.5) for r, c in at], "row int, col long, comid long, z double")
+    ends = neighbourhood.terminal_cells(cells)
+    want = {(r, c): n for r, c in at if (n := sum((r + i, c + j) in at for i in (-1, 0, 1) for j in (-1, 0, 1))) <= 2}
+    assert {(r.row, r.col): r.n_around for r in ends.collect()} == want
+    ends.explain()
+    assert "Generate explode(array(struct" not in capsys.readouterr().out
+    rows = [(n, [(n % 5, k % 3, float(n * 10 + k), 1 + k // 4, k % 4) for k in range(8)]) for n in (3, 2**62, -7, 12)]
+    burnt = spark.createDataFrame(rows, "cell_seq long, burnt array<struct<row:int,col:int,z:double,side:int,i:int>>")
+    last: dict = {}
+    for n, row, col, z, side, i in sorted((n, *b) for n, items in rows for b in items):
+        last[row, col] = max(last.get((row, col), ()), (n, side, i, z))
+    grid = bathymetry.bathymetry_grid(burnt)
+    assert {(r.row, r.col): r.z for r in grid.collect()} == {k: v[3] for k, v in last.items()}
+    grid.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
