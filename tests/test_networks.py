@@ -129,3 +129,16 @@ def test_distances_along_lines(spark):
                 edges.setdefault(p, {})[q] = w
         want |= {(g, p): d for p, d in dijkstra(edges, {p for h, p in sources if h == g}).items()}
     assert got == want
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_reaches_in_one_task_take_no_rounds(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    rows = network(r, 60)
+    reaches = spark.createDataFrame(rows, KIND).repartition(3)
+    monkeypatch.setattr(networks, "BOX", 2)
+    with monkeypatch.context() as m:
+        m.setattr(networks, "_rounds", lambda *_: pytest.fail("a round over all reaches"))
+        short = networks.headwater_seeds(reaches, None, "id", "down").collect()
+    monkeypatch.setattr(networks, "MOST", 5)  # now some are long
+    assert {tuple(x) for x in short} == seeds_of(rows, {}) == {tuple(x) for x in networks.headwater_seeds(reaches, None, "id", "down").collect()}
