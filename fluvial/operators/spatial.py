@@ -89,17 +89,60 @@ def _by(key: str, order: str = "dist"):
 
 #: Tiles of the thinning are this many distances wide at first, and grow by four a round while none would hold more edges.
 TILE_WIDTH, TILE_EDGES = 64, 1_000_000
+#: Where more points than this share a bucket of the distance, the first ones are decided before the others meet them: so
+#: many at first and at most, and no more than have so many pairs of one bucket.
+CROWD, FIRST, MOST_FIRST, FIRST_PAIRS = 64, 4096, 1_000_000, 2_000_000
+#: Points whose neighbourhoods go to all tasks.
+MOST_SENT = 20_000
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """Difference of two levels in percent of their mean."""
+    return F.abs(a - b) / ((a + b) / 2) * 100
 
 
 def thin(points: DataFrame, distance: float, percent: float, order: str, level: str) -> DataFrame:
     """Greedy thinning in order: a point that stays drops every later one within the distance whose level differs by at
     most ``percent``.
 
+    Where points crowd, the first ones by order are decided by themselves, and what they drop meets nothing else: the
+    pairs of points grow with those that stay around, not with all that are near. Twice as many follow each time, until
+    no bucket is crowded and the rest is decided at once.
+    """
+    alive = cut(points.select(order, "x", "y", level).dropna(subset=[order, "x", "y"]))
+    dropped, most = None, FIRST
+    crowd = lambda p: p.groupBy(_bucket("x", distance), _bucket("y", distance)).count().agg(F.max("count"), F.sum(F.col("count") * F.col("count"))).first()
+    while (crowd(alive)[0] or 0) > CROWD:
+        while True:
+            first = cut(alive.orderBy(order).limit(most))
+            if most <= 2 or crowd(first)[1] <= FIRST_PAIRS:
+                break
+            most //= 4
+        gone = _thinned_out(first, distance, percent, order, level)
+        stay = cut(first.join(gone, order, "left_anti"))
+        # The order tells points apart: what follows the last of the first ones is left.
+        later = alive.join(F.broadcast(first.agg(F.max(order).alias("__last"))), F.col(order) > F.col("__last")).drop("__last").withColumns({"bx": _bucket("x", distance), "by": _bucket("y", distance)})
+        around = stay.select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col(level).alias("__level"), F.explode(F.array(*[F.struct((_bucket("x", distance) + i).alias("bx"), (_bucket("y", distance) + j).alias("by")) for i, j in _around()])).alias("k")).select("*", "k.*").drop("k")
+        met = (F.hypot(F.col("__x") - F.col("x"), F.col("__y") - F.col("y")) <= distance) & (_differ(F.col("__level"), F.col(level)) <= percent)
+        around = F.broadcast(around) if stay.count() <= MOST_SENT else around
+        hit = later.join(around, (later["bx"] == around["bx"]) & (later["by"] == around["by"]) & met, "left_semi").select(order)
+        hit = cut(hit)
+        alive = cut(later.drop("bx", "by").join(hit, order, "left_anti"))
+        dropped = gone.unionByName(hit) if dropped is None else dropped.unionByName(gone).unionByName(hit)
+        most = min(2 * most, MOST_FIRST)
+    gone = _thinned_out(alive, distance, percent, order, level)
+    dropped = gone if dropped is None else dropped.unionByName(gone)
+    return points.join(dropped.distinct(), order, "left_anti")
+
+
+def _thinned_out(points: DataFrame, distance: float, percent: float, order: str, level: str) -> DataFrame:
+    """The numbers of the points that are dropped.
+
     A point's fate hangs on its earlier neighbours only. Each round decides, tile by tile and in order, all points whose
     earlier neighbours are decided, in the tile or before; tiles shift and widen from round to round, so rounds grow with
     the tiles that a chain crosses, not with its points.
     """
-    diff = F.abs(F.col(f"a_{level}") - F.col(f"b_{level}")) / ((F.col(f"a_{level}") + F.col(f"b_{level}")) / 2) * 100
+    diff = _differ(F.col(f"a_{level}"), F.col(f"b_{level}"))
     edges = cut(pairs_within(points, distance, order, (level,)).where(diff <= percent).select("a", "b"))
     kind = points.schema[order].dataType.simpleString()
     fate = f"id {kind}, stays boolean"
@@ -134,13 +177,17 @@ def thin(points: DataFrame, distance: float, percent: float, order: str, level:
         alive = cut(alive.join(fresh, "a", "left").withColumn("fate", F.coalesce("fate", "now")).drop("now"))
         if alive.isEmpty():
             break
-        tiled = alive.select("a", "b", "fate", *[F.floor((F.col(c) + shift) / size).alias(f"t{c}") for c in "xy"])
-        most = tiled.groupBy("tx", "ty").count().agg(F.max("count")).first()[0]
+        while True:
+            tiled = alive.select("a", "b", "fate", *[F.floor((F.col(c) + shift) / size).alias(f"t{c}") for c in "xy"])
+            most = tiled.groupBy("tx", "ty").count().agg(F.max("count")).first()[0]
+            if most <= TILE_EDGES or size <= 2 * distance:
+                break
+            size /= 4
         news = cut(tiled.groupBy("tx", "ty").applyInPandas(decide, fate))
         dropped = dropped.unionByName(news.where("NOT stays").select("id"))
         alive = alive.join(news.select(F.col("id").alias("b")), "b", "left_anti")
         size, shift = (size * 4 if most * 16 <= TILE_EDGES else size), size / 2 if not shift else 0.0
-    return points.join(dropped.select(F.col("id").alias(order)).distinct(), order, "left_anti")
+    return dropped.select(F.col("id").alias(order))
 
 
 def circular_mean(angle: Column) -> Column:

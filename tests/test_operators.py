@@ -636,3 +636,21 @@ def test_terminal_cells_and_last_writers_without_copies_or_sorts(spark, capsys):
     assert {(r.row, r.col): r.z for r in grid.collect()} == {k: v[3] for k, v in last.items()}
     grid.explain()
     assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_thinning_of_a_crowd_equals_a_walk_and_meets_few_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    pts = [(i, r.uniform(0, 60), r.uniform(0, 60), 100.0 + r.choice([0.0, 0.04, 0.2])) for i in range(1500)]
+    kept = []
+    for i, x, y, z in pts:
+        if not any(math.hypot(x - a, y - b) <= 20 and abs(z - c) / ((z + c) / 2) * 100 <= 0.05 for _, a, b, c in kept):
+            kept.append((i, x, y, z))
+    df = spark.createDataFrame([*pts, (None, 1.0, 1.0, 100.0), (9999, None, 1.0, 100.0)], "id long, x double, y double, wse double").repartition(3)
+    monkeypatch.setattr(spatial, "FIRST", 64)
+    met, pairs = [], spatial.pairs_within
+    monkeypatch.setattr(spatial, "pairs_within", lambda points, *rest: met.append(pairs(points, *rest).count()) or pairs(points, *rest))
+    for sent in (spatial.MOST_SENT, 0):
+        monkeypatch.setattr(spatial, "MOST_SENT", sent)
+        got = [x.id for x in spatial.thin(df, 20.0, 0.05, "id", "wse").collect()]
+        assert len(got) == len(set(got)) and set(got) == {k[0] for k in kept} | {None, 9999}
+    assert sum(met) < len(pts) ** 2 / 20
