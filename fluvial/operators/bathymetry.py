@@ -323,27 +323,43 @@ def _channels(batch: pa.RecordBatch, water: int) -> tuple[Channels, list[np.ndar
     return Channels(tuple(z), tuple(cover), tuple(size), batch.column("dz").to_numpy(zero_copy_only=False).astype(float), water), there
 
 
-def with_banks(sections: DataFrame, water: int = 80) -> DataFrame:
-    """Sections with their banks by each method, sides 1 and 2: flat, level (flat water, one before the bank), cover,
-    ratio and bend (arrays), and cover_level. Sections without a side have the banks of the other."""
+#: The methods of ``with_banks``.
+METHODS = {
+    "flat": lambda c: c.flat_banks(False),
+    "level": lambda c: c.flat_banks(True),
+    "cover": Channels.cover_banks,
+    "ratio": Channels.ratio_banks,
+    "bend": Channels.bend_banks,
+    "cover_level": Channels.cover_level,
+}
+
+
+def with_banks(sections: DataFrame, water: int = 80, wanted: tuple[str, ...] = tuple(METHODS), keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Sections with their banks by each ``wanted`` method, sides 1 and 2: flat, level (flat water, one before the bank),
+    cover, ratio and bend (arrays), and cover_level. Sections without a side have the banks of the other. ``keep``: the
+    columns of the sections that stay (all, without it)."""
+    keep = tuple(sections.columns) if keep is None else keep
+    needed = sections.select(*dict.fromkeys([*keep, "p1", "p2", "lc1", "lc2", "dz"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, BATCH_VALUES):
             c, _ = _channels(batch, water)
-            found = (c.flat_banks(False), c.flat_banks(True), c.cover_banks(), c.ratio_banks(), c.bend_banks())
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(f.astype(np.int32).ravel()), 2).cast(pa.list_(pa.int32())) for f in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists, pa.array(c.cover_level())], [*batch.schema.names, *names])
+            found = [METHODS[n](c) for n in wanted]
+            made = [pa.array(f) if f.ndim == 1 else pa.FixedSizeListArray.from_arrays(pa.array(f.astype(np.int32).ravel()), 2).cast(pa.list_(pa.int32())) for f in found]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *made], [*keep, *wanted])
 
-    names = ["flat", "level", "cover", "ratio", "bend", "cover_level"]
-    return sections.mapInArrow(run, f"{kinds(sections, sections.columns)}, {', '.join(f'{n} array<int>' for n in names[:-1])}, cover_level double")
+    return needed.mapInArrow(run, ", ".join([kinds(sections, list(keep))] * bool(keep) + [f"{n} {'double' if n == 'cover_level' else 'array<int>'}" for n in wanted]))
 
 
-def with_bathymetry(sections: DataFrame, share: float = 0.2, by_banks: bool = False, by_cover: bool = False, water: int = 80) -> DataFrame:
+def with_bathymetry(sections: DataFrame, share: float = 0.2, by_banks: bool = False, by_cover: bool = False, water: int = 80, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Sections with burnt profiles in p1 and p2, and burnt: array of (row, col, z, side, i) for the raster.
 
     ``sections`` has p1, lc1, rc1, p2, lc2, rc2, dz, slope and q_base beside its other columns, which stay. Sections
-    that lack a side or a positive baseflow stay as they are.
+    that lack a side or a positive baseflow stay as they are. ``keep``: the columns that stay, burnt profiles among them
+    (all, without it); what is left out is not sent to and fro.
     """
+    keep = tuple(sections.columns) if keep is None else keep
+    needed = sections.select(*dict.fromkeys([*keep, *(f"{c}{s}" for s in "12" for c in ("p", "lc", "rc")), "dz", "slope", "q_base"]))
     find = shapes_by_banks if by_banks else shapes_by_level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +367,7 @@ def with_bathymetry(sections: DataFrame, share: float = 0.2, by_banks: bool = Fa
             c, there = _channels(batch, water)
             flow, slope = (np.nan_to_num(batch.column(n).to_numpy(zero_copy_only=False).astype(float)) for n in ("q_base", "slope"))
             whole = np.flatnonzero((c.count[0] > 0) & (c.count[1] > 0) & (flow > 0))
-            columns = {n: batch.column(n) for n in batch.schema.names}
+            columns = {n: batch.column(n) for n in keep}
             items = []
             part = c.pick(whole)
             shapes = find(part, flow[whole], slope[whole], share, by_cover)
@@ -360,7 +376,8 @@ def with_bathymetry(sections: DataFrame, share: float = 0.2, by_banks: bool = Fa
                 full = c.z[s].copy()
                 full[whole] = z
                 ends = np.concatenate(([0], np.cumsum(c.count[s]))).astype(np.int32)
-                columns[f"p{s + 1}"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(full[there[s]]))
+                if f"p{s + 1}" in keep:
+                    columns[f"p{s + 1}"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(full[there[s]]))
                 row, i = np.nonzero(taken)
                 cell = pc.list_flatten(batch.column(f"rc{s + 1}"))
                 at = pa.array(ends[whole[row]] + i)
@@ -372,7 +389,7 @@ def with_bathymetry(sections: DataFrame, share: float = 0.2, by_banks: bool = Fa
             columns["burnt"] = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, ["row", "col", "z", "side", "i"]))
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return sections.mapInArrow(run, kinds(sections, sections.columns) + ", burnt array<struct<row:int,col:int,z:double,side:int,i:int>>")
+    return needed.mapInArrow(run, ", ".join([kinds(sections, list(keep))] * bool(keep) + ["burnt array<struct<row:int,col:int,z:double,side:int,i:int>>"]))
 
 
 def bathymetry_grid(burnt: DataFrame, order: str = "cell_seq") -> DataFrame:

@@ -436,22 +436,22 @@ def power_fit_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_line(pts, "comid").select("comid", rounded("b").alias("b"), rounded("a").alias("a")).where("b IS NOT NULL")
 
 
-def _banked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangular sections with water on the first ordinates, and their banks."""
+def _banked(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """Triangular sections with water on the first ordinates, and their banks by some methods."""
     wet = F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda i: F.when(i <= F.col("qty") % 7, 80).otherwise(10))
-    return bathymetry.with_banks(carriers.sections(spark, sf_dir).withColumn("lc1", wet).withColumn("lc2", wet))
+    return bathymetry.with_banks(carriers.sections(spark, sf_dir).withColumn("lc1", wet).withColumn("lc2", wet), wanted=wanted, keep=("comid", "r", "c"))
 
 
 @query(f"WITH {CELL_SQL}, {REACH_SQL} SELECT comid, r, c, least(ceil(0.1::DOUBLE * side - 1e-9)::INTEGER, {LENGTH}) AS bank, least(ceil(0.1::DOUBLE * side - 1e-9)::INTEGER, {LENGTH + 1}) - 1 AS level_bank FROM cell JOIN reach USING (comid)")
 def bank_flat_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First ordinate that is 0.1 above the centre, i / side >= 0.1 at ceil(0.1 side), and the one before it."""
-    return _banked(spark, sf_dir).select("comid", "r", "c", F.get("flat", F.lit(0)).alias("bank"), F.get("level", F.lit(1)).alias("level_bank"))
+    return _banked(spark, sf_dir, "flat", "level").select("comid", "r", "c", F.get("flat", F.lit(0)).alias("bank"), F.get("level", F.lit(1)).alias("level_bank"))
 
 
 @query(f"WITH {CELL_SQL}, {REACH_SQL} SELECT comid, r, c, (1 + qty % 7)::INTEGER AS bank, 0.1::DOUBLE AS level FROM cell JOIN reach USING (comid)")
 def bank_landcover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The centre is the lowest ordinate, so the water's level is the one that stands for none: 0.1 above it."""
-    return _banked(spark, sf_dir).select("comid", "r", "c", F.get("cover", F.lit(1)).alias("bank"), rounded("cover_level").alias("level"))
+    return _banked(spark, sf_dir, "cover", "cover_level").select("comid", "r", "c", F.get("cover", F.lit(1)).alias("bank"), rounded("cover_level").alias("level"))
 
 
 @query(f"""WITH RECURSIVE {REACH_SQL}, f(comid, q, slope, stage, start, depth, done) AS (

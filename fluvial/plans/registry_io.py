@@ -150,7 +150,7 @@ def _burnt(spark: SparkSession, sf_dir: str, least: int, by_banks: bool) -> Data
     wet = F.transform(every, lambda i: F.when(i <= least + F.col("qty") % 7, 80).otherwise(10))
     at = F.transform(every, lambda i: F.struct(i.alias("r"), F.lit(1).alias("c")))
     made = carriers.sections(spark, sf_dir).withColumns({"lc1": wet, "lc2": wet, "rc1": at, "rc2": at})
-    burnt = bathymetry.with_bathymetry(made, 0.2, by_banks, True).select("comid", "r", "c", F.explode("burnt").alias("b"))
+    burnt = bathymetry.with_bathymetry(made, 0.2, by_banks, True, keep=("comid", "r", "c")).select("comid", "r", "c", F.explode("burnt").alias("b"))
     return burnt.select("comid", "r", "c", "b.side", "b.i", (F.rint(F.col("b.z") * 1e4) / 1e4).alias("z"))
 
 

@@ -654,3 +654,14 @@ def test_thinning_of_a_crowd_equals_a_walk_and_meets_few_pairs(spark, monkeypatc
         got = [x.id for x in spatial.thin(df, 20.0, 0.05, "id", "wse").collect()]
         assert len(got) == len(set(got)) and set(got) == {k[0] for k in kept} | {None, 9999}
     assert sum(met) < len(pts) ** 2 / 20
+
+
+def test_sections_send_wanted_columns_only(spark):
+    row = (1, [1.0, 1.2, 2.0, 3.0], [1.0, 1.0, 2.5, 3.0], [80, 80, 10, 10], [80, 80, 10, 10], [(5, k) for k in range(4)], [(5, -k) for k in range(4)], 10.0, 0.001, 5.0)
+    made = spark.createDataFrame([row], "id long, p1 array<double>, p2 array<double>, lc1 array<int>, lc2 array<int>, rc1 array<struct<r:int,c:int>>, rc2 array<struct<r:int,c:int>>, dz double, slope double, q_base double")
+    whole, some = bathymetry.with_banks(made), bathymetry.with_banks(made, wanted=("cover_level", "flat"), keep=("id",))
+    assert whole.columns == [*made.columns, *bathymetry.METHODS] and some.columns == ["id", "cover_level", "flat"]
+    assert some.collect() == whole.select(*some.columns).collect()
+    whole, some = bathymetry.with_bathymetry(made, 0.2, False, True), bathymetry.with_bathymetry(made, 0.2, False, True, keep=("id", "p2"))
+    assert some.columns == ["id", "p2", "burnt"] and some.collect() == whole.select(*some.columns).collect()
+    assert len(some.first().burnt) > 0
