@@ -18,9 +18,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.hydraulics import first_index
 from . import tiles
 from .batches import kinds
+from .solver import Side
 
 DIRECTIONS = 30
 STEP = pi / DIRECTIONS
+#: Sections whose matrices are worked on at once.
+GEOMETRY_ROWS = 2_000
 
 
 def section_length(distance: float, dx: float, dy: float) -> int:
@@ -155,6 +158,23 @@ def with_top_width(df: DataFrame, profile: str, wse: str, to: str, dz: str = "dz
     return df.withColumn(to, F.when(wet, F.coalesce(edge, F.col(dz) * (F.size(profile) - 1))).otherwise(0.0)).drop(k)
 
 
+def with_geometry(sections: DataFrame, wse: str, keep: tuple[str, ...], dz: str = "dz", profiles: tuple[str, str] = ("p1", "p2"), roughness: tuple[str, str] = ("n1", "n2")) -> DataFrame:
+    """Columns of ``keep`` with area, perimeter, pn (sum of perimeter times n^1.5) and width, both sides summed: what
+    ``hydraulics.with_sides`` gives, over batches of sections at once. Its profiles hold no missing elevations."""
+    names = ["area", "perimeter", "pn", "width"]
+    plain = sections.select(*keep, *[F.col(p).cast("array<double>").alias(f"__{n}{k}") for n, of in (("p", profiles), ("n", roughness)) for k, p in enumerate(of)], F.col(dz).cast("double").alias("__dz"), F.col(wse).cast("double").alias("__wse"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, GEOMETRY_ROWS):
+                part = batch.slice(start, GEOMETRY_ROWS)
+                space, level = (part.column(c).to_numpy(zero_copy_only=False) for c in ("__dz", "__wse"))
+                sides = [Side.read(part.column(f"__p{k}"), part.column(f"__n{k}"), space).geometry(level) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *[pa.array(x + y) for x, y in zip(*sides)]], [*keep, *names])
+
+    return plain.mapInArrow(run, ", ".join([kinds(sections, list(keep))] * bool(keep) + [f"{n} double" for n in names]))
+
+
 def best_angle(candidates: DataFrame, test_depth: float = 0.5, keys: tuple[str, ...] = ("cell_seq",)) -> DataFrame:
     """Of sampled candidates (keys, angle, try, p1, p2, dz) the angle of the least top width at the test depth; the
     first tried of equals."""

@@ -213,7 +213,7 @@ FLOW_SQL = f"area * pow(area / greatest(perimeter, 1e-6::DOUBLE), 2.0::DOUBLE /
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hydraulics.with_sides(carriers.sections(spark, sf_dir).withColumn("w", 0.2 + F.col("qty") % 10), "w")
+    return sections.with_geometry(carriers.sections(spark, sf_dir).withColumn("w", 0.2 + F.col("qty") % 10), "w", ("comid", "r", "c", "slope"))
 
 
 @query(f"WITH {CELL_SQL}, {REACH_SQL}, {sides_sql(STAGE_SQL)} SELECT comid, r, c, {r('width')} AS width FROM geo")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fluvial.functions import hydraulics
 from fluvial.operators import bathymetry, fits, neighbourhood, rating, sections, solver, spatial
 from fluvial.plans import features
 from fluvial.sources import outputs, raster, tables, vectors
@@ -665,3 +666,19 @@ def test_sections_send_wanted_columns_only(spark):
     whole, some = bathymetry.with_bathymetry(made, 0.2, False, True), bathymetry.with_bathymetry(made, 0.2, False, True, keep=("id", "p2"))
     assert some.columns == ["id", "p2", "burnt"] and some.collect() == whole.select(*some.columns).collect()
     assert len(some.first().burnt) > 0
+
+
+def test_geometry_of_batches_equals_its_expressions(spark, monkeypatch):
+    r = random.Random(3)
+    rows = []
+    for i in range(300):
+        n = [r.choice([0, 1, 2, 5, 9]) for _ in range(2)]
+        p = [[r.choice([0.0, 1.0, r.uniform(-1, 5)]) for _ in range(k)] for k in n]
+        rows.append((i, p[0], [r.uniform(0.01, 0.1) for _ in p[0]], p[1], [r.uniform(0.01, 0.1) for _ in p[1]], r.choice([1.0, 7.5]), r.uniform(-1, 6)))
+    df = spark.createDataFrame(rows, "id long, p1 array<double>, n1 array<double>, p2 array<double>, n2 array<double>, dz double, w double")
+    want = {x.id: x for x in hydraulics.with_sides(df, "w").collect()}
+    monkeypatch.setattr(sections, "GEOMETRY_ROWS", 7)
+    got = sections.with_geometry(df, "w", ("id",)).collect()
+    assert len(got) == len(want)
+    for x in got:
+        assert all(abs(x[c] - want[x.id][c]) < 1e-9 for c in ("area", "perimeter", "pn", "width")), x
