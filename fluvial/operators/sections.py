@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.hydraulics import first_index
 from . import tiles
-from .batches import kinds
+from .batches import kinds, padded
 from .solver import Side
 
 DIRECTIONS = 30
@@ -175,9 +175,38 @@ def with_geometry(sections: DataFrame, wse: str, keep: tuple[str, ...], dz: str
     return plain.mapInArrow(run, ", ".join([kinds(sections, list(keep))] * bool(keep) + [f"{n} double" for n in names]))
 
 
+def _top_width(profile: pa.Array, level: np.ndarray, dz: np.ndarray) -> np.ndarray:
+    """As ``with_top_width``, of a list column; what is missing is no number."""
+    z, there, count = padded(profile, np.inf, float)
+    dry = there & (z >= level[:, None])
+    dry[:, 0] = False
+    k, rows = dry.argmax(axis=1), np.arange(len(z))
+    inner, outer = level - z[rows, np.maximum(k - 1, 0)], level - z[rows, k]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        edge = dz * (k - 1) + dz * inner / (np.abs(inner) + np.abs(outer))
+    whole = np.where(dry.any(axis=1) & ~np.isnan(edge), edge, dz * (count - 1))
+    return np.where((count > 0) & (level - z[:, 0] > 1e-16), whole, 0.0)
+
+
 def best_angle(candidates: DataFrame, test_depth: float = 0.5, keys: tuple[str, ...] = ("cell_seq",)) -> DataFrame:
     """Of sampled candidates (keys, angle, try, p1, p2, dz) the angle of the least top width at the test depth; the
-    first tried of equals."""
-    widths = candidates.withColumn("__wse", F.get("p1", F.lit(0)) + test_depth)
-    widths = with_top_width(with_top_width(widths, "p1", "__wse", "__t1"), "p2", "__wse", "__t2").withColumn("tw", F.col("__t1") + F.col("__t2"))
-    return widths.groupBy(*keys).agg(F.min_by("angle", F.struct("tw", "try")).alias("xs_angle"), F.min("tw").alias("top_width"))
+    first tried of equals.
+
+    Widths are found for batches of candidates at once. Width and try make one number, so that cells are aggregated in a
+    hash table; by a struct all of them would be sorted.
+    """
+    plain = candidates.select(*keys, "angle", F.col("try").cast("int").alias("try"), *[F.col(p).cast("array<double>").alias(p) for p in ("p1", "p2")], F.col("dz").cast("double").alias("dz"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, GEOMETRY_ROWS):
+                part = batch.slice(start, GEOMETRY_ROWS)
+                dz = part.column("dz").to_numpy(zero_copy_only=False)
+                level = padded(part.column("p1"), np.nan, float)[0][:, 0] + test_depth
+                tw = _top_width(part.column("p1"), level, dz) + _top_width(part.column("p2"), level, dz)
+                # The bits of numbers that are not negative are in their order.
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in (*keys, "angle", "try")], pa.array(tw), pa.array((tw + 0.0).view(np.int64))], [*keys, "angle", "try", "tw", "__bits"])
+
+    widths = plain.mapInArrow(run, f"{kinds(plain, [*keys, 'angle', 'try'])}, tw double, __bits long")
+    order = F.col("__bits").cast("decimal(19,0)") * F.lit(2**32).cast("decimal(11,0)") + (F.col("try").cast("long") + 2**31).cast("decimal(19,0)")
+    return widths.groupBy(*keys).agg(F.min_by("angle", order).alias("xs_angle"), F.min("tw").alias("top_width"))

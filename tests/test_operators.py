@@ -682,3 +682,19 @@ def test_geometry_of_batches_equals_its_expressions(spark, monkeypatch):
     assert len(got) == len(want)
     for x in got:
         assert all(abs(x[c] - want[x.id][c]) < 1e-9 for c in ("area", "perimeter", "pn", "width")), x
+
+
+def test_best_angle_of_batches_equals_its_expressions(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    side = lambda: [r.choice([None, 0.0, 0.4, 0.6, r.uniform(-1, 3)]) for _ in range(r.choice([0, 1, 3, 6]))]
+    df = spark.createDataFrame([(i, t, t * 0.1, side(), side(), 2.0) for i in range(120) for t in range(4)], "cell_seq long, try int, angle double, p1 array<double>, p2 array<double>, dz double").repartition(3)
+    wide = df.withColumn("w", F.get("p1", F.lit(0)) + 0.5)
+    wide = sections.with_top_width(sections.with_top_width(wide, "p1", "w", "t1"), "p2", "w", "t2").withColumn("tw", F.col("t1") + F.col("t2"))
+    want = {x.cell_seq: x for x in wide.groupBy("cell_seq").agg(F.min(F.struct(F.round("tw", 9).alias("tw"), "try", "angle")).alias("x")).select("cell_seq", "x.*").collect()}
+    monkeypatch.setattr(sections, "GEOMETRY_ROWS", 11)
+    out = sections.best_angle(df)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert len(got) == len(want) and all((x.xs_angle, round(x.top_width, 9)) == (want[x.cell_seq].angle, want[x.cell_seq].tw) for x in got)
