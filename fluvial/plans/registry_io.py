@@ -53,9 +53,9 @@ def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {SERIES}, {YEARLY['mean']}, {YEARLY['median']}, {YEARLY['max']} SELECT * FROM means JOIN medians USING (rivid) JOIN maxs USING (rivid)")
 def store_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of the series of some reaches, whose ids choose the chunks that are read."""
+    """Statistics of the series of some reaches, whose ids choose the chunks that are read, once."""
     rows = _series(spark, sf_dir)[0]
-    return flow_stats.yearly(rows, "mean").join(flow_stats.yearly(rows, "median"), "rivid").join(flow_stats.yearly(rows, "max"), "rivid")
+    return flow_stats.yearly(rows.where("rivid IS NOT NULL"), ("mean", "median", "max"))
 
 
 # --- line networks --------------------------------------------------------------------------------------------------

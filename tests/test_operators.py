@@ -698,3 +698,15 @@ def test_best_angle_of_batches_equals_its_expressions(spark, monkeypatch):
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     got = out.collect()
     assert len(got) == len(want) and all((x.xs_angle, round(x.top_width, 9)) == (want[x.cell_seq].angle, want[x.cell_seq].tw) for x in got)
+
+
+def test_yearly_statistics_in_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from fluvial.operators import flow_stats
+
+    rows = spark.range(400).select((F.col("id") % 7).alias("rivid"), F.expr("timestamp'2020-01-01' + make_interval(0, 0, 0, cast(id * 5 as int))").alias("time"), (F.col("id") * 37 % 101 / 7.0).alias("Qout"))
+    every = flow_stats.yearly(rows, ("mean", "median", "max"))
+    assert every._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    apart = flow_stats.yearly(rows, "mean").join(flow_stats.yearly(rows, "median"), "rivid").join(flow_stats.yearly(rows, "max"), "rivid")
+    assert every.columns == apart.columns and sorted(every.collect()) == sorted(apart.collect())
