@@ -257,7 +257,7 @@ def vdt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.outputs import vdt
 
     named = _tables(spark, sf_dir).select(F.col("comid").alias("COMID"), F.col("r").alias("Row"), F.col("c").alias("Col"), "inc")
-    return vdt(named, INCREMENTS, ["COMID", "Row", "Col"])
+    return vdt(named, INCREMENTS, ["COMID", "Row", "Col"], table(spark, sf_dir, "lineitem").count())  # no more cells than line items
 
 
 @query(f"""WITH {INC_SQL} SELECT comid AS "COMID", r AS "Row", c AS "Col", {", ".join(f'max({x}) FILTER (k = {i}) AS {n}_{i}' for i in range(1, INCREMENTS + 1) for n, x in (("q", r("q")), ("a", r("CASE WHEN v = 0 THEN 0 ELSE q / v END")), ("p", r("p"))))} FROM inc GROUP BY comid, r, c""")

@@ -11,6 +11,10 @@ from ..functions.rounding import rounded
 from ..operators import spatial
 from . import files, layers, vectors
 
+#: Wide rows that a task tells apart: as many while ``FEW_TASKS`` do (a shuffle into few parts is not sorted in memory), and
+#: at most in larger tables.
+ROWS_APART, MOST_ROWS_APART, FEW_TASKS = 250_000, 1_000_000, 200
+
 
 def _each(name: str, i: int) -> Column:
     return F.get("inc", F.lit(i - 1))[name]
@@ -24,11 +28,22 @@ def _named(df: DataFrame, columns: list[str]) -> list[Column]:
     return [rounded(c, _places(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.select(*columns).dtypes]
 
 
-def vdt(results: DataFrame, increments: int, columns: list[str]) -> DataFrame:
-    """q_i, v_i, t_i, wse_i of every increment; rows with a missing or negative q, t or v go, repeated rows are one."""
+def _told_apart(wide: DataFrame, rows: int) -> DataFrame:
+    """Repeated rows are one. They meet under one number of all their columns, in as many tasks as ``rows`` need, so that
+    no task's table of wide rows grows with the rows, and the tasks that make them keep none."""
+    tasks = max(wide.sparkSession.sparkContext.defaultParallelism, min(FEW_TASKS, -(-rows // ROWS_APART)), -(-rows // MOST_ROWS_APART))
+    return wide.withColumn("__row", F.xxhash64(*wide.columns)).repartition(tasks, "__row").dropDuplicates().drop("__row")
+
+
+def vdt(results: DataFrame, increments: int, columns: list[str], rows: int | None = None) -> DataFrame:
+    """q_i, v_i, t_i, wse_i of every increment; rows with a missing or negative q, t or v go, repeated rows are one.
+
+    ``rows``: how many results there are at most; without it they are counted, so they should be written ones.
+    """
     good = F.forall("inc", lambda x: (x["q"] >= 0) & (x["v"] >= 0) & (x["t"] >= 0) & x["wse"].isNotNull())
     wide = [rounded(_each(n, i)).alias(f"{n}_{i}") for i in range(1, increments + 1) for n in ("q", "v", "t", "wse")]
-    return results.where(good & (F.size("inc") == increments)).select(*_named(results, columns), *wide).dropDuplicates()
+    made = results.where(good & (F.size("inc") == increments)).select(*_named(results, columns), *wide)
+    return _told_apart(made, results.count() if rows is None else rows)
 
 
 def area_perimeter(results: DataFrame, increments: int, columns: list[str]) -> DataFrame:

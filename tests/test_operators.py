@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import struct
 
 import numpy as np
@@ -710,3 +711,29 @@ def test_yearly_statistics_in_one_pass(spark):
     assert every._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
     apart = flow_stats.yearly(rows, "mean").join(flow_stats.yearly(rows, "median"), "rivid").join(flow_stats.yearly(rows, "max"), "rivid")
     assert every.columns == apart.columns and sorted(every.collect()) == sorted(apart.collect())
+
+
+def _repeated_results(spark):
+    """Results of 300 cells, each twice in other partitions; one with zeros of both signs, one with a place twice but other flows."""
+    inc = lambda q: [(q + k, 0.5 + k, 3.0, 10.0 + k, 4.0) for k in range(2)]
+    rows = [(i % 7, i, i % 3, 0.1 * i, inc(float(i))) for i in range(300)] * 2
+    rows += [(9, 1, 1, z, [(z, 1.0, 3.0, 1.0, z), (1.0, z, z, 2.0, 1.0)]) for z in (0.0, -0.0)] + [(9, 2, 2, float("nan"), inc(q)) for q in (1.0, 1.0, 2.0)] + [(9, 3, 3, 1.0, inc(-5.0))]
+    return spark.createDataFrame(rows, "COMID long, Row long, Col long, Slope double, inc array<struct<q:double,v:double,t:double,wse:double,p:double>>").repartition(5)
+
+
+def _told_apart_in_parts(spark, monkeypatch, made, columns):
+    results = _repeated_results(spark)
+    wide = lambda rows: made(results, 2, columns, rows)
+    plan = wide(603)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("hashpartitioning(__row") :]
+    assert "HashAggregate" in plan and "Aggregate" not in below  # what makes the wide rows keeps no table of them
+    monkeypatch.setattr(outputs, "ROWS_APART", 50)
+    parts = lambda df: int(re.search(r"hashpartitioning\(__row#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())[1])
+    assert parts(wide(603)) == parts(made(results, 2, columns)) == 13 and parts(wide(6030)) == 121 and parts(wide(10**6)) == 200 and parts(wide(10**9)) == 1000
+    for rows in (603, None, 1):
+        got = wide(rows).collect()
+        assert len(got) == 303 and sorted((x.COMID, x.Row, x.q_1) for x in got) == sorted([(i % 7, i, float(i)) for i in range(300)] + [(9, 1, 0.0), (9, 2, 1.0), (9, 2, 2.0)])
+
+
+def test_rating_rows_are_told_apart_in_tasks_of_bounded_rows(spark, monkeypatch):
+    _told_apart_in_parts(spark, monkeypatch, outputs.vdt, ["COMID", "Row", "Col", "Slope"])
