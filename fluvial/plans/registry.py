@@ -265,7 +265,7 @@ def ap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.outputs import area_perimeter
 
     named = _tables(spark, sf_dir).select(F.col("comid").alias("COMID"), F.col("r").alias("Row"), F.col("c").alias("Col"), "inc")
-    return area_perimeter(named, INCREMENTS, ["COMID", "Row", "Col"])
+    return area_perimeter(named, INCREMENTS, ["COMID", "Row", "Col"], table(spark, sf_dir, "lineitem").count())  # as in vdt_rows
 
 
 NORMAL = "pow(q_max * n / (sqrt(slope) * side * pow(side / (2 * sqrt(side * side + 1)), 2.0::DOUBLE / 3)), 3.0::DOUBLE / 8)"

@@ -46,12 +46,13 @@ def vdt(results: DataFrame, increments: int, columns: list[str], rows: int | Non
     return _told_apart(made, results.count() if rows is None else rows)
 
 
-def area_perimeter(results: DataFrame, increments: int, columns: list[str]) -> DataFrame:
-    """q_i, a_i = q_i / v_i (0 where v_i is 0) and p_i of every increment."""
+def area_perimeter(results: DataFrame, increments: int, columns: list[str], rows: int | None = None) -> DataFrame:
+    """q_i, a_i = q_i / v_i (0 where v_i is 0) and p_i of every increment; repeated rows are one. ``rows`` as in ``vdt``."""
     area = lambda i: F.coalesce(F.try_divide(_each("q", i), _each("v", i)), F.lit(0.0))
     wide = [rounded(c).alias(f"{n}_{i}") for i in range(1, increments + 1) for n, c in (("q", _each("q", i)), ("a", area(i)), ("p", _each("p", i)))]
     good = F.forall("inc", lambda x: (x["q"] >= 0) & (x["v"] >= 0) & (x["p"] >= 0))
-    return results.where(good & (F.size("inc") == increments)).select(*_named(results, columns), *wide).dropDuplicates()
+    made = results.where(good & (F.size("inc") == increments)).select(*_named(results, columns), *wide)
+    return _told_apart(made, results.count() if rows is None else rows)
 
 
 def section_rows(sections: DataFrame) -> DataFrame:

@@ -737,3 +737,7 @@ def _told_apart_in_parts(spark, monkeypatch, made, columns):
 
 def test_rating_rows_are_told_apart_in_tasks_of_bounded_rows(spark, monkeypatch):
     _told_apart_in_parts(spark, monkeypatch, outputs.vdt, ["COMID", "Row", "Col", "Slope"])
+
+
+def test_areas_are_told_apart_in_tasks_of_bounded_rows(spark, monkeypatch):
+    _told_apart_in_parts(spark, monkeypatch, outputs.area_perimeter, ["COMID", "Row", "Col", "Slope"])
