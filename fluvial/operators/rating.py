@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
 from ..plans.lineage import settle
+from .batches import kinds
 from .quantiles import percentiles
 
 
@@ -71,19 +76,64 @@ def interpolated(pairs: Column, x: Column) -> Column:
     return F.aggregate(pairs, F.struct(*[none.alias(k) for k in "abcd"]), step, line)
 
 
-def evaluate_vdt(vdt: DataFrame, forecast: DataFrame, increments: int, key: str = "COMID", round_level: bool = True) -> DataFrame:
+def _ends(q: np.ndarray, good: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each column of q (pairs x rows), the places of the two good pairs whose line is read at x, whether there are two,
+    and whether there is one (then both places are its)."""
+    rows = np.arange(len(x))
+    under = good & ((q < x) | np.isnan(x))
+    over = good & ~under
+    last = lambda there: (np.where(there, q, -np.inf).argmax(axis=0), there.any(axis=0))
+    first = lambda there: (np.where(there, q, np.inf).argmin(axis=0), there.any(axis=0))
+    (a, has_a), (c, has_c) = last(under), first(over)
+    (b, has_b), (d, has_d) = last(under & (q < q[a, rows])), first(over & (q > q[c, rows]))
+    # From the pair under x to that from it on, else through the two next to it on one side.
+    lone = np.where(has_a, a, c)
+    two = np.where(has_a, has_c | has_b, has_c & has_d)
+    e, f = np.where(has_a, np.where(has_c, a, b), c), np.where(has_a, np.where(has_c, c, a), d)
+    return np.where(two, e, lone), np.where(two, f, lone), two, has_a | has_c
+
+
+def _read(q: np.ndarray, ys: list[np.ndarray], x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What ``interpolated`` gives for the pairs (q, y) of each row (pairs x rows, NaN where missing), and where it is null."""
+    rows, known = np.arange(len(x)), None
+    for y in ys:
+        good = np.isfinite(q) & np.isfinite(y)
+        if known is None or not np.array_equal(good, known):
+            known, (e, f, two, some) = good, _ends(q, good, x)
+        y0, y1, q0, q1 = y[e, rows], y[f, rows], q[e, rows], q[f, rows]
+        with np.errstate(all="ignore"):
+            yield np.where(two, y0 + (x - q0) * (y1 - y0) / (q1 - q0), y0), ~some
+
+
+def with_interpolated(df: DataFrame, increments: int, x: str, values: dict[str, str], keep: list[str]) -> DataFrame:
+    """Columns of ``keep`` and ``values`` (new column -> name): what ``interpolated`` gives at x for the pairs (q_i, name_i),
+    in Arrow batches, vectorised over rows."""
+    names = list(dict.fromkeys(["q", *values.values()]))
+    of = {n: [f"{n}_{i}" for i in range(1, increments + 1)] for n in names}
+    types = dict(df.dtypes)
+    sent = {c: c if c in keep and types[c] == "double" else f"__{c}" for c in [x, *(c for n in names for c in of[n])]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = lambda c: batch.column(sent[c]).to_numpy(zero_copy_only=False)
+            at, table = number(x), {n: np.stack([number(c) for c in of[n]]) for n in names}
+            missing = batch.column(sent[x]).is_null().to_numpy(zero_copy_only=False)
+            made = _read(table["q"], [table[n] for n in values.values()], at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v, mask=none | missing) for v, none in made)], [*keep, *values])
+
+    told = df.select(*keep, *[F.col(c).cast("double").alias(s) for c, s in sent.items() if s != c])
+    return told.mapInArrow(run, ", ".join([kinds(df, keep), *(f"`{c}` double" for c in values)]))
+
+
+def evaluate_vdt(vdt: DataFrame, forecast: DataFrame, increments: int, key: str = "COMID", round_level: bool = True, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Velocity, width and water level of each VDT row at its reach's forecast, without rows whose level is missing,
-    not positive, or more than two deviations from its reach's mean."""
+    not positive, or more than two deviations from its reach's mean. ``keep``: columns beside the key (default: all).
+    Levels are written, as they are read twice."""
     flow = forecast.select(F.col(forecast.columns[0]).alias(key), F.col(forecast.columns[1]).cast("double").alias("qout"))
-    out = vdt.join(flow, key)
-
-    def at(name: str) -> Column:
-        pairs = F.array(*[F.struct(F.col(f"q_{i}").cast("double").alias("q"), F.col(f"{name}_{i}").cast("double").alias("y")) for i in range(1, increments + 1)])
-        return interpolated(pairs, F.col("qout"))
-
-    level = rounded(at("wse")) if round_level else at("wse")
-    out = out.withColumns({"Velocity": rounded(at("v")), "TopWidth": rounded(at("t")), "WaterSurfaceElev_m": level})
-    out = within_two_sigma(out.where("WaterSurfaceElev_m IS NOT NULL"), "WaterSurfaceElev_m", key)
+    rated = vdt.join(flow, key)
+    out = with_interpolated(rated, increments, "qout", {"Velocity": "v", "TopWidth": "t", "WaterSurfaceElev_m": "wse"}, rated.columns if keep is None else [key, *keep])
+    out = out.withColumns({c: rounded(c) for c in ("Velocity", "TopWidth", *(["WaterSurfaceElev_m"] if round_level else []))})
+    out = within_two_sigma(settle(out, "levels").where("WaterSurfaceElev_m IS NOT NULL"), "WaterSurfaceElev_m", key)
     return out.where(F.col("WaterSurfaceElev_m") > 0)
 
 

@@ -532,7 +532,7 @@ def vdt_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rating tables that are lines, read between and beyond their increments."""
     made = {f"{n}_{i}": e for i in (1, 2, 3) for n, e in (("q", F.lit(5.0 * i)), ("v", F.lit(0.5 * i)), ("t", F.col("side") * i), ("wse", F.col("qty") + 0.7 * i))}
     vdt = carriers.cells(spark, sf_dir).withColumnRenamed("comid", "COMID").withColumns(made)
-    out = rating.evaluate_vdt(vdt, carriers.reach(spark, sf_dir).select("comid", "q_max"), 3)
+    out = rating.evaluate_vdt(vdt, carriers.reach(spark, sf_dir).select("comid", "q_max"), 3, keep=("r", "c"))
     return out.select("COMID", "r", "c", F.col("Velocity").alias("velocity"), F.col("TopWidth").alias("width"), F.col("WaterSurfaceElev_m").alias("wse"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fluvial.functions import hydraulics
 from fluvial.operators import bathymetry, fits, neighbourhood, rating, sections, solver, spatial
-from fluvial.plans import features
+from fluvial.plans import features, lineage
 from fluvial.sources import outputs, raster, tables, vectors
 from fluvial.sources.config import Config
 
@@ -741,3 +741,32 @@ def test_rating_rows_are_told_apart_in_tasks_of_bounded_rows(spark, monkeypatch)
 
 def test_areas_are_told_apart_in_tasks_of_bounded_rows(spark, monkeypatch):
     _told_apart_in_parts(spark, monkeypatch, outputs.area_perimeter, ["COMID", "Row", "Col", "Slope"])
+
+
+def test_levels_of_batches_equal_the_fold_and_are_read_once(spark, monkeypatch):
+    r = random.Random(8)
+    odd = lambda: r.choice([None, float("nan"), float("inf"), -0.0, 0.0, 1.0, 1.0, 2.0, r.uniform(-5, 5), r.uniform(-5, 5)])
+    rows = [(i, i % 5, *[odd() for _ in range(13)]) for i in range(700)]
+    columns = ["id", "COMID", "x", *[f"{n}_{i}" for i in (1, 2, 3) for n in ("q", "v", "t", "wse")]]
+    df = spark.createDataFrame(rows, f"id long, COMID long, {', '.join(f'{c} double' for c in columns[2:])}").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "41")
+    try:
+        for k in (3, 1):
+            pairs = lambda n: F.array(*[F.struct(F.col(f"q_{i}").alias("q"), F.col(f"{n}_{i}").alias("y")) for i in range(1, k + 1)])  # noqa: B023, E731
+            want = {x.id: x for x in df.select("id", *[rating.interpolated(pairs(n), F.col("x")).alias(n) for n in ("v", "t", "wse")]).collect()}
+            got = rating.with_interpolated(df, k, "x", {"v": "v", "t": "t", "wse": "wse"}, ["id"]).collect()
+            same = lambda a, b: (a is None) == (b is None) and (a is None or a == b or (math.isnan(a) and math.isnan(b)))
+            assert len(got) == 700 and all(same(x[n], want[x.id][n]) for x in got for n in ("v", "t", "wse"))
+            assert sum(x.wse is None for x in got) > 10 and sum(x.wse is not None for x in got) > 100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    settled = []
+    monkeypatch.setattr(rating, "settle", lambda made, label: settled.append(label) or lineage.settle(made, label))
+    table = spark.range(60).select((F.col("id") % 4).alias("COMID"), F.col("id").cast("int").alias("Row"), *[e.alias(f"{n}_{i}") for i in (1, 2) for n, e in (("q", F.lit(i)), ("v", F.lit(0.5 * i)), ("t", F.lit(2.0 * i)), ("wse", F.col("id") + 0.5 * i))])
+    flows = spark.range(4).select("id", (F.col("id") + 1.5).cast("decimal(5,1)").alias("flow"))
+    out = rating.evaluate_vdt(table, flows, 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert settled == ["levels"] and "lambda" not in plan and out.columns == [*table.columns, "qout", "Velocity", "TopWidth", "WaterSurfaceElev_m"]
+    assert {x.Row: (x.Velocity, x.TopWidth, x.WaterSurfaceElev_m) for x in out.collect()} == {i: (0.5 * x, 2 * x, i + 0.5 * x) for i in range(60) for x in [i % 4 + 1.5]}
+    few = rating.evaluate_vdt(table, flows, 2, keep=("Row",))
+    assert few.columns == ["COMID", "Row", "Velocity", "TopWidth", "WaterSurfaceElev_m"] and sorted(few.collect()) == sorted(out.select(*few.columns).collect())
