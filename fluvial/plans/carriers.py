@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.outputs import tasks_for
+
 #: The same in DuckDB. reach: comid, slope, q_max, q_base, n. cell: unique (comid, r, c) with a side slope.
 REACH_SQL = """reach AS (SELECT s_suppkey AS comid, 0.0005::DOUBLE + 0.0001::DOUBLE * (s_suppkey % 20) AS slope,
     5.0::DOUBLE + abs(s_acctbal) / 500.0::DOUBLE AS q_max, 0.5::DOUBLE AS q_base, 0.02::DOUBLE + 0.005::DOUBLE * (s_nationkey % 5) AS n FROM supplier)"""
@@ -33,7 +35,10 @@ def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("comid"), (F.col("l_orderkey") % 997).alias("r"), F.col("l_linenumber").alias("c"))
+    """Line items of a cell are few, so they are dealt into tasks of bounded rows first, not gathered where they are read."""
+    items = table(spark, sf_dir, "lineitem")
+    named = items.select(F.col("l_suppkey").alias("comid"), (F.col("l_orderkey") % 997).alias("r"), F.col("l_linenumber").alias("c"), "l_quantity")
+    by = named.repartition(tasks_for(spark, items.count()), "comid", "r", "c").groupBy("comid", "r", "c")
     return by.agg(F.min("l_quantity").alias("qty")).withColumn("side", 1.0 + F.col("qty") / 25.37)  # no exact halves to round
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
 from ..operators import spatial
 from . import files, layers, vectors
 
-#: Wide rows that a task tells apart: as many while ``FEW_TASKS`` do (a shuffle into few parts is not sorted in memory), and
+#: Rows that a task tells apart: as many while ``FEW_TASKS`` do (a shuffle into few parts is not sorted in memory), and
 #: at most in larger tables.
 ROWS_APART, MOST_ROWS_APART, FEW_TASKS = 250_000, 1_000_000, 200
 
@@ -28,11 +28,15 @@ def _named(df: DataFrame, columns: list[str]) -> list[Column]:
     return [rounded(c, _places(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.select(*columns).dtypes]
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """How many tasks tell so many rows apart."""
+    return max(spark.sparkContext.defaultParallelism, min(FEW_TASKS, -(-rows // ROWS_APART)), -(-rows // MOST_ROWS_APART))
+
+
 def _told_apart(wide: DataFrame, rows: int) -> DataFrame:
     """Repeated rows are one. They meet under one number of all their columns, in as many tasks as ``rows`` need, so that
     no task's table of wide rows grows with the rows, and the tasks that make them keep none."""
-    tasks = max(wide.sparkSession.sparkContext.defaultParallelism, min(FEW_TASKS, -(-rows // ROWS_APART)), -(-rows // MOST_ROWS_APART))
-    return wide.withColumn("__row", F.xxhash64(*wide.columns)).repartition(tasks, "__row").dropDuplicates().drop("__row")
+    return wide.withColumn("__row", F.xxhash64(*wide.columns)).repartition(tasks_for(wide.sparkSession, rows), "__row").dropDuplicates().drop("__row")
 
 
 def vdt(results: DataFrame, increments: int, columns: list[str], rows: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fluvial.functions import hydraulics
 from fluvial.operators import bathymetry, fits, neighbourhood, rating, sections, solver, spatial
-from fluvial.plans import features, lineage
+from fluvial.plans import carriers, features, lineage
 from fluvial.sources import outputs, raster, tables, vectors
 from fluvial.sources.config import Config
 
@@ -770,3 +770,20 @@ def test_levels_of_batches_equal_the_fold_and_are_read_once(spark, monkeypatch):
     assert {x.Row: (x.Velocity, x.TopWidth, x.WaterSurfaceElev_m) for x in out.collect()} == {i: (0.5 * x, 2 * x, i + 0.5 * x) for i in range(60) for x in [i % 4 + 1.5]}
     few = rating.evaluate_vdt(table, flows, 2, keep=("Row",))
     assert few.columns == ["COMID", "Row", "Velocity", "TopWidth", "WaterSurfaceElev_m"] and sorted(few.collect()) == sorted(out.select(*few.columns).collect())
+
+
+def test_cells_are_gathered_in_tasks_of_bounded_rows(spark, monkeypatch, tmp_path):
+    r = random.Random(9)
+    rows = [(r.randrange(3000), r.randrange(5), r.randrange(3), float(r.randrange(50))) for _ in range(600)]
+    items = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(outputs, "ROWS_APART", 50)
+    cells = carriers.cells(spark, str(tmp_path))
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("hashpartitioning(comid") :]
+    assert re.match(r"hashpartitioning\(comid#\d+L?, r#\d+L?, c#\d+L?, 12\)", below) and "Exchange" not in below and "Aggregate" not in below and plan.count("Exchange hash") == 1
+    want = {}
+    for order, supplier, line, quantity in rows:
+        place = (supplier, order % 997, line)
+        want[place] = min(quantity, want.get(place, quantity))
+    assert {(x.comid, x.r, x.c): x.qty for x in cells.collect()} == want and cells.count() == len(want) < 600
